@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemforge.llm import bpe, huffman, packing, pq, quality
+from itemforge.llm import bpe, huffman, jaccard, packing, pq, quality, substrings, suffix
 from itemforge.llm.shared import shared_dir
 
 
@@ -31,15 +31,29 @@ def op3_pack_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.drop_repeated_bytes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_jaccard_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicate_groups(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_forced(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     out = bpe.bpe_decode(bpe.bpe_encode(table(spark, sf_dir, "documents"), path), path)
     return out.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op9_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.drop_repeated_words(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_pq_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pq.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_llr, op2_huffman_ids, op3_pack_binary, op7_bpe_forced, op10_pq_near)}
+QUERIES = {f.__name__: f for f in (op1_quality_llr, op2_huffman_ids, op3_pack_binary, op5_suffix_dedup, op6_jaccard_rtree, op7_bpe_forced, op9_seed_extend, op10_pq_near)}
 ORACLE_SQL: dict[str, str] = {}

@@ -6,13 +6,17 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from itemforge.llm.textkit import mix
+
 #: A table is sent to every executor only if its files are no larger than this; else it is shuffled.
 BROADCAST_BYTES = 16 << 20
 #: Bits of a seed filter: 16 a seed, within these bounds (at most 128 MB a worker).
 FILTER_BITS = (1 << 16, 1 << 30)
+#: A seed of more than this many rows, and of more than a thousandth of all, is dealt over several tasks.
+HOT_SEED = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,14 +46,6 @@ def small_or_shuffled(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if table_bytes(df) <= BROADCAST_BYTES else df
 
 
-def row_key() -> Column:
-    """A key for each row of a scan: partition and place in it.
-
-    Stable over rescans of the same files; feed written tables, not the output of a shuffle.
-    """
-    return F.monotonically_increasing_id()
-
-
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns, clashing names included, cannot interfere."""
     return df.select(*[F.col(n) for n in names])
@@ -61,8 +57,19 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 class SeedFilter:
     """A Bloom filter with two probes. It only saves work: false positives drop out later."""
 
-    def __init__(self, words: np.ndarray, bits: int):
+    def __init__(self, words: np.ndarray, bits: int, hot: dict[int, int]):
         self.words, self.bits = words, bits
+        self.hot = np.array(sorted(hot), dtype=np.uint64)
+        self.parts = np.array([hot[k] for k in sorted(hot)], dtype=np.uint64)
+
+    def salt(self, keys: np.ndarray, by: np.ndarray) -> np.ndarray:
+        """-1, or for a hot seed one of its parts, chosen by a hash."""
+        out = np.full(len(keys), -1, dtype=np.int32)
+        if len(self.hot) and len(keys):
+            at = np.minimum(np.searchsorted(self.hot, keys), len(self.hot) - 1)
+            yes = self.hot[at] == keys
+            out[yes] = (mix(by[yes]) % self.parts[at[yes]]).astype(np.int32)
+        return out
 
     @staticmethod
     def probes(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,14 +83,18 @@ class SeedFilter:
         return out
 
 
-def seed_filter(keys: DataFrame, name: str) -> SeedFilter:
+def seed_filter(keys: DataFrame, name: str, hot_rows: int = HOT_SEED) -> SeedFilter:
     """``keys`` (key long, n long): a filter holding every key whose n sum to two or more.
 
+    Its hot seeds are known by name: at most a thousand, since each has a thousandth of all rows.
+
     Counting is a map-side combined aggregate, so a hot key is no hot task. The filter is built in
     64 segments by the executors; the driver only joins bitmaps of bounded size.
     """
-    repeated = written(keys.groupBy("key").agg(F.sum("n").alias("n")).where("n >= 2").select("key"), name)
-    count = repeated.count()
+    repeated = written(keys.groupBy("key").agg(F.sum("n").alias("n")).where("n >= 2"), name)
+    count, rows = repeated.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    least = max(hot_rows, rows // 1000)
+    hot = {r.key % (1 << 64): -(-2 * r.n // least) for r in repeated.where(F.col("n") > least).collect()}
     bits = 1 << int(np.clip(16 * max(count, 1), *FILTER_BITS) - 1).bit_length()
     segment = bits // 64
 
@@ -110,12 +121,12 @@ def seed_filter(keys: DataFrame, name: str) -> SeedFilter:
 
     words = np.zeros(bits // 8, dtype=np.uint8)
     if count:
-        places = repeated.mapInArrow(probe, "place long")
+        places = repeated.select("key").mapInArrow(probe, "place long")
         parts = places.repartition(16, F.floor(F.col("place") / segment)).mapInArrow(build, "segment int, bitmap binary")
         for r in parts.toLocalIterator():
             at = r.segment * (segment // 8)
             words[at : at + segment // 8] |= np.frombuffer(r.bitmap, np.uint8)
-    return SeedFilter(words, bits)
+    return SeedFilter(words, bits, hot)
 
 
 # --- connected components -----------------------------------------------------------------------

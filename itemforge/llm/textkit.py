@@ -189,3 +189,57 @@ def binary_array(data: np.ndarray, offsets: np.ndarray, string: bool = False):
     kind = pa.string() if string else pa.binary()
     off = np.ascontiguousarray(offsets, dtype=np.int32)
     return pa.Array.from_buffers(kind, len(off) - 1, [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def join_words(w: Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Kept words of each row joined by one blank: bytes, and offsets by row."""
+    index = np.flatnonzero(keep)
+    size = w.end[index] - w.start[index] + 1
+    at = spread(w.start[index], size)
+    out = w.data[np.minimum(at, max(0, len(w.data) - 1))]
+    ends = np.cumsum(size)
+    out[ends - 1] = 0x20
+    cut = np.searchsorted(index, w.offsets)
+    nonempty = cut[1:] > cut[:-1]
+    stay = np.ones(len(out), dtype=bool)
+    stay[ends[cut[1:][nonempty] - 1] - 1] = False  # no blank after a row's last word
+    total = np.concatenate([[0], ends])[cut] - np.concatenate([[0], np.cumsum(nonempty)])
+    return out[stay], total
+
+
+def whole_groups(batches, keys: list[str], size_col: str, limit: int):
+    """Lists of batches made of whole groups of equal keys, from batches sorted by them.
+
+    About ``limit`` bytes of ``size_col`` come at a time, or one group that is larger.
+    """
+    held: list = []
+    size, last = 0, None
+    for b in batches:
+        n = b.num_rows
+        if n == 0:
+            continue
+        cols = [np.asarray(b.column(k)) for k in keys]
+        new = np.zeros(n, dtype=bool)
+        new[0] = last is not None and tuple(c[0] for c in cols) != last
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        last = tuple(c[-1] for c in cols)
+        _, off = column_bytes(b.column(size_col))
+        load = off + 16 * np.arange(n + 1)
+        starts, at = np.flatnonzero(new), 0
+        while True:
+            k = np.searchsorted(load[starts], load[at] + limit - size)
+            if k == len(starts):
+                break
+            cut = int(starts[k])
+            if cut > at:
+                held.append(b.slice(at, cut - at))
+            if held:
+                yield held
+            held, size, at = [], 0, cut
+            starts = starts[k + 1 :]
+        if at < n:
+            held.append(b.slice(at))
+            size += int(load[n] - load[at])
+    if held:
+        yield held
