@@ -181,7 +181,8 @@ def count_ids(tokens: DataFrame, size: int) -> np.ndarray:
 
         total = np.zeros(size, dtype=np.int64)
         for b in batches:
-            total += np.bincount(_flat_ids(b)[0], minlength=size)
+            for at in range(0, b.num_rows, 256):
+                total += np.bincount(_flat_ids(b.slice(at, 256))[0], minlength=size)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["symbol", "n"])
 

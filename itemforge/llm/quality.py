@@ -46,8 +46,10 @@ def with_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return once(src.select("id", text.alias("text"), words.alias("split")).select("id", "text", "split"), "w", F.col("split")).drop("split")
 
 
-#: Buckets of the n-grams that begin at word i (x is the word, w all words).
-GRAMS = f"hash(1, x) & {BUCKETS - 1}", f"hash(2, x, get(w, i + 1)) & {BUCKETS - 1}", f"hash(3, right(x, 3)) & {BUCKETS - 1}"
+#: Buckets of a document's n-grams, from w (its words) and wh (their hashes): words, pairs, word ends.
+WORDS = f"transform(wh, x -> cast(x & {BUCKETS - 1} AS int))"
+PAIRS = f"transform(wh, (x, i) -> hash(x, get(wh, i + 1)) & {BUCKETS - 1})"
+ENDS = f"transform(w, x -> hash(right(x, 3)) & {BUCKETS - 1})"
 
 
 def bucket_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -55,8 +57,8 @@ def bucket_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     ids = small_or_shuffled(written(trusted.where("id IS NOT NULL").distinct().withColumn("good", F.lit(1)), "trusted"))
     flagged = pick(docs, id_col, text_col).toDF("id", "text").join(ids, "id", "left")
     words = with_words(flagged.select(F.col("good").alias("id"), "text"), "id", "text").withColumnRenamed("id", "good")
-    each = words.select("good", F.explode(F.expr(f"transform(w, (x, i) -> array({', '.join(GRAMS)}))")).alias("g"))
-    each = each.select("good", F.explode("g").alias("bucket"))
+    words = once(words, "wh", F.expr("transform(w, x -> xxhash64(x))"))
+    each = words.select("good", F.explode(F.expr(f"concat({WORDS}, {PAIRS}, {ENDS})")).alias("bucket"))
     return each.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("target"))
 
 
@@ -105,15 +107,15 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id
     d = once(d, "wh", F.expr("transform(w, x -> xxhash64(x))"))
     d = once(d, "h", F.expr("CASE WHEN size(wh) < 5 THEN cast(array() AS array<bigint>) ELSE transform(sequence(1, size(wh) - 4), i -> xxhash64(slice(wh, i, 5))) END"))
     d = d.withColumn("t", F.lit(table))
-    lines = r"filter(split(text, '\n'), x -> trim(BOTH '" + WHITE + "' FROM x) <> '')"
+    d = once(d, "lines", F.expr(r"filter(split(text, '\n'), x -> trim(BOTH '" + WHITE + "' FROM x) <> '')"))
     d = d.select(
         "id",
         F.size("w").cast("long").alias("n_words"),
-        F.expr("aggregate(w, 0L, (s, x) -> s + char_length(x))").alias("word_chars"),
+        F.expr("cast(char_length(array_join(w, '')) AS bigint)").alias("word_chars"),
         F.expr("cast(char_length(text) - char_length(regexp_replace(text, '[#*$%&|<>]+', '')) AS bigint)").alias("n_symbols"),
-        F.expr(f"cast(size({lines}) - size(array_distinct({lines})) AS bigint)").alias("n_dup_lines"),
+        F.expr("cast(size(lines) - size(array_distinct(lines)) AS bigint)").alias("n_dup_lines"),
         F.expr(REPEATED).alias("n_repeat_words"),
-        F.expr("aggregate(transform(w, (x, i) -> " + " + ".join(f"get(t, {g})" for g in GRAMS) + "), 0D, (s, x) -> s + x) / greatest(1, 3 * size(w))").alias("score"),
+        F.expr(f"aggregate(concat({WORDS}, {PAIRS}, {ENDS}), 0D, (s, x) -> s + get(t, x)) / greatest(1, 3 * size(w))").alias("score"),
     )
     failed = F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words")
     d = d.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +49,19 @@ def small_or_shuffled(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if table_bytes(df) <= BROADCAST_BYTES else df
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to executors that do not find it on their own path (once per application)."""
+    import itemforge
+
+    root = Path(itemforge.__file__).resolve().parent.parent
+    seen = {Path(p or ".").resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]}
+    if root in seen or getattr(spark.sparkContext, "_itemforge_shipped", False):
+        return
+    made = shutil.make_archive(f"{tempfile.mkdtemp()}/itemforge", "zip", root, "itemforge")
+    spark.sparkContext.addPyFile(made)
+    spark.sparkContext._itemforge_shipped = True
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns, clashing names included, cannot interfere."""
     return df.select(*[F.col(n) for n in names])
@@ -147,6 +163,10 @@ def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
     last = state(e)
     if last[0] == 0:
         return e.selectExpr("u AS node", "v AS root")
+
+    def with_roots(stars: DataFrame) -> DataFrame:
+        return stars.selectExpr("u AS node", "v AS root").union(stars.selectExpr("v AS node", "v AS root").distinct())
+
     for _ in range(most_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -157,6 +177,6 @@ def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
         e = written(small.union(low.select("u", F.col("m").alias("v"))).distinct(), f"{name}-s")
         now = state(e)
         if now == last:
-            return e.selectExpr("u AS node", "v AS root")
+            return with_roots(e)
         last = now
     raise RuntimeError("components did not settle")
