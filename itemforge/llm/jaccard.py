@@ -29,9 +29,11 @@ SHINGLE = 5
 GROUPS = 64
 NODE = 32
 SMALL = 8
-BLOCK = 4096
+BLOCK = 1024
+BLOCK_MEMBERS = 300_000
 PIVOTS = 8
-SEEN = 1 << 20
+SEEN = 1 << 18
+AT_ONCE = 1 << 18
 #: Counts are kept in 16 bits; larger sets than this skip the bound.
 LARGE = 4_000_000
 LAST = (1 << 63) - 1
@@ -147,6 +149,7 @@ def exact_forest(sets: list[np.ndarray], similarity: tuple[int, int], queries: i
     size = np.array([len(x) for x in sets], dtype=np.int64)
     flat = np.concatenate(sets)
     _, token = np.unique(flat, return_inverse=True)
+    token = token.astype(np.int32)
     off = np.concatenate([[0], np.cumsum(size)])
     mark = np.zeros(int(token.max()) + 1, dtype=bool)
     left, right = [], []
@@ -157,11 +160,14 @@ def exact_forest(sets: list[np.ndarray], similarity: tuple[int, int], queries: i
             return among
         own = token[off[i] : off[i + 1]]
         mark[own] = True
-        hit = mark[token[tk.spread(off[among], size[among])]]
-        cut = np.cumsum(size[among]) - size[among]
-        over = np.add.reduceat(hit.astype(np.int64), cut)
+        out = []
+        for x, y in tk.chunks(np.concatenate([[0], np.cumsum(size[among])]), AT_ONCE):
+            some = among[x:y]
+            hit = mark[token[tk.spread(off[some], size[some])]]
+            over = np.add.reduceat(hit.astype(np.int32), np.cumsum(size[some]) - size[some])
+            out.append(some[(a + b) * over.astype(np.int64) >= a * (size[some] + size[i])])
         mark[own] = False
-        return among[(a + b) * over >= a * (size[among] + size[i])]
+        return np.concatenate(out)
 
     if queries is not None:
         for i in range(queries):
@@ -315,8 +321,8 @@ def _roots(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def verified_edges(docs: DataFrame, clusters: DataFrame, similarity: tuple[int, int], block: int) -> DataFrame:
-    """(a, b): links enough to give the components. ``clusters``: (set_key, cluster, ord, text_key)."""
-    sizes = clusters.groupBy("cluster").count().select("cluster", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    """(a, b): links enough to give the components. ``clusters``: (set_key, cluster, ord, text_key, size)."""
+    sizes = clusters.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / BLOCK_MEMBERS)).cast("int").alias("blocks"), F.count("*").alias("sets"))
     placed = written(clusters.join(sizes, "cluster"), "clusters")
     own = F.pmod("set_key", "blocks").cast("int")
 
@@ -324,7 +330,7 @@ def verified_edges(docs: DataFrame, clusters: DataFrame, similarity: tuple[int,
         def run(batches):
             import pyarrow as pa
 
-            for parts in tk.whole_groups(batches, ["cluster", "block"], "text", 1 << 22):
+            for parts in tk.whole_groups(batches, ["cluster", "block"], "text", 1 << 20):
                 t = pa.Table.from_batches(parts).combine_chunks()
                 data, off = tk.column_bytes(t.column("text"))
                 cluster, at, key = np.asarray(t.column("cluster")), np.asarray(t.column("block")), np.asarray(t.column("set_key"))
@@ -354,7 +360,7 @@ def verified_edges(docs: DataFrame, clusters: DataFrame, similarity: tuple[int,
         return written(texts(placed.select("ord", "text_key", "cluster", "set_key", F.array(F.lit(0)).alias("at"), F.lit(0).alias("role")), False), "links")
     # pivots: the sets with the smallest hashes of their keys go to every block of their cluster
     large = placed.where("blocks > 1")
-    pivot = large.where(F.pmod(F.xxhash64("set_key"), F.col("blocks") * F.lit(max(1, block // PIVOTS))) == 0).select("set_key", F.lit(True).alias("pivot"))
+    pivot = large.where(F.pmod(F.xxhash64("set_key"), F.greatest(F.lit(1), F.ceil(F.col("sets") / PIVOTS))) == 0).select("set_key", F.lit(True).alias("pivot"))
     first = placed.join(pivot, "set_key", "left").select("ord", "text_key", "cluster", "set_key", F.when(F.col("pivot"), F.expr("sequence(0, blocks - 1)")).otherwise(F.array(own)).alias("at"), F.lit(0).alias("role"))
     links = written(texts(written(first, "placed"), False), "links")
     root = components(links, "blocks").withColumnRenamed("node", "set_key")
@@ -367,6 +373,25 @@ def verified_edges(docs: DataFrame, clusters: DataFrame, similarity: tuple[int,
     return links.union(written(texts(written(ask.union(all_), "asked"), True), "more-links"))
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Columns by which a document is known: its id (null ones last) and a hash of its text."""
+    return docs.select("*", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"), F.xxhash64(text_col).alias("text_key"))
+
+
+def grouped(docs: DataFrame, similarity: tuple[int, int], block: int, id_col: str, text_col: str) -> DataFrame:
+    """(ord, text_key, size, root, least): every row's group and the smallest (ord, text_key) in it."""
+    src = keyed(pick(docs, id_col, text_col).toDF("id", "text"), "id", "text").select("ord", "text_key", F.col("text").cast("binary").alias("text"))
+    table, hot = scan(src, similarity)
+    members = table.where("token IS NULL").select("ord", "text_key", "set_key", "size")
+    near = components(candidate_edges(table.where("token IS NOT NULL"), similarity, hot), "near").select(F.col("node").alias("set_key"), F.col("root").alias("cluster"))
+    one = members.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("ord", "text_key")).alias("m"), F.min("size").alias("size")).select("set_key", "m.ord", "m.text_key", "size")
+    clusters = written(near.join(one, "set_key").select("set_key", "cluster", "ord", "text_key", "size"), "near-sets")
+    root = components(verified_edges(src, clusters, similarity, block), "links").withColumnRenamed("node", "set_key")
+    whole = written(members.join(root, "set_key", "left").select("ord", "text_key", "size", F.coalesce("root", "set_key").alias("root")), "grouped")
+    least = whole.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("ord", "text_key")).alias("least"))
+    return whole.join(least, "root", "left").select("ord", "text_key", "size", "root", F.coalesce("least", F.struct("ord", "text_key")).alias("least"))
+
+
 def near_duplicate_groups(docs: DataFrame, similarity: tuple[int, int] = (4, 5), block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id): component_id is the smallest id reachable by links.
 
@@ -376,15 +401,26 @@ def near_duplicate_groups(docs: DataFrame, similarity: tuple[int, int] = (4, 5),
     are rows of their own. ``id_col`` holds integers; further columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    src = pick(docs, id_col, text_col).toDF("id", "text").select(F.coalesce(F.col("id").cast("long"), F.lit(LAST)).alias("ord"), F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
-    table, hot = scan(src, similarity)
-    members = table.where("token IS NULL").select("ord", "text_key", "set_key", "size")
-    near = components(candidate_edges(table.where("token IS NOT NULL"), similarity, hot), "near").select(F.col("node").alias("set_key"), F.col("root").alias("cluster"))
-    one = members.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("ord", "text_key")).alias("m")).select("set_key", "m.ord", "m.text_key")
-    clusters = written(near.join(one, "set_key").select("set_key", "cluster", "ord", "text_key"), "near-sets")
-    root = components(verified_edges(src, clusters, similarity, block), "links").withColumnRenamed("node", "set_key")
-    whole = written(members.join(root, "set_key", "left").select("ord", "size", F.coalesce("root", "set_key").alias("root")), "grouped")
-    least = whole.where("root IS NOT NULL").groupBy("root").agg(F.min("ord").alias("least"))
-    own = F.expr(f"nullif(ord, {LAST}L)")
-    out = whole.join(least, "root", "left").select(own.cast(kind).alias(id_col), F.col("size").alias("n_shingles"), F.expr(f"nullif(coalesce(least, ord), {LAST}L)").cast(kind).alias("component_id"))
-    return out
+
+    def out(name: str, alias: str):
+        return F.expr(f"nullif({name}, {LAST}L)").cast(kind).alias(alias)
+
+    groups = grouped(docs, similarity, block, id_col, text_col)
+    return groups.select(out("ord", id_col), F.col("size").alias("n_shingles"), out("least.ord", "component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (4, 5), block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all their columns, less all but one of each group of near duplicates.
+
+    The one with the smallest id stays (with repeated ids, the one whose text has the smaller hash);
+    of rows equal in id and text one stays. Documents without a word stay.
+    """
+    groups = written(grouped(docs, similarity, block, id_col, text_col), "groups")
+    stay = groups.where(F.struct("ord", "text_key") == F.col("least"))
+    stay = written(stay.groupBy("ord", "text_key").agg(F.count("*").alias("rows")), "stay")
+    whole = keyed(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
+    kept = whole.join(small_or_shuffled(stay), ["ord", "text_key"])
+    once = kept.where("rows = 1").select("row")
+    if not stay.where("rows > 1").isEmpty():
+        once = once.union(kept.where("rows > 1").groupBy("ord", "text_key").agg(F.first("row").alias("row")).select("row"))
+    return once.select("row.*")

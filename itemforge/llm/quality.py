@@ -12,11 +12,13 @@ The main path has no Python, pandas, Arrow or RDD code: the corpus is scanned on
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itemforge.llm.shared import pick, small_or_shuffled, written
+from itemforge.llm.shared import carried, pick, released, small_or_shuffled, written
 
 #: Hashed buckets (a power of two); this bounds the table that reaches the driver and each task.
 BUCKETS = 1 << 16
@@ -25,7 +27,7 @@ SMOOTHING = 0.1
 #: A document is kept when its mean log ratio is at least this: it must look half again as likely in
 #: the raw corpus as in the trusted one, n-gram by n-gram, to be dropped (exp(-0.4) = 0.67).
 THRESHOLD = -0.4
-WHITE = r" \t\n\u000B\f\r"
+WHITE = r" \t\n\u000B\u000C\r"
 
 
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -46,10 +48,10 @@ def with_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return once(src.select("id", text.alias("text"), words.alias("split")).select("id", "text", "split"), "w", F.col("split")).drop("split")
 
 
-#: Buckets of a document's n-grams, from w (its words) and wh (their hashes): words, pairs, word ends.
-WORDS = f"transform(wh, x -> cast(x & {BUCKETS - 1} AS int))"
-PAIRS = f"transform(wh, (x, i) -> hash(x, get(wh, i + 1)) & {BUCKETS - 1})"
-ENDS = f"transform(w, x -> hash(right(x, 3)) & {BUCKETS - 1})"
+MASK = BUCKETS - 1
+#: Buckets of the n-grams that begin at word i, from the hash of the word, that of the next word (null
+#: at the end) and the word: the word, the pair, and the word's end.
+GRAMS = (f"cast({{h}} & {MASK} AS int)", f"hash({{h}}, {{next}}) & {MASK}", f"hash(right({{x}}, 3)) & {MASK}")
 
 
 def bucket_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -57,8 +59,10 @@ def bucket_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     ids = small_or_shuffled(written(trusted.where("id IS NOT NULL").distinct().withColumn("good", F.lit(1)), "trusted"))
     flagged = pick(docs, id_col, text_col).toDF("id", "text").join(ids, "id", "left")
     words = with_words(flagged.select(F.col("good").alias("id"), "text"), "id", "text").withColumnRenamed("id", "good")
-    words = once(words, "wh", F.expr("transform(w, x -> xxhash64(x))"))
-    each = words.select("good", F.explode(F.expr(f"concat({WORDS}, {PAIRS}, {ENDS})")).alias("bucket"))
+    each = words.select("good", "w", F.posexplode("w").alias("i", "x"))
+    each = each.select("good", "x", F.expr("xxhash64(x)").alias("h"), F.expr("nullif(xxhash64(get(w, i + 1)), xxhash64(cast(NULL AS string)))").alias("next"))
+    grams = ", ".join(g.format(h="h", next="next", x="x") for g in GRAMS)
+    each = each.select("good", F.explode(F.expr(f"array({grams})")).alias("bucket"))
     return each.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("target"))
 
 
@@ -92,22 +96,24 @@ transform(array(sort_array(transform(h, (x, i) -> struct(x, i)))), s ->
 """
 
 
-def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Counts, base verdict, score and verdict of every document.
 
     Returns (id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     score). Base: failed with fewer than 10 words, or with more than a fifth of the words in
     repeated 5-word windows. A null or empty text has no words, score 0, and fails the base. Rows
     with null or repeated ids are judged each on its own. Without any trusted label every score is
-    0. Columns beyond the two named (and doc_id, quality of ``labels``) are ignored.
+    0. Columns beyond the two named (and doc_id, quality of ``labels``) are ignored; with ``keep`` the
+    named columns of ``docs`` come first instead of the id alone.
     """
     trusted = labels.where("quality = 1").select(F.col("doc_id").alias("id"))
     table = log_ratios(bucket_counts(docs, trusted, id_col, text_col))
-    d = with_words(docs, id_col, text_col)
+    d = with_words(docs.select(carried(id_col, keep).alias("id"), F.col(text_col).alias("text")), "id", "text")
     d = once(d, "wh", F.expr("transform(w, x -> xxhash64(x))"))
-    d = once(d, "h", F.expr("CASE WHEN size(wh) < 5 THEN cast(array() AS array<bigint>) ELSE transform(sequence(1, size(wh) - 4), i -> xxhash64(slice(wh, i, 5))) END"))
-    d = d.withColumn("t", F.lit(table))
+    d = once(d, "h", F.expr("slice(transform(wh, (x, i) -> xxhash64(x, get(wh, i + 1), get(wh, i + 2), get(wh, i + 3), get(wh, i + 4))), 1, greatest(0, size(wh) - 4))"))
+    d = d.withColumn("t", F.from_json(F.lit(json.dumps(table.tolist())), "array<double>"))  # folded to one literal
     d = once(d, "lines", F.expr(r"filter(split(text, '\n'), x -> trim(BOTH '" + WHITE + "' FROM x) <> '')"))
+    each = " + ".join(f"get(t, {g.format(h='get(wh, i)', next='get(wh, i + 1)', x='x')})" for g in GRAMS)
     d = d.select(
         "id",
         F.size("w").cast("long").alias("n_words"),
@@ -115,8 +121,8 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id
         F.expr("cast(char_length(text) - char_length(regexp_replace(text, '[#*$%&|<>]+', '')) AS bigint)").alias("n_symbols"),
         F.expr("cast(size(lines) - size(array_distinct(lines)) AS bigint)").alias("n_dup_lines"),
         F.expr(REPEATED).alias("n_repeat_words"),
-        F.expr(f"aggregate(concat({WORDS}, {PAIRS}, {ENDS}), 0D, (s, x) -> s + get(t, x)) / greatest(1, 3 * size(w))").alias("score"),
+        F.expr(f"aggregate(transform(w, (x, i) -> {each}), 0D, (s, x) -> s + x) / greatest(1, 3 * size(w))").alias("score"),
     )
     failed = F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words")
     d = d.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
-    return d.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+    return d.select(*released(id_col, keep), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")

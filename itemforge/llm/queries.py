@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemforge.llm import bpe, hmm, huffman, jaccard, packing, pq, quality, substrings, suffix
+from itemforge.llm import bpe, hmm, huffman, jaccard, langid, packing, pq, quality, substrings, suffix
 from itemforge.llm.shared import shared_dir, ship
 
 
@@ -51,6 +51,10 @@ def op7_bpe_forced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op8_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.drop_repeated_words(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -60,5 +64,5 @@ def op10_pq_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pq.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_llr, op2_huffman_ids, op3_pack_binary, op4_hmm_score, op5_suffix_dedup, op6_jaccard_rtree, op7_bpe_forced, op9_seed_extend, op10_pq_near)}
+QUERIES = {f.__name__: f for f in (op1_quality_llr, op2_huffman_ids, op3_pack_binary, op4_hmm_score, op5_suffix_dedup, op6_jaccard_rtree, op7_bpe_forced, op8_crf_language, op9_seed_extend, op10_pq_near)}
 ORACLE_SQL: dict[str, str] = {}

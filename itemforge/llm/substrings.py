@@ -8,7 +8,7 @@ seed to a full window (some words to the left, the rest to the right), and membe
 match.  All but the first occurrence of a window are removed; neighbouring windows merge into
 maximal spans.
 
-A seed of more than ``HOT`` occurrences (at most a thousand of them, whatever the corpus) is dealt
+A seed of more than ``HOT_SEED`` occurrences (at most a thousand of them, whatever the corpus) is dealt
 over several tasks; each keeps the first occurrence of every window it sees, and the few survivors
 meet again by window key.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemforge.llm import textkit as tk
-from itemforge.llm.shared import pick, seed_filter, small_or_shuffled, written
+from itemforge.llm.shared import merged_spans, pick, seed_filter, small_or_shuffled, written
 
 WINDOW = 20
 GRAM = 8
@@ -87,8 +87,6 @@ def removed_windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
     def extend(batches):
         import pyarrow as pa
 
-        held, size = [], 0
-
         def done(parts):
             t = pa.Table.from_batches(parts).combine_chunks()
             raw, off = tk.column_bytes(t.column("keys"))
@@ -139,7 +137,7 @@ def drop_repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
     kind = docs.schema[id_col].dataType.simpleString()
     src = pick(docs, id_col, text_col).toDF("id", "text").select("id", F.coalesce(F.col("id").cast("long"), F.lit(LAST)).alias("ord"), F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
     runs = removed_windows(src, window, gram)
-    spans = written(runs.groupBy("ord", "text_key").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans")), "spans")
+    spans = written(runs.groupBy("ord", "text_key").agg(merged_spans(F.collect_set(F.struct("s", "e"))).alias("spans")), "spans")
     both = src.join(small_or_shuffled(spans), ["ord", "text_key"], "left")
 
     def cut(batches):

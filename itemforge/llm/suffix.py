@@ -10,7 +10,7 @@ One suffix array of a corpus cannot be built in one place, so suffixes are first
 keep equal strings together: of the 50-byte grams in a string, the one with the smallest hash is its
 seed, and equal strings hold the same seed at the same place.  Consecutive strings with one seed form
 a context.  Only contexts whose seed occurs at least twice are sorted; equal contexts of a task are
-sent once with their number.  A seed of more than ``HOT`` contexts is dealt over several tasks, which
+sent once with their number.  A seed of more than ``HOT_SEED`` contexts is dealt over several tasks, which
 pass on one copy of each string they hold; those meet again by the string's hash.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemforge.llm import textkit as tk
-from itemforge.llm.shared import pick, seed_filter, small_or_shuffled, written
+from itemforge.llm.shared import carried, merged_spans, released, seed_filter, small_or_shuffled, written
 
 LENGTH = 200
 GRAM = 50
@@ -275,18 +275,20 @@ def repeated_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return places.join(ranges, "context").select("text_key", (F.col("at") + F.col("s")).alias("s"), (F.col("at") + F.col("e")).alias("e"))
 
 
-def drop_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Remove every byte covered by a string of ``length`` bytes that also starts anywhere else.
 
     Texts are UTF-8 bytes; strings are judged on the input. Returns (id, n_bytes, n_removed,
     n_spans, kept binary): a cut may fall inside a character. Equal rows are copies of each other,
     and so lose what is long enough; null and empty texts and texts shorter than ``length`` lose
-    nothing. Null or repeated ids do not matter; further columns are ignored.
+    nothing. Null or repeated ids do not matter; further columns are ignored, or with ``keep`` the
+    named ones are returned in place of the id.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    src = pick(docs, id_col, text_col).toDF("id", "text").select("id", F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
+    src = docs.select(carried(id_col, keep).alias("id"), F.col(text_col).alias("text"))
+    kind = src.schema["id"].dataType.simpleString()
+    src = src.select("id", F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
     spans = repeated_spans(src, length, gram)
-    spans = written(spans.groupBy("text_key").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans")), "byte-spans")
+    spans = written(spans.groupBy("text_key").agg(merged_spans(F.collect_set(F.struct("s", "e"))).alias("spans")), "byte-spans")
     both = src.join(small_or_shuffled(spans), "text_key", "left")
 
     def cut(batches):
@@ -314,4 +316,4 @@ def drop_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(cuts)), pa.array(np.diff(lost)), pa.array(np.diff(count)), tk.binary_array(raw[~gone], cuts - lost)], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     out = both.select("id", "text", "spans").mapInArrow(cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
-    return out.withColumnRenamed("id", id_col)
+    return out.select(*released(id_col, keep), "n_bytes", "n_removed", "n_spans", "kept")
