@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES (name -> function of session and table folder) and SQL (name -> text).
-MODULES = ()
+MODULES = ("itemforge.plans.mining_queries", "itemforge.plans.scoring_queries", "itemforge.plans.record_queries")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
