@@ -1,7 +1,9 @@
 """N-gram Jaccard join with count vectors in an R-tree.
 
-A document's set is its distinct five-word shingles.  Shingles are hashed into ``GROUPS`` groups and
-a set's counts by group are a point.  The overlap of two sets is at most the sum over coordinates of
+A document's set is its distinct five-word shingles.  Shingles are hashed into groups (``GROUPS``, and
+more for large sets, about one for eight members, since coarse counts of large sets all look alike)
+and a set's counts by group are a point.  Groups are ranges of a hash, so a fine point folds to a
+coarse one.  The overlap of two sets is at most the sum over coordinates of
 the smaller count; an R-tree node, whose box has an upper corner, bounds all its points alike.  Pairs
 that the bound leaves are verified on the sets themselves.
 
@@ -27,6 +29,8 @@ from itemforge.llm.shared import components, pick, seed_filter, small_or_shuffle
 
 SHINGLE = 5
 GROUPS = 64
+MOST_GROUPS = 8192
+PER_GROUP = 8
 NODE = 32
 SMALL = 8
 BLOCK = 1024
@@ -34,8 +38,6 @@ BLOCK_MEMBERS = 300_000
 PIVOTS = 8
 SEEN = 1 << 18
 AT_ONCE = 1 << 18
-#: Counts are kept in 16 bits; larger sets than this skip the bound.
-LARGE = 4_000_000
 LAST = (1 << 63) - 1
 
 
@@ -73,11 +75,17 @@ class Sets:
             total = np.add.reduceat(tk.mix(self.hash), self.offsets[full])
             self.key[full] = tk.mix(total + self.size[full].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
-    def points(self) -> np.ndarray:
+    def points(self) -> tuple[np.ndarray, np.ndarray]:
+        """Counts by group of every set, one after the other, and offsets. A count beyond 8 bits makes all of the set's 255, which passes every bound."""
+        bits = group_bits(self.size)
+        off = np.concatenate([[0], np.cumsum(1 << bits)])
         row = np.repeat(np.arange(len(self.size)), self.size)
-        group = (tk.mix(self.hash) >> np.uint64(58)).astype(np.int64)
-        n = np.bincount(row * GROUPS + group, minlength=len(self.size) * GROUPS)
-        return np.minimum(n, 65535).reshape(-1, GROUPS).astype(np.uint16)
+        group = (tk.mix(self.hash) >> (64 - bits[row]).astype(np.uint64)).astype(np.int64)
+        n = np.bincount(off[row] + group, minlength=off[-1])
+        over = np.flatnonzero(n > 255)
+        for r in np.unique(np.searchsorted(off, over, side="right") - 1):
+            n[off[r] : off[r + 1]] = 255
+        return n.astype(np.uint8), off
 
     def prefix(self, similarity: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """The members with the smallest hashes, of which linked sets share one: flat, number by row."""
@@ -86,10 +94,21 @@ class Sets:
         return self.hash[tk.spread(self.offsets[:-1], n)], n
 
 
+def group_bits(size: np.ndarray) -> np.ndarray:
+    """log2 of the number of groups for sets of a size."""
+    least, most = GROUPS.bit_length() - 1, MOST_GROUPS.bit_length() - 1
+    return np.clip(np.ceil(np.log2(np.maximum(size, 1) / PER_GROUP)), least, most).astype(np.int64)
+
+
+def folded(points: np.ndarray, groups: int) -> np.ndarray:
+    """Points (one a row) with fewer groups."""
+    return points.reshape(len(points), groups, -1).sum(2, dtype=np.int32)
+
+
 def may_link(over: np.ndarray, total: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
     """Whether an overlap is enough: a/b of the union, so (a + b) * overlap >= a * sum of sizes."""
     a, b = similarity
-    return ((a + b) * over >= a * total) | (total > LARGE)
+    return (a + b) * over >= a * total
 
 
 class Tree:
@@ -104,10 +123,9 @@ class Tree:
         self.node_high = np.maximum.reduceat(self.high, at)
         self.node_corner = np.maximum.reduceat(self.corner, at, axis=0)
 
-    def search(self, i: int, open_: np.ndarray) -> np.ndarray:
-        """Open points (by place in the tree) that may link with point i."""
+    def search(self, low: int, high: int, q: np.ndarray, open_: np.ndarray) -> np.ndarray:
+        """Places (in the input) of open entries that may link with a box; ``open_`` is by place."""
         a, b = self.similarity
-        q, low, high = self.corner[i], self.low[i], self.high[i]
         fits = (b * self.node_high >= a * low) & (a * self.node_low <= b * high)
         nodes = np.flatnonzero(fits)
         nodes = nodes[may_link(np.minimum(self.node_corner[nodes], q).sum(1), self.node_low[nodes] + low, self.similarity)]
@@ -115,31 +133,84 @@ class Tree:
             return nodes
         at = (nodes[:, None] * NODE + np.arange(NODE)).ravel()
         at = at[at < len(self.order)]
-        at = at[open_[at]]
+        at = at[open_[self.order[at]]]
         at = at[(b * self.high[at] >= a * low) & (a * self.low[at] <= b * high)]
-        return at[may_link(np.minimum(self.corner[at], q).sum(1), self.low[at] + low, self.similarity)]
-
-    def forest(self) -> tuple[np.ndarray, np.ndarray]:
-        """A spanning forest of all pairs that may link, as places in the input."""
-        n = len(self.order)
-        open_ = np.ones(n, dtype=bool)
+        return self.order[at[may_link(np.minimum(self.corner[at], q).sum(1), self.low[at] + low, self.similarity)]]
+
+
+class Points:
+    """Boxes with sizes and points of several resolutions."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray, raw: np.ndarray, off: np.ndarray, similarity: tuple[int, int]):
+        self.low, self.high, self.similarity = low, high, similarity
+        self.groups = np.diff(off)
+        self.place = np.zeros(len(low), dtype=np.int64)
+        self.by: dict[int, np.ndarray] = {}
+        for g in np.unique(self.groups).tolist():
+            rows = np.flatnonzero(self.groups == g)
+            self.place[rows] = np.arange(len(rows))
+            self.by[g] = raw[tk.spread(off[rows], self.groups[rows])].reshape(-1, g)
+
+    def at(self, rows: np.ndarray, groups: int) -> np.ndarray:
+        """Points of the rows, all of one resolution of their own, with so many groups."""
+        g = int(self.groups[rows[0]])
+        return folded(self.by[g][self.place[rows]], groups)
+
+    def pairs(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the bound leaves each pair."""
+        out = np.zeros(len(i), dtype=bool)
+        tag = self.groups[i] * (2 * MOST_GROUPS) + self.groups[j]
+        for t in np.unique(tag):
+            own = np.flatnonzero(tag == t)
+            g = int(min(self.groups[i[own[0]]], self.groups[j[own[0]]]))
+            for k in range(0, len(own), max(1, (1 << 21) // g)):
+                x = own[k : k + max(1, (1 << 21) // g)]
+                over = np.minimum(self.at(i[x], g), self.at(j[x], g)).sum(1)
+                out[x] = may_link(over, self.low[i[x]] + self.low[j[x]], self.similarity)
+        return out
+
+    def forest(self, rows: np.ndarray, coarse: bool) -> tuple[np.ndarray, np.ndarray]:
+        """A spanning forest of all pairs among the rows that may link.
+
+        Sets that link have at most a factor of two between their groups: a tree of each resolution
+        holds its own points and the folded ones of the next. With ``coarse`` (boxes, whose sizes
+        differ) all are folded to the smallest.
+        """
+        kinds = sorted(set(self.groups[rows].tolist()))
+        trees = {}
+        for g in kinds[:1] if coarse else kinds:
+            parts = [rows[self.groups[rows] == h] for h in (kinds if coarse else (g, 2 * g))]
+            parts = [x for x in parts if len(x)]
+            member = np.concatenate(parts)
+            trees[g] = (member, Tree(self.low[member], self.high[member], np.concatenate([self.at(x, g) for x in parts]), self.similarity))
+        open_ = {r: True for r in rows.tolist()}
+        masks = {g: np.ones(len(m), dtype=bool) for g, (m, _) in trees.items()}
+        where: dict[int, list[tuple[int, int]]] = {}
+        for g, (m, _) in trees.items():
+            for k, r in enumerate(m.tolist()):
+                where.setdefault(r, []).append((g, k))
         a, b = [], []
-        for s in range(n):
+
+        def close(r: int) -> None:
+            open_[r] = False
+            for g, k in where[r]:
+                masks[g][k] = False
+
+        for s in rows.tolist():
             if not open_[s]:
                 continue
-            open_[s] = False
+            close(s)
             queue = [s]
             while queue:
                 i = queue.pop()
-                got = self.search(i, open_)
-                if len(got):
-                    open_[got] = False
-                    a.append(np.full(len(got), i))
-                    b.append(got)
-                    queue.extend(got.tolist())
-        if not a:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return self.order[np.concatenate(a)], self.order[np.concatenate(b)]
+                one = np.array([i])
+                for g, _ in where[i]:
+                    m, tree = trees[g]
+                    for r in m[tree.search(int(self.low[i]), int(self.high[i]), self.at(one, g)[0], masks[g])].tolist():
+                        close(r)
+                        a.append(i), b.append(r)
+                        queue.append(r)
+        return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
 
 
 def exact_forest(sets: list[np.ndarray], similarity: tuple[int, int], queries: int | None = None) -> tuple[list[int], list[int]]:
@@ -225,10 +296,10 @@ def scan(docs: DataFrame, similarity: tuple[int, int]) -> tuple[DataFrame, bool]
                 row = np.repeat(np.arange(m), n)
                 yes = np.repeat(_fresh(x.key, known), n) & wanted.holds(flat)
                 flat, row = flat[yes], row[yes]
-                points = x.points()
-                k = len(row)
+                points, cut = x.points()
+                k, length = len(row), np.diff(cut)[row]
                 salt = wanted.salt(flat, x.key[row])
-                raw = tk.binary_array(points[row].view(np.uint8).ravel(), 2 * GROUPS * np.arange(k + 1))
+                raw = tk.binary_array(points[tk.spread(cut[row], length)], np.concatenate([[0], np.cumsum(length)]))
                 yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(salt), pa.array(x.key[row].view(np.int64)), pa.array(x.size[row]), raw, pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names)
 
     return written(docs.select("ord", "text_key", "text").mapInArrow(rows, "token long, salt int, set_key long, size long, point binary, ord long, text_key long"), "sets"), bool(len(wanted.hot))
@@ -249,50 +320,53 @@ def _fresh(keys: np.ndarray, known: set[int]) -> np.ndarray:
 def candidate_edges(points: DataFrame, similarity: tuple[int, int], hot: bool) -> DataFrame:
     """(a, b): spanning forests of the pairs in each tree that the bound leaves."""
 
-    def forest(batches):
+    names = ["a", "b", "token", "low", "high", "point"]
+
+    def forest(batches, boxes: bool = False):
         import pyarrow as pa
 
-        for parts in tk.whole_groups(batches, ["token", "salt"], "point", 1 << 23):
+        for parts in tk.whole_groups(batches, ["token", "salt"], "point", 1 << 22):
             t = pa.Table.from_batches(parts).combine_chunks()
             token, key = np.asarray(t.column("token")), np.asarray(t.column("set_key"))
             salt, low, high = np.asarray(t.column("salt")), np.asarray(t.column("low")), np.asarray(t.column("high"))
-            corner = tk.column_bytes(t.column("point"))[0].view(np.uint16).reshape(-1, GROUPS)
             order = np.lexsort((key, salt, token))
-            token, key, salt, low, high, corner = token[order], key[order], salt[order], low[order], high[order], corner[order]
+            token, key, salt = token[order], key[order], salt[order]
             new = np.ones(len(token), dtype=bool)
             new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]) | (key[1:] != key[:-1])
-            token, key, salt, low, high, corner = token[new], key[new], salt[new], low[new], high[new], corner[new]
+            order, token, key, salt = order[new], token[new], key[new], salt[new]
+            low, high = low[order], high[order]
+            raw, off = tk.column_bytes(t.column("point"))
+            length = np.diff(off)[order]
+            x = Points(low, high, raw[tk.spread(off[order], length)], np.concatenate([[0], np.cumsum(length)]), similarity)
             head = np.ones(len(token), dtype=bool)
             head[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
             start = np.flatnonzero(head)
             size = np.diff(np.append(start, len(token)))
             group = np.repeat(np.arange(len(start)), size)
             small = (size <= SMALL)[group]
+            p, q = similarity
             a, b = [], []
             for d in range(1, SMALL):
                 i = np.flatnonzero(small[:-d] & (group[d:] == group[:-d])) if len(group) > d else np.empty(0, np.int64)
-                for at in range(0, len(i), 1 << 15):
-                    x = i[at : at + (1 << 15)]
-                    over = np.minimum(corner[x], corner[x + d]).sum(1, dtype=np.int64)
-                    x = x[may_link(over, low[x] + low[x + d], similarity)]
-                    a.append(x), b.append(x + d)
+                i = i[(q * high[i + d] >= p * low[i]) & (q * high[i] >= p * low[i + d])]
+                i = i[x.pairs(i, i + d)]
+                a.append(i), b.append(i + d)
             for g in np.flatnonzero(size > SMALL):
-                s = slice(start[g], start[g] + size[g])
-                x, y = Tree(low[s], high[s], corner[s], similarity).forest()
-                a.append(start[g] + x), b.append(start[g] + y)
+                y, z = x.forest(np.arange(start[g], start[g] + size[g]), boxes)
+                a.append(y), b.append(z)
             a = np.concatenate(a) if a else np.empty(0, np.int64)
             b = np.concatenate(b) if b else np.empty(0, np.int64)
             k = len(a)
-            yield pa.RecordBatch.from_arrays([pa.array(key[a]), pa.array(key[b]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], ["a", "b", "token", "low", "high", "point"])
-            for g in np.flatnonzero(salt[start] >= 0):  # a hot token's part: its forests as boxes
+            yield pa.RecordBatch.from_arrays([pa.array(key[a]), pa.array(key[b]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names)
+            for g in np.flatnonzero(salt[start] >= 0):  # a hot token's part: its trees as boxes
                 s = np.arange(start[g], start[g] + size[g])
                 root = _roots(s, a, b)
-                lead, inverse = np.unique(root, return_inverse=True)
-                by = np.argsort(inverse, kind="stable")
-                cut = np.searchsorted(inverse[by], np.arange(len(lead)))
-                box = np.maximum.reduceat(corner[s[by]], cut, axis=0)
-                k = len(lead)
-                yield pa.RecordBatch.from_arrays([pa.array(key[lead]), pa.nulls(k, pa.int64()), pa.array(token[lead]), pa.array(np.minimum.reduceat(low[s[by]], cut)), pa.array(np.maximum.reduceat(high[s[by]], cut)), tk.binary_array(box.view(np.uint8).ravel(), 2 * GROUPS * np.arange(k + 1))], ["a", "b", "token", "low", "high", "point"])
+                for r in np.unique(root):
+                    own = s[root == r]
+                    least = int(x.groups[own].min())
+                    corner = np.max([x.at(own[x.groups[own] == g2], least).max(0) for g2 in np.unique(x.groups[own])], axis=0)
+                    corner = np.minimum(corner, 255) if (corner <= 255).all() else np.full(least, 255)
+                    yield pa.RecordBatch.from_arrays([pa.array(key[[r]]), pa.nulls(1, pa.int64()), pa.array(token[[r]]), pa.array([int(low[own].min())], pa.int64()), pa.array([int(high[own].max())], pa.int64()), pa.array([corner.astype(np.uint8).tobytes()], pa.binary())], names)
 
     kind = "a long, b long, token long, low long, high long, point binary"
     src = points.select("token", "salt", "set_key", F.col("size").alias("low"), F.col("size").alias("high"), "point")
@@ -300,7 +374,7 @@ def candidate_edges(points: DataFrame, similarity: tuple[int, int], hot: bool) -
     edges = found.where("b IS NOT NULL").select("a", "b")
     if hot:
         boxes = found.where("b IS NULL").select("token", F.lit(-1).alias("salt"), F.col("a").alias("set_key"), "low", "high", "point")
-        edges = edges.union(boxes.repartition("token").sortWithinPartitions("token", "salt").mapInArrow(forest, kind).select("a", "b"))
+        edges = edges.union(boxes.repartition("token").sortWithinPartitions("token", "salt").mapInArrow(lambda x: forest(x, True), kind).select("a", "b"))
     return edges
 
 

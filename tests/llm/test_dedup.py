@@ -146,6 +146,10 @@ def near_rows(seed, n=25):
     r = random.Random(seed)
     rows = corpus(seed, 30)
     base = [f"w{r.randrange(999)}" for _ in range(90)]
+    long = [f"l{r.randrange(9999)}" for _ in range(3000)]
+    for k in range(6):  # large sets, some of them near copies
+        w = long[: 2600 + 80 * k] if k < 4 else [f"m{r.randrange(9999)}" for _ in range(2800)] + base[:50]
+        rows.append((800 + k, " ".join(w), None))
     for k in range(n):  # chains and clusters of near copies
         w = base[:]
         for _ in range(r.randint(0, 3)):
@@ -168,27 +172,56 @@ def test_drop_near_duplicates(spark, documents):
     kept = jaccard.drop_near_duplicates(documents(rows))
     assert kept.columns == ["doc_id", "text", "lang", "id", "ord"]
     got = [(r.doc_id, r.text) for r in kept.collect()]
-    groups = near_groups(rows)
-    roots = {c for i, n, c in groups if n}
-    assert len([x for x in got if sets_of(x[1])]) == len({c for c in roots if c is not None}) + len({t for i, t, _ in rows if i is None and (None, len(sets_of(t)), None) in groups})
+    s = [sets_of(t) for _, t, _ in rows]
+    left = [k for k in range(len(rows)) if s[k]]
+    groups = 0
+    while left:  # flood each group in turn
+        groups += 1
+        queue = [left.pop()]
+        while queue:
+            i = queue.pop()
+            near = [j for j in left if 100 * len(s[i] & s[j]) >= 80 * len(s[i] | s[j])]
+            left = [j for j in left if j not in near]
+            queue += near
+    assert len([x for x in got if sets_of(x[1])]) == groups
     assert len([x for x in got if not sets_of(x[1])]) == 2
     assert jaccard.drop_near_duplicates(documents([])).count() == 0
 
 
-def test_tree_finds_what_a_scan_finds():
+def test_trees_find_what_a_scan_finds():
     rng = np.random.default_rng(0)
-    for _ in range(20):
-        n = int(rng.integers(9, 200))
-        corner = rng.poisson(3, (n, jaccard.GROUPS)).astype(np.uint16)
-        corner[n // 2 :] = np.maximum(corner[: n - n // 2].astype(int) + rng.integers(-1, 2, (n - n // 2, jaccard.GROUPS)), 0)
-        size = corner.sum(1).astype(np.int64)
-        t = jaccard.Tree(size, size, corner, (4, 5))
-        for i in range(0, n, 7):
-            got = set(t.order[t.search(i, np.ones(n, dtype=bool))].tolist())
-            q = t.order[i]
-            over = np.minimum(corner, corner[q]).sum(1)
-            fits = (5 * size >= 4 * size[q]) & (4 * size <= 5 * size[q])
-            assert got == set(np.flatnonzero(fits & (9 * over.astype(int) >= 4 * (size + size[q]))).tolist())
+    for t in range(20):
+        n = int(rng.integers(9, 120))
+        base = rng.integers(40, 3000, 6)
+        sets = [rng.integers(0, 1 << 40, base[k % 6]) for k in range(6)]
+        rows = []
+        for _ in range(n):
+            x = sets[int(rng.integers(6))].copy()
+            x[rng.random(len(x)) < rng.choice([0.02, 0.2, 0.9])] = rng.integers(0, 1 << 40)
+            rows.append(np.unique(x[: int(len(x) * rng.uniform(0.75, 1))]).astype(np.uint64))
+        x = jaccard.Sets.__new__(jaccard.Sets)
+        x.hash, x.size = np.concatenate(rows), np.array([len(r) for r in rows])
+        raw, off = x.points()
+        assert (np.add.reduceat(raw.astype(int), off[:-1]) == x.size).all()
+        p = jaccard.Points(x.size, x.size, raw, off, (4, 5))
+        i, j = (k.ravel() for k in np.meshgrid(np.arange(n), np.arange(n)))
+        fits = (i < j) & (5 * x.size[i] >= 4 * x.size[j]) & (5 * x.size[j] >= 4 * x.size[i])
+        i, j = i[fits], j[fits]
+        same = np.array([len(np.intersect1d(rows[a], rows[b])) for a, b in zip(i, j, strict=True)])
+        left = p.pairs(i, j)
+        assert left[9 * same >= 4 * (x.size[i] + x.size[j])].all()
+        for coarse in (False, True):
+            a, b = p.forest(np.arange(n), coarse)
+            root = list(range(n))
+
+            def find(k):
+                while root[k] != k:
+                    k = root[k]
+                return k
+
+            for y, z in zip(a, b, strict=True):
+                root[find(y)] = find(z)
+            assert len(a) < n and all(find(y) == find(z) for y, z in zip(i[left], j[left], strict=True))
 
 
 @pytest.mark.parametrize("n, m", [(40, 30), (300, 250), (120, 119)])
