@@ -41,12 +41,12 @@ def run_summary(datasets: DataFrame, itemsets: DataFrame, claims: DataFrame, rep
 
 
 def append_runs(runs: DataFrame, path: str) -> None:
-    """Append; columns added later are merged on read."""
+    """Append; files without a column that was added later give null for it."""
     runs.write.mode("append").partitionBy("llm_model").parquet(path)
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("mergeSchema", "true").parquet(path)
+    return spark.read.schema(SCHEMA).parquet(path)
 
 
 def delete_run(spark: SparkSession, path: str, to: str, run_id: str) -> None:

@@ -357,11 +357,11 @@ SQL = {
     "over_limit": "SELECT count(*) AS records, count(*) FILTER (length(text) // 4 > 100) AS over_limit, max(length(text) // 4) AS longest FROM conversations",
     "phase_budgets": _EST + "SELECT p_partkey, greatest(300, least(floor((s * 20 + p * 25 + t * 30 + 100) * 1.5)::BIGINT, 3000)) AS think_tokens, greatest(300, least(floor((s + p + t) * 60 * 1.5)::BIGINT, 3000)) AS json_tokens, greatest(512, least(floor((s * 20 + p * 25 + t * 30 + 100) * 1.5)::BIGINT + floor((s + p + t) * 60 * 1.5)::BIGINT, 6000)) AS total_tokens, s + p + t AS estimated_itemsets FROM g",
     "single_budgets": _EST + "SELECT p_partkey, greatest(512, least(floor((s * 15 + p * 20 + t * 25 + 80 + (s + p + t) * 60) * 1.5)::BIGINT, 6000)) AS budget FROM g",
-    "gate_budgets": """WITH a AS (SELECT p_partkey, greatest(1024, 4096 - p_partkey % 4000 - 64) AS available, greatest(1792, floor(p_size * 40 * 2.3)::BIGINT) AS requested FROM part), b AS (SELECT *, least(available, requested) AS total FROM a),
-        c AS (SELECT *, CASE WHEN total >= 1536 THEN least(1800, total - least(greatest(768, floor(total * 0.52)::BIGINT), total - 512)) ELSE total - greatest(512, total // 2) END AS think FROM b) SELECT p_partkey, available, requested, total, think, total - think AS json FROM c""",
+    "gate_budgets": """WITH a AS (SELECT p_partkey, greatest(1024, 4096 - p_partkey % 4000 - 64) AS available, greatest(1792, floor(p_size * 40 * 2.3::DOUBLE)::BIGINT) AS requested FROM part), b AS (SELECT *, least(available, requested) AS total FROM a),
+        c AS (SELECT *, CASE WHEN total >= 1536 THEN least(1800, total - least(greatest(768, floor(total * 0.52::DOUBLE)::BIGINT), total - 512)) ELSE total - greatest(512, total // 2) END AS think FROM b) SELECT p_partkey, available, requested, total, think, total - think AS json FROM c""",
     "think_split": f"SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '<think>' || left(text, 30) ELSE ' answer</think> end' END AS first, CASE WHEN turn % 3 = 0 THEN '<think>' || left(text, 30) ELSE ' end' END AS last, CASE WHEN turn % 3 <> 0 THEN left(text, 30) END AS think FROM conversations",
     "trace_repair": "SELECT conv_id, turn, 9 + 5 + length(text) + 10 AS chars FROM conversations",
-    "loop_detection": r"WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(CASE WHEN doc_id % 4 = 0 THEN text || repeat(chr(10) || ' same line ', 5) ELSE text END, chr(10)), x -> trim(x)), x -> x <> '') AS l FROM documents) SELECT doc_id, len(l) >= 6 AND len(list_distinct(l[-3:])) = 1 AS looping FROM l",
+    "loop_detection": r"WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(CASE WHEN doc_id % 4 = 0 THEN text || repeat(chr(10) || ' same line ', 5) ELSE text END, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents) SELECT doc_id, len(l) >= 6 AND len(list_distinct(l[-3:])) = 1 AS looping FROM l",
     "name_dimensions": "SELECT p_partkey, CAST(p_size AS BIGINT) AS parsed_rows, p_partkey % 7 + 1 AS parsed_cols, p_size * (p_partkey % 7 + 1) AS area, CASE WHEN p_partkey % 2 = 1 THEN CAST(p_size AS BIGINT) END AS strict_rows FROM part",
     "diversity_report": _SIG + ", w AS (SELECT whole, count(*) AS n FROM s GROUP BY whole), p AS (SELECT prefix, count(*) AS n FROM s GROUP BY prefix), r AS (SELECT (SELECT count(*) FROM s) AS texts, (SELECT CAST(sum(chars) AS BIGINT) FROM s) AS chars, (SELECT count(*) FROM w) AS unique_texts, (SELECT count(*) FROM p) AS unique_prefixes, (SELECT count(*) FROM w WHERE n > 1) AS duplicated_texts, (SELECT max(n) FROM p) AS top_prefix_count) SELECT *, unique_texts / texts AS unique_text_rate, unique_prefixes / texts AS unique_prefix_rate, top_prefix_count / texts AS collapse_rate FROM r",
     "top_prefixes": _SIG + "SELECT prefix, count(*) AS count FROM s GROUP BY prefix ORDER BY count DESC, prefix LIMIT 5",

@@ -168,10 +168,10 @@ SQL = {
     "metrics_summary": _N + f", r AS (SELECT *, {_RATES} FROM n) SELECT count(*) AS datasets, round(avg(recall), 9) AS avg_recall, round(avg(precision), 9) AS avg_precision, avg(CAST(exact AS INT)) AS exact_rate FROM r",
     "size_averages": _SIZES + "SELECT size, count(*) AS datasets, round(avg(CASE WHEN n_truth = 0 THEN 0.0 ELSE tp / n_truth END), 9) AS recall FROM z GROUP BY size",
     "failure_triage": _U.replace("WITH v", _N + ", v").replace(f", c AS ({_C}), x", ", x") + f", r AS (SELECT dataset_id, {_RATES} FROM n), u AS (SELECT dataset_id, count(*) AS claims, count(*) FILTER (bad) AS ungrounded FROM x GROUP BY dataset_id) SELECT dataset_id, claims, ungrounded FROM r JOIN u USING (dataset_id) WHERE f1 < 0.5 OR ungrounded / claims > 0.1",
-    "itemset_differences": f"""WITH g AS (SELECT * FROM ({GROUPED}) WHERE row_no < 600), t AS (SELECT dataset_id, item, count(*) AS n, list(row_no ORDER BY row_no) AS r FROM g GROUP BY ALL HAVING count(*) >= 3),
-        p AS (SELECT dataset_id, item, count(*) + CASE WHEN dataset_id = '5-LOW' THEN 1 ELSE 0 END AS m, list(row_no ORDER BY row_no) AS q FROM g WHERE row_no % 3 <> 0 OR item > 'brand#2' GROUP BY ALL HAVING count(*) >= 3),
+    "itemset_differences": f"""WITH g AS (SELECT * FROM ({GROUPED}) WHERE row_no < 600), t AS (SELECT dataset_id, item, count(*) AS n, list(row_no ORDER BY row_no) AS r FROM g GROUP BY dataset_id, item HAVING count(*) >= 3),
+        p AS (SELECT dataset_id, item, count(*) + CASE WHEN dataset_id = '5-LOW' THEN 1 ELSE 0 END AS m, list(row_no ORDER BY row_no) AS q FROM g WHERE row_no % 3 <> 0 OR item > 'brand#2' GROUP BY dataset_id, item HAVING count(*) >= 3),
         x AS (SELECT coalesce(t.dataset_id, p.dataset_id) AS dataset_id, CASE WHEN m IS NULL THEN 'missing' WHEN n IS NULL THEN 'extra' WHEN n <> m THEN 'wrong_count' WHEN r <> q THEN 'wrong_rows' END AS problem FROM t FULL JOIN p ON t.dataset_id = p.dataset_id AND t.item = p.item)
-        SELECT dataset_id, problem, count(*) AS n FROM x WHERE problem IS NOT NULL GROUP BY ALL""",
+        SELECT dataset_id, problem, count(*) AS n FROM x WHERE problem IS NOT NULL GROUP BY dataset_id, problem""",
     "label_scoring": f"WITH x AS (SELECT quality = 1 AS t, n_chars >= 900 AS s FROM labels JOIN documents USING (doc_id)), n AS (SELECT count(*) FILTER (t AND s) AS tp, count(*) FILTER (NOT t AND s) AS fp, count(*) FILTER (t AND NOT s) AS fn FROM x) SELECT *, {_RATES} FROM n",
     "claim_validation": _CLAIMS + "SELECT 'llm' AS source, type, count(*) AS n FROM e GROUP BY type",
     "validation_report": _CLAIMS + "SELECT 'all' AS dataset_id, 'llm' AS source, (SELECT count(*) FROM c) AS total_itemsets, CAST(0 AS BIGINT) AS validated_itemsets, (SELECT count(*) FROM e) AS errors, CAST(0.0 AS DOUBLE) AS valid_ratio",

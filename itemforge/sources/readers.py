@@ -33,7 +33,9 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None) -> tuple[Da
     names = spark.read.options(header=True, sep=sep).csv(path).columns
     schema = ", ".join(f"`{n}` STRING" for n in names) + ", _corrupt STRING"
     raw = spark.read.options(**options).schema(schema).csv(path)
-    bad = not raw.select(*names, "_corrupt").where("_corrupt IS NOT NULL").isEmpty()
+    # all columns are asked for, as the parser must read whole lines to see a wrong width
+    every = F.hash(*[F.col(f"`{n}`") for n in names])
+    bad = raw.agg(F.count("_corrupt").alias("bad"), F.max(every)).first().bad > 0
     good = spark.read.options(header=True, sep=sep, mode="DROPMALFORMED", enforceSchema=False).schema(", ".join(f"`{n}` STRING" for n in names)).csv(path) if bad else raw.drop("_corrupt")
     cells = [F.when(~strip(F.col(f"`{n}`")).isin(*MISSING), F.col(f"`{n}`")).alias(n) for n in names]
     return good.select(*cells), "skip" if bad else "strict"

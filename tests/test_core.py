@@ -160,9 +160,8 @@ def test_reasoning_text(spark):
 def test_ledger_round_trip(spark, tmp_path):
     datasets = spark.createDataFrame([("d", "d.csv", "h", 5, 9)], "dataset_id string, dataset_name string, dataset_hash string, dataset_size_rows long, dataset_size_bytes long")
     _, c, found = check(spark, '{"itemset":["eggs"],"count":2,"rows":[1,3]}')
-    runs = ledger.run_summary(datasets, c, c, validation.report(c, found), {"llm_model": "m", "min_support": 2})
-    ledger.append_runs(runs, str(tmp_path / "runs"))
-    ledger.append_runs(runs, str(tmp_path / "runs"))
+    for _ in range(2):  # two runs
+        ledger.append_runs(ledger.run_summary(datasets, c, c, validation.report(c, found), {"llm_model": "m", "min_support": 2}), str(tmp_path / "runs"))
     back = ledger.read_runs(spark, str(tmp_path / "runs"))
     assert back.count() == 2 and back.first().validation_passed
     ledger.delete_run(spark, str(tmp_path / "runs"), str(tmp_path / "less"), back.first().id)
