@@ -46,7 +46,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     ship(spark)
     cut = suffix.drop_repeated_bytes(docs, keep=COLUMNS)
-    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.decode("kept", F.lit("UTF-8")))
+    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.make_valid_utf8(F.col("kept").cast("string")))
     out = cut.select("doc_id", text.alias("text"), "lang", "source", F.col("n_chars").alias("before"), "n_removed")
     out = out.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.select("doc_id", "text", "lang", "source", F.when(F.col("n_removed") == 0, F.col("before")).otherwise(F.char_length("text")).cast("long").alias("n_chars"))
