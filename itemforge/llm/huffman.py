@@ -27,7 +27,7 @@ from itemforge.llm.wordbpe import word_bpe
 LIMIT = 16
 STEP = 128
 BLOCK_IDS = 1 << 16
-LANE_IDS = 1 << 20
+LANE_IDS = 1 << 18
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
