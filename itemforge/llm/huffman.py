@@ -21,13 +21,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itemforge.llm import textkit as tk
-from itemforge.llm.shared import pick, written
+from itemforge.llm.shared import pick, table_bytes, written
 from itemforge.llm.wordbpe import word_bpe
 
 LIMIT = 16
 STEP = 128
 BLOCK_IDS = 1 << 16
 LANE_IDS = 1 << 18
+PART_BYTES = 32 << 20
+MOST_PARTS = 20_000
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -155,13 +157,16 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_co
         bpe = word_bpe(vocabulary)
         if bpe.size > 1 << 16:
             raise ValueError("a vocabulary of at most 65536 ids is needed")
-        end = np.array([end_id], dtype=np.uint32)
         for b in batches:
             data, off = tk.column_bytes(b.column("text"))
             for i, j in tk.chunks(off):
-                ids = [np.concatenate([bpe.encode(data[off[k] : off[k + 1]].tobytes()), end]) for k in range(i, j)]
-                n = np.array([len(x) for x in ids], dtype=np.int64)
-                flat, cut = np.concatenate(ids), np.concatenate([[0], np.cumsum(n)])
+                ids, n = bpe.encode_many([data[off[k] : off[k + 1]].tobytes() for k in range(i, j)])
+                n = n + 1
+                cut = np.concatenate([[0], np.cumsum(n)])
+                flat = np.full(cut[-1], end_id, dtype=np.uint32)
+                inner = np.ones(len(flat), dtype=bool)
+                inner[cut[1:] - 1] = False
+                flat[inner] = ids
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), pa.array(n), tk.binary_array((flat & 255).astype(np.uint8), cut), tk.binary_array((flat >> 8).astype(np.uint8), cut)], ["id", "n_tokens", "low", "high"])
 
     return src.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, low binary, high binary")
@@ -195,10 +200,11 @@ def count_ids(tokens: DataFrame, size: int) -> np.ndarray:
 def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text, append ``end_id`` to each and write the format at ``path``, ids ascending.
 
-    Null ids come first; rows with equal ids stand side by side in the order of their codes; a null
-    or empty text is the end id alone; an empty table gives an empty code book and no block. Further
-    columns are ignored. The sort is by ranges of (id, length, code), so rows sharing one id do not
-    have to meet in one task.
+    Null ids come first; rows with equal ids stand side by side in the order of their codes' hashes; a
+    null or empty text is the end id alone; an empty table gives an empty code book and no block.
+    Further columns are ignored. Parts are ranges of ids by approximate quantiles; an id that spans
+    several of them is split by the hash, so its rows do not have to meet in one task. ``id_col``
+    holds integers.
     """
     spark = docs.sparkSession
     tokens = written(tokenize(docs, vocabulary, end_id, id_col, text_col), "ids")
@@ -207,7 +213,11 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id_c
     codes = canonical_codes(lengths)
     spark.createDataFrame([(int(s), int(lengths[s])) for s in np.flatnonzero(lengths)], "symbol int, bits int").coalesce(1).write.parquet(f"{path}/codebook")
 
+    bounds = id_bounds(tokens)
+
     def encode(batches):
+        import zlib
+
         import pyarrow as pa
 
         for b in batches:
@@ -215,45 +225,60 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id_c
                 part = b.slice(i, j - i)
                 ids, _ = _flat_ids(part)
                 payload, at, marks, before = encode_documents(ids, np.asarray(part.column("n_tokens")), lengths, codes)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("n_tokens"), tk.binary_array(np.frombuffer(payload, np.uint8), at), tk.binary_array(marks.view(np.uint8), 4 * before)], ["id", "n_tokens", "code", "marks"])
+                tie = np.array([zlib.crc32(payload[x:y]) for x, y in zip(at, at[1:], strict=False)], dtype=np.int64)
+                key = np.asarray(part.column("id").cast(pa.int64()).fill_null(-(1 << 63)))
+                first, last = np.searchsorted(bounds, key, side="left"), np.searchsorted(bounds, key, side="right")
+                place = first + ((tie * (last - first + 1)) >> 32)
+                yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(tie), part.column("id"), part.column("n_tokens"), tk.binary_array(np.frombuffer(payload, np.uint8), at), tk.binary_array(marks.view(np.uint8), 4 * before)], ["part", "tie", "id", "n_tokens", "code", "marks"])
 
     def blocks(batches):
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        part, number, first = TaskContext.get().partitionId(), 0, 0
         held: list = []
+        part, number, first, size = None, 0, 0, 0
 
         def block():
-            nonlocal number, first, held
+            nonlocal number, first, size, held
             t = pa.Table.from_batches(held).combine_chunks()
             code, at = tk.column_bytes(t.column("code"))
             marks, _ = tk.column_bytes(t.column("marks"))
             whole = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([first], pa.int64())]
             lists = [pa.array([t.column("id").to_pylist()], pa.list_(t.schema.field("id").type)), pa.array([t.column("n_tokens").to_pylist()], pa.list_(pa.int64())), pa.array([at[:-1].tolist()], pa.list_(pa.int64()))]
             out = pa.RecordBatch.from_arrays([*whole, *lists, pa.array([code.tobytes()], pa.binary()), pa.array([marks.tobytes()], pa.binary())], ["part", "block", "first", "ids", "n_tokens", "at", "payload", "marks"])
-            first += int(np.asarray(t.column("n_tokens")).sum())
-            number, held = number + 1, []
+            first, number, size, held = first + size, number + 1, 0, []
             return out
 
-        size = 0
         for b in batches:
-            for i, j in tk.chunks(np.concatenate([[0], np.cumsum(np.asarray(b.column("n_tokens")))]), BLOCK_IDS):
-                held.append(b.slice(i, j - i))
-                size += int(np.asarray(held[-1].column("n_tokens")).sum())
-                if size >= BLOCK_IDS:
-                    yield block()
-                    size = 0
+            parts, n = np.asarray(b.column("part")), np.asarray(b.column("n_tokens"))
+            starts, ends = tk.runs(parts)
+            for s, e in zip(starts, ends, strict=True):
+                if parts[s] != part:
+                    if held:
+                        yield block()
+                    part, number, first = int(parts[s]), 0, 0
+                for i, j in tk.chunks(np.concatenate([[0], np.cumsum(n[s:e])]), BLOCK_IDS):
+                    held.append(b.slice(s + i, j - i))
+                    size += int(n[s + i : s + j].sum())
+                    if size >= BLOCK_IDS:
+                        yield block()
         if held:
             yield block()
 
-    coded = tokens.mapInArrow(encode, f"id {kind}, n_tokens long, code binary, marks binary")
-    keys = ["id", "n_tokens", "code"]
-    ordered = coded.repartitionByRange(F.col("id"), F.col("n_tokens"), F.crc32("code")).sortWithinPartitions("id", "n_tokens", F.crc32("code"), *keys[2:])
+    coded = tokens.mapInArrow(encode, f"part int, tie long, id {kind}, n_tokens long, code binary, marks binary")
+    ordered = coded.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", "id", "tie", "n_tokens", "code")
     made = ordered.mapInArrow(blocks, f"part int, block int, first long, ids array<{kind}>, n_tokens array<long>, at array<long>, payload binary, marks binary")
     made.write.parquet(f"{path}/blocks")
 
 
+def id_bounds(tokens: DataFrame) -> np.ndarray:
+    """Ids that part the table into ranges of about ``PART_BYTES`` each; repeated where one id spans several."""
+    n = int(np.clip(table_bytes(tokens) // PART_BYTES, 1, MOST_PARTS))
+    if n == 1:
+        return np.empty(0, np.int64)
+    got = tokens.agg(F.percentile_approx(F.col("id").cast("long"), [k / n for k in range(1, n)], 100 * n).alias("q")).first().q
+    return np.array(got or [], dtype=np.int64)
+
+
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """Decode a folder of ``write_ids``: (id, start, n_tokens, ids binary of little-endian unsigned 32-bit ids).
 

@@ -33,6 +33,19 @@ def test_encoders_equal_tokenizers(seed):
         assert word.encode(x.encode()).tolist() == b.encode(x, add_special_tokens=False).ids
 
 
+def test_words_are_encoded_once(monkeypatch):
+    from itemforge.llm import wordbpe
+
+    monkeypatch.setattr(wordbpe, "REMEMBERED", 60)
+    rng = random.Random(9)
+    w, t = wordbpe.WordBpe(WORD), Tokenizer.from_file(WORD)
+    for _ in range(30):
+        texts = ["".join(rng.choices(SIGNS[: 25 if rng.random() < 0.8 else 60], k=rng.randint(0, 40))) for _ in range(rng.randint(1, 8))]
+        flat, n = w.encode_many([x.encode() for x in texts])
+        ids = [t.encode(x, add_special_tokens=False).ids for x in texts]
+        assert n.tolist() == [len(x) for x in ids] and flat.tolist() == [i for x in ids for i in x]
+
+
 def test_bpe_rows(spark, documents):
     out = bpe.bpe_decode(bpe.bpe_encode(documents(ODD), BYTE), BYTE).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in out) == sorted((i is None, i or 0, t or "") for i, t, _ in ODD)
@@ -66,7 +79,10 @@ def test_huffman_code(counts):
         assert (np.diff(used[rank].astype(int)) >= 0).all()
 
 
-def test_huffman_files(spark, documents, tmp_path):
+@pytest.mark.parametrize("part_bytes", [1 << 25, 300])
+def test_huffman_files(spark, documents, tmp_path, part_bytes, monkeypatch):
+    monkeypatch.setattr(huffman, "PART_BYTES", part_bytes)
+    monkeypatch.setattr(huffman, "BLOCK_IDS", 200)
     t = Tokenizer.from_file(WORD)
     for rows, name in ((ODD, "a"), ([], "b")):
         path = f"file://{tmp_path}/{name}"
