@@ -1,7 +1,7 @@
 """N-gram Jaccard join with count vectors in an R-tree.
 
 A document's set is its distinct five-word shingles.  Shingles are hashed into groups (``GROUPS``, and
-more for large sets, about one for eight members, since coarse counts of large sets all look alike)
+more for large sets, about one for three members, since coarse counts of large sets all look alike)
 and a set's counts by group are a point.  Groups are ranges of a hash, so a fine point folds to a
 coarse one.  The overlap of two sets is at most the sum over coordinates of
 the smaller count; an R-tree node, whose box has an upper corner, bounds all its points alike.  Pairs
@@ -30,7 +30,8 @@ from itemforge.llm.shared import components, pick, seed_filter, small_or_shuffle
 SHINGLE = 5
 GROUPS = 64
 MOST_GROUPS = 8192
-PER_GROUP = 8
+PER_GROUP = 4
+FULL = 60_000
 NODE = 32
 SMALL = 8
 BLOCK = 1024
@@ -76,16 +77,20 @@ class Sets:
             self.key[full] = tk.mix(total + self.size[full].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def points(self) -> tuple[np.ndarray, np.ndarray]:
-        """Counts by group of every set, one after the other, and offsets. A count beyond 8 bits makes all of the set's 255, which passes every bound."""
+        """Counts by group of every set in 4 bits, one set after the other, and offsets in bytes.
+
+        A count that does not fit makes all of the set's 15; see ``unpacked``.
+        """
         bits = group_bits(self.size)
         off = np.concatenate([[0], np.cumsum(1 << bits)])
         row = np.repeat(np.arange(len(self.size)), self.size)
         group = (tk.mix(self.hash) >> (64 - bits[row]).astype(np.uint64)).astype(np.int64)
         n = np.bincount(off[row] + group, minlength=off[-1])
-        over = np.flatnonzero(n > 255)
+        over = np.flatnonzero(n > 15)
         for r in np.unique(np.searchsorted(off, over, side="right") - 1):
-            n[off[r] : off[r + 1]] = 255
-        return n.astype(np.uint8), off
+            n[off[r] : off[r + 1]] = 15
+        n = n.astype(np.uint8)
+        return n[0::2] << 4 | n[1::2], off // 2
 
     def prefix(self, similarity: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """The members with the smallest hashes, of which linked sets share one: flat, number by row."""
@@ -100,6 +105,17 @@ def group_bits(size: np.ndarray) -> np.ndarray:
     return np.clip(np.ceil(np.log2(np.maximum(size, 1) / PER_GROUP)), least, most).astype(np.int64)
 
 
+def unpacked(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts from 4 bits each, and offsets; a set with only 15s gets counts that pass every bound."""
+    out = np.empty(2 * len(raw), dtype=np.uint16)
+    out[0::2], out[1::2] = raw >> 4, raw & 15
+    off = 2 * off
+    if len(off) > 1:
+        for r in np.flatnonzero(np.minimum.reduceat(out, off[:-1]) == 15):
+            out[off[r] : off[r + 1]] = FULL
+    return out, off
+
+
 def folded(points: np.ndarray, groups: int) -> np.ndarray:
     """Points (one a row) with fewer groups."""
     return points.reshape(len(points), groups, -1).sum(2, dtype=np.int32)
@@ -325,7 +341,7 @@ def candidate_edges(points: DataFrame, similarity: tuple[int, int], hot: bool) -
     def forest(batches, boxes: bool = False):
         import pyarrow as pa
 
-        for parts in tk.whole_groups(batches, ["token", "salt"], "point", 1 << 22):
+        for parts in tk.whole_groups(batches, ["token", "salt"], "point", 1 << 21):
             t = pa.Table.from_batches(parts).combine_chunks()
             token, key = np.asarray(t.column("token")), np.asarray(t.column("set_key"))
             salt, low, high = np.asarray(t.column("salt")), np.asarray(t.column("low")), np.asarray(t.column("high"))
@@ -336,6 +352,7 @@ def candidate_edges(points: DataFrame, similarity: tuple[int, int], hot: bool) -
             order, token, key, salt = order[new], token[new], key[new], salt[new]
             low, high = low[order], high[order]
             raw, off = tk.column_bytes(t.column("point"))
+            raw, off = (raw.view("<u2"), off // 2) if boxes else unpacked(raw, off)
             length = np.diff(off)[order]
             x = Points(low, high, raw[tk.spread(off[order], length)], np.concatenate([[0], np.cumsum(length)]), similarity)
             head = np.ones(len(token), dtype=bool)
@@ -365,8 +382,8 @@ def candidate_edges(points: DataFrame, similarity: tuple[int, int], hot: bool) -
                     own = s[root == r]
                     least = int(x.groups[own].min())
                     corner = np.max([x.at(own[x.groups[own] == g2], least).max(0) for g2 in np.unique(x.groups[own])], axis=0)
-                    corner = np.minimum(corner, 255) if (corner <= 255).all() else np.full(least, 255)
-                    yield pa.RecordBatch.from_arrays([pa.array(key[[r]]), pa.nulls(1, pa.int64()), pa.array(token[[r]]), pa.array([int(low[own].min())], pa.int64()), pa.array([int(high[own].max())], pa.int64()), pa.array([corner.astype(np.uint8).tobytes()], pa.binary())], names)
+                    corner = corner if (corner < FULL).all() else np.full(least, FULL)
+                    yield pa.RecordBatch.from_arrays([pa.array(key[[r]]), pa.nulls(1, pa.int64()), pa.array(token[[r]]), pa.array([int(low[own].min())], pa.int64()), pa.array([int(high[own].max())], pa.int64()), pa.array([corner.astype("<u2").tobytes()], pa.binary())], names)
 
     kind = "a long, b long, token long, low long, high long, point binary"
     src = points.select("token", "salt", "set_key", F.col("size").alias("low"), F.col("size").alias("high"), "point")
