@@ -185,17 +185,18 @@ class Points:
                 out[x] = may_link(over, self.low[i[x]] + self.low[j[x]], self.similarity)
         return out
 
-    def forest(self, rows: np.ndarray, coarse: bool) -> tuple[np.ndarray, np.ndarray]:
+    def forest(self, rows: np.ndarray, boxes: bool) -> tuple[np.ndarray, np.ndarray]:
         """A spanning forest of all pairs among the rows that may link.
 
-        Sets that link have at most a factor of two between their groups: a tree of each resolution
-        holds its own points and the folded ones of the next. With ``coarse`` (boxes, whose sizes
-        differ) all are folded to the smallest.
+        A pair is compared at the coarser resolution of the two. A tree of each resolution holds its
+        own points and the folded ones of the next, as sets that link have at most a factor of two
+        between their groups; with ``boxes``, whose members differ in size, those of all finer ones.
         """
         kinds = sorted(set(self.groups[rows].tolist()))
         trees = {}
-        for g in kinds[:1] if coarse else kinds:
-            parts = [rows[self.groups[rows] == h] for h in (kinds if coarse else (g, 2 * g))]
+        for g in kinds:
+            finer = [h for h in kinds if h >= g] if boxes else (g, 2 * g)
+            parts = [rows[self.groups[rows] == h] for h in finer]
             parts = [x for x in parts if len(x)]
             member = np.concatenate(parts)
             trees[g] = (member, Tree(self.low[member], self.high[member], np.concatenate([self.at(x, g) for x in parts]), self.similarity))
@@ -222,7 +223,10 @@ class Points:
                 one = np.array([i])
                 for g, _ in where[i]:
                     m, tree = trees[g]
-                    for r in m[tree.search(int(self.low[i]), int(self.high[i]), self.at(one, g)[0], masks[g])].tolist():
+                    got = m[tree.search(int(self.low[i]), int(self.high[i]), self.at(one, g)[0], masks[g])]
+                    if g < self.groups[i]:
+                        got = got[self.groups[got] == g]
+                    for r in got.tolist():
                         close(r)
                         a.append(i), b.append(r)
                         queue.append(r)

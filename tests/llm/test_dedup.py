@@ -210,8 +210,8 @@ def test_trees_find_what_a_scan_finds():
         same = np.array([len(np.intersect1d(rows[a], rows[b])) for a, b in zip(i, j, strict=True)])
         left = p.pairs(i, j)
         assert left[9 * same >= 4 * (x.size[i] + x.size[j])].all()
-        for coarse in (False, True):
-            a, b = p.forest(np.arange(n), coarse)
+        for boxes in (False, True):
+            a, b = p.forest(np.arange(n), boxes)
             root = list(range(n))
 
             def find(k):
