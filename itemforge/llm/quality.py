@@ -22,8 +22,9 @@ from itemforge.llm.shared import carried, pick, released, small_or_shuffled, wri
 
 #: Hashed buckets (a power of two); this bounds the table that reaches the driver and each task.
 BUCKETS = 1 << 16
-#: Added to every bucket's count in both multinomials, as a share of the mean count.
-SMOOTHING = 0.1
+#: Occurrences added to a bucket's count in the target and to what the raw corpus lets expect there, so
+#: that a bucket says nothing until it could have said something.
+SMOOTHING = 5.0
 #: A document is kept when its mean log ratio is at least this: it must look half again as likely in
 #: the raw corpus as in the trusted one, n-gram by n-gram, to be dropped (exp(-0.4) = 0.67).
 THRESHOLD = -0.4
@@ -67,18 +68,15 @@ def bucket_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
 
 
 def log_ratios(counts: DataFrame) -> np.ndarray:
-    """log P_target - log P_raw of each bucket; all zero without a trusted document."""
+    """log P_target - log P_raw of each bucket, smoothed; all zero without a trusted document."""
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in counts.collect():
         raw[r.bucket], target[r.bucket] = r.raw, r.target
     if not target.sum():
         return np.zeros(BUCKETS)
 
-    def share(c: np.ndarray) -> np.ndarray:
-        c = c / c.sum() + SMOOTHING / BUCKETS
-        return np.log(c / c.sum())
-
-    return share(target) - share(raw)
+    expected = raw * (target.sum() / raw.sum())
+    return np.log((target + SMOOTHING) / (expected + SMOOTHING))
 
 
 #: Words in 5-word windows found twice or more, from h, the hashes of all windows in order. Sorting

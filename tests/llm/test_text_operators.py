@@ -138,8 +138,7 @@ def test_quality_score_is_the_mean_log_ratio(spark, documents):
     raw, target = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
     for b, (r, t) in table.items():
         raw[b], target[b] = r, t
-    share = lambda c: (c / c.sum() + quality.SMOOTHING / quality.BUCKETS) / (1 + quality.SMOOTHING)
-    ratio = np.log(share(target)) - np.log(share(raw))
+    ratio = np.log((target + quality.SMOOTHING) / (raw * 9 / 24 + quality.SMOOTHING))
     grams = ", ".join(g.format(h="get(wh, i)", next="get(wh, i + 1)", x="x") for g in quality.GRAMS)
     g = quality.with_words(d, "doc_id", "text").selectExpr("id", "w", "transform(w, x -> xxhash64(x)) AS wh").selectExpr("id", f"flatten(transform(w, (x, i) -> array({grams}))) AS g").collect()
     want = {r.id: float(np.mean(ratio[r.g])) for r in g}
