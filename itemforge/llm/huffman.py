@@ -28,7 +28,7 @@ LIMIT = 16
 STEP = 128
 BLOCK_IDS = 1 << 16
 LANE_IDS = 1 << 18
-PART_BYTES = 32 << 20
+PART_BYTES = 64 << 20
 MOST_PARTS = 20_000
 
 

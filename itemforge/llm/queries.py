@@ -65,4 +65,27 @@ def op10_pq_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_llr, op2_huffman_ids, op3_pack_binary, op4_hmm_score, op5_suffix_dedup, op6_jaccard_rtree, op7_bpe_forced, op8_crf_language, op9_seed_extend, op10_pq_near)}
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: SQL where the result can be told without the trained model, the tokenizer or the byte strings.
+ORACLE_SQL = {
+    "op6_jaccard_rtree": f"""WITH RECURSIVE t AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[p : p + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS p FROM t WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+        c(id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, c.root FROM c JOIN l ON l.a = c.id)
+        SELECT id AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(root) AS component_id FROM c LEFT JOIN n ON n.doc_id = c.id GROUP BY id""",
+    "op9_seed_extend": f"""WITH t AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+        k AS (SELECT doc_id, p, array_to_string(w[p : p + 19], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM t WHERE len(w) >= 20)),
+        r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS r FROM k),
+        g AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS i, true AS gone FROM r WHERE r > 1),
+        e AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM t),
+        s AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) FILTER (gone IS NULL) AS kept, count(gone) AS n FROM e LEFT JOIN g USING (doc_id, i) GROUP BY doc_id)
+        SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN s ON s.doc_id = t.doc_id""",
+    "op10_pq_near": """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+        c(id, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, c.root FROM c JOIN l ON l.a = c.id),
+        n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+        SELECT id AS vec_id, coalesce(any_value(n.n), 0) AS n_links, min(root) AS component_id, id = min(root) AS kept FROM c LEFT JOIN n ON n.a = c.id GROUP BY id""",
+}
