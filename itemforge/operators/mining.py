@@ -166,6 +166,11 @@ def rendered(itemsets: DataFrame) -> DataFrame:
     return itemsets.withColumn("unique_rows", F.array_sort(labels)).withColumn("unique_row_count", F.size("rows").cast("long")).withColumn("rows", labels)
 
 
+def first_chunk(transactions: DataFrame, size: int = 50) -> DataFrame:
+    """Only the rows of the first chunk of each data set."""
+    return transactions.where(F.col("row_no") <= size)
+
+
 def association_rules(itemsets: DataFrame) -> DataFrame:
     """Extension: (antecedent, consequent, count, confidence) from frequent itemsets with one consequent item."""
     big = itemsets.where("size >= 2").select("dataset_id", "itemset", "count", F.explode("itemset").alias("consequent"))

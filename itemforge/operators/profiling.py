@@ -82,7 +82,7 @@ def largest(df: DataFrame, by: str, n: int = 60, tie: str = "dataset_name") -> D
 
 def sampled(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows by a seeded hash of their key."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(F.sha2(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary"), 256), key).limit(n)
 
 
 def ordered(itemsets: DataFrame) -> DataFrame:

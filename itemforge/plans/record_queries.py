@@ -387,5 +387,6 @@ SQL = {
     "ground_truth_json": f"""WITH t AS (SELECT dataset_id, item, count(*) AS n, string_agg('"Row' || row_no || '"', ',' ORDER BY 'Row ' || row_no) AS r FROM ({GROUPED}) WHERE row_no < 120 GROUP BY ALL HAVING count(*) >= 3)
         SELECT dataset_id, count(*) AS n_itemsets, '[' || string_agg('{{"itemset":["' || item || '"],"count":' || n || ',"rows":[' || r || ']}}', ',' ORDER BY item) || ']' AS truth FROM t GROUP BY dataset_id""",
     "ordered_itemsets": f"WITH b AS ({BRANDS}), i AS (SELECT CAST(1 AS BIGINT) AS size, item AS itemset, count(*) AS count FROM b GROUP BY item HAVING count(*) >= 3 UNION ALL SELECT 2, x.item || '|' || y.item, count(*) FROM b x JOIN b y ON x.row_no = y.row_no AND x.item < y.item GROUP BY ALL HAVING count(*) >= 3) SELECT * FROM i ORDER BY size, count DESC, replace(itemset, '|', ',') LIMIT 40",
+    "seeded_sample": "SELECT o_orderkey FROM orders ORDER BY sha256(o_orderkey || ':42'), o_orderkey LIMIT 30",
     "row_labels": "SELECT o_orderkey, 'Row ' || (o_orderkey + 1) AS label FROM orders",
 }

@@ -143,7 +143,9 @@ def reward_scores(s, d):
 
 
 def format_gate(s, d):
-    return scoring.format_gate(_completions(s, d).withColumnRenamed("text", "generated"))
+    c = _completions(s, d)
+    text = F.when(F.col("p_partkey") % 2 == 0, F.regexp_replace("text", "Brand#", "brand:")).otherwise(F.col("text"))
+    return scoring.format_gate(c.select(text.alias("generated")))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -177,6 +179,7 @@ SQL = {
     "validation_report": _CLAIMS + "SELECT 'all' AS dataset_id, 'llm' AS source, (SELECT count(*) FROM c) AS total_itemsets, CAST(0 AS BIGINT) AS validated_itemsets, (SELECT count(*) FROM e) AS errors, CAST(0.0 AS DOUBLE) AS valid_ratio",
     "chunk_merge": "SELECT lower(o_orderstatus) AS itemset, count(*) AS count, string_agg('Row ' || (o_orderkey + 1), ',' ORDER BY 'Row ' || (o_orderkey + 1)) AS rows FROM orders WHERE o_orderkey < 500 GROUP BY ALL",
     "json_extraction": "SELECT p_partkey, p_partkey % 6 NOT IN (3, 5) AS parse_ok, CAST(p_partkey % 6 NOT IN (3, 5) AS BIGINT) AS n_items, CAST(p_partkey % 6 < 3 AS BIGINT) AS n_claims, CAST(CASE WHEN p_partkey % 6 < 3 THEN p_size ELSE 0 END AS BIGINT) AS total FROM part WHERE p_partkey < 60",
+    "format_gate": "SELECT count(*) AS samples, count(*) FILTER (p_partkey % 7 <> 0 AND p_partkey % 2 = 0) AS passed, count(*) FILTER (p_partkey % 7 <> 0 AND p_partkey % 2 = 0) / count(*) AS pass_share FROM part WHERE p_partkey < 200",
     "reward_scores": """WITH x AS (SELECT *, p_partkey % 7 <> 0 AS said, (p_partkey % 2 = 0) AS own, p_brand = 'Brand#1' AS one FROM part WHERE p_partkey < 200)
         SELECT p_partkey, CASE WHEN NOT said THEN 0.0 WHEN p_partkey % 3 = 0 THEN 1.0 ELSE 0.5 END AS format,
         CASE WHEN NOT said THEN 0.0 ELSE round(CAST(CASE WHEN one AND own THEN 1.0 WHEN own OR one THEN 2.0 / 3 ELSE 0 END AS DOUBLE), 6) END AS f1,
