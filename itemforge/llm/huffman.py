@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itemforge.llm import textkit as tk
-from itemforge.llm.shared import pick, table_bytes, written
+from itemforge.llm.shared import ROW_GROUP, pick, table_bytes, written
 from itemforge.llm.wordbpe import word_bpe
 
 LIMIT = 16
 STEP = 128
 BLOCK_IDS = 1 << 16
 LANE_IDS = 1 << 18
-PART_BYTES = 64 << 20
+PART_BYTES = 32 << 20
 MOST_PARTS = 20_000
 
 
@@ -267,7 +267,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id_c
     coded = tokens.mapInArrow(encode, f"part int, tie long, id {kind}, n_tokens long, code binary, marks binary")
     ordered = coded.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", "id", "tie", "n_tokens", "code")
     made = ordered.mapInArrow(blocks, f"part int, block int, first long, ids array<{kind}>, n_tokens array<long>, at array<long>, payload binary, marks binary")
-    made.write.parquet(f"{path}/blocks")
+    made.write.option("parquet.block.size", ROW_GROUP).parquet(f"{path}/blocks")
 
 
 def id_bounds(tokens: DataFrame) -> np.ndarray:

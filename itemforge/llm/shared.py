@@ -16,6 +16,8 @@ from itemforge.llm.textkit import mix
 
 #: A table is sent to every executor only if its files are no larger than this; else it is shuffled.
 BROADCAST_BYTES = 8 << 20
+#: Bytes of a row group of a written table: writers and readers hold one in memory.
+ROW_GROUP = 8 << 20
 #: Bits of a seed filter: 16 a seed, within these bounds (at most 128 MB a worker).
 FILTER_BITS = (1 << 16, 1 << 30)
 #: A seed of more than this many rows, and of more than a thousandth of all, is dealt over several tasks.
@@ -35,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as a Parquet table in the shared folder and read it back."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **{"parquet.block.size": ROW_GROUP}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
