@@ -34,6 +34,7 @@ PER_GROUP = 4
 FULL = 60_000
 NODE = 32
 SMALL = 8
+HOT_ROWS = 20_000
 BLOCK = 1024
 BLOCK_MEMBERS = 300_000
 PIVOTS = 8
@@ -128,39 +129,38 @@ def may_link(over: np.ndarray, total: np.ndarray, similarity: tuple[int, int]) -
 
 
 class Tree:
-    """A packed R-tree of boxes with sizes: points are boxes whose corners meet."""
+    """A packed R-tree of points with sizes; a node's box is told by its upper corner."""
 
-    def __init__(self, low: np.ndarray, high: np.ndarray, corner: np.ndarray, similarity: tuple[int, int]):
-        order = np.lexsort((corner[:, 0], corner[:, 1] // 4, low))
+    def __init__(self, size: np.ndarray, corner: np.ndarray, similarity: tuple[int, int]):
+        order = np.lexsort((corner[:, 0], corner[:, 1] // 4, size))
         self.order, self.similarity = order, similarity
-        self.low, self.high, self.corner = low[order], high[order], corner[order].astype(np.int32)
+        self.size, self.corner = size[order], corner[order]
         at = np.arange(0, len(order), NODE)
-        self.node_low = np.minimum.reduceat(self.low, at)
-        self.node_high = np.maximum.reduceat(self.high, at)
+        self.node_low = np.minimum.reduceat(self.size, at)
+        self.node_high = np.maximum.reduceat(self.size, at)
         self.node_corner = np.maximum.reduceat(self.corner, at, axis=0)
 
-    def search(self, low: int, high: int, q: np.ndarray, open_: np.ndarray) -> np.ndarray:
-        """Places (in the input) of open entries that may link with a box; ``open_`` is by place."""
+    def search(self, size: int, q: np.ndarray, open_: np.ndarray) -> np.ndarray:
+        """Places (in the input) of open points that may link with a point; ``open_`` is by place."""
         a, b = self.similarity
-        fits = (b * self.node_high >= a * low) & (a * self.node_low <= b * high)
-        nodes = np.flatnonzero(fits)
-        nodes = nodes[may_link(np.minimum(self.node_corner[nodes], q).sum(1), self.node_low[nodes] + low, self.similarity)]
+        nodes = np.flatnonzero((b * self.node_high >= a * size) & (a * self.node_low <= b * size))
+        nodes = nodes[may_link(np.minimum(self.node_corner[nodes], q).sum(1), self.node_low[nodes] + size, self.similarity)]
         if not len(nodes):
             return nodes
         at = (nodes[:, None] * NODE + np.arange(NODE)).ravel()
         at = at[at < len(self.order)]
         at = at[open_[self.order[at]]]
-        at = at[(b * self.high[at] >= a * low) & (a * self.low[at] <= b * high)]
-        return self.order[at[may_link(np.minimum(self.corner[at], q).sum(1), self.low[at] + low, self.similarity)]]
+        at = at[(b * self.size[at] >= a * size) & (a * self.size[at] <= b * size)]
+        return self.order[at[may_link(np.minimum(self.corner[at], q).sum(1), self.size[at] + size, self.similarity)]]
 
 
 class Points:
-    """Boxes with sizes and points of several resolutions."""
+    """Sets' sizes and points of several resolutions."""
 
-    def __init__(self, low: np.ndarray, high: np.ndarray, raw: np.ndarray, off: np.ndarray, similarity: tuple[int, int]):
-        self.low, self.high, self.similarity = low, high, similarity
+    def __init__(self, size: np.ndarray, raw: np.ndarray, off: np.ndarray, similarity: tuple[int, int]):
+        self.size, self.similarity = size, similarity
         self.groups = np.diff(off)
-        self.place = np.zeros(len(low), dtype=np.int64)
+        self.place = np.zeros(len(size), dtype=np.int64)
         self.by: dict[int, np.ndarray] = {}
         for g in np.unique(self.groups).tolist():
             rows = np.flatnonzero(self.groups == g)
@@ -173,7 +173,7 @@ class Points:
         return folded(self.by[g][self.place[rows]], groups)
 
     def pairs(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Whether the bound leaves each pair."""
+        """Whether the bound leaves each pair; it is taken at the coarser resolution of the two."""
         out = np.zeros(len(i), dtype=bool)
         tag = self.groups[i] * (2 * MOST_GROUPS) + self.groups[j]
         for t in np.unique(tag):
@@ -182,48 +182,39 @@ class Points:
             for k in range(0, len(own), max(1, (1 << 21) // g)):
                 x = own[k : k + max(1, (1 << 21) // g)]
                 over = np.minimum(self.at(i[x], g), self.at(j[x], g)).sum(1)
-                out[x] = may_link(over, self.low[i[x]] + self.low[j[x]], self.similarity)
+                out[x] = may_link(over, self.size[i[x]] + self.size[j[x]], self.similarity)
         return out
 
-    def forest(self, rows: np.ndarray, boxes: bool) -> tuple[np.ndarray, np.ndarray]:
+    def forest(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A spanning forest of all pairs among the rows that may link.
 
-        A pair is compared at the coarser resolution of the two. A tree of each resolution holds its
-        own points and the folded ones of the next, as sets that link have at most a factor of two
-        between their groups; with ``boxes``, whose members differ in size, those of all finer ones.
+        Sets that link have at most a factor of two between their groups: a tree of each resolution
+        holds its own points and the folded ones of the next.
         """
-        kinds = sorted(set(self.groups[rows].tolist()))
-        trees = {}
-        for g in kinds:
-            finer = [h for h in kinds if h >= g] if boxes else (g, 2 * g)
-            parts = [rows[self.groups[rows] == h] for h in finer]
-            parts = [x for x in parts if len(x)]
+        trees, where = {}, {}
+        for g in sorted(set(self.groups[rows].tolist())):
+            parts = [x for x in (rows[self.groups[rows] == h] for h in (g, 2 * g)) if len(x)]
             member = np.concatenate(parts)
-            trees[g] = (member, Tree(self.low[member], self.high[member], np.concatenate([self.at(x, g) for x in parts]), self.similarity))
-        open_ = {r: True for r in rows.tolist()}
-        masks = {g: np.ones(len(m), dtype=bool) for g, (m, _) in trees.items()}
-        where: dict[int, list[tuple[int, int]]] = {}
-        for g, (m, _) in trees.items():
-            for k, r in enumerate(m.tolist()):
+            trees[g] = (member, Tree(self.size[member], np.concatenate([self.at(x, g) for x in parts]), self.similarity), np.ones(len(member), dtype=bool))
+            for k, r in enumerate(member.tolist()):
                 where.setdefault(r, []).append((g, k))
-        a, b = [], []
+        a, b, done = [], [], set()
 
         def close(r: int) -> None:
-            open_[r] = False
+            done.add(r)
             for g, k in where[r]:
-                masks[g][k] = False
+                trees[g][2][k] = False
 
         for s in rows.tolist():
-            if not open_[s]:
+            if s in done:
                 continue
             close(s)
             queue = [s]
             while queue:
                 i = queue.pop()
-                one = np.array([i])
                 for g, _ in where[i]:
-                    m, tree = trees[g]
-                    got = m[tree.search(int(self.low[i]), int(self.high[i]), self.at(one, g)[0], masks[g])]
+                    member, tree, open_ = trees[g]
+                    got = member[tree.search(int(self.size[i]), self.at(np.array([i]), g)[0], open_)]
                     if g < self.groups[i]:
                         got = got[self.groups[got] == g]
                     for r in got.tolist():
@@ -282,8 +273,12 @@ def exact_forest(sets: list[np.ndarray], similarity: tuple[int, int], queries: i
     return left, right
 
 
-def scan(docs: DataFrame, similarity: tuple[int, int]) -> tuple[DataFrame, bool]:
-    """One written table: rows with ``token`` send a set's point to a tree, rows without tell each document's set."""
+def scan(docs: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """One written table: rows with ``token`` send a set's point to a tree, rows without tell each document's set.
+
+    A hot token's points are dealt to blocks and each pair of blocks is a tree, so that no task holds
+    more than two blocks of them.
+    """
 
     def tokens(batches):
         import pyarrow as pa
@@ -298,7 +293,7 @@ def scan(docs: DataFrame, similarity: tuple[int, int]) -> tuple[DataFrame, bool]
                 key, count = np.unique(flat[np.repeat(fresh, n)], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count)], ["key", "n"])
 
-    wanted = seed_filter(docs.select("text").mapInArrow(tokens, "key long, n long"), "shingles")
+    wanted = seed_filter(docs.select("text").mapInArrow(tokens, "key long, n long"), "shingles", HOT_ROWS, HOT_ROWS)
     names = ["token", "salt", "set_key", "size", "point", "ord", "text_key"]
 
     def rows(batches):
@@ -317,12 +312,15 @@ def scan(docs: DataFrame, similarity: tuple[int, int]) -> tuple[DataFrame, bool]
                 yes = np.repeat(_fresh(x.key, known), n) & wanted.holds(flat)
                 flat, row = flat[yes], row[yes]
                 points, cut = x.points()
+                own, parts = wanted.salt(flat, x.key[row]), wanted.split(flat)
+                other = tk.spread(np.zeros(len(row), np.int64), parts)
+                flat, row, own, parts = (np.repeat(y, parts) for y in (flat, row, own, parts))
+                salt = np.where(own < 0, -1, np.minimum(own, other) * parts + np.maximum(own, other)).astype(np.int32)
                 k, length = len(row), np.diff(cut)[row]
-                salt = wanted.salt(flat, x.key[row])
                 raw = tk.binary_array(points[tk.spread(cut[row], length)], np.concatenate([[0], np.cumsum(length)]))
                 yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(salt), pa.array(x.key[row].view(np.int64)), pa.array(x.size[row]), raw, pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names)
 
-    return written(docs.select("ord", "text_key", "text").mapInArrow(rows, "token long, salt int, set_key long, size long, point binary, ord long, text_key long"), "sets"), bool(len(wanted.hot))
+    return written(docs.select("ord", "text_key", "text").mapInArrow(rows, "token long, salt int, set_key long, size long, point binary, ord long, text_key long"), "sets")
 
 
 def _fresh(keys: np.ndarray, known: set[int]) -> np.ndarray:
@@ -337,28 +335,24 @@ def _fresh(keys: np.ndarray, known: set[int]) -> np.ndarray:
     return out
 
 
-def candidate_edges(points: DataFrame, similarity: tuple[int, int], hot: bool) -> DataFrame:
+def candidate_edges(points: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """(a, b): spanning forests of the pairs in each tree that the bound leaves."""
 
-    names = ["a", "b", "token", "low", "high", "point"]
-
-    def forest(batches, boxes: bool = False):
+    def forest(batches):
         import pyarrow as pa
 
-        for parts in tk.whole_groups(batches, ["token", "salt"], "point", 1 << 21):
-            t = pa.Table.from_batches(parts).combine_chunks()
-            token, key = np.asarray(t.column("token")), np.asarray(t.column("set_key"))
-            salt, low, high = np.asarray(t.column("salt")), np.asarray(t.column("low")), np.asarray(t.column("high"))
+        for held in tk.whole_groups(batches, ["token", "salt"], "point", 1 << 21):
+            t = pa.Table.from_batches(held).combine_chunks()
+            token, key, salt = np.asarray(t.column("token")), np.asarray(t.column("set_key")), np.asarray(t.column("salt"))
             order = np.lexsort((key, salt, token))
             token, key, salt = token[order], key[order], salt[order]
             new = np.ones(len(token), dtype=bool)
             new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]) | (key[1:] != key[:-1])
             order, token, key, salt = order[new], token[new], key[new], salt[new]
-            low, high = low[order], high[order]
-            raw, off = tk.column_bytes(t.column("point"))
-            raw, off = (raw.view("<u2"), off // 2) if boxes else unpacked(raw, off)
+            count = np.asarray(t.column("size"))[order]
+            raw, off = unpacked(*tk.column_bytes(t.column("point")))
             length = np.diff(off)[order]
-            x = Points(low, high, raw[tk.spread(off[order], length)], np.concatenate([[0], np.cumsum(length)]), similarity)
+            x = Points(count, raw[tk.spread(off[order], length)], np.concatenate([[0], np.cumsum(length)]), similarity)
             head = np.ones(len(token), dtype=bool)
             head[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
             start = np.flatnonzero(head)
@@ -369,50 +363,18 @@ def candidate_edges(points: DataFrame, similarity: tuple[int, int], hot: bool) -
             a, b = [], []
             for d in range(1, SMALL):
                 i = np.flatnonzero(small[:-d] & (group[d:] == group[:-d])) if len(group) > d else np.empty(0, np.int64)
-                i = i[(q * high[i + d] >= p * low[i]) & (q * high[i] >= p * low[i + d])]
+                i = i[(q * count[i + d] >= p * count[i]) & (q * count[i] >= p * count[i + d])]
                 i = i[x.pairs(i, i + d)]
                 a.append(i), b.append(i + d)
             for g in np.flatnonzero(size > SMALL):
-                y, z = x.forest(np.arange(start[g], start[g] + size[g]), boxes)
+                y, z = x.forest(np.arange(start[g], start[g] + size[g]))
                 a.append(y), b.append(z)
             a = np.concatenate(a) if a else np.empty(0, np.int64)
             b = np.concatenate(b) if b else np.empty(0, np.int64)
-            k = len(a)
-            yield pa.RecordBatch.from_arrays([pa.array(key[a]), pa.array(key[b]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names)
-            for g in np.flatnonzero(salt[start] >= 0):  # a hot token's part: its trees as boxes
-                s = np.arange(start[g], start[g] + size[g])
-                root = _roots(s, a, b)
-                for r in np.unique(root):
-                    own = s[root == r]
-                    least = int(x.groups[own].min())
-                    corner = np.max([x.at(own[x.groups[own] == g2], least).max(0) for g2 in np.unique(x.groups[own])], axis=0)
-                    corner = corner if (corner < FULL).all() else np.full(least, FULL)
-                    yield pa.RecordBatch.from_arrays([pa.array(key[[r]]), pa.nulls(1, pa.int64()), pa.array(token[[r]]), pa.array([int(low[own].min())], pa.int64()), pa.array([int(high[own].max())], pa.int64()), pa.array([corner.astype("<u2").tobytes()], pa.binary())], names)
-
-    kind = "a long, b long, token long, low long, high long, point binary"
-    src = points.select("token", "salt", "set_key", F.col("size").alias("low"), F.col("size").alias("high"), "point")
-    found = written(src.repartition("token", "salt").sortWithinPartitions("token", "salt").mapInArrow(forest, kind), "forests")
-    edges = found.where("b IS NOT NULL").select("a", "b")
-    if hot:
-        boxes = found.where("b IS NULL").select("token", F.lit(-1).alias("salt"), F.col("a").alias("set_key"), "low", "high", "point")
-        edges = edges.union(boxes.repartition("token").sortWithinPartitions("token", "salt").mapInArrow(lambda x: forest(x, True), kind).select("a", "b"))
-    return edges
-
-
-def _roots(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest node of each node's tree."""
-    lo, hi = nodes[0], nodes[-1]
-    yes = (a >= lo) & (a <= hi)
-    root = np.arange(len(nodes))
-    x, y = a[yes] - lo, b[yes] - lo
-    while True:
-        least = np.minimum(root[x], root[y])
-        before = root.copy()
-        np.minimum.at(root, x, least)
-        np.minimum.at(root, y, least)
-        root = root[root]
-        if (root == before).all():
-            return nodes[root]
+            yield pa.RecordBatch.from_arrays([pa.array(key[a]), pa.array(key[b])], ["a", "b"])
+
+    src = points.select("token", "salt", "set_key", "size", "point")
+    return src.repartition("token", "salt").sortWithinPartitions("token", "salt").mapInArrow(forest, "a long, b long")
 
 
 def verified_edges(docs: DataFrame, clusters: DataFrame, similarity: tuple[int, int], block: int) -> DataFrame:
@@ -476,9 +438,9 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def grouped(docs: DataFrame, similarity: tuple[int, int], block: int, id_col: str, text_col: str) -> DataFrame:
     """(ord, text_key, size, root, least): every row's group and the smallest (ord, text_key) in it."""
     src = keyed(pick(docs, id_col, text_col).toDF("id", "text"), "id", "text").select("ord", "text_key", F.col("text").cast("binary").alias("text"))
-    table, hot = scan(src, similarity)
+    table = scan(src, similarity)
     members = table.where("token IS NULL").select("ord", "text_key", "set_key", "size")
-    near = components(candidate_edges(table.where("token IS NOT NULL"), similarity, hot), "near").select(F.col("node").alias("set_key"), F.col("root").alias("cluster"))
+    near = components(candidate_edges(table.where("token IS NOT NULL"), similarity), "near").select(F.col("node").alias("set_key"), F.col("root").alias("cluster"))
     one = members.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("ord", "text_key")).alias("m"), F.min("size").alias("size")).select("set_key", "m.ord", "m.text_key", "size")
     clusters = written(near.join(one, "set_key").select("set_key", "cluster", "ord", "text_key", "size"), "near-sets")
     root = components(verified_edges(src, clusters, similarity, block), "links").withColumnRenamed("node", "set_key")

@@ -101,6 +101,14 @@ class SeedFilter:
         self.hot = np.array(sorted(hot), dtype=np.uint64)
         self.parts = np.array([hot[k] for k in sorted(hot)], dtype=np.uint64)
 
+    def split(self, keys: np.ndarray) -> np.ndarray:
+        """In how many parts each key is dealt."""
+        out = np.ones(len(keys), dtype=np.int64)
+        if len(self.hot) and len(keys):
+            at = np.minimum(np.searchsorted(self.hot, keys), len(self.hot) - 1)
+            out = np.where(self.hot[at] == keys, self.parts[at].astype(np.int64), 1)
+        return out
+
     def salt(self, keys: np.ndarray, by: np.ndarray) -> np.ndarray:
         """-1, or for a hot seed one of its parts, chosen by a hash."""
         out = np.full(len(keys), -1, dtype=np.int32)
@@ -122,10 +130,11 @@ class SeedFilter:
         return out
 
 
-def seed_filter(keys: DataFrame, name: str, hot_rows: int = HOT_SEED) -> SeedFilter:
+def seed_filter(keys: DataFrame, name: str, hot_rows: int = HOT_SEED, part_rows: int | None = None) -> SeedFilter:
     """``keys`` (key long, n long): a filter holding every key whose n sum to two or more.
 
-    Its hot seeds are known by name: at most a thousand, since each has a thousandth of all rows.
+    Its hot seeds are known by name: at most a thousand, since each has a thousandth of all rows. They
+    are dealt in parts of ``part_rows`` rows, by default of half the number that makes a seed hot.
 
     Counting is a map-side combined aggregate, so a hot key is no hot task. The filter is built in
     64 segments by the executors; the driver only joins bitmaps of bounded size.
@@ -133,7 +142,7 @@ def seed_filter(keys: DataFrame, name: str, hot_rows: int = HOT_SEED) -> SeedFil
     repeated = written(keys.groupBy("key").agg(F.sum("n").alias("n")).where("n >= 2"), name)
     count, rows = repeated.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     least = max(hot_rows, rows // 1000)
-    hot = {r.key % (1 << 64): -(-2 * r.n // least) for r in repeated.where(F.col("n") > least).collect()}
+    hot = {r.key % (1 << 64): -(-r.n // (part_rows or -(-least // 2))) for r in repeated.where(F.col("n") > least).collect()}
     bits = 1 << int(np.clip(16 * max(count, 1), *FILTER_BITS) - 1).bit_length()
     segment = bits // 64
 

@@ -161,7 +161,7 @@ def near_rows(seed, n=25):
 @pytest.mark.parametrize("seed, block, hot", [(1, 1024, None), (2, 1024, None), (3, 6, None), (4, 3, None), (5, 1024, 3)])
 def test_near_duplicates(spark, documents, seed, block, hot, monkeypatch):
     if hot:
-        monkeypatch.setattr(jaccard, "seed_filter", lambda k, n: shared.seed_filter(k, n, hot_rows=hot))
+        monkeypatch.setattr(jaccard, "HOT_ROWS", hot)
     rows = near_rows(seed)
     out = jaccard.near_duplicate_groups(documents(rows), block=block).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == near_groups(rows)
@@ -203,25 +203,24 @@ def test_trees_find_what_a_scan_finds():
         x.hash, x.size = np.concatenate(rows), np.array([len(r) for r in rows])
         raw, off = jaccard.unpacked(*x.points())
         assert (np.add.reduceat(raw.astype(int), off[:-1]) == x.size).all()
-        p = jaccard.Points(x.size, x.size, raw, off, (4, 5))
+        p = jaccard.Points(x.size, raw, off, (4, 5))
         i, j = (k.ravel() for k in np.meshgrid(np.arange(n), np.arange(n)))
         fits = (i < j) & (5 * x.size[i] >= 4 * x.size[j]) & (5 * x.size[j] >= 4 * x.size[i])
         i, j = i[fits], j[fits]
         same = np.array([len(np.intersect1d(rows[a], rows[b])) for a, b in zip(i, j, strict=True)])
         left = p.pairs(i, j)
         assert left[9 * same >= 4 * (x.size[i] + x.size[j])].all()
-        for boxes in (False, True):
-            a, b = p.forest(np.arange(n), boxes)
-            root = list(range(n))
-
-            def find(k):
-                while root[k] != k:
-                    k = root[k]
-                return k
-
-            for y, z in zip(a, b, strict=True):
-                root[find(y)] = find(z)
-            assert len(a) < n and all(find(y) == find(z) for y, z in zip(i[left], j[left], strict=True))
+        a, b = p.forest(np.arange(n))
+        root = list(range(n))
+
+        def find(k):
+            while root[k] != k:
+                k = root[k]
+            return k
+
+        for y, z in zip(a, b, strict=True):
+            root[find(y)] = find(z)
+        assert len(a) < n and all(find(y) == find(z) for y, z in zip(i[left], j[left], strict=True))
 
 
 @pytest.mark.parametrize("n, m", [(40, 30), (300, 250), (120, 119)])
