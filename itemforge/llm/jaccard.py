@@ -28,9 +28,9 @@ from itemforge.llm import textkit as tk
 from itemforge.llm.shared import components, pick, seed_filter, small_or_shuffled, written
 
 SHINGLE = 5
-GROUPS = 64
+GROUPS = 128
 MOST_GROUPS = 8192
-PER_GROUP = 4
+PER_GROUP = 3
 FULL = 60_000
 NODE = 32
 SMALL = 8
