@@ -51,10 +51,18 @@ def small_or_shuffled(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if table_bytes(df) <= BROADCAST_BYTES else df
 
 
+#: Rows of an Arrow batch: texts are long, and a batch is held by the JVM and by Python at once.
+BATCH_ROWS = 2000
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to executors that do not find it on their own path (once per application)."""
+    """Ready a session: batches of at most ``BATCH_ROWS`` rows, and the package sent to executors that do not find it on their own path."""
     import itemforge
 
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
     root = Path(itemforge.__file__).resolve().parent.parent
     seen = {Path(p or ".").resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]}
     if root in seen or getattr(spark.sparkContext, "_itemforge_shipped", False):
