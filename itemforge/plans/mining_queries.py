@@ -103,7 +103,7 @@ def support_fraction(s, d):
 
 
 def candidate_pairs(s, d):
-    ones = mining.frequent_itemsets(brands(s, d), MiningConfig(min_support=600 if "0.01" in d else 60, max_size=1), strategy="explode")
+    ones = mining.frequent_itemsets(brands(s, d), MiningConfig(min_support=60, max_size=1), strategy="explode")
     return mining.candidates(ones.select("dataset_id", "itemset")).select(itemset_key(F.col("itemset")).alias("itemset"))
 
 
