@@ -87,12 +87,12 @@ def fpgrowth_itemsets(s, d):
 
 
 def itemset_evidence(s, d):
-    out = mining.frequent_itemsets(brands(s, d).where("row_no < 3000"), MiningConfig(max_size=2), evidence=True, strategy="explode")
+    out = mining.frequent_itemsets(brands(s, d), MiningConfig(max_size=2), evidence=True, strategy="explode")
     return keyed(out, F.array_join("rows", ",").alias("rows")).drop("dataset_id")
 
 
 def rendered_rows(s, d):
-    out = mining.rendered(mining.frequent_itemsets(brands(s, d).where("row_no BETWEEN 1 AND 60"), MiningConfig(max_size=1), evidence=True, strategy="explode"))
+    out = mining.rendered(mining.frequent_itemsets(brands(s, d), MiningConfig(max_size=1), evidence=True, strategy="explode"))
     return out.select(itemset_key(F.col("itemset")).alias("itemset"), F.array_join("rows", ",").alias("rows"), F.array_join("unique_rows", ",").alias("unique_rows"), "unique_row_count")
 
 
@@ -147,7 +147,7 @@ def single_column_items(s, d):
 
 
 def row_text_parse(s, d):
-    o = table(s, d, "orders").where("o_orderkey < 500")
+    o = table(s, d, "orders")
     line = F.concat(F.lit("Row "), F.col("o_orderkey").cast("string"), F.lit(": "), F.col("o_orderstatus"), F.lit(", "), F.col("o_orderpriority"))
     text = o.groupBy("o_custkey").agg(F.array_join(F.collect_list(line), "\n").alias("text"))
     out = readers.row_text(text, "text", ("o_custkey",))
@@ -187,7 +187,7 @@ def text_signature(s, d):
 
 def set_ops(s, d):
     b = brands(s, d)
-    even, odd = (b.where(f"row_no % 2 = {r} AND row_no < 200").select("item").distinct() for r in (0, 1))
+    even, odd = (b.where(f"row_no % 2 = {r}").select("item").distinct() for r in (0, 1))
     out = [even.intersect(odd).select(F.lit("both").alias("op"), "item"), even.subtract(odd).select(F.lit("even only").alias("op"), "item"), odd.subtract(even).select(F.lit("odd only").alias("op"), "item"), even.union(odd).distinct().select(F.lit("any").alias("op"), "item")]
     return readers.union_all(out)
 

@@ -41,3 +41,26 @@ def test_candidate_pairs_by_any_path(spark, tmp_path, folder):
     d = str(tmp_path / folder)
     baskets(spark, d, {"A": 100, "B": 60, "C": 59, "D": 700})
     assert sorted(r.itemset for r in catalog.queries()["candidate_pairs"](spark, d).collect()) == ["a|b", "a|d", "b|d"]
+
+
+#: Filters on ids that stand in the SQL of some queries.
+ID_FILTERS = (r"(?<= part)( WHERE p_partkey < \d+)", r"(?<= orders)( WHERE o_orderkey < \d+)", r"( WHERE l_orderkey (< \d+|BETWEEN \d+ AND \d+))", r"( WHERE row_no < \d+)(?! AND)", r"( AND row_no < \d+)", r"( LIMIT 40)$")
+
+
+def unfiltered(name):
+    sql = catalog.oracle_sql()[name]
+    for f in ID_FILTERS:
+        sql = re.sub(f, "", sql)
+    return sql
+
+
+@pytest.mark.parametrize("name", ["itemset_evidence", "rendered_rows", "row_text_parse"])
+def test_sources_whole(spark, duck, name):
+    matches(spark, duck, name, unfiltered(name))
+
+
+def test_set_ops_beyond_first_rows(spark, tmp_path):
+    d = str(tmp_path / "t")
+    baskets(spark, d, {"A": 2, "B": 1}, first=5000)
+    got = sorted(tuple(r) for r in catalog.queries()["set_ops"](spark, d).collect())
+    assert got == [("any", "a"), ("any", "b"), ("both", "a"), ("even only", "b")]
