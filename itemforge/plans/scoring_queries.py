@@ -46,7 +46,7 @@ def count_accuracy(s, d):
 
 
 def ungrounded_claims(s, d):
-    vocabulary = brands(s, d, DATASETS).where("row_no < 40").select("dataset_id", "item").distinct()
+    vocabulary = brands(s, d, DATASETS).select("dataset_id", "item").distinct()
     return scoring.ungrounded(_claimed(s, d), vocabulary)
 
 
@@ -62,7 +62,7 @@ def size_averages(s, d):
 
 
 def failure_triage(s, d):
-    vocabulary = brands(s, d, DATASETS).where("row_no < 40").select("dataset_id", "item").distinct()
+    vocabulary = brands(s, d, DATASETS).select("dataset_id", "item").distinct()
     return scoring.triage(scoring.metrics(_truth(s, d), _claimed(s, d), vocabulary)).select("dataset_id", "claims", "ungrounded")
 
 
@@ -70,7 +70,7 @@ def itemset_differences(s, d):
     def small(x, factor):
         return mining.frequent_itemsets(x, MiningConfig(max_size=1), evidence=True, strategy="explode").withColumn("count", F.col("count") + factor)
 
-    b = brands(s, d, DATASETS).where("row_no < 600")
+    b = brands(s, d, DATASETS)
     out = scoring.differences(small(b, 0), small(b.where("row_no % 3 <> 0 OR item > 'brand#2'"), F.when(F.col("dataset_id") == "5-LOW", 1).otherwise(0)))
     return out.groupBy("dataset_id", "problem").agg(F.count("*").alias("n"))
 
@@ -83,31 +83,30 @@ def label_scoring(s, d):
 
 
 def _claims_of_brands(s, d):
-    """Claims as model text: for each brand of the first orders, its even rows, row 1 and row 9999."""
-    b = brands(s, d).where("row_no BETWEEN 1 AND 400")
-    rows = F.concat(F.array_sort(F.collect_list("row_no")), F.array(F.lit(1), F.lit(9999)))
+    """Rows, claims and row totals. Claims as model text: for each brand of the orders, rows counted from 1, its even rows, row 1 and a row beyond the last."""
+    b = brands(s, d).withColumn("row_no", F.col("row_no") + 1)
+    totals = table(s, d, "orders").agg((F.max("o_orderkey") + 1).cast("int").alias("total_rows")).select(F.lit("all").alias("dataset_id"), "total_rows")
+    rows = F.concat(F.array_sort(F.collect_list("row_no")), F.array(F.lit(1), F.first("total_rows") + 1))
     rec = F.struct(F.array("item").alias("itemset"), F.col("n").alias("count"), F.transform("r", row_label).alias("evidence_rows"))
-    each = b.where("row_no % 2 = 0").groupBy("dataset_id", "item").agg(F.count("*").alias("n"), rows.alias("r"))
+    each = b.where("row_no % 2 = 0").join(F.broadcast(totals), "dataset_id").groupBy("dataset_id", "item").agg(F.count("*").alias("n"), rows.alias("r"))
     raw = each.groupBy("dataset_id").agg(F.concat(F.lit("<think>[1]</think> Found: "), F.to_json(F.collect_list(rec))).alias("raw"))
     parsed = claims.parse_claims(raw.withColumn("source", F.lit("llm")), "repair", ("dataset_id", "source"))
-    return b, parsed.select("dataset_id", "source", "claim_idx", "rec")
+    return b, parsed.select("dataset_id", "source", "claim_idx", "rec"), totals
 
 
 def claim_validation(s, d):
-    b, c = _claims_of_brands(s, d)
-    totals = s.createDataFrame([("all", 400)], "dataset_id string, total_rows int")
+    b, c, totals = _claims_of_brands(s, d)
     return validation.errors(c, b, totals, 8).groupBy("source", "type").agg(F.count("*").alias("n"))
 
 
 def validation_report(s, d):
-    b, c = _claims_of_brands(s, d)
-    totals = s.createDataFrame([("all", 400)], "dataset_id string, total_rows int")
+    b, c, totals = _claims_of_brands(s, d)
     return validation.report(c, validation.errors(c, b, totals, 8)).select("dataset_id", "source", "total_itemsets", "validated_itemsets", "errors", "valid_ratio")
 
 
 def chunk_merge(s, d):
     """Rows of orders claimed chunk by chunk with rows counted from 1 in each chunk, made absolute and merged."""
-    o = table(s, d, "orders").where("o_orderkey < 500").select((F.col("o_orderkey") + 1).alias("row_no"), F.lower("o_orderstatus").alias("status"))
+    o = table(s, d, "orders").select((F.col("o_orderkey") + 1).alias("row_no"), F.lower("o_orderstatus").alias("status"))
     o = o.withColumn("chunk_no", F.floor((F.col("row_no") - 1) / 50).cast("int"))
     rec = F.struct(F.array("status").alias("itemset"), F.size("r").alias("count"), F.transform("r", lambda i: i).alias("rows"))
     per = o.groupBy("chunk_no", "status").agg(F.array_sort(F.collect_list((F.col("row_no") - F.col("chunk_no") * 50).cast("int"))).alias("r"))
@@ -118,7 +117,7 @@ def chunk_merge(s, d):
 
 def json_extraction(s, d):
     """Whether and how a list is found in texts of several forms, by mode."""
-    p = table(s, d, "part").where("p_partkey < 60")
+    p = table(s, d, "part")
     body = F.concat(F.lit('[{"itemset": ["'), F.col("p_brand"), F.lit('"], "count": '), F.col("p_size").cast("string"), F.lit("}]"))
     form = F.col("p_partkey") % 6
     raw = F.when(form == 0, body).when(form == 1, F.concat(F.lit("<think>a [1] b</think>\n"), body)).when(form == 2, F.concat(F.lit("Here: "), body, F.lit(" done"))).when(form == 3, F.lit('[{"itemset": ["a"')).when(form == 4, F.lit("<think>[1]</think> none")).otherwise("")
@@ -130,7 +129,7 @@ def json_extraction(s, d):
 
 
 def _completions(s, d):
-    p = table(s, d, "part").where("p_partkey < 200")
+    p = table(s, d, "part")
     rec = F.concat(F.lit('{"itemset": ["'), F.col("p_brand"), F.lit('"], "count": '), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 3 == 0, ', "rows": []').otherwise(""), F.lit("}"))
     text = F.when(F.col("p_partkey") % 7 == 0, F.lit("no answer")).otherwise(F.concat(F.lit("<think>count "), F.repeat(F.lit("x"), F.col("p_size")), F.lit("</think>["), rec, F.lit("]")))
     truth = F.concat(F.lit('[{"itemset": ["'), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise("other"), F.lit('"], "count": 10}, {"itemset": ["Brand#1"], "count": 10}]'))
