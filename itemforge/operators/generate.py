@@ -81,8 +81,17 @@ def add_noise(transactions: DataFrame, ratio: float = 0.1, seed: int = 42) -> Da
     more = shape.withColumn("k", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.col("rows") * ratio).cast("int")))))
     width = F.least(F.lit(5), F.col("words")) - 1
     more = more.withColumn("n", (2 + F.floor(uniform(F.col("dataset_id"), F.col("k"), F.lit("n"), seed=seed) * width)).cast("int"))
-    w = Window.partitionBy("dataset_id", "k").orderBy(uniform(F.col("dataset_id"), F.col("k"), F.col("item"), seed=seed), "item")
-    drawn = more.join(vocabulary, "dataset_id").withColumn("_r", F.row_number().over(w)).where("_r <= n")
+
+    def draw(chosen: Column, j: Column) -> Column:
+        """Floyd's sampling: a place up to the j-th last, or that one itself if the place is taken."""
+        last = F.col("words") - F.col("n") + j
+        place = F.floor(uniform(F.col("dataset_id"), F.col("k"), j, seed=seed) * (last + 1))
+        return F.concat(chosen, F.array(F.when(F.array_contains(chosen, place), last).otherwise(place)))
+
+    places = F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), F.array().cast("array<bigint>"), draw)
+    w = Window.partitionBy("dataset_id").orderBy("item")
+    ranked = vocabulary.withColumn("_i", F.row_number().over(w) - F.lit(1).cast("long"))
+    drawn = more.withColumn("_i", F.explode(places)).join(ranked, ["dataset_id", "_i"])
     place = uniform(F.col("dataset_id"), F.col("k"), F.lit("p"), seed=seed) * F.col("rows")
     rows = drawn.groupBy("dataset_id", "k", "rows").agg(F.collect_list("item").alias("items")).select("dataset_id", place.alias("at"), "items")
     return renumbered(transactions.select("dataset_id", F.col("row_no").cast("double").alias("at"), "items").unionByName(rows), "at").select("dataset_id", "row_no", "items")

@@ -225,7 +225,7 @@ def shuffled_rows(s, d):
 
 
 def noise_rows(s, d):
-    return generate.add_noise(_orders(s, d).where("row_no < 300"), 0.15).groupBy("dataset_id").agg(F.count("*").alias("rows"))
+    return generate.add_noise(_orders(s, d), 0.15).groupBy("dataset_id").agg(F.count("*").alias("rows"))
 
 
 def variation_mix(s, d):
@@ -237,12 +237,12 @@ def holdout_split(s, d):
 
 
 def wide_rows(s, d):
-    b = brands(s, d).where("row_no < 200").groupBy("dataset_id", "row_no").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    b = brands(s, d).groupBy("dataset_id", "row_no").agg(F.array_sort(F.collect_list("item")).alias("items"))
     return generate.wide_rows(b, 4).drop("dataset_id")
 
 
 def csv_hash(s, d):
-    o = _orders(s, d).where("row_no < 200").withColumn("items", F.slice("items", 1, 2))
+    o = _orders(s, d).withColumn("items", F.slice("items", 1, 2))
     return generate.csv_text(o).select("dataset_id", F.sha2("csv", 256).alias("sha"), "hash")
 
 
@@ -256,8 +256,7 @@ def generation_log(s, d):
 
 
 def topped_up(s, d):
-    x = _orders(s, d).where("row_no < 20")
-    return generate.topped_up(x, 12).groupBy("dataset_id").agg(F.count("*").alias("rows"))
+    return generate.topped_up(_orders(s, d), 12).groupBy("dataset_id").agg(F.count("*").alias("rows"))
 
 
 def generated_frequency(s, d):
@@ -271,18 +270,18 @@ def seeded_sample(s, d):
 
 
 def dataset_text(s, d):
-    out = export.dataset_text(_orders(s, d).where("row_no < 400").withColumn("items", F.slice("items", 1, 2)))
+    out = export.dataset_text(_orders(s, d).withColumn("items", F.slice("items", 1, 2)))
     return out.select("dataset_id", "n_rows", F.sha2("text", 256).alias("sha"))
 
 
 def ground_truth_json(s, d):
-    b = brands(s, d, "o_orderpriority").where("row_no < 120")
+    b = brands(s, d, "o_orderpriority")
     out = export.truth_json(mining.frequent_itemsets(b, MiningConfig(max_size=1), evidence=True, strategy="explode"))
     return out.select("dataset_id", "n_itemsets", F.regexp_replace("ground_truth", " ", "").alias("truth"))
 
 
 def _records(s, d):
-    t = _orders(s, d).where("row_no < 250").withColumn("items", F.slice("items", 1, 1))
+    t = _orders(s, d).withColumn("items", F.slice("items", 1, 1))
     shapes = t.groupBy("dataset_id").agg(F.count("*").cast("int").alias("n_rows"), F.lit(1).alias("n_cols"), F.lit(3).alias("min_support"))
     mined = mining.frequent_itemsets(mining.to_baskets(t), evidence=True, strategy="explode")
     return t, shapes, mined
@@ -301,7 +300,7 @@ def sft_records(s, d):
 
 def ordered_itemsets(s, d):
     mined = mining.frequent_itemsets(brands(s, d), MiningConfig(max_size=2), strategy="explode")
-    return profiling.ordered(mined).limit(40).select(F.col("size").cast("long").alias("size"), itemset_key(F.col("itemset")).alias("itemset"), "count")
+    return profiling.ordered(mined).select(F.col("size").cast("long").alias("size"), itemset_key(F.col("itemset")).alias("itemset"), "count")
 
 
 def row_labels(s, d):

@@ -1,6 +1,7 @@
 """Registered queries over all rows of their tables, where they once took a part."""
 
 import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -83,3 +84,39 @@ def test_claims_of_all_rows(spark):
     assert totals.first().total_rows == spark.read.parquet(f"{DATA}/orders.parquet").count()
     listed = c.selectExpr("size(try_variant_get(rec, '$.evidence_rows', 'array<variant>')) AS n").selectExpr("sum(n) AS n").first().n
     assert listed == b.where("row_no % 2 = 0").count() + 2 * c.count()
+
+
+@pytest.mark.parametrize("name", ["noise_rows", "wide_rows", "csv_hash", "topped_up", "dataset_text", "ground_truth_json", "ordered_itemsets"])
+def test_records_whole(spark, duck, name):
+    matches(spark, duck, name, unfiltered(name))
+
+
+def test_ordered_itemsets_in_order(spark, duck):
+    got = [(r["size"], r["itemset"], r["count"]) for r in catalog.queries()["ordered_itemsets"](spark, DATA).collect()]
+    assert len(got) == 325 and got == sorted(got, key=lambda r: (r[0], -r[2], r[1].replace("|", ",")))
+
+
+def test_training_records_of_all_rows(spark, duck):
+    rows_of = dict(duck.execute("SELECT o_orderpriority, count(*) FROM orders GROUP BY ALL").fetchall())
+    text = {r.dataset_id: r.cot for r in catalog.queries()["reasoning_text"](spark, DATA).collect()}
+    assert text.keys() == rows_of.keys() and all(text[k].startswith(f"Dataset: {n} rows,") for k, n in rows_of.items())
+
+
+def test_sft_records_take_whole_data_sets_or_none(spark, tmp_path):
+    d = str(tmp_path / "t")
+    orders = [(1000 + i, "LOW", 1, "F") for i in range(30)] + [(5000 + i, "HIGH", 1, "F") for i in range(3000)]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderpriority string, o_custkey long, o_orderstatus string").write.parquet(f"{d}/orders.parquet")
+    got = catalog.queries()["sft_records"](spark, d).collect()
+    assert [(r.dataset_id, r.n_itemsets) for r in got] == [("LOW", 1)]
+
+
+def test_noise_draws_without_vocabulary_for_each_row(spark):
+    from itemforge.operators import generate
+
+    x = spark.createDataFrame([("d", i, [f"a:{i}", f"b:{i % 3}"]) for i in range(200)], "dataset_id string, row_no long, items array<string>")
+    before, after = (Counter(tuple(r["items"]) for r in df.collect()) for df in (x, generate.add_noise(x, 0.5)))
+    words = {v for row in before for v in row}
+    noise = list((after - before).elements())
+    assert not before - after and len(noise) == 100
+    assert all(2 <= len(v) <= 5 and len(set(v)) == len(v) and set(v) <= words for v in noise)
+    assert {len(v) for v in noise} == {2, 3, 4, 5} and len({w for v in noise for w in v}) > 100
