@@ -182,7 +182,7 @@ def chunk_assignment(s, d):
 
 
 def text_signature(s, d):
-    return table(s, d, "documents").select("doc_id", prefix_signature(F.col("text"), 40).alias("prefix"))
+    return table(s, d, "documents").select("doc_id", prefix_signature(F.col("text")).alias("prefix"))
 
 
 def set_ops(s, d):

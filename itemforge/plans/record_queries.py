@@ -126,7 +126,7 @@ def gate_budgets(s, d):
 def think_split(s, d):
     c = table(s, d, "conversations")
     tail = F.when(F.col("turn") % 3 == 0, F.lit("")).otherwise("</think> answer</think> end")
-    text = F.concat(F.lit("<think>"), F.left("text", F.lit(30)), tail)
+    text = F.concat(F.lit("<think>"), F.col("text"), tail)
     return c.select("conv_id", "turn", after_think(text).alias("first"), after_think(text, last=True).alias("last"), think_text(text).alias("think"))
 
 
@@ -151,11 +151,11 @@ def name_dimensions(s, d):
 
 
 def diversity_report(s, d):
-    return profiling.diversity(table(s, d, "documents"), chars=40)
+    return profiling.diversity(table(s, d, "documents"))
 
 
 def top_prefixes(s, d):
-    return profiling.top_prefixes(table(s, d, "documents"), 5, chars=40)
+    return profiling.top_prefixes(table(s, d, "documents"), 5)
 
 
 def _sized(s, d):

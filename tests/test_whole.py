@@ -120,3 +120,21 @@ def test_noise_draws_without_vocabulary_for_each_row(spark):
     assert not before - after and len(noise) == 100
     assert all(2 <= len(v) <= 5 and len(set(v)) == len(v) and set(v) <= words for v in noise)
     assert {len(v) for v in noise} == {2, 3, 4, 5} and len({w for v in noise for w in v}) > 100
+
+
+@pytest.mark.parametrize("name", ["think_split", "text_signature", "diversity_report", "top_prefixes"])
+def test_texts_whole(spark, duck, name):
+    matches(spark, duck, name, catalog.oracle_sql()[name].replace("left(text, 30)", "text").replace(", 40)", ", 120)"))
+
+
+def test_tags_and_prefixes_past_the_start(spark, tmp_path):
+    d, long = str(tmp_path / "t"), "word " * 10
+    talk = [(1, 0, f"{long}\nmore</think> said"), (2, 1, f"{long}\nmore")]
+    spark.createDataFrame(talk, "conv_id long, turn int, text string").write.parquet(f"{d}/conversations.parquet")
+    got = {r.conv_id: (r.first, r.last, r.think) for r in catalog.queries()["think_split"](spark, d).collect()}
+    assert got == {1: (" said", " said", f"{long}\nmore"), 2: (" answer</think> end", " end", f"{long}\nmore")}
+    texts = [(1, f"{long}one"), (2, f"{long}two"), (3, f"{long * 3}one"), (4, f"{long * 3}two")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    assert catalog.queries()["diversity_report"](spark, d).first().unique_prefixes == 3
+    assert len(catalog.queries()["top_prefixes"](spark, d).collect()) == 3
+    assert catalog.queries()["text_signature"](spark, d).select("prefix").distinct().count() == 3
