@@ -8,7 +8,8 @@ its table distance is at most the threshold distance plus its own quantisation e
 nothing; survivors are ranked by exact cosine in double precision.
 
 Centroids and codebooks are fitted on a bounded sample (``SAMPLE`` vectors, those with the smallest
-hashes); every vector is indexed.  Equal vectors of a label are one entry with a multiplicity, and a
+hashes), for each vector length on its own; a length that the sample lacks has one list. Every vector
+is indexed.  Equal vectors of a label are one entry with a multiplicity, and a
 list of more than ``BLOCK`` entries is split into blocks, so no group grows with the data.  Links
 are not written out: each block yields counts and a spanning forest of what it found.
 """
@@ -48,6 +49,17 @@ def nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.sqrt(np.maximum(d[np.arange(len(x)), at] + (x * x).sum(1), 0))
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two each, so that squares of their components stay in range."""
+    v = v.astype(np.float64)
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1, keepdims=True))[1])
+
+
+def units(v: np.ndarray) -> np.ndarray:
+    v = scaled(v)
+    return v / np.sqrt((v * v).sum(1, keepdims=True))
+
+
 class Index:
     def __init__(self, sample: np.ndarray, lists: int, threshold: float):
         self.dim = sample.shape[1]
@@ -93,13 +105,13 @@ class Block:
 
     def __init__(self, index: Index, cell: int, key, code, lost, vec, copies, threshold: float):
         self.index, self.cell, self.key, self.code, self.lost, self.copies, self.threshold = index, cell, key, code, lost, copies, threshold
-        self.vec = vec.astype(np.float64)
+        self.vec = scaled(vec)
         self.norm = np.sqrt((self.vec * self.vec).sum(1))
         self.root = np.arange(len(key))
 
     def search(self, key: np.ndarray, vec: np.ndarray) -> tuple[list, list, list]:
         """Rows (query, linked representative or None, number of vectors linked)."""
-        q = vec.astype(np.float64)
+        q = scaled(vec)
         norm = np.sqrt((q * q).sum(1))
         table = self.index.tables(q / norm[:, None], self.cell)
         d2 = np.zeros((len(q), len(self.key)), dtype=np.float32)
@@ -126,13 +138,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     """(id, n_links, component_id, kept): one row per row of ``vectors``.
 
     Two vectors of one non-null label link when their cosine in double precision is at least
-    ``threshold``. Vectors that are null, zero, or hold null or non-finite components, and those of
-    another length than most of the sample, link with nothing. Equal vectors link (also rows repeated
+    ``threshold``. Vectors that are null, zero, or hold null or non-finite components link with nothing;
+    the others link with those of their length. Floats are kept as such, other numbers as doubles. Equal vectors link (also rows repeated
     with one id). component_id is the smallest id reachable; null ids stay alone in it unless linked.
     Further columns are ignored; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    src = pick(vectors, id_col, vec_col, label_col).toDF("id", "vec", "label").withColumn("vec", F.col("vec").cast("array<float>"))
+    number, kept_as = ("float", "<f4") if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else ("double", "<f8")
+    src = pick(vectors, id_col, vec_col, label_col).toDF("id", "vec", "label").withColumn("vec", F.col("vec").cast(f"array<{number}>"))
     good = "vec IS NOT NULL AND label IS NOT NULL AND NOT exists(vec, x -> x IS NULL OR isnan(x) OR abs(x) = float('inf')) AND exists(vec, x -> x <> 0)"
     rows = src.withColumn("key", F.when(F.expr(good), F.xxhash64("label", "vec")))
     classes = written(rows.where("key IS NOT NULL").groupBy("key", "label", "vec").agg(F.count("*").alias("copies")), "classes")
@@ -140,26 +153,31 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     single = rows.select("id", "key")
     if not sample:
         return single.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    dims = [len(v) for v in sample]
-    dim = max(sorted(set(dims)), key=dims.count)
-    x = np.array([v for v in sample if len(v) == dim], dtype=np.float64)
-    scale = np.abs(x).max(1, keepdims=True)
-    x = x / scale
-    x /= np.sqrt((x * x).sum(1, keepdims=True))
-    lists = int(np.clip(classes.count() // PER_LIST, 8, 1024))
-    index = spark.sparkContext.broadcast(Index(x, lists, threshold))
+    sampled: dict[int, list] = {}
+    for v in sample:
+        sampled.setdefault(len(v), []).append(v)
+    sizes = classes.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(SAMPLE).collect()
+    lists = {n.dim: int(np.clip(n["count"] // PER_LIST, 8, 1024)) for n in sizes}
+    indexes = spark.sparkContext.broadcast({dim: Index(units(np.array(x)), lists.get(dim, 8), threshold) for dim, x in sampled.items()})
+
+    def index_of(dim: int) -> Index:
+        return indexes.value.get(dim) or Index(np.zeros((1, dim)), 1, threshold)
 
     def assign(batches):
         import pyarrow as pa
 
-        ix = index.value
+        def of_one_length(batch):
+            size = np.asarray(batch.column("vec").value_lengths())
+            for dim in np.unique(size):
+                whole = batch if (size == dim).all() else batch.take(pa.array(np.flatnonzero(size == dim)))
+                ix = index_of(int(dim))
+                for at in range(0, whole.num_rows, 2048):
+                    yield ix, whole.slice(at, 2048)
+
         for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                s = b.slice(at, 2048)
-                v = np.asarray(s.column("vec").flatten(), dtype=np.float32).reshape(s.num_rows, dim)
-                u = v.astype(np.float64)
-                u /= np.abs(u).max(1, keepdims=True)
-                u /= np.sqrt((u * u).sum(1, keepdims=True))
+            for ix, s in of_one_length(b):
+                v = np.asarray(s.column("vec").flatten(), dtype=kept_as).reshape(s.num_rows, ix.dim)
+                u = units(v)
                 cell, code, lost = ix.assign(u)
                 yes = ix.probes(u)
                 who, where = np.nonzero(yes)
@@ -169,30 +187,30 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
                 raw = pa.array([r.tobytes() for r in v], pa.binary())
                 codes = pa.array([r.tobytes() for r in code] + [None] * m, pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([cell, where]).astype(np.int32)), s.column("label").take(pick_), pa.array(np.repeat([0, 1], [n, m]).astype(np.int32)), s.column("key").take(pick_), codes, pa.array(np.concatenate([lost, np.zeros(m)])), raw.take(pick_), s.column("copies").take(pick_)],
-                    ["cell", "label", "role", "key", "code", "lost", "vec", "copies"],
+                    [pa.array(np.full(n + m, ix.dim, np.int32)), pa.array(np.concatenate([cell, where]).astype(np.int32)), s.column("label").take(pick_), pa.array(np.repeat([0, 1], [n, m]).astype(np.int32)), s.column("key").take(pick_), codes, pa.array(np.concatenate([lost, np.zeros(m)])), raw.take(pick_), s.column("copies").take(pick_)],
+                    ["dim", "cell", "label", "role", "key", "code", "lost", "vec", "copies"],
                 )
 
     label_kind = src.schema["label"].dataType.simpleString()
-    listed = written(classes.where(F.size("vec") == dim).mapInArrow(assign, f"cell int, label {label_kind}, role int, key long, code binary, lost double, vec binary, copies long"), "listed")
-    big = listed.where("role = 0").groupBy("label", "cell").count().where(F.col("count") > BLOCK).select("label", "cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    listed = written(classes.mapInArrow(assign, f"dim int, cell int, label {label_kind}, role int, key long, code binary, lost double, vec binary, copies long"), "listed")
+    big = listed.where("role = 0").groupBy("label", "dim", "cell").count().where(F.col("count") > BLOCK).select("label", "dim", "cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     big = small_or_shuffled(written(big, "large-lists"))
-    placed = listed.join(big, ["label", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = listed.join(big, ["label", "dim", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     block = F.when(F.col("role") == 0, F.array(F.pmod(F.col("key"), F.col("blocks")).cast("int"))).otherwise(F.expr("sequence(0, blocks - 1)"))
-    placed = placed.withColumn("block", F.explode(block)).repartition("label", "cell", "block").sortWithinPartitions("label", "cell", "block", "role")
+    placed = placed.withColumn("block", F.explode(block)).repartition("label", "dim", "cell", "block").sortWithinPartitions("label", "dim", "cell", "block", "role")
 
     def search(batches):
         import pyarrow as pa
 
-        ix, now, held, block = index.value, None, [], None
+        now, held, block = None, [], None
         for b in batches:
-            tag = list(zip(b.column("label").to_pylist(), b.column("cell").to_pylist(), b.column("block").to_pylist(), b.column("role").to_pylist(), strict=True))
+            tag = list(zip(b.column("label").to_pylist(), b.column("dim").to_pylist(), b.column("cell").to_pylist(), b.column("block").to_pylist(), b.column("role").to_pylist(), strict=True))
             at = 0
             while at < len(tag):
                 end = at + 1
                 while end < len(tag) and tag[end] == tag[at]:
                     end += 1
-                s, (group, role) = b.slice(at, end - at), (tag[at][:3], tag[at][3])
+                s, (group, role) = b.slice(at, end - at), (tag[at][:4], tag[at][4])
                 at = end
                 if group != now:
                     now, held, block = group, [], None
@@ -203,17 +221,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
                     continue
                 if block is None:
                     t = pa.Table.from_batches(held)
-                    vec = np.frombuffer(b"".join(t.column("vec").to_pylist()), np.float32).reshape(-1, dim)
+                    vec = np.frombuffer(b"".join(t.column("vec").to_pylist()), kept_as).reshape(-1, group[1])
                     code = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(len(vec), -1)
-                    block = Block(ix, group[1], np.asarray(t.column("key")), code, np.asarray(t.column("lost")).astype(np.float32), vec, np.asarray(t.column("copies")), threshold)
+                    block = Block(index_of(group[1]), group[2], np.asarray(t.column("key")), code, np.asarray(t.column("lost")).astype(np.float32), vec, np.asarray(t.column("copies")), threshold)
                 keys = np.asarray(s.column("key"))
-                vecs = np.frombuffer(b"".join(s.column("vec").to_pylist()), np.float32).reshape(-1, dim)
+                vecs = np.frombuffer(b"".join(s.column("vec").to_pylist()), kept_as).reshape(-1, group[1])
                 for i in range(0, len(keys), QUERIES_AT_ONCE):
                     x, y, n = block.search(keys[i : i + QUERIES_AT_ONCE], vecs[i : i + QUERIES_AT_ONCE])
                     if x:
                         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(n, pa.int64())], ["a", "b", "n"])
 
-    found = written(placed.select("label", "cell", "block", "role", "key", "code", "lost", "vec", "copies").mapInArrow(search, "a long, b long, n long"), "found")
+    found = written(placed.select("label", "dim", "cell", "block", "role", "key", "code", "lost", "vec", "copies").mapInArrow(search, "a long, b long, n long"), "found")
     links = found.where("b IS NULL").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n"))
     root = components(found.where("b IS NOT NULL").select("a", "b"), "pq-edges").select(F.col("node").alias("key"), "root")
     stats = classes.select("key", "copies").join(links, "key", "left").join(root, "key", "left").select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "key").alias("root"))
