@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from itemforge.llm import pq
+from itemforge.llm import hmm, pq
 
 
 def linked(rows, threshold=0.93):
@@ -44,3 +44,30 @@ def test_embeddings_of_doubles(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = Counter((r.vec_id, r.n_links, r.component_id) for r in pq.near_duplicates(df).collect())
     assert got == linked(rows) == Counter([(0, 1, 0), (1, 0, 1), (2, 1, 2), (3, 1, 2), (4, 1, 4), (5, 1, 4), (6, 1, 0)])
+
+
+def training(spark):
+    texts = ["hot text again"] * 300 + [f"text {k} of {k % 7} words" for k in range(90)]
+    df = spark.createDataFrame([(k, t.encode()) for k, t in enumerate(texts)], "number long, text binary")
+    return df, np.array([], dtype=np.uint64), np.full(hmm.CLASSES + 1, 1 / (hmm.CLASSES + 1))
+
+
+def test_last_training_round_counts_all_documents_alike(spark, monkeypatch):
+    seen, real = [], hmm.expected_counts
+    monkeypatch.setattr(hmm, "SAMPLE_ROUNDS", 1)
+    monkeypatch.setattr(hmm, "expected_counts", lambda docs, model: seen.append((docs.count(), real(docs, model))) or seen[-1][1])
+    df, words, unigram = training(spark)
+    model = hmm.train(df, words, unigram)
+    assert seen[-1][0] == 390
+    last = seen[-1][1].model(words, unigram)
+    assert np.allclose(model.emit, last.emit) and np.allclose(model.start, last.start)
+
+
+def test_first_guess_from_distinct_texts(spark, monkeypatch):
+    seen, real = [], hmm.tk.Words
+    monkeypatch.setattr(hmm, "SAMPLE_ROUNDS", 0)
+    monkeypatch.setattr(hmm, "FOLDS", 0)
+    monkeypatch.setattr(hmm, "SAMPLE", 91)
+    monkeypatch.setattr(hmm.tk, "Words", lambda data, off, **k: seen.extend(bytes(data[i:j]) for i, j in zip(off, off[1:])) or real(data, off, **k))
+    hmm.train(*training(spark))
+    assert len(seen) == len(set(seen)) == 91
