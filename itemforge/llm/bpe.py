@@ -9,8 +9,8 @@ each merge however long a text is.
 
 Fragments are encoded by the ``tiktoken`` engine loaded with this vocabulary's merges as ranks.
 Where its character classes might differ from those of ``tokenizers`` (rare characters) or a
-special token's string occurs, the ``tokenizers`` library encodes the text itself.  Tests hold both
-ways against ``tokenizers``.
+special token's string occurs, the ``tokenizers`` library encodes the fragments, and no cut touches
+such a string.  Tests hold both ways against ``tokenizers``.
 """
 
 from __future__ import annotations
@@ -88,13 +88,26 @@ class ByteBpe:
         cut[:, 0x27] = False
         return cut.ravel()
 
-    def fragments(self, raw: bytes) -> list[str]:
+    def whole(self, raw: bytes, at: np.ndarray) -> np.ndarray:
+        """Those of the cuts that neither divide nor touch a special token's string."""
+        touched = np.zeros(len(raw) + 2, dtype=np.int64)
+        for s in map(str.encode, self.special):
+            i = raw.find(s)
+            while i >= 0:
+                touched[i] += 1
+                touched[i + len(s) + 1] -= 1
+                i = raw.find(s, i + 1)
+        return at[np.cumsum(touched)[at] == 0]
+
+    def fragments(self, raw: bytes, special: bool = False) -> list[str]:
         """Pieces of valid UTF-8 between certain cuts, each of about ``fragment_bytes`` where cuts allow."""
         n = len(raw)
         if n <= self.fragment_bytes:
             return [raw.decode()]
         b = np.frombuffer(raw, np.uint8).astype(np.int64)
         at = np.flatnonzero(self.cuts[b[:-1] * 256 + b[1:]]) + 1
+        if special:
+            at = self.whole(raw, at)
         out, i = [], 0
         while n - i > self.fragment_bytes:
             j = int(np.searchsorted(at, i + self.fragment_bytes))
@@ -111,7 +124,8 @@ class ByteBpe:
             return np.empty(0, np.uint32)
         text = raw.decode("utf-8", "replace")
         if self.fast is None or self.unusual.search(text):
-            return np.array(self.exact.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            got = self.exact.encode_batch_fast(self.fragments(text.encode(), special=True), add_special_tokens=False)
+            return np.concatenate([np.array(x.ids, dtype=np.uint32) for x in got])
         got = [self.fast.encode_to_numpy(x, disallowed_special=()) for x in self.fragments(raw)]
         return (np.concatenate(got) if len(got) > 1 else got[0]).astype(np.uint32)
 

@@ -5,7 +5,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from itemforge.llm import hmm, pq
+from itemforge.llm import bpe, hmm, pq
+from tests.llm.test_text_operators import BYTE
 
 
 def linked(rows, threshold=0.93):
@@ -71,3 +72,27 @@ def test_first_guess_from_distinct_texts(spark, monkeypatch):
     monkeypatch.setattr(hmm.tk, "Words", lambda data, off, **k: seen.extend(bytes(data[i:j]) for i, j in zip(off, off[1:])) or real(data, off, **k))
     hmm.train(*training(spark))
     assert len(seen) == len(set(seen)) == 91
+
+
+@pytest.mark.parametrize("size", [1, 40])
+def test_unusual_texts_are_split_at_certain_cuts(size):
+    b, rng = bpe.ByteBpe(BYTE, fragment_bytes=size), np.random.default_rng(size)
+    pieces = ["Привет", "мир", "λόγος", "漢字", "かな", "🙂", "👩‍🔬", "\u00a0", "\u2009", "\u3000", "\u0085", "\u1680", " ", "  ", "\n", "'s", "'", "’", "plain", "Text", "x1", "42", "%%", "٣", "é", "e\u0301", "\ufffd", "\x00", *b.special]
+    split = 0
+    for _ in range(400):
+        text = "".join(pieces[k] for k in rng.integers(0, len(pieces), 60))
+        want = b.exact.encode(text, add_special_tokens=False).ids
+        assert b.encode(text.encode()).tolist() == want
+        split += len(b.fragments(text.encode(), special=True)) > 1
+    assert split > 200
+    calls, real = [], b.exact
+
+    class Seen:
+        def encode_batch_fast(self, texts, **k):
+            calls.extend(texts)
+            return real.encode_batch_fast(texts, **k)
+
+    b.exact = Seen()
+    text = "漢字 qзx Привет, мир. " * 200
+    assert b.encode(text.encode()).tolist() == real.encode(text, add_special_tokens=False).ids
+    assert len(calls) > 20 and "".join(calls) == text
