@@ -213,14 +213,14 @@ SQL = {
     "itemsets_with_thresholds": f"SELECT * FROM ({itemset_sql(GROUPED, '1', 2)}) WHERE count >= CASE dataset_id WHEN '1-URGENT' THEN 5 WHEN '2-HIGH' THEN 50 WHEN '5-LOW' THEN 100 END",
     "itemsets_brute_force": itemset_sql(GROUPED, "40", 2),
     "fpgrowth_itemsets": f"SELECT size, itemset, count FROM ({itemset_sql(ALL, size=2)})",
-    "itemset_evidence": f"""WITH b AS ({BRANDS} WHERE l_orderkey < 3000), e AS (
+    "itemset_evidence": f"""WITH b AS ({BRANDS}), e AS (
         SELECT 1 AS size, item AS itemset, row_no FROM b UNION ALL
         SELECT 2, x.item || '|' || y.item, x.row_no FROM b x JOIN b y ON x.row_no = y.row_no AND x.item < y.item)
         SELECT CAST(size AS BIGINT) AS size, itemset, count(*) AS count, string_agg(CAST(row_no AS VARCHAR), ',' ORDER BY row_no) AS rows FROM e GROUP BY size, itemset HAVING count(*) >= 3""",
-    "rendered_rows": f"""WITH b AS ({BRANDS} WHERE l_orderkey BETWEEN 1 AND 60)
+    "rendered_rows": f"""WITH b AS ({BRANDS})
         SELECT item AS itemset, string_agg('Row ' || row_no, ',' ORDER BY row_no) AS rows, string_agg('Row ' || row_no, ',' ORDER BY 'Row ' || row_no) AS unique_rows, count(*) AS unique_row_count FROM b GROUP BY item HAVING count(*) >= 3""",
     "support_fraction": f"SELECT item AS itemset, count(*) AS count, (SELECT count(*) FROM orders) AS total, count(*) / (SELECT count(*) FROM orders) AS support FROM ({BRANDS}) GROUP BY item HAVING count(*) >= 3",
-    "candidate_pairs": f"WITH f AS (SELECT item FROM ({BRANDS}) GROUP BY item HAVING count(*) >= CASE WHEN (SELECT count(*) FROM orders) = 15000 THEN 600 ELSE 60 END) SELECT a.item || '|' || b.item AS itemset FROM f a JOIN f b ON a.item < b.item",
+    "candidate_pairs": f"WITH f AS (SELECT item FROM ({BRANDS}) GROUP BY item HAVING count(*) >= 60) SELECT a.item || '|' || b.item AS itemset FROM f a JOIN f b ON a.item < b.item",
     "closure_check": _PAIRS + "SELECT itemset FROM i WHERE size = 2 AND split_part(itemset, '|', 1) IN (SELECT itemset FROM i WHERE size = 1) AND split_part(itemset, '|', 2) IN (SELECT itemset FROM i WHERE size = 1)",
     "containment_count": f"""WITH b AS ({BRANDS}), w(itemset) AS (VALUES ('brand#1|brand#2'), ('brand#3'), ('brand#4|brand#5|brand#6')), i AS (SELECT itemset, unnest(string_split(itemset, '|')) AS item FROM w),
         h AS (SELECT itemset, row_no, count(*) AS n FROM i JOIN b USING (item) GROUP BY ALL) SELECT itemset, count(*) AS count FROM h WHERE n = len(string_split(itemset, '|')) GROUP BY itemset""",
@@ -230,7 +230,7 @@ SQL = {
     "colval_items": "SELECT c_custkey, lower('c_mktsegment:' || c_mktsegment) AS item FROM customer UNION ALL SELECT c_custkey, 'c_nationkey:' || c_nationkey FROM customer",
     "long_transactions": "SELECT row_number() OVER (ORDER BY user_id) AS row_no, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS items, count(*) AS n_items FROM events GROUP BY user_id",
     "single_column_items": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name || ',' || p_brand ELSE replace(p_name, ' ', ',') END AS items FROM part",
-    "row_text_parse": "SELECT o_custkey, o_orderkey AS row_no, o_orderstatus || '|' || o_orderpriority AS items FROM orders WHERE o_orderkey < 500",
+    "row_text_parse": "SELECT o_custkey, o_orderkey AS row_no, o_orderstatus || '|' || o_orderpriority AS items FROM orders",
     "profile_columns": """SELECT 'c_name' AS "column", 'text' AS kind, count(DISTINCT c_name) AS "distinct", count(DISTINCT c_name) <= 100 AS categorical FROM customer UNION ALL
         SELECT 'c_nationkey', 'number', count(DISTINCT c_nationkey), count(DISTINCT c_nationkey) <= 10 FROM customer UNION ALL SELECT 'c_mktsegment', 'text', count(DISTINCT c_mktsegment), count(DISTINCT c_mktsegment) <= 100 FROM customer""",
     "vocabulary_items": "SELECT DISTINCT lower('p_brand:' || p_brand) AS item FROM part UNION SELECT DISTINCT lower('p_type:' || p_type) FROM part",
@@ -238,8 +238,8 @@ SQL = {
     "fingerprint": "SELECT doc_id, left(sha256(text), 12) AS hash12, CAST(strlen(text) AS BIGINT) AS bytes FROM documents",
     "json_props": "SELECT event_type, count(k) AS n, CAST(sum(k) AS BIGINT) AS total, min(k) AS least, max(k) AS most FROM (SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY event_type",
     "chunk_assignment": "SELECT o_orderkey, r AS row_no, (r - 1) // 50 AS chunk FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS r FROM orders)",
-    "text_signature": r"SELECT doc_id, lower(left(trim(regexp_replace(text, '\s+', ' ', 'g')), 40)) AS prefix FROM documents",
-    "set_ops": f"""WITH b AS ({BRANDS}), e AS (SELECT DISTINCT item FROM b WHERE row_no % 2 = 0 AND row_no < 200), o AS (SELECT DISTINCT item FROM b WHERE row_no % 2 = 1 AND row_no < 200)
+    "text_signature": r"SELECT doc_id, lower(left(trim(regexp_replace(text, '\s+', ' ', 'g')), 120)) AS prefix FROM documents",
+    "set_ops": f"""WITH b AS ({BRANDS}), e AS (SELECT DISTINCT item FROM b WHERE row_no % 2 = 0), o AS (SELECT DISTINCT item FROM b WHERE row_no % 2 = 1)
         SELECT 'both' AS op, item FROM (SELECT * FROM e INTERSECT SELECT * FROM o) UNION ALL SELECT 'even only', item FROM (SELECT * FROM e EXCEPT SELECT * FROM o)
         UNION ALL SELECT 'odd only', item FROM (SELECT * FROM o EXCEPT SELECT * FROM e) UNION ALL SELECT 'any', item FROM (SELECT * FROM e UNION SELECT * FROM o)""",
 }

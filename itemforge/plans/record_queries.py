@@ -334,7 +334,7 @@ _EST = "WITH e AS (SELECT p_partkey, CAST(CASE WHEN p_partkey % 3 = 0 OR p_partk
 _SIZED = "SELECT p_partkey, CAST(p_size * (p_partkey % 17 + 1) AS DOUBLE) AS area, p_partkey % 10 AS diff FROM part"
 _BINS = f"WITH x AS ({_SIZED}), q AS (SELECT list_sort(list_distinct(quantile_cont(area, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS e FROM x), b AS (SELECT x.*, e[i] AS lo, e[i + 1] AS hi FROM x, q, range(1, 6) r(i) WHERE i < len(e) AND area <= e[i + 1] AND (area > e[i] OR (i = 1 AND area = e[1]))) "
 _NORMAL = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
-_SIG = f"WITH s AS (SELECT length(text) AS chars, lower({_NORMAL}) AS whole, lower(left({_NORMAL}, 40)) AS prefix FROM documents WHERE {_NORMAL} <> '') "
+_SIG = f"WITH s AS (SELECT length(text) AS chars, lower({_NORMAL}) AS whole, lower(left({_NORMAL}, 120)) AS prefix FROM documents WHERE {_NORMAL} <> '') "
 _THINK = "CASE WHEN turn % 3 = 0 THEN '' ELSE '</think> answer</think> end' END"
 
 SQL = {
@@ -358,7 +358,7 @@ SQL = {
     "single_budgets": _EST + "SELECT p_partkey, greatest(512, least(floor((s * 15 + p * 20 + t * 25 + 80 + (s + p + t) * 60) * 1.5)::BIGINT, 6000)) AS budget FROM g",
     "gate_budgets": """WITH a AS (SELECT p_partkey, greatest(1024, 4096 - p_partkey % 4000 - 64) AS available, greatest(1792, floor(p_size * 40 * 2.3::DOUBLE)::BIGINT) AS requested FROM part), b AS (SELECT *, least(available, requested) AS total FROM a),
         c AS (SELECT *, CASE WHEN total >= 1536 THEN least(1800, total - least(greatest(768, floor(total * 0.52::DOUBLE)::BIGINT), total - 512)) ELSE total - greatest(512, total // 2) END AS think FROM b) SELECT p_partkey, available, requested, total, think, total - think AS json FROM c""",
-    "think_split": f"SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '<think>' || left(text, 30) ELSE ' answer</think> end' END AS first, CASE WHEN turn % 3 = 0 THEN '<think>' || left(text, 30) ELSE ' end' END AS last, CASE WHEN turn % 3 <> 0 THEN left(text, 30) END AS think FROM conversations",
+    "think_split": f"SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '<think>' || text ELSE ' answer</think> end' END AS first, CASE WHEN turn % 3 = 0 THEN '<think>' || text ELSE ' end' END AS last, CASE WHEN turn % 3 <> 0 THEN text END AS think FROM conversations",
     "trace_repair": "SELECT conv_id, turn, 9 + 5 + length(text) + 10 AS chars FROM conversations",
     "loop_detection": r"WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(CASE WHEN doc_id % 4 = 0 THEN text || repeat(chr(10) || ' same line ', 5) ELSE text END, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents) SELECT doc_id, len(l) >= 6 AND len(list_distinct(l[-3:])) = 1 AS looping FROM l",
     "name_dimensions": "SELECT p_partkey, CAST(p_size AS BIGINT) AS parsed_rows, p_partkey % 7 + 1 AS parsed_cols, p_size * (p_partkey % 7 + 1) AS area, CASE WHEN p_partkey % 2 = 1 THEN CAST(p_size AS BIGINT) END AS strict_rows FROM part",
@@ -374,18 +374,18 @@ SQL = {
     "row_subsample": f"WITH o AS ({_ORDERS}), r AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY {_u('dataset_id', 'row_no')}, row_no) AS k FROM o) SELECT dataset_id, row_number() OVER (PARTITION BY dataset_id ORDER BY row_no) AS row_no, b AS item FROM r WHERE k <= 25",
     "col_subsample": f"WITH o AS ({_ORDERS}), p AS (SELECT DISTINCT dataset_id, unnest(['status', 'cust', 'kind']) AS prefix FROM o), c AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY {_u('dataset_id', 'prefix')}, prefix) AS k FROM p), j AS (SELECT dataset_id, string_agg(prefix, '|' ORDER BY CASE prefix WHEN 'status' THEN 1 WHEN 'cust' THEN 2 ELSE 3 END) AS prefixes FROM c WHERE k <= 2 GROUP BY dataset_id) SELECT dataset_id, count(*) AS rows, min(prefixes) AS prefixes FROM o JOIN j USING (dataset_id) GROUP BY dataset_id",
     "shuffled_rows": f"WITH o AS ({_ORDERS}) SELECT dataset_id, row_number() OVER (PARTITION BY dataset_id ORDER BY {_u('dataset_id', 'row_no')}, row_no) AS row_no, b AS item FROM o",
-    "noise_rows": f"WITH o AS ({_ORDERS}) SELECT dataset_id, count(*) + greatest(1, floor(count(*) * 0.15::DOUBLE)::BIGINT) AS rows FROM o WHERE row_no < 300 GROUP BY dataset_id",
+    "noise_rows": f"WITH o AS ({_ORDERS}) SELECT dataset_id, count(*) + greatest(1, floor(count(*) * 0.15::DOUBLE)::BIGINT) AS rows FROM o GROUP BY dataset_id",
     "variation_mix": f"SELECT o_orderkey, {_choice(_u('o_orderkey', chr(39) + 'v' + chr(39)), generate.VARIATIONS)} AS variation, {_choice(_u('o_orderkey', chr(39) + 's' + chr(39)), generate.SIZES)} AS size_class FROM orders",
     "holdout_split": f"SELECT o_orderkey, CASE WHEN {_u('o_orderkey')} < 0.1 THEN 'validation' ELSE 'train' END AS split FROM orders",
-    "wide_rows": f"WITH b AS ({BRANDS} WHERE l_orderkey < 200), l AS (SELECT row_no, list(item ORDER BY item) AS i FROM b GROUP BY row_no) SELECT row_no, i[1] AS item_1, coalesce(i[2], '') AS item_2, coalesce(i[3], '') AS item_3, coalesce(i[4], '') AS item_4 FROM l",
-    "csv_hash": f"WITH o AS ({_ORDERS}), c AS (SELECT dataset_id, 'item_1,item_2' || chr(10) || string_agg(a || ',' || b, chr(10) ORDER BY row_no) AS csv FROM o WHERE row_no < 200 GROUP BY dataset_id) SELECT dataset_id, sha256(csv) AS sha, left(sha256(csv), 8) AS hash FROM c",
+    "wide_rows": f"WITH b AS ({BRANDS}), l AS (SELECT row_no, list(item ORDER BY item) AS i FROM b GROUP BY row_no) SELECT row_no, i[1] AS item_1, coalesce(i[2], '') AS item_2, coalesce(i[3], '') AS item_3, coalesce(i[4], '') AS item_4 FROM l",
+    "csv_hash": f"WITH o AS ({_ORDERS}), c AS (SELECT dataset_id, 'item_1,item_2' || chr(10) || string_agg(a || ',' || b, chr(10) ORDER BY row_no) AS csv FROM o GROUP BY dataset_id) SELECT dataset_id, sha256(csv) AS sha, left(sha256(csv), 8) AS hash FROM c",
     "generation_statistics": "WITH n AS (SELECT count(*) AS r FROM lineitem GROUP BY l_orderkey) SELECT count(*) AS datasets, min(r) AS min_rows, max(r) AS max_rows, avg(r) AS mean_rows, median(r) AS median_rows, count(*) FILTER (r <= 7) AS small, count(*) FILTER (r > 7 AND r <= 11) AS medium, count(*) FILTER (r > 11) AS large FROM n",
     "generation_log": f"WITH o AS ({_ORDERS}) SELECT dataset_id, count(*) AS num_transactions, CAST(3 AS INT) AS actual_cols, 3 * count(*) AS total_items, count(DISTINCT a) + count(DISTINCT b) + 1 AS unique_items FROM o GROUP BY dataset_id",
-    "topped_up": f"WITH o AS ({_ORDERS}) SELECT dataset_id, greatest(12, count(*)) AS rows FROM o WHERE row_no < 20 GROUP BY dataset_id",
-    "dataset_text": f"WITH o AS ({_ORDERS}) SELECT dataset_id, count(*) AS n_rows, sha256(string_agg('Row ' || row_no || ': ' || a || ', ' || b, chr(10) ORDER BY row_no)) AS sha FROM o WHERE row_no < 400 GROUP BY dataset_id",
-    "ground_truth_json": f"""WITH t AS (SELECT dataset_id, item, count(*) AS n, string_agg('"Row' || row_no || '"', ',' ORDER BY 'Row ' || row_no) AS r FROM ({GROUPED}) WHERE row_no < 120 GROUP BY ALL HAVING count(*) >= 3)
+    "topped_up": f"WITH o AS ({_ORDERS}) SELECT dataset_id, greatest(12, count(*)) AS rows FROM o GROUP BY dataset_id",
+    "dataset_text": f"WITH o AS ({_ORDERS}) SELECT dataset_id, count(*) AS n_rows, sha256(string_agg('Row ' || row_no || ': ' || a || ', ' || b, chr(10) ORDER BY row_no)) AS sha FROM o GROUP BY dataset_id",
+    "ground_truth_json": f"""WITH t AS (SELECT dataset_id, item, count(*) AS n, string_agg('"Row' || row_no || '"', ',' ORDER BY 'Row ' || row_no) AS r FROM ({GROUPED}) GROUP BY ALL HAVING count(*) >= 3)
         SELECT dataset_id, count(*) AS n_itemsets, '[' || string_agg('{{"itemset":["' || item || '"],"count":' || n || ',"rows":[' || r || ']}}', ',' ORDER BY item) || ']' AS truth FROM t GROUP BY dataset_id""",
-    "ordered_itemsets": f"WITH b AS ({BRANDS}), i AS (SELECT CAST(1 AS BIGINT) AS size, item AS itemset, count(*) AS count FROM b GROUP BY item HAVING count(*) >= 3 UNION ALL SELECT 2, x.item || '|' || y.item, count(*) FROM b x JOIN b y ON x.row_no = y.row_no AND x.item < y.item GROUP BY ALL HAVING count(*) >= 3) SELECT * FROM i ORDER BY size, count DESC, replace(itemset, '|', ',') LIMIT 40",
+    "ordered_itemsets": f"WITH b AS ({BRANDS}), i AS (SELECT CAST(1 AS BIGINT) AS size, item AS itemset, count(*) AS count FROM b GROUP BY item HAVING count(*) >= 3 UNION ALL SELECT 2, x.item || '|' || y.item, count(*) FROM b x JOIN b y ON x.row_no = y.row_no AND x.item < y.item GROUP BY ALL HAVING count(*) >= 3) SELECT * FROM i ORDER BY size, count DESC, replace(itemset, '|', ',')",
     "seeded_sample": "SELECT o_orderkey FROM orders ORDER BY sha256(o_orderkey || ':42'), o_orderkey LIMIT 30",
     "row_labels": "SELECT o_orderkey, 'Row ' || (o_orderkey + 1) AS label FROM orders",
 }

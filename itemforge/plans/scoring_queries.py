@@ -154,9 +154,9 @@ QUERIES = {f.__name__: f for f in (
 
 _N = _M + ", n AS (SELECT dataset_id, count(*) FILTER (a AND b) AS tp, count(*) FILTER (NOT a) AS fp, count(*) FILTER (NOT b) AS fn FROM m GROUP BY dataset_id) "
 _RATES = "CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END AS precision, CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END AS recall, CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1, fp = 0 AND fn = 0 AND tp > 0 AS exact"
-_U = f"""WITH v AS (SELECT DISTINCT dataset_id, item FROM ({GROUPED}) WHERE row_no < 40), c AS ({_C}), x AS (SELECT dataset_id, NOT EXISTS (SELECT 1 FROM v WHERE v.dataset_id = c.dataset_id AND v.item = split_part(itemset, '|', 1)) OR (size = 2 AND NOT EXISTS (SELECT 1 FROM v WHERE v.dataset_id = c.dataset_id AND v.item = split_part(itemset, '|', 2))) AS bad FROM c) """
+_U = f"""WITH v AS (SELECT DISTINCT dataset_id, item FROM ({GROUPED})), c AS ({_C}), x AS (SELECT dataset_id, NOT EXISTS (SELECT 1 FROM v WHERE v.dataset_id = c.dataset_id AND v.item = split_part(itemset, '|', 1)) OR (size = 2 AND NOT EXISTS (SELECT 1 FROM v WHERE v.dataset_id = c.dataset_id AND v.item = split_part(itemset, '|', 2))) AS bad FROM c) """
 _SIZES = _M + ", z AS (SELECT dataset_id, size, count(*) FILTER (a) AS n_truth, count(*) FILTER (b) AS n_claims, count(*) FILTER (a AND b) AS tp FROM m GROUP BY ALL) "
-_CLAIMS = f"""WITH b AS ({BRANDS} WHERE l_orderkey BETWEEN 1 AND 400), c AS (SELECT item, count(*) AS n FROM b WHERE row_no % 2 = 0 GROUP BY item),
+_CLAIMS = f"""WITH b AS (SELECT row_no + 1 AS row_no, item FROM ({BRANDS})), c AS (SELECT item, count(*) AS n FROM b WHERE row_no % 2 = 0 GROUP BY item),
     e AS (SELECT item, 'count_mismatch' AS type FROM c UNION ALL SELECT item, 'row_out_of_range' FROM c UNION ALL SELECT item, 'below_min_support' FROM c WHERE n < 8
           UNION ALL SELECT item, 'item_missing_in_row' FROM c WHERE item NOT IN (SELECT item FROM b WHERE row_no = 1)) """
 
@@ -169,17 +169,17 @@ SQL = {
     "metrics_summary": _N + f", r AS (SELECT *, {_RATES} FROM n) SELECT count(*) AS datasets, round(avg(recall), 9) AS avg_recall, round(avg(precision), 9) AS avg_precision, avg(CAST(exact AS INT)) AS exact_rate FROM r",
     "size_averages": _SIZES + "SELECT size, count(*) AS datasets, round(avg(CASE WHEN n_truth = 0 THEN 0.0 ELSE tp / n_truth END), 9) AS recall FROM z GROUP BY size",
     "failure_triage": _U.replace("WITH v", _N + ", v").replace(f", c AS ({_C}), x", ", x") + f", r AS (SELECT dataset_id, {_RATES} FROM n), u AS (SELECT dataset_id, count(*) AS claims, count(*) FILTER (bad) AS ungrounded FROM x GROUP BY dataset_id) SELECT dataset_id, claims, ungrounded FROM r JOIN u USING (dataset_id) WHERE f1 < 0.5 OR ungrounded / claims > 0.1",
-    "itemset_differences": f"""WITH g AS (SELECT * FROM ({GROUPED}) WHERE row_no < 600), t AS (SELECT dataset_id, item, count(*) AS n, list(row_no ORDER BY row_no) AS r FROM g GROUP BY dataset_id, item HAVING count(*) >= 3),
+    "itemset_differences": f"""WITH g AS (SELECT * FROM ({GROUPED})), t AS (SELECT dataset_id, item, count(*) AS n, list(row_no ORDER BY row_no) AS r FROM g GROUP BY dataset_id, item HAVING count(*) >= 3),
         p AS (SELECT dataset_id, item, count(*) + CASE WHEN dataset_id = '5-LOW' THEN 1 ELSE 0 END AS m, list(row_no ORDER BY row_no) AS q FROM g WHERE row_no % 3 <> 0 OR item > 'brand#2' GROUP BY dataset_id, item HAVING count(*) >= 3),
         x AS (SELECT coalesce(t.dataset_id, p.dataset_id) AS dataset_id, CASE WHEN m IS NULL THEN 'missing' WHEN n IS NULL THEN 'extra' WHEN n <> m THEN 'wrong_count' WHEN r <> q THEN 'wrong_rows' END AS problem FROM t FULL JOIN p ON t.dataset_id = p.dataset_id AND t.item = p.item)
         SELECT dataset_id, problem, count(*) AS n FROM x WHERE problem IS NOT NULL GROUP BY dataset_id, problem""",
     "label_scoring": f"WITH x AS (SELECT quality = 1 AS t, n_chars >= 900 AS s FROM labels JOIN documents USING (doc_id)), n AS (SELECT count(*) FILTER (t AND s) AS tp, count(*) FILTER (NOT t AND s) AS fp, count(*) FILTER (t AND NOT s) AS fn FROM x) SELECT *, {_RATES} FROM n",
     "claim_validation": _CLAIMS + "SELECT 'llm' AS source, type, count(*) AS n FROM e GROUP BY type",
     "validation_report": _CLAIMS + "SELECT 'all' AS dataset_id, 'llm' AS source, (SELECT count(*) FROM c) AS total_itemsets, CAST(0 AS BIGINT) AS validated_itemsets, (SELECT count(*) FROM e) AS errors, CAST(0.0 AS DOUBLE) AS valid_ratio",
-    "chunk_merge": "SELECT lower(o_orderstatus) AS itemset, count(*) AS count, string_agg('Row ' || (o_orderkey + 1), ',' ORDER BY 'Row ' || (o_orderkey + 1)) AS rows FROM orders WHERE o_orderkey < 500 GROUP BY ALL",
-    "json_extraction": "SELECT p_partkey, p_partkey % 6 NOT IN (3, 5) AS parse_ok, CAST(p_partkey % 6 NOT IN (3, 5) AS BIGINT) AS n_items, CAST(p_partkey % 6 < 3 AS BIGINT) AS n_claims, CAST(CASE WHEN p_partkey % 6 < 3 THEN p_size ELSE 0 END AS BIGINT) AS total FROM part WHERE p_partkey < 60",
-    "format_gate": "SELECT count(*) AS samples, count(*) FILTER (p_partkey % 7 <> 0 AND p_partkey % 2 = 0) AS passed, count(*) FILTER (p_partkey % 7 <> 0 AND p_partkey % 2 = 0) / count(*) AS pass_share FROM part WHERE p_partkey < 200",
-    "reward_scores": """WITH x AS (SELECT *, p_partkey % 7 <> 0 AS said, (p_partkey % 2 = 0) AS own, p_brand = 'Brand#1' AS one FROM part WHERE p_partkey < 200)
+    "chunk_merge": "SELECT lower(o_orderstatus) AS itemset, count(*) AS count, string_agg('Row ' || (o_orderkey + 1), ',' ORDER BY 'Row ' || (o_orderkey + 1)) AS rows FROM orders GROUP BY ALL",
+    "json_extraction": "SELECT p_partkey, p_partkey % 6 NOT IN (3, 5) AS parse_ok, CAST(p_partkey % 6 NOT IN (3, 5) AS BIGINT) AS n_items, CAST(p_partkey % 6 < 3 AS BIGINT) AS n_claims, CAST(CASE WHEN p_partkey % 6 < 3 THEN p_size ELSE 0 END AS BIGINT) AS total FROM part",
+    "format_gate": "SELECT count(*) AS samples, count(*) FILTER (p_partkey % 7 <> 0 AND p_partkey % 2 = 0) AS passed, count(*) FILTER (p_partkey % 7 <> 0 AND p_partkey % 2 = 0) / count(*) AS pass_share FROM part",
+    "reward_scores": """WITH x AS (SELECT *, p_partkey % 7 <> 0 AS said, (p_partkey % 2 = 0) AS own, p_brand = 'Brand#1' AS one FROM part)
         SELECT p_partkey, CASE WHEN NOT said THEN 0.0 WHEN p_partkey % 3 = 0 THEN 1.0 ELSE 0.5 END AS format,
         CASE WHEN NOT said THEN 0.0 ELSE round(CAST(CASE WHEN one AND own THEN 1.0 WHEN own OR one THEN 2.0 / 3 ELSE 0 END AS DOUBLE), 6) END AS f1,
         CASE WHEN said AND (own OR one) AND p_size = 10 THEN 1.0 ELSE 0.0 END AS counts, CASE WHEN said THEN round(CAST(least(1.0, (6 + p_size) / 300 + 0.2) AS DOUBLE), 6) ELSE 0.0 END AS thinking FROM x""",
