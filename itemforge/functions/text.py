@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Joins the items of an itemset to one text key.
+#: Stands between the items of an itemset where it is shown as text.
 KEY = "|"
 SPACE = r"(?U)^\s+|\s+$"
 
@@ -31,9 +31,15 @@ def itemset_set(c: Column) -> Column:
 
 
 def itemset_key(c: Column) -> Column:
+    """An itemset as shown in results; items that hold the mark make it ambiguous, so nothing is joined on it."""
     return F.concat_ws(KEY, c)
 
 
+def set_key(c: Column) -> Column:
+    """An itemset as JSON text: different itemsets have different keys, whatever their items hold."""
+    return F.to_json(c)
+
+
 def row_label(n: Column) -> Column:
     return F.concat(F.lit("Row "), n.cast("string"))
 
@@ -71,7 +77,7 @@ def normal_text(c: Column) -> Column:
 
 
 def prefix_signature(c: Column, chars: int = 120) -> Column:
-    return F.lower(F.left(normal_text(c), F.lit(chars)))
+    return F.left(F.lower(normal_text(c)), F.lit(chars))
 
 
 def token_estimate(c: Column) -> Column:

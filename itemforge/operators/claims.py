@@ -57,6 +57,22 @@ def field(v: Column, *names: str) -> Column:
     return F.coalesce(*[F.when(F.size(g) > 0, g) for g in got])
 
 
+def truthy(v: Column) -> Column:
+    """Whether Python would take a value for true."""
+    kind = F.coalesce(_kind(v), F.lit("VOID"))
+    text = F.try_variant_get(v, "$", "string")
+    return F.when(kind.startswith("ARRAY"), F.size(F.try_variant_get(v, "$", "array<variant>")) > 0).when(kind.startswith("OBJECT"), kind != "OBJECT<>").when(kind == "STRING", text != "").when(is_number(v), number(v) != 0).otherwise(kind != "VOID")
+
+
+def listed(v: Column, *names: str) -> Column:
+    """The first of the fields that is not empty or false, if it is a list; null if it is anything else."""
+    got = [F.try_variant_get(v, f"$.{n}", "variant") for n in names]
+    out = F.when(F.lit(False), F.lit(None))
+    for g in got:
+        out = out.when(F.coalesce(truthy(g), F.lit(False)), F.when(is_list(g), F.try_variant_get(g, "$", "array<variant>")))
+    return out
+
+
 def _bracket(text: Column, lazy: bool = False) -> Column:
     return F.nullif(F.regexp_extract(text, r"(?s)\[.*?\]" if lazy else r"(?s)\[.*\]", 0), F.lit(""))
 
@@ -160,12 +176,27 @@ def merge_chunks(claims: DataFrame, min_support: int, keys: list[str] = KEYS) ->
     return merged.where(F.col("count") >= min_support)
 
 
+def scored_labels(rows: Column) -> Column:
+    """Labels ``Row n...`` as they are, numbers and texts of whole numbers as labels; anything else goes."""
+
+    def one(r: Column) -> Column:
+        s, kind = as_text(r), F.coalesce(_kind(r), F.lit("VOID"))
+        whole = F.when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(r, "$", "double").cast("long").cast("string")).when(kind == "STRING", strip(s).try_cast("long").cast("string"))
+        return F.when(kind.isin("BIGINT", "BOOLEAN"), F.concat(F.lit("Row "), s)).when((kind == "STRING") & s.rlike(r"^Row \d"), s).otherwise(F.concat(F.lit("Row "), whole))
+
+    return F.filter(F.transform(rows, one), lambda x: x.isNotNull())
+
+
 def scoring_claims(parsed_claims: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """(..., claim_idx, itemset, count, rows) for scoring: objects with a non-empty itemset; sorted items, rows once each, 0 for a count that is no integer."""
+    """(..., claim_idx, itemset, count, rows) for scoring: objects with a non-empty itemset.
+
+    Items are canonical and sorted (blank and repeated ones stay), rows are those of ``rows`` alone, each
+    label once and without those that are no row, and a count that is no integer is 0.
+    """
     c = parsed_claims.where(is_object(F.col("rec"))).withColumn("items", field(F.col("rec"), "itemset")).where("items IS NOT NULL")
     n = F.try_variant_get("rec", "$.count", "variant")
-    rows = F.coalesce(row_labels(field(F.col("rec"), "rows", "evidence_rows")), F.array().cast("array<string>"))
-    return c.select(*keys, "claim_idx", F.array_sort(F.transform("items", as_text)).alias("itemset"), F.when(is_integer(n), number(n).cast("long")).otherwise(F.lit(0)).alias("count"), F.array_sort(F.array_distinct(rows)).alias("rows"))
+    rows = F.coalesce(scored_labels(F.try_variant_get("rec", "$.rows", "array<variant>")), F.array().cast("array<string>"))
+    return c.select(*keys, "claim_idx", F.array_sort(F.transform("items", lambda x: item_canon(as_text(x)))).alias("itemset"), F.when(is_integer(n), number(n).cast("long")).otherwise(F.lit(0)).alias("count"), F.array_sort(F.array_distinct(rows)).alias("rows"))
 
 
 def normal_record(rec: Column) -> Column:

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from itemforge.functions.text import short_hash
+from itemforge.functions.text import safe_ratio, short_hash
+from itemforge.sources.readers import numbered
 
 # Shares of the kinds of variation and of the sizes, and size ranges of rows.
 VARIATIONS = (("row_subsample", 0.25), ("col_subsample", 0.20), ("combined_subsample", 0.25), ("shuffle_only", 0.15), ("add_noise", 0.15))
@@ -173,7 +174,27 @@ def generation_log(transactions: DataFrame) -> DataFrame:
     return each.groupBy("dataset_id").agg(F.countDistinct("row_no").alias("num_transactions"), F.max("n").alias("actual_cols"), F.count("item").alias("total_items"), F.countDistinct("item").alias("unique_items"))
 
 
+# Largest row counts of a small and of a medium data set.
+SMALL_ROWS, MEDIUM_ROWS = 10, 18
+
+
 def generation_statistics(log: DataFrame) -> DataFrame:
-    """One row: sizes of the generated data sets."""
+    """One row on generated data sets (num_transactions, actual_cols, unique_items): spread of sizes, and how many are small, medium and large."""
     r = F.col("num_transactions")
-    return log.agg(F.count("*").alias("datasets"), F.min(r).alias("min_rows"), F.max(r).alias("max_rows"), F.avg(r).alias("mean_rows"), F.median(r).alias("median_rows"), F.count_if(r <= 7).alias("small"), F.count_if((r > 7) & (r <= 11)).alias("medium"), F.count_if(r > 11).alias("large"))
+    spread = [f(c).alias(f"{n}_{name}") for name, c in (("rows", "num_transactions"), ("cols", "actual_cols"), ("items", "unique_items")) for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("median", F.median))]
+    return log.agg(F.count("*").alias("datasets"), *spread, F.count_if(r <= SMALL_ROWS).alias("small"), F.count_if((r > SMALL_ROWS) & (r <= MEDIUM_ROWS)).alias("medium"), F.count_if(r > MEDIUM_ROWS).alias("large"))
+
+
+def shares(log: DataFrame, by: str) -> DataFrame:
+    """(by, datasets, share): how many data sets each variation, or each source, gave; the most first."""
+    n = log.groupBy(by).agg(F.count("*").alias("datasets"))
+    total = log.agg(F.count("*").alias("_total"))
+    return n.join(F.broadcast(total)).select(by, "datasets", safe_ratio(F.col("datasets"), F.col("_total")).alias("share")).orderBy(F.desc("datasets"), by)
+
+
+def dataset_names(log: DataFrame, existing: int = 0, order: str = "dataset_id") -> DataFrame:
+    """Adds dataset_idx, which runs on from ``existing``, and filename ``ds_0001_RxC_hash.csv`` (num_transactions, actual_cols, hash)."""
+    n = numbered(log, order).withColumn("dataset_idx", F.col("row_no") + existing).drop("row_no")
+    number = F.when(F.col("dataset_idx") < 10_000, F.lpad(F.col("dataset_idx").cast("string"), 4, "0")).otherwise(F.col("dataset_idx").cast("string"))
+    name = F.concat(F.lit("ds_"), number, F.lit("_"), F.col("num_transactions").cast("string"), F.lit("x"), F.col("actual_cols").cast("string"), F.lit("_"), F.left("hash", F.lit(8)), F.lit(".csv"))
+    return n.withColumn("filename", name)

@@ -70,7 +70,7 @@ def run_filter(model: str | None = None, only_passed: bool = False, since: str |
                 df = df.where(F.col("timestamp") >= F.lit(since).cast("timestamp_ntz"))
             if until:
                 df = df.where(F.col("timestamp") <= F.lit(until).cast("timestamp_ntz"))
-        return df.orderBy("timestamp").limit(limit) if limit else df
+        return df.orderBy("timestamp", "id").limit(limit) if limit else df
 
     return apply
 

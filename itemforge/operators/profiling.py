@@ -14,16 +14,27 @@ def _signatures(texts: DataFrame, col: str, chars: int) -> DataFrame:
 
 
 def diversity(texts: DataFrame, col: str = "text", chars: int = 120) -> DataFrame:
-    """One row: texts, characters, share of different texts and prefixes, collapse and duplicates.
+    """One row on texts that are not blank: number, lengths, different texts and prefixes, collapse, extra copies.
 
-    Each kind of signature is counted by one aggregate; nothing is collected.
+    ``template_collapse_rate`` is the share of texts under any prefix that occurs more than once;
+    ``duplicate_full_text_count`` counts the copies beyond the first of each text. Each kind of
+    signature is counted by one aggregate, and the three rows are laid over each other.
     """
     s = _signatures(texts, col, chars)
-    n = s.agg(F.count("*").alias("texts"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"))
-    whole = s.groupBy("whole").agg(F.count("*").alias("n")).agg(F.count("*").alias("unique_texts"), F.count_if(F.col("n") > 1).alias("duplicated_texts"))
-    prefix = s.groupBy("prefix").agg(F.count("*").alias("n")).agg(F.count("*").alias("unique_prefixes"), F.coalesce(F.max("n"), F.lit(0)).alias("top_prefix_count"))
-    one = n.join(whole, F.lit(True)).join(prefix, F.lit(True))
-    return one.select("texts", "chars", "unique_texts", "unique_prefixes", "duplicated_texts", "top_prefix_count", safe_ratio(F.col("unique_texts"), F.col("texts")).alias("unique_text_rate"), safe_ratio(F.col("unique_prefixes"), F.col("texts")).alias("unique_prefix_rate"), safe_ratio(F.col("top_prefix_count"), F.col("texts")).alias("collapse_rate"))
+    n = s.agg(F.count("*").alias("total_texts"), F.round(F.avg("chars"), 1).alias("avg_chars"), F.min("chars").cast("long").alias("min_chars"), F.max("chars").cast("long").alias("max_chars"))
+    more = F.when(F.col("n") > 1, F.col("n"))
+    whole = s.groupBy("whole").agg(F.count("*").alias("n")).agg(F.count("*").alias("wholes"), F.sum(more - 1).alias("duplicate_full_text_count"))
+    prefix = s.groupBy("prefix").agg(F.count("*").alias("n")).agg(F.count("*").alias("prefixes"), F.sum(more).alias("repeated"), F.max("n").alias("most_common_prefix_count"))
+    laid = n.unionByName(whole, allowMissingColumns=True).unionByName(prefix, allowMissingColumns=True)
+    one = laid.agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in laid.columns])
+
+    def rate(c: str, name: str) -> Column:
+        return safe_ratio(F.col(c), F.col("total_texts"), 4).alias(name)
+
+    return one.select(
+        "total_texts", "avg_chars", "min_chars", "max_chars", rate("wholes", "unique_full_text_rate"), rate("prefixes", "unique_prefix_rate"), rate("repeated", "template_collapse_rate"),
+        "most_common_prefix_count", rate("most_common_prefix_count", "most_common_prefix_rate"), "duplicate_full_text_count",
+    )
 
 
 def top_prefixes(texts: DataFrame, k: int = 5, col: str = "text", chars: int = 120) -> DataFrame:

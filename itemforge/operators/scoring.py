@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itemforge.functions.text import item_canon, itemset_key, itemset_set, safe_ratio
+from itemforge.functions.text import item_canon, itemset_set, safe_ratio, set_key
 from itemforge.operators.claims import field, is_list, is_object, number, parse_json
 
 GROUP = ["dataset_id"]
 
 
 def keyed(itemsets: DataFrame, group: list[str] = GROUP) -> DataFrame:
-    return itemsets.select(*group, itemset_key(itemset_set(F.col("itemset"))).alias("key"), F.size("itemset").alias("size"), "count")
+    return itemsets.select(*group, set_key(itemset_set(F.col("itemset"))).alias("key"), F.size("itemset").alias("size"), "count")
 
 
 def matched(truth: DataFrame, claims: DataFrame, group: list[str] = GROUP) -> DataFrame:
@@ -99,8 +99,8 @@ def accepted(s: DataFrame) -> DataFrame:
 
 def differences(expected: DataFrame, predicted: DataFrame, group: list[str] = GROUP) -> DataFrame:
     """(group, key, problem): missing, extra, wrong_count or wrong_rows; equal itemsets are left out."""
-    a = expected.select(*group, itemset_key(itemset_set(F.col("itemset"))).alias("key"), F.col("count").alias("n"), F.array_sort("rows").alias("r"))
-    b = predicted.select(*group, itemset_key(itemset_set(F.col("itemset"))).alias("key"), F.col("count").alias("m"), F.array_sort("rows").alias("q"))
+    a = expected.select(*group, set_key(itemset_set(F.col("itemset"))).alias("key"), F.col("count").alias("n"), F.array_sort("rows").alias("r"))
+    b = predicted.select(*group, set_key(itemset_set(F.col("itemset"))).alias("key"), F.col("count").alias("m"), F.array_sort("rows").alias("q"))
     kind = F.when(F.col("m").isNull(), "missing").when(F.col("n").isNull(), "extra").when(F.col("n") != F.col("m"), "wrong_count").when(F.col("r") != F.col("q"), "wrong_rows")
     return a.join(b, [*group, "key"], "full_outer").select(*group, "key", kind.alias("problem")).where("problem IS NOT NULL")
 
@@ -128,7 +128,7 @@ def format_reward(text: Column) -> Column:
 def _sets(v: Column, canonical: bool) -> Column:
     def key(x: Column) -> Column:
         items = F.transform(field(x, "itemset"), lambda y: F.try_variant_get(y, "$", "string"))
-        return itemset_key(itemset_set(items) if canonical else F.array_sort(F.array_distinct(items)))
+        return set_key(itemset_set(items) if canonical else F.array_sort(F.array_distinct(items)))
 
     return F.array_distinct(F.transform(F.filter(_records(v), lambda x: is_object(x) & _has(x, "itemset")), key))
 
@@ -147,7 +147,7 @@ def count_reward(text: Column, truth: Column) -> Column:
 
     def pair(x: Column) -> Column:
         items = F.transform(F.coalesce(field(x, "itemset"), F.array().cast("array<variant>")), lambda y: F.try_variant_get(y, "$", "string"))
-        return F.struct(itemset_key(F.array_sort(F.array_distinct(items))).alias("key"), number(F.try_variant_get(x, "$.count", "variant")).alias("n"))
+        return F.struct(set_key(F.array_sort(F.array_distinct(items))).alias("key"), number(F.try_variant_get(x, "$.count", "variant")).alias("n"))
 
     p = F.transform(F.filter(_records(v), is_object), pair)
     g = F.transform(F.filter(_records(t), lambda x: is_object(x) & _has(x, "itemset")), pair)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemforge.functions.text import itemset_canon, row_index, row_label, safe_ratio
-from itemforge.operators.claims import as_text, field, is_integer, is_number, number
+from itemforge.operators.claims import as_text, field, is_integer, is_number, listed, number
 
 # Names of the errors.
 TYPES = (
@@ -26,7 +26,7 @@ KEYS = ["dataset_id", "source", "claim_idx"]
 def prepared(claims: DataFrame, totals: DataFrame) -> DataFrame:
     """Claims (dataset_id, source, claim_idx, rec variant) with their parts taken out."""
     c = claims.join(totals, "dataset_id", "left").withColumn("total_rows", F.coalesce("total_rows", F.lit(0)))
-    c = c.withColumn("items", field(F.col("rec"), "itemset")).withColumn("listed", field(F.col("rec"), "rows", "evidence_rows"))
+    c = c.withColumn("items", field(F.col("rec"), "itemset")).withColumn("listed", listed(F.col("rec"), "rows", "evidence_rows"))
     c = c.withColumn("count", F.try_variant_get("rec", "$.count", "variant")).withColumn("support", F.try_variant_get("rec", "$.support", "variant"))
     c = c.withColumn("has_support", F.coalesce(F.schema_of_variant("rec").contains("support:"), F.lit(False)))
     labels = F.transform("listed", as_text)
@@ -38,41 +38,47 @@ def prepared(claims: DataFrame, totals: DataFrame) -> DataFrame:
 def errors(claims: DataFrame, baskets: DataFrame, totals: DataFrame, min_support: int) -> DataFrame:
     """(dataset_id, source, claim_idx, raw_itemset, type, row_label, detail).
 
-    ``totals``: (dataset_id, total_rows). An empty itemset or missing rows end the checks of a claim.
+    One pass over the claims gives the errors that a claim shows by itself, one anti-join against the
+    rows the items that a row lacks. ``totals``: (dataset_id, total_rows). An empty itemset or missing rows end the checks of a claim.
     """
     c = prepared(claims, totals)
     base = [*KEYS, "raw_itemset"]
-
-    def found(df: DataFrame, kind: str, row=None, detail=None) -> DataFrame:
-        return df.select(*base, F.lit(kind).alias("type"), (F.lit(None) if row is None else row).cast("string").alias("row_label"), (F.lit(None) if detail is None else detail).cast("string").alias("detail"))
-
-    ok = c.where("items IS NOT NULL AND listed IS NOT NULL")
+    ok = F.col("items").isNotNull() & F.col("listed").isNotNull()
     n, distinct = number(F.col("count")), F.size("unique")
     null_count = F.col("count").isNull() | F.is_variant_null("count")
-    out = [
-        found(c.where("items IS NULL"), "empty_itemset"),
-        found(c.where("items IS NOT NULL AND listed IS NULL"), "missing_rows"),
-        found(ok.select(*base, F.explode("labels").alias("r")).where(row_index(F.col("r")).isNull()), "malformed_row_label", F.col("r")),
-        found(ok.where(null_count), "missing_count"),
-        found(ok.where(~null_count & ~n.eqNullSafe(distinct.cast("double"))), "count_mismatch", detail=distinct),
-        found(ok.where(is_number(F.col("count")) & (n < min_support)), "below_min_support", detail=n),
-        found(ok.where(F.size("labels") != distinct), "duplicate_rows_listed", detail=distinct),
+    exact = ok & (F.col("source") == "apriori") & F.col("has_support") & is_integer(F.col("count"))
+    expected = safe_ratio(distinct, F.col("total_rows"))
+    none = F.lit(None)
+
+    def error(kind: str, row=none, detail=none):
+        return F.struct(F.lit(kind).alias("type"), row.cast("string").alias("row_label"), detail.cast("string").alias("detail"))
+
+    def outside(i):
+        return (i < 1) | (i > F.col("total_rows"))
+
+    single = [
+        (F.col("items").isNull(), error("empty_itemset")),
+        (F.col("items").isNotNull() & F.col("listed").isNull(), error("missing_rows")),
+        (ok & null_count, error("missing_count")),
+        (ok & ~null_count & ~n.eqNullSafe(distinct.cast("double")), error("count_mismatch", detail=distinct)),
+        (ok & is_number(F.col("count")) & (n < min_support), error("below_min_support", detail=n)),
+        (ok & (F.size("labels") != distinct), error("duplicate_rows_listed", detail=distinct)),
+        (exact & ~is_number(F.col("support")), error("invalid_support_type")),
+        (exact & is_number(F.col("support")) & (F.abs(number(F.col("support")) - expected) > 1e-6), error("support_mismatch", detail=expected)),
     ]
-    rows = ok.select(*base, "canon", "total_rows", F.explode("unique").alias("row_no"))
-    outside = (F.col("row_no") < 1) | (F.col("row_no") > F.col("total_rows"))
-    out.append(found(rows.where(outside), "row_out_of_range", row_label(F.col("row_no")), F.col("total_rows")))
-    asked = rows.where(~outside).select(*base, "row_no", F.explode("canon").alias("item"))
+    once = F.filter(F.array(*[F.when(cond, e) for cond, e in single]), lambda e: e.isNotNull())
+    malformed = F.transform(F.filter("labels", lambda r: row_index(r).isNull()), lambda r: error("malformed_row_label", r))
+    beyond = F.transform(F.filter("unique", outside), lambda i: error("row_out_of_range", row_label(i), F.col("total_rows")))
+    nothing = F.filter(F.array(error("")), lambda e: F.lit(False))
+    each = F.concat(once, F.when(ok, F.concat(malformed, beyond)).otherwise(nothing))
+    of_claims = c.select(*base, F.explode(each).alias("e")).select(*base, "e.*")
+
+    inside = F.filter("unique", lambda i: ~outside(i))
+    asked = c.where(ok).select(*base, "canon", F.explode(inside).alias("row_no")).select(*base, "row_no", F.explode("canon").alias("item"))
     missing = asked.join(baskets.select("dataset_id", "row_no", "item"), ["dataset_id", "row_no", "item"], "left_anti")
     missing = missing.groupBy(*base, "row_no").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    out.append(found(missing, "item_missing_in_row", row_label(F.col("row_no")), F.to_json("items")))
-    exact = ok.where((F.col("source") == "apriori") & F.col("has_support") & is_integer(F.col("count")))
-    expected = safe_ratio(distinct, F.col("total_rows"))
-    out.append(found(exact.where(~is_number(F.col("support"))), "invalid_support_type"))
-    out.append(found(exact.where(is_number(F.col("support")) & (F.abs(number(F.col("support")) - expected) > 1e-6)), "support_mismatch", detail=expected))
-    whole = out[0]
-    for x in out[1:]:
-        whole = whole.unionByName(x)
-    return whole.unionByName(empty_output(claims))
+    of_rows = missing.select(*base, F.lit("item_missing_in_row").alias("type"), row_label(F.col("row_no")).alias("row_label"), F.to_json("items").alias("detail"))
+    return of_claims.unionByName(of_rows).unionByName(empty_output(claims))
 
 
 def empty_output(claims: DataFrame) -> DataFrame:

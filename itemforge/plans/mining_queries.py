@@ -238,7 +238,7 @@ SQL = {
     "fingerprint": "SELECT doc_id, left(sha256(text), 12) AS hash12, CAST(strlen(text) AS BIGINT) AS bytes FROM documents",
     "json_props": "SELECT event_type, count(k) AS n, CAST(sum(k) AS BIGINT) AS total, min(k) AS least, max(k) AS most FROM (SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY event_type",
     "chunk_assignment": "SELECT o_orderkey, r AS row_no, (r - 1) // 50 AS chunk FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS r FROM orders)",
-    "text_signature": r"SELECT doc_id, lower(left(trim(regexp_replace(text, '\s+', ' ', 'g')), 120)) AS prefix FROM documents",
+    "text_signature": r"SELECT doc_id, left(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), 120) AS prefix FROM documents",
     "set_ops": f"""WITH b AS ({BRANDS}), e AS (SELECT DISTINCT item FROM b WHERE row_no % 2 = 0), o AS (SELECT DISTINCT item FROM b WHERE row_no % 2 = 1)
         SELECT 'both' AS op, item FROM (SELECT * FROM e INTERSECT SELECT * FROM o) UNION ALL SELECT 'even only', item FROM (SELECT * FROM e EXCEPT SELECT * FROM o)
         UNION ALL SELECT 'odd only', item FROM (SELECT * FROM o EXCEPT SELECT * FROM e) UNION ALL SELECT 'any', item FROM (SELECT * FROM e UNION SELECT * FROM o)""",

@@ -247,8 +247,27 @@ def csv_hash(s, d):
 
 
 def generation_statistics(s, d):
-    o = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("dataset_id")).agg(F.count("*").alias("num_transactions"))
-    return generate.generation_statistics(o)
+    return generate.generation_statistics(_customer_log(s, d))
+
+
+def _customer_log(s, d):
+    """The orders of a customer as a data set."""
+    o = table(s, d, "orders").groupBy(F.col("o_custkey").alias("dataset_id"))
+    return o.agg(F.count("*").alias("num_transactions"), (F.max(F.col("o_orderkey") % 5) + 1).alias("actual_cols"), F.countDistinct("o_orderpriority").alias("unique_items"))
+
+
+def variation_counts(s, d):
+    ids = table(s, d, "orders").select("o_orderkey")
+    return generate.shares(generate.mix(ids, "o_orderkey"), "variation")
+
+
+def source_counts(s, d):
+    return generate.shares(table(s, d, "orders").select("o_orderstatus"), "o_orderstatus")
+
+
+def dataset_names(s, d):
+    log = _customer_log(s, d).withColumn("hash", F.sha2(F.col("dataset_id").cast("string").cast("binary"), 256))
+    return generate.dataset_names(log, 7).select(F.col("dataset_id").alias("o_custkey"), F.col("dataset_idx").cast("long").alias("dataset_idx"), "filename")
 
 
 def generation_log(s, d):
@@ -311,7 +330,7 @@ QUERIES = {f.__name__: f for f in (
     ledger_stats, ledger_filter_day, ledger_filter_range, ledger_derived, latest_per_group, failed_runs, capped_rejects, batch_outcome, readiness, holdout_exclusion, training_exclusion, failed_with_truth,
     model_families, message_records, token_budget, over_limit, preference_pairs, phase_budgets, single_budgets, gate_budgets, think_split, trace_repair, loop_detection, name_dimensions,
     diversity_report, top_prefixes, size_bins, bin_means, explicit_bins, rolling_match, rolling_match_odd, largest_datasets, rank_aggregation, row_subsample, col_subsample, shuffled_rows, noise_rows,
-    variation_mix, holdout_split, wide_rows, csv_hash, generation_statistics, generation_log, topped_up, generated_frequency, seeded_sample, dataset_text, ground_truth_json, reasoning_text, sft_records,
+    variation_mix, holdout_split, wide_rows, csv_hash, generation_statistics, variation_counts, source_counts, dataset_names, generation_log, topped_up, generated_frequency, seeded_sample, dataset_text, ground_truth_json, reasoning_text, sft_records,
     ordered_itemsets, row_labels,
 )}
 
@@ -329,18 +348,19 @@ def _choice(u: str, options) -> str:
     return f"{out} ELSE '{options[-1][0]}' END"
 
 
+_LOG = "SELECT o_custkey AS k, count(*) AS r, max(o_orderkey % 5) + 1 AS c, count(DISTINCT o_orderpriority) AS u FROM orders GROUP BY o_custkey"
 _ORDERS = "SELECT o_orderpriority AS dataset_id, o_orderkey AS row_no, 'status:' || o_orderstatus AS a, 'cust:' || o_custkey AS b FROM orders"
 _EST = "WITH e AS (SELECT p_partkey, CAST(CASE WHEN p_partkey % 3 = 0 OR p_partkey % 90 = 0 THEN p_size * 3 ELSE p_partkey % 90 END AS BIGINT) AS s FROM part), f AS (SELECT *, least(s * (s - 1) // 4, 50) AS p FROM e), g AS (SELECT *, least(p // 3, 20) AS t FROM f) "
 _SIZED = "SELECT p_partkey, CAST(p_size * (p_partkey % 17 + 1) AS DOUBLE) AS area, p_partkey % 10 AS diff FROM part"
 _BINS = f"WITH x AS ({_SIZED}), q AS (SELECT list_sort(list_distinct(quantile_cont(area, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS e FROM x), b AS (SELECT x.*, e[i] AS lo, e[i + 1] AS hi FROM x, q, range(1, 6) r(i) WHERE i < len(e) AND area <= e[i + 1] AND (area > e[i] OR (i = 1 AND area = e[1]))) "
 _NORMAL = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
-_SIG = f"WITH s AS (SELECT length(text) AS chars, lower({_NORMAL}) AS whole, lower(left({_NORMAL}, 120)) AS prefix FROM documents WHERE {_NORMAL} <> '') "
+_SIG = f"WITH s AS (SELECT length(text) AS chars, lower({_NORMAL}) AS whole, left(lower({_NORMAL}), 120) AS prefix FROM documents WHERE {_NORMAL} <> '') "
 _THINK = "CASE WHEN turn % 3 = 0 THEN '' ELSE '</think> answer</think> end' END"
 
 SQL = {
     "ledger_stats": _RUNS + "SELECT llm_model, count(*) AS runs, count(*) FILTER (validation_passed) AS passed, avg(CAST(validation_passed AS INT)) AS pass_rate FROM runs GROUP BY llm_model",
     "ledger_filter_day": _RUNS + "SELECT id, llm_model FROM runs WHERE llm_model = 'click' AND timestamp >= TIMESTAMP '2024-01-03' AND timestamp < TIMESTAMP '2024-01-04'",
-    "ledger_filter_range": _RUNS + "SELECT id FROM runs WHERE validation_passed AND timestamp >= TIMESTAMP '2024-01-02' AND timestamp <= TIMESTAMP '2024-01-05' ORDER BY timestamp LIMIT 50",
+    "ledger_filter_range": _RUNS + "SELECT id FROM runs WHERE validation_passed AND timestamp >= TIMESTAMP '2024-01-02' AND timestamp <= TIMESTAMP '2024-01-05' ORDER BY timestamp, id LIMIT 50",
     "ledger_derived": _RUNS + "SELECT id, llm_itemset_count - apriori_itemset_count AS itemset_diff, llm_itemset_count / nullif(apriori_itemset_count, 0) AS percent_match FROM runs",
     "latest_per_group": _RUNS + "SELECT CAST(dataset AS VARCHAR) AS dataset_id, max(id) AS id, arg_max(llm_model, id) AS llm_model FROM runs GROUP BY dataset",
     "failed_runs": _RUNS + "SELECT id, llm_model FROM runs WHERE NOT validation_passed AND llm_itemset_count > 0 AND llm_output_path IS NOT NULL",
@@ -362,7 +382,7 @@ SQL = {
     "trace_repair": "SELECT conv_id, turn, 9 + 5 + length(text) + 10 AS chars FROM conversations",
     "loop_detection": r"WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(CASE WHEN doc_id % 4 = 0 THEN text || repeat(chr(10) || ' same line ', 5) ELSE text END, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents) SELECT doc_id, len(l) >= 6 AND len(list_distinct(l[-3:])) = 1 AS looping FROM l",
     "name_dimensions": "SELECT p_partkey, CAST(p_size AS BIGINT) AS parsed_rows, p_partkey % 7 + 1 AS parsed_cols, p_size * (p_partkey % 7 + 1) AS area, CASE WHEN p_partkey % 2 = 1 THEN CAST(p_size AS BIGINT) END AS strict_rows FROM part",
-    "diversity_report": _SIG + ", w AS (SELECT whole, count(*) AS n FROM s GROUP BY whole), p AS (SELECT prefix, count(*) AS n FROM s GROUP BY prefix), r AS (SELECT (SELECT count(*) FROM s) AS texts, (SELECT CAST(sum(chars) AS BIGINT) FROM s) AS chars, (SELECT count(*) FROM w) AS unique_texts, (SELECT count(*) FROM p) AS unique_prefixes, (SELECT count(*) FROM w WHERE n > 1) AS duplicated_texts, (SELECT max(n) FROM p) AS top_prefix_count) SELECT *, unique_texts / texts AS unique_text_rate, unique_prefixes / texts AS unique_prefix_rate, top_prefix_count / texts AS collapse_rate FROM r",
+    "diversity_report": _SIG + ", w AS (SELECT count(*) AS n FROM s GROUP BY whole), p AS (SELECT count(*) AS n FROM s GROUP BY prefix), t AS (SELECT count(*) AS n, round(avg(chars), 1) AS a, CAST(min(chars) AS BIGINT) AS lo, CAST(max(chars) AS BIGINT) AS hi FROM s) SELECT n AS total_texts, a AS avg_chars, lo AS min_chars, hi AS max_chars, round((SELECT count(*) FROM w) / n, 4) AS unique_full_text_rate, round((SELECT count(*) FROM p) / n, 4) AS unique_prefix_rate, round((SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM p WHERE n > 1) / t.n, 4) AS template_collapse_rate, (SELECT max(n) FROM p) AS most_common_prefix_count, round((SELECT max(n) FROM p) / t.n, 4) AS most_common_prefix_rate, (SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM w) AS duplicate_full_text_count FROM t",
     "top_prefixes": _SIG + "SELECT prefix, count(*) AS count FROM s GROUP BY prefix ORDER BY count DESC, prefix LIMIT 5",
     "size_bins": _BINS + "SELECT lo, hi, count(*) AS n FROM b GROUP BY ALL",
     "bin_means": _BINS + "SELECT lo, count(*) AS rows, avg(diff) AS avg_diff FROM b GROUP BY lo",
@@ -379,7 +399,10 @@ SQL = {
     "holdout_split": f"SELECT o_orderkey, CASE WHEN {_u('o_orderkey')} < 0.1 THEN 'validation' ELSE 'train' END AS split FROM orders",
     "wide_rows": f"WITH b AS ({BRANDS}), l AS (SELECT row_no, list(item ORDER BY item) AS i FROM b GROUP BY row_no) SELECT row_no, i[1] AS item_1, coalesce(i[2], '') AS item_2, coalesce(i[3], '') AS item_3, coalesce(i[4], '') AS item_4 FROM l",
     "csv_hash": f"WITH o AS ({_ORDERS}), c AS (SELECT dataset_id, 'item_1,item_2' || chr(10) || string_agg(a || ',' || b, chr(10) ORDER BY row_no) AS csv FROM o GROUP BY dataset_id) SELECT dataset_id, sha256(csv) AS sha, left(sha256(csv), 8) AS hash FROM c",
-    "generation_statistics": "WITH n AS (SELECT count(*) AS r FROM lineitem GROUP BY l_orderkey) SELECT count(*) AS datasets, min(r) AS min_rows, max(r) AS max_rows, avg(r) AS mean_rows, median(r) AS median_rows, count(*) FILTER (r <= 7) AS small, count(*) FILTER (r > 7 AND r <= 11) AS medium, count(*) FILTER (r > 11) AS large FROM n",
+    "generation_statistics": f"WITH l AS ({_LOG}) SELECT count(*) AS datasets, min(r) AS min_rows, max(r) AS max_rows, avg(r) AS mean_rows, median(r) AS median_rows, min(c) AS min_cols, max(c) AS max_cols, avg(c) AS mean_cols, median(c) AS median_cols, min(u) AS min_items, max(u) AS max_items, avg(u) AS mean_items, median(u) AS median_items, count(*) FILTER (r <= 10) AS small, count(*) FILTER (r > 10 AND r <= 18) AS medium, count(*) FILTER (r > 18) AS large FROM l",
+    "variation_counts": f"WITH v AS (SELECT {_choice(_u('o_orderkey', chr(39) + 'v' + chr(39)), generate.VARIATIONS)} AS variation FROM orders) SELECT variation, count(*) AS datasets, count(*) / (SELECT count(*) FROM v) AS share FROM v GROUP BY variation",
+    "source_counts": "SELECT o_orderstatus, count(*) AS datasets, count(*) / (SELECT count(*) FROM orders) AS share FROM orders GROUP BY o_orderstatus",
+    "dataset_names": f"WITH l AS (SELECT *, row_number() OVER (ORDER BY k) + 7 AS i FROM ({_LOG})) SELECT k AS o_custkey, i AS dataset_idx, 'ds_' || CASE WHEN i < 10000 THEN lpad(CAST(i AS VARCHAR), 4, '0') ELSE CAST(i AS VARCHAR) END || '_' || r || 'x' || c || '_' || left(sha256(CAST(k AS VARCHAR)), 8) || '.csv' AS filename FROM l",
     "generation_log": f"WITH o AS ({_ORDERS}) SELECT dataset_id, count(*) AS num_transactions, CAST(3 AS INT) AS actual_cols, 3 * count(*) AS total_items, count(DISTINCT a) + count(DISTINCT b) + 1 AS unique_items FROM o GROUP BY dataset_id",
     "topped_up": f"WITH o AS ({_ORDERS}) SELECT dataset_id, greatest(12, count(*)) AS rows FROM o GROUP BY dataset_id",
     "dataset_text": f"WITH o AS ({_ORDERS}) SELECT dataset_id, count(*) AS n_rows, sha256(string_agg('Row ' || row_no || ': ' || a || ', ' || b, chr(10) ORDER BY row_no)) AS sha FROM o GROUP BY dataset_id",
