@@ -4,13 +4,13 @@ A pair of neighbouring bytes that occurs inside no vocabulary token can never be
 cut there is certain: the fragments on both sides are encoded independently and their ids
 concatenated.  Cuts are taken only where the pre-tokenizer of the vocabulary cannot look across
 either (the byte before is not white space, the byte after starts a character and is no
-apostrophe).  Fragments of about ``fragment_bytes`` are encoded at a time, which bounds the work of
-each merge however long a text is.
+apostrophe).  Every text is cut, at the first certain cut after each ``fragment_bytes`` bytes, which bounds
+the work of each merge however long a text is.
 
 Fragments are encoded by the ``tiktoken`` engine loaded with this vocabulary's merges as ranks.
-Where its character classes might differ from those of ``tokenizers`` (rare characters) or a
-special token's string occurs, the ``tokenizers`` library encodes the fragments, and no cut touches
-such a string.  Tests hold both ways against ``tokenizers``.
+A fragment in which its character classes might differ from those of ``tokenizers`` (rare characters) or
+a special token's string occurs is encoded by the ``tokenizers`` library, and no cut touches such a
+string.  Tests hold both ways against ``tokenizers``.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 PLAIN = re.compile("[^\t\n\r\x20-\x7e¡-ſ‐-‧€]")
 #: Last bytes of white space characters in UTF-8.
 SPACE_ENDS = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, *range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]
-FRAGMENT_BYTES = 1024
+FRAGMENT_BYTES = 128
 
 
 def byte_letters() -> dict[str, int]:
@@ -100,7 +100,7 @@ class ByteBpe:
         return at[np.cumsum(touched)[at] == 0]
 
     def fragments(self, raw: bytes, special: bool = False) -> list[str]:
-        """Pieces of valid UTF-8 between certain cuts, each of about ``fragment_bytes`` where cuts allow."""
+        """Pieces of valid UTF-8: the text cut at the first certain cut in each further ``fragment_bytes`` bytes."""
         n = len(raw)
         if n <= self.fragment_bytes:
             return [raw.decode()]
@@ -108,27 +108,27 @@ class ByteBpe:
         at = np.flatnonzero(self.cuts[b[:-1] * 256 + b[1:]]) + 1
         if special:
             at = self.whole(raw, at)
-        out, i = [], 0
-        while n - i > self.fragment_bytes:
-            j = int(np.searchsorted(at, i + self.fragment_bytes))
-            if j == len(at):
-                break
-            out.append(raw[i : at[j]].decode())
-            i = int(at[j])
-        out.append(raw[i:].decode())
-        return out
+        slot = at // self.fragment_bytes
+        first = np.ones(len(at), dtype=bool)
+        first[1:] = slot[1:] != slot[:-1]
+        ends = [0, *at[first & (slot > 0)].tolist(), n]
+        return [raw[i:j].decode() for i, j in zip(ends, ends[1:], strict=False)]
 
     def encode(self, raw: bytes) -> np.ndarray:
         """Ids (unsigned 32 bits) of one text."""
         if not raw:
             return np.empty(0, np.uint32)
         text = raw.decode("utf-8", "replace")
-        if self.fast is None or self.unusual.search(text):
-            got = self.exact.encode_batch_fast(self.fragments(text.encode(), special=True), add_special_tokens=False)
-            return np.concatenate([np.array(x.ids, dtype=np.uint32) for x in got])
-        got = [self.fast.encode_to_numpy(x, disallowed_special=()) for x in self.fragments(raw)]
+        if self.fast is not None and not self.unusual.search(text):
+            got = [self.fast.encode_to_numpy(x, disallowed_special=()) for x in self.fragments(text.encode())]
+        else:
+            got = [self.exactly(x) if self.fast is None or self.unusual.search(x) else self.fast.encode_to_numpy(x, disallowed_special=()) for x in self.fragments(text.encode(), special=True)]
         return (np.concatenate(got) if len(got) > 1 else got[0]).astype(np.uint32)
 
+    def exactly(self, text: str) -> np.ndarray:
+        """Ids by the ``tokenizers`` library."""
+        return np.array(self.exact.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the decoded text; bytes that form no character become U+FFFD."""
         ids = ids.astype(np.int64)

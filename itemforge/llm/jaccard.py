@@ -7,15 +7,16 @@ coarse one.  The overlap of two sets is at most the sum over coordinates of
 the smaller count; an R-tree node, whose box has an upper corner, bounds all its points alike.  Pairs
 that the bound leaves are verified on the sets themselves.
 
-To search locally, points are first dealt to groups that keep every linked pair together: two sets
-with Jaccard 0.8 share a member among the fifth of their members with the smallest hashes (plus one),
-so each point goes to one tree for each such member that occurs in at least two places.  A tree
-yields a spanning forest of its surviving pairs, not the pairs.  The forests' components are
-clusters; every link lies inside one, and each cluster's sets are compared exactly.  Clusters of more
-than ``BLOCK`` sets are split into blocks that share a few pivots, and then whatever the pivots
-did not join is compared with every block.
-
-Equal sets count once. Sets are known by a 64-bit hash.
+To search locally, points are first dealt to groups that keep every linked pair together: in any order
+of all members, two sets with Jaccard 0.8 share one among the first fifth of their members (plus one),
+so each point goes to one tree for each such member that occurs in at least two different sets.  The order is
+by hash, with members that very many texts hold last; which those are is estimated from one text in
+``SHARE``, as any order gives the same links.  A tree yields a spanning forest of its surviving pairs,
+not the pairs.  The forests' components are clusters; every link lies inside one, and each cluster's sets
+are compared exactly.  Clusters of more than ``BLOCK`` sets are split into blocks that share a few pivots,
+and then whatever the pivots did not join is compared with every block.
+
+Equal sets count once, wherever in the corpus they are. Sets are known by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemforge.llm import textkit as tk
-from itemforge.llm.shared import components, pick, seed_filter, small_or_shuffled, written
+from itemforge.llm.shared import SeedFilter, components, dealt, discard, key_filter, matched, pick, seed_filter, written
 
 SHINGLE = 5
 GROUPS = 128
@@ -34,7 +35,10 @@ PER_GROUP = 3
 FULL = 60_000
 NODE = 32
 SMALL = 8
-HOT_ROWS = 20_000
+#: A member's points are dealt to blocks beyond this many; texts that hold a common member; share of texts looked at.
+HOT_ROWS = 4000
+COMMON = 4000
+SHARE = 16
 BLOCK = 1024
 BLOCK_MEMBERS = 300_000
 PIVOTS = 8
@@ -93,11 +97,19 @@ class Sets:
         n = n.astype(np.uint8)
         return n[0::2] << 4 | n[1::2], off // 2
 
-    def prefix(self, similarity: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """The members with the smallest hashes, of which linked sets share one: flat, number by row."""
+    def prefix(self, similarity: tuple[int, int], common: SeedFilter | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The first members, of which linked sets share one, by hash with common ones last: flat, number by row."""
         a, b = similarity
         n = np.where(self.size > 0, self.size + (-a * self.size) // b + 1, 0)
-        return self.hash[tk.spread(self.offsets[:-1], n)], n
+        if common is None or not common.words.any():
+            return self.hash[tk.spread(self.offsets[:-1], n)], n
+        last = common.holds(self.hash)
+        row = np.repeat(np.arange(len(self.size)), self.size)
+        before = np.concatenate([[0], np.cumsum(~last)])
+        rare = before[:-1] - before[self.offsets[:-1]][row]
+        rares = (before[self.offsets[1:]] - before[self.offsets[:-1]])[row]
+        place = np.where(last, rares + np.arange(len(row)) - self.offsets[:-1][row] - rare, rare)
+        return self.hash[place < n[row]], n
 
 
 def group_bits(size: np.ndarray) -> np.ndarray:
@@ -273,14 +285,11 @@ def exact_forest(sets: list[np.ndarray], similarity: tuple[int, int], queries: i
     return left, right
 
 
-def scan(docs: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """One written table: rows with ``token`` send a set's point to a tree, rows without tell each document's set.
-
-    A hot token's points are dealt to blocks and each pair of blocks is a tree, so that no task holds
-    more than two blocks of them.
-    """
+def common_members(docs: DataFrame) -> SeedFilter:
+    """A filter of the members that more than ``COMMON`` texts hold, by one text in ``SHARE``."""
+    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(SHARE)) == 0)
 
-    def tokens(batches):
+    def members(batches):
         import pyarrow as pa
 
         known: set[int] = set()
@@ -288,15 +297,22 @@ def scan(docs: DataFrame, similarity: tuple[int, int]) -> DataFrame:
             data, off = tk.column_bytes(b.column("text"))
             for i, j in tk.chunks(off):
                 x = Sets(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                flat, n = x.prefix(similarity)
-                fresh = _fresh(x.key, known)
-                key, count = np.unique(flat[np.repeat(fresh, n)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count)], ["key", "n"])
+                key, n = np.unique(x.hash[np.repeat(_fresh(x.key, known), x.size)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
+
+    counted = some.mapInArrow(members, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") * SHARE > COMMON)
+    keys = written(counted.select("key"), "common")
+    out = key_filter(keys, keys.count())
+    discard(keys)
+    return out
 
-    wanted = seed_filter(docs.select("text").mapInArrow(tokens, "key long, n long"), "shingles", HOT_ROWS, HOT_ROWS)
-    names = ["token", "salt", "set_key", "size", "point", "ord", "text_key"]
 
-    def rows(batches):
+def sets_of(docs: DataFrame, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """(ord, text_key, set_key, size) of each document, and one row of each set: with its point, its prefix, and the least document that has it."""
+    common = common_members(docs)
+    names = ["ord", "text_key", "set_key", "size", "point", "members"]
+
+    def run(batches):
         import pyarrow as pa
 
         known: set[int] = set()
@@ -304,23 +320,57 @@ def scan(docs: DataFrame, similarity: tuple[int, int]) -> DataFrame:
             data, off = tk.column_bytes(b.column("text"))
             for i, j in tk.chunks(off):
                 x = Sets(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                m = j - i
-                key = pa.array(x.key.view(np.int64), mask=x.size == 0)
-                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), key, pa.array(x.size), pa.nulls(m, pa.binary()), b.column("ord").slice(i, m), b.column("text_key").slice(i, m)], names)
-                flat, n = x.prefix(similarity)
-                row = np.repeat(np.arange(m), n)
-                yes = np.repeat(_fresh(x.key, known), n) & wanted.holds(flat)
-                flat, row = flat[yes], row[yes]
+                m, fresh = j - i, _fresh(x.key, known)
                 points, cut = x.points()
-                own, parts = wanted.salt(flat, x.key[row]), wanted.split(flat)
-                other = tk.spread(np.zeros(len(row), np.int64), parts)
-                flat, row, own, parts = (np.repeat(y, parts) for y in (flat, row, own, parts))
-                salt = np.where(own < 0, -1, np.minimum(own, other) * parts + np.maximum(own, other)).astype(np.int32)
-                k, length = len(row), np.diff(cut)[row]
-                raw = tk.binary_array(points[tk.spread(cut[row], length)], np.concatenate([[0], np.cumsum(length)]))
-                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(salt), pa.array(x.key[row].view(np.int64)), pa.array(x.size[row]), raw, pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names)
+                flat, n = x.prefix(similarity, common)
+                key = pa.array(x.key.view(np.int64), mask=x.size == 0)
+                once = [pa.array(np.where(fresh, np.arange(m), 0), mask=~fresh)]
+                heavy = [tk.binary_array(points, cut).take(once[0]), tk.binary_array(flat.view(np.uint8), 8 * np.concatenate([[0], np.cumsum(n)])).take(once[0])]
+                yield pa.RecordBatch.from_arrays([b.column("ord").slice(i, m), b.column("text_key").slice(i, m), key, pa.array(x.size), *heavy], names)
+
+    made = written(docs.select("ord", "text_key", "text").mapInArrow(run, "ord long, text_key long, set_key long, size long, point binary, members binary"), "sets")
+    least = F.min(F.struct("ord", "text_key")).alias("m")
+    each = made.where("set_key IS NOT NULL").groupBy("set_key").agg(least, F.first("size").alias("size"), F.first("point", True).alias("point"), F.first("members", True).alias("members"))
+    one = written(each.select("set_key", "m.ord", "m.text_key", "size", "point", "members"), "one-of-each")
+    return made.select("ord", "text_key", "set_key", "size"), one
+
+
+def dealt_points(one: DataFrame) -> DataFrame:
+    """(member, salt, set_key, size, point): a set's point for each tree that it goes to.
 
-    return written(docs.select("ord", "text_key", "text").mapInArrow(rows, "token long, salt int, set_key long, size long, point binary, ord long, text_key long"), "sets")
+    A hot member's points are dealt to blocks and each pair of blocks is a tree, so that no task holds
+    more than two blocks of them.
+    """
+
+    def members(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            raw, _ = tk.column_bytes(b.column("members"))
+            key, n = np.unique(raw.view(np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
+
+    wanted, hot = seed_filter(one.select("members").mapInArrow(members, "key long, n long"), "shingles", HOT_ROWS)
+
+    def points(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            raw, off = tk.column_bytes(b.column("members"))
+            flat = raw.view(np.uint64)
+            row = np.repeat(np.arange(b.num_rows), np.diff(off) // 8)
+            yes = wanted.holds(flat)
+            flat, row = flat[yes], row[yes]
+            size = np.diff(tk.column_bytes(b.column("point"))[1])
+            for i, j in tk.chunks(np.concatenate([[0], np.cumsum(size[row] + 32)])):
+                at = pa.array(row[i:j])
+                yield pa.RecordBatch.from_arrays([pa.array(flat[i:j].view(np.int64)), *[b.column(c).take(at) for c in ("set_key", "size", "point")]], ["member", "set_key", "size", "point"])
+
+    rows = one.select("set_key", "size", "point", "members").mapInArrow(points, "member long, set_key long, size long, point binary")
+    own, parts = F.pmod(F.xxhash64("set_key"), F.col("parts")), F.col("parts")
+    pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.least(own, p) * parts + F.greatest(own, p))
+    salts = F.when(parts == 1, F.array(F.lit(-1).cast("long"))).otherwise(pairs)
+    return dealt(rows, hot, "member").select("member", F.explode(salts).alias("salt"), "set_key", "size", "point")
 
 
 def _fresh(keys: np.ndarray, known: set[int]) -> np.ndarray:
@@ -341,9 +391,9 @@ def candidate_edges(points: DataFrame, similarity: tuple[int, int]) -> DataFrame
     def forest(batches):
         import pyarrow as pa
 
-        for held in tk.whole_groups(batches, ["token", "salt"], "point", 1 << 21):
+        for held in tk.whole_groups(batches, ["member", "salt"], "point", 1 << 21):
             t = pa.Table.from_batches(held).combine_chunks()
-            token, key, salt = np.asarray(t.column("token")), np.asarray(t.column("set_key")), np.asarray(t.column("salt"))
+            token, key, salt = np.asarray(t.column("member")), np.asarray(t.column("set_key")), np.asarray(t.column("salt"))
             order = np.lexsort((key, salt, token))
             token, key, salt = token[order], key[order], salt[order]
             new = np.ones(len(token), dtype=bool)
@@ -373,8 +423,8 @@ def candidate_edges(points: DataFrame, similarity: tuple[int, int]) -> DataFrame
             b = np.concatenate(b) if b else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(key[a]), pa.array(key[b])], ["a", "b"])
 
-    src = points.select("token", "salt", "set_key", "size", "point")
-    return src.repartition("token", "salt").sortWithinPartitions("token", "salt").mapInArrow(forest, "a long, b long")
+    src = points.select("member", "salt", "set_key", "size", "point")
+    return src.repartition("member", "salt").sortWithinPartitions("member", "salt").mapInArrow(forest, "a long, b long")
 
 
 def verified_edges(docs: DataFrame, clusters: DataFrame, similarity: tuple[int, int], block: int) -> DataFrame:
@@ -409,12 +459,12 @@ def verified_edges(docs: DataFrame, clusters: DataFrame, similarity: tuple[int,
         return run
 
     def texts(rows: DataFrame, queries: bool) -> DataFrame:
-        got = docs.select("ord", "text_key", "text").join(small_or_shuffled(rows), ["ord", "text_key"])
+        got = matched(docs.select("ord", "text_key", "text"), rows, ["ord", "text_key"], inner=True)
         got = got.select("cluster", F.explode("at").alias("block"), "role", "set_key", "text")
         return got.repartition("cluster", "block").sortWithinPartitions("cluster", "block").mapInArrow(compare(queries), "a long, b long")
 
     if placed.where("blocks > 1").isEmpty():
-        return written(texts(placed.select("ord", "text_key", "cluster", "set_key", F.array(F.lit(0)).alias("at"), F.lit(0).alias("role")), False), "links")
+        return written(texts(written(placed.select("ord", "text_key", "cluster", "set_key", F.array(F.lit(0)).alias("at"), F.lit(0).alias("role")), "placed"), False), "links")
     # pivots: the sets with the smallest hashes of their keys go to every block of their cluster
     large = placed.where("blocks > 1")
     pivot = large.where(F.pmod(F.xxhash64("set_key"), F.greatest(F.lit(1), F.ceil(F.col("sets") / PIVOTS))) == 0).select("set_key", F.lit(True).alias("pivot"))
@@ -436,15 +486,15 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def grouped(docs: DataFrame, similarity: tuple[int, int], block: int, id_col: str, text_col: str) -> DataFrame:
-    """(ord, text_key, size, root, least): every row's group and the smallest (ord, text_key) in it."""
+    """(ord, text_key, size, root, least): every row's group and the smallest (ord, text_key) in it; a written table."""
     src = keyed(pick(docs, id_col, text_col).toDF("id", "text"), "id", "text").select("ord", "text_key", F.col("text").cast("binary").alias("text"))
-    table = scan(src, similarity)
-    members = table.where("token IS NULL").select("ord", "text_key", "set_key", "size")
-    near = components(candidate_edges(table.where("token IS NOT NULL"), similarity), "near").select(F.col("node").alias("set_key"), F.col("root").alias("cluster"))
-    one = members.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("ord", "text_key")).alias("m"), F.min("size").alias("size")).select("set_key", "m.ord", "m.text_key", "size")
-    clusters = written(near.join(one, "set_key").select("set_key", "cluster", "ord", "text_key", "size"), "near-sets")
+    members, one = sets_of(src, similarity)
+    near = components(candidate_edges(dealt_points(one), similarity), "near").select(F.col("node").alias("set_key"), F.col("root").alias("cluster"))
+    clusters = written(near.join(one.select("set_key", "ord", "text_key", "size"), "set_key").select("set_key", "cluster", "ord", "text_key", "size"), "near-sets")
+    discard(one)
     root = components(verified_edges(src, clusters, similarity, block), "links").withColumnRenamed("node", "set_key")
     whole = written(members.join(root, "set_key", "left").select("ord", "text_key", "size", F.coalesce("root", "set_key").alias("root")), "grouped")
+    discard(clusters)
     least = whole.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("ord", "text_key")).alias("least"))
     return whole.join(least, "root", "left").select("ord", "text_key", "size", "root", F.coalesce("least", F.struct("ord", "text_key")).alias("least"))
 
@@ -476,7 +526,7 @@ def drop_near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (4, 5),
     stay = groups.where(F.struct("ord", "text_key") == F.col("least"))
     stay = written(stay.groupBy("ord", "text_key").agg(F.count("*").alias("rows")), "stay")
     whole = keyed(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
-    kept = whole.join(small_or_shuffled(stay), ["ord", "text_key"])
+    kept = matched(whole, stay, ["ord", "text_key"], inner=True)
     once = kept.where("rows = 1").select("row")
     if not stay.where("rows > 1").isEmpty():
         once = once.union(kept.where("rows > 1").groupBy("ord", "text_key").agg(F.first("row").alias("row")).select("row"))

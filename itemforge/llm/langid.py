@@ -7,52 +7,66 @@ entry: the language to which nearly all its occurrences in the training sample b
 from scaled forward-backward; a document's language is the one with the largest mean marginal over
 its words, and that mean is the score.
 
-The model is fitted on a bounded sample: about ``PER_LABEL`` documents of each language, chosen by a
-hash of their text; their whole texts are used. A chain holds at most ``CHAIN`` words; every word
-of a text lies in one. Prediction is one pass without a shuffle.
+The model is fitted on a bounded sample of different labelled texts: of each language those with the
+smallest hashes, at most ``PER_LABEL`` of them and no more once ``LABEL_BYTES`` are reached (the bound on
+languages is ``LABELS``, the commonest).  Their whole texts are used; one executor task fits the model, and
+only the weights that occur reach the driver.  A chain is a whole text, in training and in
+prediction. Prediction is one pass without a shuffle.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from itemforge.llm import textkit as tk
+from itemforge.llm.chains import forward_backward
 from itemforge.llm.hmm import document_number
 from itemforge.llm.shared import carried, pick, released
 
 PER_LABEL = 300
+LABEL_BYTES = 1 << 20
 LABELS = 256
 BUCKETS = 1 << 18
 ROUNDS = 25
 RATE = 0.3
 DECAY = 1e-6
-CHAIN = 256
 LEXICON_SHARE = 0.9
 UNKNOWN = "und"
+#: Log weight below the best label at which a word's evidence against a label ends.
+LEAST = -200.0
 
 
 @dataclass
 class Crf:
     labels: list[str]
-    weights: np.ndarray  # bucket by label
+    used: np.ndarray  # buckets that have weights
+    weights: np.ndarray  # of each of them by label
     move: np.ndarray  # label by label
     first: np.ndarray
     lexicon: np.ndarray  # sorted word hashes
     entry: np.ndarray  # label of each
 
+    def table(self) -> np.ndarray:
+        """Weights of all buckets."""
+        out = np.zeros((BUCKETS, len(self.labels)), dtype=np.float32)
+        out[self.used] = self.weights
+        return out
+
     def emissions(self, feature: np.ndarray, count: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Score of every label for words given by their features (``count`` of them each)."""
+        if not hasattr(self, "_all"):
+            self._all = self.table()
         begin = np.concatenate([[0], np.cumsum(count)])[:-1]
-        out = np.add.reduceat(self.weights[feature], begin, axis=0) if len(count) else np.zeros((0, len(self.labels)))
+        out = np.add.reduceat(self._all[feature], begin, axis=0) if len(count) else np.zeros((0, len(self.labels)), np.float32)
         if len(self.lexicon) and len(word):
             at = np.minimum(np.searchsorted(self.lexicon, word), len(self.lexicon) - 1)
             hit = np.flatnonzero(self.lexicon[at] == word)
-            out = out + 0
-            out[hit] += self.weights[lexicon_bucket(self.entry[at[hit]])]
+            out[hit] += self._all[lexicon_bucket(self.entry[at[hit]])]
         return out
 
 
@@ -94,47 +108,29 @@ class Types:
 
 
 def marginals(emit: np.ndarray, off: np.ndarray, move: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Marginals of each word, expected transitions, expected first labels, log partition of all chains.
-
-    ``off``: offsets of the texts; each is cut into chains.
-    """
-    size = np.diff(off)
-    count = -(-size // CHAIN)
-    no = tk.spread(np.zeros(len(count), np.int64), count)
-    at = np.repeat(off[:-1], count) + no * CHAIN
-    length = np.minimum(CHAIN, np.repeat(off[1:], count) - at)
-    order = np.argsort(-length, kind="stable")
-    at, length = at[order], length[order]
-    labels = emit.shape[1]
+    """Marginals of each word, expected transitions, expected first labels, log partition of all texts (``off``: their offsets)."""
     top = emit.max(1, keepdims=True) if len(emit) else emit
-    e = np.exp(emit - top)
-    m, f = np.exp(move), np.exp(first)
-    out = np.zeros_like(emit)
-    pairs, begin = np.zeros((labels, labels)), np.zeros(labels)
-    steps = int(length[0]) if len(length) else 0
-    active = np.searchsorted(-length, -np.arange(steps), side="left")
-    alpha, scales, log = [], [], float(top.sum())
-    for t, k in enumerate(active):
-        a = (f if t == 0 else alpha[-1][:k] @ m) * e[at[:k] + t]
-        s = a.sum(1, keepdims=True)
-        a = a / s
-        log += float(np.log(s).sum())
-        alpha.append(a)
-        scales.append(s)
-    beta = np.ones((0, labels))
-    for t in range(steps - 1, -1, -1):
-        k, n = active[t], len(beta)
-        now = np.ones((k, labels))
-        if n:
-            ahead = e[at[:n] + t + 1] * beta / scales[t + 1]
-            pairs += m * (alpha[t][:n].T @ ahead)
-            now[:n] = ahead @ m.T
-        beta = now
-        g = alpha[t] * beta
-        out[at[:k] + t] = g
-        if t == 0:
-            begin = g.sum(0)
-    return out, pairs, begin, log
+    e = np.exp(np.maximum(emit - top, LEAST).astype(np.float64))
+    p, pairs, begin, log = forward_backward(e, off, np.exp(move.astype(np.float64)), np.exp(first.astype(np.float64)))
+    return p, pairs, begin, log + float(top.sum())
+
+
+def text_sums(m: Crf, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of the marginals over a text's words with a letter, and the number of these words."""
+    emits, uses, total = [], [], 0
+    for piece, cut in tk.cut_rows(data, off):
+        t = Types(piece, cut)
+        if len(t.words):
+            emits.append(m.emissions(t.feature, t.count, t.hash)[t.inverse])
+            uses.append(t.letter[t.inverse])
+    n, k = len(off) - 1, len(m.labels)
+    if not emits:
+        return np.zeros((n, k)), np.zeros(n, dtype=np.int64)
+    words = tk.words_before(data, off)
+    p, _, _, _ = marginals(np.concatenate(emits), words, m.move, m.first)
+    use = np.concatenate(uses)
+    who = np.repeat(np.arange(n), np.diff(words))[use]
+    return np.stack([np.bincount(who, weights=p[use, c], minlength=n) for c in range(k)], 1), np.bincount(who, minlength=n)
 
 
 def fit(texts: list[bytes], truth: list[int], labels: list[str]) -> Crf:
@@ -147,7 +143,6 @@ def fit(texts: list[bytes], truth: list[int], labels: list[str]) -> Crf:
     np.add.at(seen, (t.inverse, gold), 1)
     share = seen.max(1) / np.maximum(seen.sum(1), 1)
     sure = (share >= LEXICON_SHARE) & (seen.sum(1) >= 3)
-    model = Crf(labels, np.zeros((BUCKETS, k)), np.zeros((k, k)), np.zeros(k), t.hash[sure], seen.argmax(1)[sure])
     extra = np.zeros(len(t.hash), dtype=np.int64)
     feature, count = t.feature, t.count
     if sure.any():  # the lexicon's feature is one more of these words
@@ -155,46 +150,55 @@ def fit(texts: list[bytes], truth: list[int], labels: list[str]) -> Crf:
         lead = np.concatenate([[0], np.cumsum(count + extra)])[:-1]
         grown = np.empty(int((count + extra).sum()), dtype=np.int64)
         grown[tk.spread(lead, count)] = feature
-        grown[lead[sure] + count[sure]] = lexicon_bucket(model.entry)
+        grown[lead[sure] + count[sure]] = lexicon_bucket(seen.argmax(1)[sure])
         feature, count = grown, count + extra
     begin = np.concatenate([[0], np.cumsum(count)])[:-1]
     owner = np.repeat(np.arange(len(count)), count)
+    used, feature = np.unique(feature, return_inverse=True)
     size = np.diff(words.offsets)
-    chains = np.repeat(np.array(truth), -(-size // CHAIN))
-    same = np.bincount(gold, minlength=k) - np.bincount(chains, minlength=k)
-    g2 = [np.full_like(x, 1e-8) for x in (model.weights, model.move, model.first)]
+    firsts_seen = np.bincount(np.array(truth)[size > 0], minlength=k)
+    same = np.bincount(gold, minlength=k) - firsts_seen
+    weights, move, first = np.zeros((len(used), k), np.float32), np.zeros((k, k)), np.zeros(k)
+    g2 = [np.full_like(x, 1e-8) for x in (weights, move, first)]
     n = max(1, len(gold))
     for _ in range(ROUNDS):
-        emit = np.add.reduceat(model.weights[feature], begin, axis=0)[t.inverse]
-        p, pairs, starts, _ = marginals(emit, words.offsets, model.move, model.first)
-        miss = -p
-        miss[np.arange(len(gold)), gold] += 1
-        by_type = np.stack([np.bincount(t.inverse, weights=miss[:, c], minlength=len(t.hash)) for c in range(k)], 1)
-        grad = np.stack([np.bincount(feature, weights=by_type[owner, c], minlength=BUCKETS) for c in range(k)], 1) / n
-        moves = (np.diag(same) - pairs) / n
-        firsts = (np.bincount(chains, minlength=k) - starts) / n
-        for x, g, s in zip((model.weights, model.move, model.first), (grad, moves, firsts), g2, strict=True):
+        emit = np.add.reduceat(weights[feature], begin, axis=0)[t.inverse]
+        p, pairs, starts, _ = marginals(emit, words.offsets, move, first)
+        by_type = -np.stack([np.bincount(t.inverse, weights=p[:, c], minlength=len(t.hash)) for c in range(k)], 1)
+        by_type += seen
+        grad = np.stack([np.bincount(feature, weights=by_type[owner, c], minlength=len(used)) for c in range(k)], 1).astype(np.float32) / n
+        for x, g, s in zip((weights, move, first), (grad, (np.diag(same) - pairs) / n, (firsts_seen - starts) / n), g2, strict=True):
             g = g - DECAY * x
             s += g * g
             x += RATE * g / np.sqrt(s)
-    return model
+    return Crf(labels, used, weights, move, first, t.hash[sure], seen.argmax(1)[sure])
 
 
 def train(docs: DataFrame) -> Crf | None:
-    """``docs``: text binary, lang. None if there is no labelled text."""
-    known = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LABELS).collect()}
+    """``docs``: text binary, lang. None if there is no labelled text with a word."""
+    known = docs.where("lang IS NOT NULL AND text IS NOT NULL").withColumn("hash", F.xxhash64("text"))
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n")).orderBy(F.desc("n"), "lang").limit(LABELS).collect()}
     if not sizes:
         return None
     labels = sorted(sizes)
-    million = 1_000_000
-    share = F.create_map(*[F.lit(x) for v in labels for x in (v, min(million, -(-million * PER_LABEL // sizes[v])))])
-    chosen = known.where(F.pmod(F.xxhash64("text"), F.lit(million)) < share[F.col("lang")]).limit(2 * PER_LABEL * len(labels))
-    rows = sorted((bytes(r.text), r.lang) for r in chosen.select("text", "lang").collect())
-    rows = [r for r in rows if r[0].split()]
-    if not rows:
-        return None
-    return fit([r[0] for r in rows], [labels.index(r[1]) for r in rows], labels)
+    scale = 1 << 40  # twice the share of different texts that gives PER_LABEL, and all of a few
+    share = F.create_map(*[F.lit(x) for v in labels for x in (v, int(min(scale, -(-scale * 2 * (PER_LABEL + 50) // max(1, sizes[v])))))])
+    some = known.where(F.pmod("hash", F.lit(scale)) < share[F.col("lang")]).groupBy("lang", "hash").agg(F.first("text").alias("text"))
+    by = Window.partitionBy("lang").orderBy(F.pmod("hash", F.lit(scale)), "hash")
+    before = F.coalesce(F.sum(F.length("text")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = some.select("lang", "text", F.row_number().over(by).alias("n"), before.alias("before")).where((F.col("n") <= PER_LABEL) & (F.col("before") < LABEL_BYTES))
+
+    def run(batches):
+        import pyarrow as pa
+
+        rows = sorted((bytes(t), lang) for b in batches for t, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True))
+        rows = [r for r in rows if r[0].split()]
+        if rows:
+            model = fit([r[0] for r in rows], [labels.index(r[1]) for r in rows], labels)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    got = chosen.select("lang", "text").repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(got[0].model) if got else None
 
 
 def identify(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
@@ -202,8 +206,8 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "
 
     Training rows are those of ``labelled`` (``docs`` itself by default) whose crc32(id as text) mod 4
     is not 2 and whose language is not null. A null text and one without a letter get ``und`` with
-    score 0, and so does every text if there is no training row. Null ids count as an empty text,
-    repeated rows are predicted each alike; further columns are ignored, or with ``keep`` the named
+    score 0, and so does every text if there is no training row; of languages with equal marginals the
+    first by name is taken. Null ids count as an empty text, repeated rows are predicted each alike; further columns are ignored, or with ``keep`` the named
     ones are returned in place of the id.
     """
     src = docs.select(carried(id_col, keep).alias("id"), F.col(text_col).alias("text"), document_number(id_col).alias("number"))
@@ -224,16 +228,9 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "
                 n = j - i
                 best, score = np.full(n, -1), np.zeros(n)
                 if m is not None and off[j] > off[i]:
-                    t = Types(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                    if len(t.words):
-                        emit = m.emissions(t.feature, t.count, t.hash)[t.inverse]
-                        p, _, _, _ = marginals(emit, t.words.offsets, m.move, m.first)
-                        who = np.repeat(np.arange(n), np.diff(t.words.offsets))
-                        use = t.letter[t.inverse]
-                        total = np.stack([np.bincount(who[use], weights=p[use, c], minlength=n) for c in range(len(m.labels))], 1)
-                        words = np.bincount(who[use], minlength=n)
-                        best = np.where(words > 0, total.argmax(1), -1)
-                        score = np.where(words > 0, np.minimum(1.0, total.max(1) / np.maximum(words, 1)), 0.0)
+                    total, words = text_sums(m, data[off[i] : off[j]], off[i : j + 1] - off[i])
+                    best = np.where(words > 0, total.argmax(1), -1)
+                    score = np.where(words > 0, np.minimum(1.0, total.max(1) / np.maximum(words, 1)), 0.0)
                 best[~letter[i:j]] = -1
                 score[best < 0] = 0.0
                 names = np.array([*(m.labels if m else []), UNKNOWN], dtype=object)

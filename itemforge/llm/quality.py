@@ -7,7 +7,8 @@ deterministic and independent of any sample.  N-grams are words, pairs of neighb
 the last three characters of each word.
 
 The main path has no Python, pandas, Arrow or RDD code: the corpus is scanned once to count buckets
-(map-side combined, ``BUCKETS`` rows at most) and once to score, and its text is never shuffled.
+(map-side combined, ``BUCKETS`` rows at most) and once to score.  No text is shuffled but, where the
+trusted ids are too many to be broadcast, that of the documents that may be trusted.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itemforge.llm.shared import carried, pick, released, small_or_shuffled, written
+from itemforge.llm.shared import carried, matched, pick, released, written
 
 #: Hashed buckets (a power of two); this bounds the table that reaches the driver and each task.
 BUCKETS = 1 << 16
@@ -57,8 +58,8 @@ GRAMS = (f"cast({{h}} & {MASK} AS int)", f"hash({{h}}, {{next}}) & {MASK}", f"ha
 
 def bucket_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(bucket, raw, target): occurrences in all documents and in those whose id is in ``trusted`` (id)."""
-    ids = small_or_shuffled(written(trusted.where("id IS NOT NULL").distinct().withColumn("good", F.lit(1)), "trusted"))
-    flagged = pick(docs, id_col, text_col).toDF("id", "text").join(ids, "id", "left")
+    ids = written(trusted.where("id IS NOT NULL").distinct().withColumn("good", F.lit(1)), "trusted")
+    flagged = matched(pick(docs, id_col, text_col).toDF("id", "text"), ids, ["id"])
     words = with_words(flagged.select(F.col("good").alias("id"), "text"), "id", "text").withColumnRenamed("id", "good")
     each = words.select("good", "w", F.posexplode("w").alias("i", "x"))
     each = each.select("good", "x", F.expr("xxhash64(x)").alias("h"), F.expr("nullif(xxhash64(get(w, i + 1)), xxhash64(cast(NULL AS string)))").alias("next"))

@@ -18,18 +18,25 @@ from itemforge.llm.textkit import mix
 BROADCAST_BYTES = 8 << 20
 #: Bytes of a row group of a written table: writers and readers hold one in memory.
 ROW_GROUP = 8 << 20
-#: Bits of a seed filter: 16 a seed, within these bounds (at most 128 MB a worker).
-FILTER_BITS = (1 << 16, 1 << 30)
-#: A seed of more than this many rows, and of more than a thousandth of all, is dealt over several tasks.
-HOT_SEED = 10_000
+#: Bits of a seed filter or key map: 16 a key, within these bounds (at most 32 MB a worker).
+FILTER_BITS = (1 << 16, 1 << 28)
+#: Words of 64 bits in a key map that Spark broadcasts as a table.
+MAP_WORDS = 1 << 20
+#: A key of more rows than this is dealt over several tasks.
+HOT_SEED = 4000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where unset."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``.
+
+    Where it is unset a local master gets a temporary folder; on a cluster, whose machines do not share
+    one, that is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="itemforge-")
-        spark.sparkContext.setCheckpointDir(path)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="itemforge-"))
         path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
 
@@ -38,7 +45,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as a Parquet table in the shared folder and read it back."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.options(compression="zstd", **{"parquet.block.size": ROW_GROUP}).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "_folder", None):
+            spark = t.sparkSession
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def table_bytes(df: DataFrame) -> int:
@@ -51,18 +69,52 @@ def small_or_shuffled(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if table_bytes(df) <= BROADCAST_BYTES else df
 
 
-#: Rows of an Arrow batch: texts are long, and a batch is held by the JVM and by Python at once.
-BATCH_ROWS = 2000
+def matched(texts: DataFrame, few: DataFrame, keys: list[str], inner: bool = False) -> DataFrame:
+    """``texts`` joined on ``keys`` to a written table, left or inner, without shuffling texts that match nothing.
+
+    A small ``few`` is broadcast. Beyond that a bitmap of its keys' hashes (a table of at most
+    ``MAP_WORDS`` words, whatever the data) is: texts whose bit is unset pass by in the scan, and only the
+    others are shuffled to meet ``few``.
+    """
+    how = "inner" if inner else "left"
+    if table_bytes(few) <= BROADCAST_BYTES:
+        return texts.join(F.broadcast(few), keys, how)
+    words = 1 << int(np.clip(few.count() // 4, 1 << 10, MAP_WORDS) - 1).bit_length()
+
+    def place(df: DataFrame) -> DataFrame:
+        h = F.xxhash64(*keys)
+        return df.withColumns({"_word": F.pmod(F.shiftright(h, 6), F.lit(words)), "_bit": h.bitwiseAND(63).cast("int")})
+
+    bits = place(few.select(*keys)).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    marked = place(texts).join(F.broadcast(bits), "_word", "left")
+    hit = F.coalesce(F.expr("getbit(_bits, _bit)") == 1, F.lit(False))
+    some = marked.where(hit).select(*texts.columns).join(few, keys, how)
+    if inner:
+        return some
+    rest = marked.where(~hit).select(*texts.columns)
+    new = [f for f in few.schema if f.name not in keys]
+    return some.unionByName(rest.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in new]))
+
+
+def dealt(rows: DataFrame, hot: DataFrame | None, key: str) -> DataFrame:
+    """Adds ``parts``: in how many parts the row's key is dealt, 1 for a key that is not hot."""
+    if hot is None:
+        return rows.withColumn("parts", F.lit(1))
+    return rows.join(small_or_shuffled(hot.withColumnRenamed("key", key)), key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+
+
+#: Bytes of an Arrow batch, and rows that the Parquet reader decodes at a time: texts are long, and the
+#: JVM and Python hold a batch at once.
+BATCH_BYTES = 1 << 20
+READ_ROWS = 256
 
 
 def ship(spark: SparkSession) -> None:
-    """Ready a session: batches of at most ``BATCH_ROWS`` rows, and the package sent to executors that do not find it on their own path."""
+    """Ready a session: small batches, and the package sent to executors that do not find it on their own path."""
     import itemforge
 
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
-
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
     root = Path(itemforge.__file__).resolve().parent.parent
     seen = {Path(p or ".").resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]}
     if root in seen or getattr(spark.sparkContext, "_itemforge_shipped", False):
@@ -104,27 +156,8 @@ def released(id_col: str, keep: list[str] | None, name: str = "id") -> list[Colu
 class SeedFilter:
     """A Bloom filter with two probes. It only saves work: false positives drop out later."""
 
-    def __init__(self, words: np.ndarray, bits: int, hot: dict[int, int]):
+    def __init__(self, words: np.ndarray, bits: int):
         self.words, self.bits = words, bits
-        self.hot = np.array(sorted(hot), dtype=np.uint64)
-        self.parts = np.array([hot[k] for k in sorted(hot)], dtype=np.uint64)
-
-    def split(self, keys: np.ndarray) -> np.ndarray:
-        """In how many parts each key is dealt."""
-        out = np.ones(len(keys), dtype=np.int64)
-        if len(self.hot) and len(keys):
-            at = np.minimum(np.searchsorted(self.hot, keys), len(self.hot) - 1)
-            out = np.where(self.hot[at] == keys, self.parts[at].astype(np.int64), 1)
-        return out
-
-    def salt(self, keys: np.ndarray, by: np.ndarray) -> np.ndarray:
-        """-1, or for a hot seed one of its parts, chosen by a hash."""
-        out = np.full(len(keys), -1, dtype=np.int32)
-        if len(self.hot) and len(keys):
-            at = np.minimum(np.searchsorted(self.hot, keys), len(self.hot) - 1)
-            yes = self.hot[at] == keys
-            out[yes] = (mix(by[yes]) % self.parts[at[yes]]).astype(np.int32)
-        return out
 
     @staticmethod
     def probes(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,19 +171,8 @@ class SeedFilter:
         return out
 
 
-def seed_filter(keys: DataFrame, name: str, hot_rows: int = HOT_SEED, part_rows: int | None = None) -> SeedFilter:
-    """``keys`` (key long, n long): a filter holding every key whose n sum to two or more.
-
-    Its hot seeds are known by name: at most a thousand, since each has a thousandth of all rows. They
-    are dealt in parts of ``part_rows`` rows, by default of half the number that makes a seed hot.
-
-    Counting is a map-side combined aggregate, so a hot key is no hot task. The filter is built in
-    64 segments by the executors; the driver only joins bitmaps of bounded size.
-    """
-    repeated = written(keys.groupBy("key").agg(F.sum("n").alias("n")).where("n >= 2"), name)
-    count, rows = repeated.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    least = max(hot_rows, rows // 1000)
-    hot = {r.key % (1 << 64): -(-r.n // (part_rows or -(-least // 2))) for r in repeated.where(F.col("n") > least).collect()}
+def key_filter(keys: DataFrame, count: int) -> SeedFilter:
+    """A filter holding every ``key`` of a written table; executors build it in 64 segments, the driver joins bitmaps of bounded size."""
     bits = 1 << int(np.clip(16 * max(count, 1), *FILTER_BITS) - 1).bit_length()
     segment = bits // 64
 
@@ -177,23 +199,41 @@ def seed_filter(keys: DataFrame, name: str, hot_rows: int = HOT_SEED, part_rows:
 
     words = np.zeros(bits // 8, dtype=np.uint8)
     if count:
-        places = repeated.select("key").mapInArrow(probe, "place long")
+        places = keys.select("key").mapInArrow(probe, "place long")
         parts = places.repartition(16, F.floor(F.col("place") / segment)).mapInArrow(build, "segment int, bitmap binary")
         for r in parts.toLocalIterator():
             at = r.segment * (segment // 8)
             words[at : at + segment // 8] |= np.frombuffer(r.bitmap, np.uint8)
-    return SeedFilter(words, bits, hot)
+    return SeedFilter(words, bits)
+
+
+def seed_filter(keys: DataFrame, name: str, hot_rows: int | None = None) -> tuple[SeedFilter, DataFrame | None]:
+    """``keys`` (key long, n long): a filter holding every key whose n sum to two or more, and the hot keys.
+
+    A key of more than ``hot_rows`` rows is hot: (key, parts) tells in how many parts of at most half that
+    many rows it is dealt. The hot keys are a written table (None without any), joined to the rows
+    like any other. Counting is a map-side combined aggregate, so a hot key is no hot task.
+    """
+    hot_rows = hot_rows or HOT_SEED
+    repeated = written(keys.groupBy("key").agg(F.sum("n").alias("n")).where("n >= 2"), name)
+    count, most = repeated.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
+    hot = None
+    if most > hot_rows:
+        hot = written(repeated.where(F.col("n") > hot_rows).select("key", F.ceil(F.col("n") / max(1, hot_rows // 2)).cast("int").alias("parts")), f"{name}-hot")
+    found = key_filter(repeated, count)
+    discard(repeated)
+    return found, hot
 
 
 # --- connected components -----------------------------------------------------------------------
 
 
-def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str) -> DataFrame:
     """(a long, b long) -> (node, root): root is the smallest node reachable. Nodes without edges are absent.
 
-    Alternating large-star and small-star rounds; each round is a written table, so an executor can
-    be lost at any time. Minimum by node is a map-side combined aggregate; the join back is a plain
-    equi-join that adaptive execution may split on a hub.
+    Alternating large-star and small-star rounds until nothing changes; each round is a written table, so
+    an executor can be lost at any time. Minimum by node is a map-side combined aggregate; the join back is
+    a plain equi-join that adaptive execution may split on a hub.
     """
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
 
@@ -207,16 +247,16 @@ def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
     def with_roots(stars: DataFrame) -> DataFrame:
         return stars.selectExpr("u AS node", "v AS root").union(stars.selectExpr("v AS node", "v AS root").distinct())
 
-    for _ in range(most_rounds):
+    while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = written(large, f"{name}-l")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(small.union(low.select("u", F.col("m").alias("v"))).distinct(), f"{name}-s")
+        before, e = e, written(small.union(low.select("u", F.col("m").alias("v"))).distinct(), f"{name}-s")
         now = state(e)
+        discard(before, large)
         if now == last:
             return with_roots(e)
         last = now
-    raise RuntimeError("components did not settle")

@@ -10,8 +10,10 @@ One suffix array of a corpus cannot be built in one place, so suffixes are first
 keep equal strings together: of the 50-byte grams in a string, the one with the smallest hash is its
 seed, and equal strings hold the same seed at the same place.  Consecutive strings with one seed form
 a context.  Only contexts whose seed occurs at least twice are sorted; equal contexts of a task are
-sent once with their number.  A seed of more than ``HOT_SEED`` contexts is dealt over several tasks, which
-pass on one copy of each string they hold; those meet again by the string's hash.
+sent once with their number, and one that occurs several times is sorted with a twin, so that its
+suffixes stand beside their copies too.  Contexts are known by a 128-bit digest.  A seed of more than
+``HOT_SEED`` contexts is dealt over several tasks, which pass on one copy of each string they hold; those
+meet again by the string's digest.
 """
 
 from __future__ import annotations
@@ -21,13 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemforge.llm import textkit as tk
-from itemforge.llm.shared import carried, merged_spans, released, seed_filter, small_or_shuffled, written
+from itemforge.llm.shared import carried, dealt, discard, matched, merged_spans, released, seed_filter, written
 
 LENGTH = 200
 GRAM = 50
 SEGMENT = 1 << 20
 SORT_BYTES = 1 << 20
-SEEN = 1 << 20
+AT_ONCE = 1 << 13
+#: Different contexts and texts that a task remembers to send each once.
+SEEN = 1 << 18
 
 
 class Contexts:
@@ -57,7 +61,6 @@ class Contexts:
         else:
             s = e = np.empty(0, np.int64)
         self.seed, self.at, self.count, self.row = grams[tag[s]] if len(s) else np.empty(0, np.uint64), start[s], e - s, row[s]
-        self.prefix = p
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int):
@@ -138,28 +141,31 @@ def two_stage_order(text: np.ndarray, ends: np.ndarray, begins: np.ndarray, star
     return np.concatenate(out)
 
 
-def repeated_starts(text: np.ndarray, begins: np.ndarray, ends: np.ndarray, starts: np.ndarray, copies: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position, repeated, first of its kind) of every start, in suffix order."""
+def common_prefixes(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+    """Common prefix, up to ``length`` bytes, of each suffix in ``order`` with the one before it; 0 for the first."""
+    out = np.zeros(len(order), dtype=np.int64)
+    if len(order) < 2:
+        return out
+    view = np.lib.stride_tricks.sliding_window_view(text, length)
+    for a in range(1, len(order), AT_ONCE):
+        at = order[a - 1 : a + AT_ONCE]
+        rows = view[at]
+        differ = rows[1:] != rows[:-1]
+        out[a : a + len(differ)] = np.where(differ.any(axis=1), differ.argmax(axis=1), length)
+    return out
+
+
+def repeated_starts(text: np.ndarray, begins: np.ndarray, ends: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, repeated, first of its kind) of every start, in suffix order, by adjacent common prefixes."""
     order = two_stage_order(text, ends, begins, starts, length)
     full = np.zeros(len(text) + 1, dtype=np.int64)
     np.add.at(full, begins, 1)
     np.add.at(full, begins + starts, -1)
     order = order[np.cumsum(full[:-1])[order] > 0]
-    p = tk.prefix_hash(text)
-    h = tk.span_hash(p, order, order + length)
-    same = np.flatnonzero(h[1:] == h[:-1])  # candidates for a common prefix of the whole length
-    view = np.lib.stride_tricks.sliding_window_view(text, length)
-    for a in range(0, len(same), 1 << 14):
-        s = same[a : a + (1 << 14)]
-        wrong = (view[order[s]] != view[order[s + 1]]).any(axis=1)
-        if wrong.any():
-            raise ArithmeticError("two different strings share a 64-bit hash")
-    repeated = np.repeat(copies > 1, ends - begins)[order]
-    repeated[same] = True
-    repeated[same + 1] = True
-    lead = np.ones(len(order), dtype=bool)
-    lead[same + 1] = False
-    return order, repeated, lead
+    same = common_prefixes(text, order, length) >= length
+    repeated = same.copy()
+    repeated[:-1] |= same[1:]
+    return order, repeated, ~same
 
 
 def seeds(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -176,25 +182,25 @@ def seeds(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(text_key, s, e): runs s..e of starts, within each text, of strings that also start elsewhere."""
-    wanted = seed_filter(seeds(docs, length, gram), "byte-seeds")
-    names = ["seed", "salt", "context", "starts", "copies", "bytes", "text_key", "at"]
+    """(text_key, spans): runs s..e of starts, within each text, of strings that also start elsewhere."""
+    wanted, hot = seed_filter(seeds(docs, length, gram), "byte-seeds")
+    names = ["seed", "context", "starts", "copies", "bytes", "text_key", "at"]
 
     def contexts(batches):
         """Rows with bytes or copies go to the sort; rows with text_key place a context in a text."""
         import pyarrow as pa
 
-        copies: dict[int, int] = {}
+        copies: dict[bytes, list] = {}
         known: set[int] = set()
 
         def rest():
-            late = [(k, *v) for k, v in copies.items() if v[2] > 0]
+            late = [(k, *v) for k, v in copies.items() if v[1] > 0]
             copies.clear()
             known.clear()
             if late:
-                context, seed, salt, n = zip(*late, strict=True)
+                context, seed, n = zip(*late, strict=True)
                 m = len(late)
-                yield pa.RecordBatch.from_arrays([pa.array(seed, pa.int64()), pa.array(salt, pa.int32()), pa.array(context, pa.int64()), pa.nulls(m, pa.int64()), pa.array(n, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(seed, pa.int64()), pa.array(context, pa.binary()), pa.nulls(m, pa.int64()), pa.array(n, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names)
 
         for b in batches:
             data, off = tk.column_bytes(b.column("text"))
@@ -204,28 +210,27 @@ def repeated_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 m = np.flatnonzero(wanted.holds(x.seed))
                 if not len(m):
                     continue
-                at, count, seed = x.at[m], x.count[m], x.seed[m]
-                context = tk.span_hash(x.prefix, at, at + count + length - 1) ^ tk.mix(seed)
-                salt = wanted.salt(seed, context)
+                at, count, seed = x.at[m], x.count[m], x.seed[m].view(np.int64)
+                context = tk.digests(piece, at, count + length - 1)
                 row = x.row[m] + first_row
                 place = at - cut[x.row[m]] + base
-                context_list, seed_list, salt_list = context.view(np.int64).tolist(), seed.view(np.int64).tolist(), salt.tolist()
-                new = []
-                for i, c in enumerate(context_list):
+                seed_list, new = seed.tolist(), []
+                for i, c in enumerate(context):
                     if c in copies:
-                        copies[c][2] += 1
+                        copies[c][1] += 1
                     else:
-                        copies[c] = [seed_list[i], salt_list[i], 0]
+                        copies[c] = [seed_list[i], 0]
                         new.append(i)
                 new = np.array(new, dtype=np.int64)
                 size = count[new] + length - 1
                 raw = piece[tk.spread(at[new], size)]
                 k = len(new)
-                yield pa.RecordBatch.from_arrays([pa.array(seed[new].view(np.int64)), pa.array(salt[new]), pa.array(context[new].view(np.int64)), pa.array(count[new]), pa.array(np.ones(k, np.int64)), tk.binary_array(raw, np.concatenate([[0], np.cumsum(size)])), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names)
+                whole = pa.array(context, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(seed[new]), whole.take(pa.array(new)), pa.array(count[new]), pa.array(np.ones(k, np.int64)), tk.binary_array(raw, np.concatenate([[0], np.cumsum(size)])), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names)
                 fresh = np.array([t not in known for t in keys[row].tolist()], dtype=bool) if base == 0 else np.ones(len(row), dtype=bool)
                 f = np.flatnonzero(fresh)
                 k = len(f)
-                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.array(context[f].view(np.int64)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(keys[row[f]]), pa.array(place[f])], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), whole.take(pa.array(f)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(keys[row[f]]), pa.array(place[f])], names)
                 known.update(keys[row].tolist())
                 if len(copies) > SEEN or len(known) > SEEN:
                     yield from rest()
@@ -236,43 +241,56 @@ def repeated_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
         for parts in tk.whole_groups(batches, ["seed", "salt"], "bytes", SORT_BYTES):
             t = pa.Table.from_batches(parts).combine_chunks()
-            context = np.asarray(t.column("context"))
-            copies = np.asarray(t.column("copies")).astype(np.int64)
-            ids, inverse = np.unique(context, return_inverse=True)
-            total = np.bincount(inverse, weights=copies, minlength=len(ids)).astype(np.int64)
+            digest = t.column("context").combine_chunks().dictionary_encode()
+            inverse, ids = np.asarray(digest.indices), digest.dictionary
+            total = np.bincount(inverse, weights=np.asarray(t.column("copies")).astype(np.int64), minlength=len(ids)).astype(np.int64)
             has = np.flatnonzero(np.asarray(t.column("bytes").is_valid()))
             one = has[np.unique(inverse[has], return_index=True)[1]]  # bytes of each context once
-            s = t.take(pa.array(one))
+            twin = np.repeat(one, np.minimum(total[inverse[one]], 2))  # and twice if it occurs again
+            s = t.take(pa.array(twin))
             raw, off = tk.column_bytes(s.column("bytes"))
             starts = np.asarray(s.column("starts")).astype(np.int64)
-            order, repeated, lead = repeated_starts(raw, off[:-1], off[1:], starts, total[inverse[one]], length)
+            own = inverse[twin]
+            order, repeated, lead = repeated_starts(raw, off[:-1], off[1:], starts, length)
             yes = np.zeros(len(raw) + 1, dtype=bool)
             yes[order[repeated]] = True
             edge = np.diff(np.concatenate([[False], yes]).astype(np.int8))
             a, e = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0) - 1
             # a run never leaves its context: the last length-1 bytes of a context are no starts
             who = np.searchsorted(off, a, side="right") - 1
+            first = np.ones(len(own), dtype=bool)
+            first[1:] = own[1:] != own[:-1]
+            a, e, who = (y[first[who]] for y in (a, e, who))  # a twin says what the first says
             k = len(a)
-            yield pa.RecordBatch.from_arrays([pa.array(context[one][who]), pa.array(a - off[who]), pa.array(e - off[who]), pa.nulls(k, pa.int64())], ["context", "s", "e", "string"])
-            hot = np.asarray(s.column("salt")) >= 0
-            if hot.any():
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(own[who])), pa.array(a - off[who]), pa.array(e - off[who]), pa.nulls(k, pa.binary())], ["context", "s", "e", "string"])
+            hot_part = np.asarray(s.column("salt")) >= 0
+            if hot_part.any():
                 who = np.searchsorted(off, order, side="right") - 1
-                p = tk.prefix_hash(raw)
-                h = tk.span_hash(p, order, order + length)
-                mark = np.flatnonzero(hot[who])
-                k = len(mark)
-                yield pa.RecordBatch.from_arrays([pa.array(context[one][who[mark]]), pa.array(order[mark] - off[who[mark]]), pa.array(np.where(lead[mark], 1, 0).astype(np.int64)), pa.array(h[mark].view(np.int64))], ["context", "s", "e", "string"])
-
-    made = written(docs.select("text_key", "text").mapInArrow(contexts, "seed long, salt int, context long, starts long, copies long, bytes binary, text_key long, at long"), "contexts")
-    rows = made.where("seed IS NOT NULL").select("seed", "salt", "context", "starts", "copies", "bytes").repartition("seed", "salt").sortWithinPartitions("seed", "salt")
-    found = written(rows.mapInArrow(sort, "context long, s long, e long, string long"), "repeats")
+                mark = np.flatnonzero(hot_part[who] & first[who])
+                # one copy of each kind leads, if need be in place of a twin
+                kind = np.cumsum(lead) - 1
+                leads = np.zeros(len(mark), dtype=np.int64)
+                leads[np.unique(kind[mark], return_index=True)[1]] = 1
+                string = tk.digests(raw, order[mark], np.full(len(mark), length))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(own[who[mark]])), pa.array(order[mark] - off[who[mark]]), pa.array(leads), pa.array(string, pa.binary())], ["context", "s", "e", "string"])
+
+    made = written(docs.select("text_key", "text").mapInArrow(contexts, "seed long, context binary, starts long, copies long, bytes binary, text_key long, at long"), "contexts")
+    rows = dealt(made.where("seed IS NOT NULL").select("seed", "context", "starts", "copies", "bytes"), hot, "seed")
+    salt = F.when(F.col("parts") == 1, -1).otherwise(F.pmod(F.xxhash64("context"), F.col("parts"))).cast("int")
+    rows = rows.select("seed", salt.alias("salt"), "context", "starts", "copies", "bytes").repartition("seed", "salt").sortWithinPartitions("seed", "salt")
+    found = written(rows.mapInArrow(sort, "context binary, s long, e long, string binary"), "repeats")
     ranges = found.where("string IS NULL").select("context", "s", "e")
-    if len(wanted.hot):
+    if hot is not None:
         each = found.where("string IS NOT NULL")
         twice = each.where("e = 1").groupBy("string").count().where("count > 1").select("string")
         ranges = ranges.union(each.join(twice, "string").select("context", "s", F.col("s").alias("e")))
+    # one array of runs for each context, so that a context with many places and many runs is no product
+    runs = ranges.groupBy("context").agg(merged_spans(F.collect_set(F.struct("s", "e"))).alias("runs"))
     places = made.where("text_key IS NOT NULL").select("context", "text_key", "at").distinct()
-    return places.join(ranges, "context").select("text_key", (F.col("at") + F.col("s")).alias("s"), (F.col("at") + F.col("e")).alias("e"))
+    moved = F.transform("runs", lambda r: F.struct((F.col("at") + r.s).alias("s"), (F.col("at") + r.e).alias("e")))
+    out = written(places.join(runs, "context").groupBy("text_key").agg(merged_spans(F.array_distinct(F.flatten(F.collect_list(moved)))).alias("spans")), "byte-spans")
+    discard(made, found, *([hot] if hot is not None else []))
+    return out
 
 
 def drop_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -287,9 +305,7 @@ def drop_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     src = docs.select(carried(id_col, keep).alias("id"), F.col(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     src = src.select("id", F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
-    spans = repeated_spans(src, length, gram)
-    spans = written(spans.groupBy("text_key").agg(merged_spans(F.collect_set(F.struct("s", "e"))).alias("spans")), "byte-spans")
-    both = src.join(small_or_shuffled(spans), "text_key", "left")
+    both = matched(src, repeated_spans(src, length, gram), ["text_key"])
 
     def cut(batches):
         import pyarrow as pa

@@ -3,11 +3,14 @@
 Everything here works on whole Arrow batches as numpy arrays: no Python object is made per word
 or per byte.  A word is a maximal run of bytes outside 0x20 and 0x09-0x0D, which is the same as
 the pattern ``[^\\x20\\x09-\\x0D]+`` on code points, because no byte of a multi-byte UTF-8
-character lies in that range.  Word identity is a 64-bit hash of the word's bytes.
+character lies in that range.  Word identity is a 64-bit hash of the word's bytes, mixed block by
+block (a polynomial modulo 2**64 would let words of a simple pattern collide for every base).
+``span_hash`` is such a polynomial: it only chooses seeds and buckets, and never tells texts apart.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +21,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 CHUNK_BYTES = 1 << 20
+LONG_WORD = 256
+#: Masks that keep so many low bytes.
+KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -61,6 +67,12 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix(h + (end - start).astype(np.uint64) * np.uint64(0x94D049BB133111EB))
 
 
+def digests(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """128-bit BLAKE2 digest of each span of bytes: the identity of spans of any length."""
+    raw = memoryview(np.ascontiguousarray(data))
+    return [hashlib.blake2b(raw[a : a + n], digest_size=16).digest() for a, n in zip(start.tolist(), size.tolist(), strict=True)]
+
+
 def column_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and n+1 offsets of an Arrow string or binary column; null counts as empty."""
     import pyarrow as pa
@@ -92,6 +104,24 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = j
 
 
+def cut_rows(data: np.ndarray, offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, offsets) of pieces of about ``limit`` bytes, in order; a longer row comes in several, cut after white space."""
+    for i, j in chunks(offsets, limit):
+        a, b = int(offsets[i]), int(offsets[j])
+        if j - i > 1 or b - a <= 2 * limit:
+            yield data[a:b], offsets[i : j + 1] - a
+            continue
+        while a < b:
+            end = min(b, a + limit)
+            while end < b:
+                blank = np.flatnonzero(SPACE[data[end : end + limit]])
+                end = min(b, end + limit) if not len(blank) else end + int(blank[0]) + 1
+                if len(blank):
+                    break
+            yield data[a:end], np.array([0, end - a])
+            a = end
+
+
 class Words:
     """Words of a range of rows: start and end byte, 64-bit hash, and word offsets by row."""
 
@@ -111,20 +141,36 @@ class Words:
         self.hash = self._hashes()
 
     def _hashes(self) -> np.ndarray:
-        out = np.empty(len(self.start), dtype=np.uint64)
-        i, n = 0, len(out)
-        while i < n:  # blocks cut between words keep the arrays small for a very long text
-            base = self.start[i]
-            j = max(i + 1, int(np.searchsorted(self.end, base + CHUNK_BYTES, side="right")))
-            p = prefix_hash(self.data[base : self.end[j - 1]])
-            out[i:j] = span_hash(p, self.start[i:j] - base, self.end[i:j] - base)
-            i = j
+        """Words are taken eight bytes at a time, each mixed into what came before; long ones by BLAKE2."""
+        size = self.end - self.start
+        out = mix(size.astype(np.uint64) * np.uint64(0x94D049BB133111EB))
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(self.data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+        long = size > LONG_WORD
+        todo, at = (np.flatnonzero(~long), 0) if long.any() else (np.arange(len(size)), 0)
+        while len(todo):
+            left = size[todo] - at
+            out[todo] = mix((out[todo] ^ (eight[self.start[todo] + at] & KEEP[np.minimum(left, 8)])) * np.uint64(_BASE))
+            todo, at = todo[left > 8], at + 8
+        for i in np.flatnonzero(long).tolist():
+            raw = hashlib.blake2b(self.data[self.start[i] : self.end[i]].tobytes(), digest_size=8).digest()
+            out[i] = int.from_bytes(raw, "little")
         return out
 
     def __len__(self) -> int:
         return len(self.start)
 
 
+def words_before(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Word offsets by row, without hashing the words."""
+    solid = ~SPACE[data]
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1]
+    edge = offsets[(offsets > 0) & (offsets < len(data))]
+    begins[edge] |= solid[edge]
+    return np.searchsorted(np.flatnonzero(begins), offsets)
+
+
 def gram_hash(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of every k consecutive entries of ``h`` (length len(h)-k+1, or 0)."""
     n = len(h) - k + 1

@@ -43,7 +43,7 @@ def ranked(rows):
 @pytest.mark.parametrize("hot", [None, 2])
 def test_repeated_words(spark, documents, seed, hot, monkeypatch):
     if hot:
-        monkeypatch.setattr(substrings, "seed_filter", lambda k, n: shared.seed_filter(k, n, hot_rows=hot))
+        monkeypatch.setattr(shared, "HOT_SEED", hot)
     rows = [x for x in corpus(seed) if x[0] != 3 or "repeated id" not in x[1]]
     rows = [(i if i is not None else 10_000 + k, t, x) for k, (i, t, x) in enumerate(rows)] if seed == 3 else [x for x in rows if x[0] is not None]
     out = substrings.drop_repeated_words(documents(rows)).collect()
@@ -67,7 +67,7 @@ def test_repeated_words(spark, documents, seed, hot, monkeypatch):
 @pytest.mark.parametrize("length, gram, hot", [(200, 50, None), (40, 12, None), (40, 12, 3)])
 def test_repeated_bytes(spark, documents, seed, length, gram, hot, monkeypatch):
     if hot:
-        monkeypatch.setattr(suffix, "seed_filter", lambda k, n: shared.seed_filter(k, n, hot_rows=hot))
+        monkeypatch.setattr(shared, "HOT_SEED", hot)
     rows = corpus(seed)
     raw = [(i, (t or "").encode()) for i, t, _ in rows]
     n = Counter(b[p : p + length] for _, b in raw for p in range(len(b) - length + 1))
@@ -246,10 +246,12 @@ def test_components(spark, n, m):
 
 def test_seed_filter_has_no_false_negative(spark):
     keys = [(int(k), int(n)) for k, n in zip(np.random.default_rng(0).integers(-(2**63), 2**63 - 1, 3000), [1, 2, 3] * 1000, strict=True)]
-    f = shared.seed_filter(spark.createDataFrame(keys, "key long, n long"), "t")
+    f, hot = shared.seed_filter(spark.createDataFrame(keys, "key long, n long"), "t")
     k = np.array([x for x, _ in keys]).view(np.uint64)
     n = np.array([x for _, x in keys])
-    assert f.holds(k)[n > 1].all() and f.holds(k)[n == 1].mean() < 0.05 and len(f.hot) == 0
+    assert f.holds(k)[n > 1].all() and f.holds(k)[n == 1].mean() < 0.05 and hot is None
+    _, hot = shared.seed_filter(spark.createDataFrame([(1, 5), (1, 6), (2, 4), (3, 1)], "key long, n long"), "t", 4)
+    assert [tuple(r) for r in hot.collect()] == [(1, 6)]
 
 
 def vectors(seed, n=300, dim=16):
@@ -257,7 +259,7 @@ def vectors(seed, n=300, dim=16):
     x = rng.normal(size=(n, dim))
     for k in range(n // 3):  # near and exact copies, borderline ones too
         x[k] = x[k + n // 3] * (1 if k % 4 else 3) + rng.normal(size=dim) * (0, 0.1, 0.3, 0.5)[k % 4]
-    rows = [(int(i), [float(v) for v in x[i].astype(np.float32)], int(i % 3)) for i in range(n)]
+    rows = [(int(i), [float(v) for v in x[i].astype(np.float32)], int((i + n // 3 if i < n // 3 else i) % 3)) for i in range(n)]  # a copy has its source's label
     rows += [(n, None, 1), (n + 1, [0.0] * dim, 1), (n + 2, [float("nan")] * dim, 1), (n + 3, [None] + [1.0] * (dim - 1), 1), (n + 4, rows[5][1], None), (n + 5, [1.0] * (dim - 1), 1), (5, rows[5][1], 2), (n + 6, [float("inf")] * dim, 0)]
     return rows
 
@@ -288,6 +290,51 @@ def test_embeddings(spark, seed, block, monkeypatch):
     assert all(r.n_links == 0 for r in pq.near_duplicates(df.where("label IS NULL")).collect())
 
 
+@pytest.mark.parametrize("limit", [-1, 1 << 30])
+@pytest.mark.parametrize("inner", [False, True])
+def test_matched_whatever_the_size(spark, tmp_path, limit, inner, monkeypatch):
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", limit)
+    texts = spark.createDataFrame([(i if i % 7 else None, str(i % 50), f"text {i}") for i in range(300)], "id long, key string, text string")
+    few = shared.written(spark.createDataFrame([(i, str(i % 50), i) for i in range(0, 600, 4)], "id long, key string, x int"), "few")
+    got = shared.matched(texts, few, ["id", "key"], inner)
+    want = texts.join(few, ["id", "key"], "inner" if inner else "left")
+    assert got.columns == want.columns and Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+    shared.discard(few)
+
+
+@pytest.mark.parametrize("limit", [-1, 1 << 30])
+def test_substrings_whatever_the_size(spark, documents, limit, monkeypatch):
+    """No plan shuffles a text that matches nothing, and results do not depend on the size of what is joined."""
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", limit)
+    test_repeated_words(spark, documents, 1, None, monkeypatch)
+    test_repeated_bytes(spark, documents, 1, 40, 12, 3, monkeypatch)
+    test_near_duplicates(spark, documents, 1, 1024, 3, monkeypatch)
+    plan = substrings.drop_repeated_words(documents(corpus(1)))._jdf.queryExecution().optimizedPlan().toString()
+    assert ("shiftleft" in plan) == (limit < 0)
+
+
+def thue_morse(n):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - b for b in bits]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_of_a_pattern_are_told_apart(spark, documents):
+    """Two words whose polynomial hashes agree modulo 2**64 for every odd base."""
+    x, y = thue_morse(2048)
+    pad = [f"w{k}" for k in range(19)]
+    rows = [(1, " ".join([x, *pad]), None), (2, " ".join([y, *pad]), None)]
+    assert all(r.n_removed == 0 for r in substrings.drop_repeated_words(documents(rows)).collect())
+    rows = [(1, " ".join([x] * 6), None), (2, " ".join([y] * 6), None)]
+    assert {(r.doc_id, r.component_id) for r in jaccard.near_duplicate_groups(documents(rows)).collect()} == {(1, 1), (2, 2)}
+    rows = [(1, x[:200], None), (2, y[:200], None)] + [(3, x, None), (4, y, None), (5, x[:300], None)]
+    test = [(i, (t or "").encode()) for i, t, _ in rows]
+    n = Counter(b[p : p + 200] for _, b in test for p in range(len(b) - 199))
+    want = {i: sum(any(n[b[p : p + 200]] > 1 for p in range(max(0, q - 199), min(q, len(b) - 200) + 1)) for q in range(len(b))) for i, b in test}
+    assert {r.doc_id: r.n_removed for r in suffix.drop_repeated_bytes(documents(rows)).collect()} == want
+
+
 def test_spans_join(spark):
     df = spark.createDataFrame([([(5, 9), (1, 3), (4, 4), (20, 21), (6, 7)],), ([],)], "x array<struct<s:bigint,e:bigint>>")
     assert [[(y.s, y.e) for y in r.x] for r in df.select(shared.merged_spans(F.col("x")).alias("x")).collect()] == [[(1, 9), (20, 21)], []]

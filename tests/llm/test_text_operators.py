@@ -202,7 +202,7 @@ def test_forward_by_enumeration():
         x = rng.random(shape)
         return x / x.sum(-1, keepdims=True)
 
-    m = hmm.Model(np.array([], dtype=np.uint64), dist(3), dist(3), dist(3, 3), dist(3, 7).T)
+    m = hmm.Model(np.array([], dtype=np.uint64), dist(3), dist(3, 3), dist(3, 7).T)
     seqs = [[1, 2, 6], [0], [5, 5, 5, 6]]
     off = np.cumsum([0, *map(len, seqs)])
     got = hmm.forward(np.concatenate(seqs), off, m)
@@ -218,7 +218,6 @@ def test_training_raises_the_likelihood():
     unigram = np.full(8, 1 / 8)
     e = hmm.Expected(8, 2)
     e.start += 1
-    e.within += 1
     e.move += 1 + np.eye(2)
     e.emit += rng.random((8, 2)) + 0.5
     m, seen = e.model(np.array([], dtype=np.uint64), unigram), []

@@ -48,30 +48,32 @@ def test_embeddings_of_doubles(spark):
 
 
 def training(spark):
-    texts = ["hot text again"] * 300 + [f"text {k} of {k % 7} words" for k in range(90)]
-    df = spark.createDataFrame([(k, t.encode()) for k, t in enumerate(texts)], "number long, text binary")
-    return df, np.array([], dtype=np.uint64), np.full(hmm.CLASSES + 1, 1 / (hmm.CLASSES + 1))
+    """300 copies of one text and 90 others, as symbols."""
+    n = hmm.CLASSES + 1
+    texts = [[1, 2, 3, n - 1]] * 300 + [[4, 5 + k, 3 + k % 7, n - 1] for k in range(90)]
+    df = spark.createDataFrame([(bytearray(np.array(t, dtype="<i4").tobytes()),) for t in texts], "symbols binary")
+    return df, np.array([], dtype=np.uint64), np.full(n, 1 / n)
 
 
-def test_last_training_round_counts_all_documents_alike(spark, monkeypatch):
+def test_every_training_round_counts_all_documents_alike(spark, monkeypatch):
     seen, real = [], hmm.expected_counts
     monkeypatch.setattr(hmm, "SAMPLE_ROUNDS", 1)
-    monkeypatch.setattr(hmm, "expected_counts", lambda docs, model: seen.append((docs.count(), real(docs, model))) or seen[-1][1])
+    monkeypatch.setattr(hmm, "expected_counts", lambda texts, model: seen.append((texts.count(), real(texts, model))) or seen[-1][1])
     df, words, unigram = training(spark)
     model = hmm.train(df, words, unigram)
-    assert seen[-1][0] == 390
+    assert [n for n, _ in seen] == [390] * hmm.ROUNDS
     last = seen[-1][1].model(words, unigram)
     assert np.allclose(model.emit, last.emit) and np.allclose(model.start, last.start)
+    assert all(np.isclose(e.emit.sum(), 4 * 390, rtol=1e-4) and np.isclose(e.start.sum(), 390, rtol=1e-4) for _, e in seen)
 
 
 def test_first_guess_from_distinct_texts(spark, monkeypatch):
-    seen, real = [], hmm.tk.Words
-    monkeypatch.setattr(hmm, "SAMPLE_ROUNDS", 0)
-    monkeypatch.setattr(hmm, "FOLDS", 0)
-    monkeypatch.setattr(hmm, "SAMPLE", 91)
-    monkeypatch.setattr(hmm.tk, "Words", lambda data, off, **k: seen.extend(bytes(data[i:j]) for i, j in zip(off, off[1:])) or real(data, off, **k))
-    hmm.train(*training(spark))
-    assert len(seen) == len(set(seen)) == 91
+    texts = training(spark)[0]
+    flat, off = hmm.sampled(texts)
+    rows = {tuple(flat[a:b]) for a, b in zip(off, off[1:])}
+    assert len(rows) == len(off) - 1 == 91
+    monkeypatch.setattr(hmm, "SAMPLE_TOKENS", 41)
+    assert len(hmm.sampled(texts)[1]) - 1 == 10
 
 
 @pytest.mark.parametrize("size", [1, 40])
@@ -95,4 +97,15 @@ def test_unusual_texts_are_split_at_certain_cuts(size):
     b.exact = Seen()
     text = "漢字 qзx Привет, мир. " * 200
     assert b.encode(text.encode()).tolist() == real.encode(text, add_special_tokens=False).ids
-    assert len(calls) > 20 and "".join(calls) == text
+    parts = b.fragments(text.encode(), special=True)
+    assert "".join(parts) == text and calls == [x for x in parts if b.unusual.search(x)] and len(calls) > 20
+    calls.clear()
+    text = "plain words stand here and there. " * 100 + "漢字 " + "more of the same. " * 100
+    assert b.encode(text.encode()).tolist() == real.encode(text, add_special_tokens=False).ids
+    assert len(calls) == 1 and "漢字" in calls[0] and len(calls[0]) < 300
+
+
+def test_short_texts_are_cut_too():
+    b = bpe.byte_bpe(BYTE)
+    text = "a text of three hundred bytes or so, which is not long at all but cut all the same. " * 4
+    assert len(b.fragments(text.encode())) == 3 and "".join(b.fragments(text.encode())) == text
