@@ -102,7 +102,7 @@ def test_unusual_texts_are_split_at_certain_cuts(size):
     calls.clear()
     text = "plain words stand here and there. " * 100 + "漢字 " + "more of the same. " * 100
     assert b.encode(text.encode()).tolist() == real.encode(text, add_special_tokens=False).ids
-    assert len(calls) == 1 and "漢字" in calls[0] and len(calls[0]) < 300
+    assert 1 <= len(calls) <= 2 and "漢字" in "".join(calls) and len("".join(calls)) < 300
 
 
 def test_short_texts_are_cut_too():
