@@ -129,18 +129,6 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(n) for n in names])
 
 
-def merged_spans(spans: Column) -> Column:
-    """Array of structs (s, e), both ends inside, joined where they touch or overlap; sorted."""
-
-    def add(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joined = F.struct(last.s.alias("s"), F.greatest(last.e, x.e).alias("e"))
-        touch = F.coalesce(last.e + 1 >= x.s, F.lit(False))
-        return F.when(touch, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(x)))
-
-    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<s:bigint,e:bigint>>"), add)
-
-
 def carried(id_col: str, keep: list[str] | None) -> Column:
     """The id, or all columns to keep, as one column that an operator hands through."""
     return F.struct(*[F.col(c) for c in keep]) if keep else F.col(id_col)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemforge.llm import textkit as tk
-from itemforge.llm.shared import dealt, discard, matched, merged_spans, pick, seed_filter, written
+from itemforge.llm.shared import dealt, discard, matched, pick, seed_filter, written
 
 WINDOW = 20
 GRAM = 8
@@ -185,7 +185,7 @@ def removed_windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
         first = left.groupBy("seed", "key").agg(F.min(F.struct("ord", "text_key", "s")).alias("first"))
         late = left.join(first, ["seed", "key"]).where(F.struct("ord", "text_key", "s") != F.col("first"))
         runs = runs.union(late.select("ord", "text_key", "s", "e"))
-    out = written(runs.groupBy("ord", "text_key").agg(merged_spans(F.collect_set(F.struct("s", "e"))).alias("spans")), "spans")
+    out = written(runs.groupBy("ord", "text_key").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "spans")
     discard(found, *([hot] if hot is not None else []))
     return out
 

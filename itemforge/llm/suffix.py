@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemforge.llm import textkit as tk
-from itemforge.llm.shared import carried, dealt, discard, matched, merged_spans, released, seed_filter, written
+from itemforge.llm.shared import carried, dealt, discard, matched, released, seed_filter, small_or_shuffled, written
 
 LENGTH = 200
 GRAM = 50
@@ -238,6 +238,7 @@ def repeated_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
     def sort(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for parts in tk.whole_groups(batches, ["seed", "salt"], "bytes", SORT_BYTES):
             t = pa.Table.from_batches(parts).combine_chunks()
@@ -267,12 +268,14 @@ def repeated_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
             if hot_part.any():
                 who = np.searchsorted(off, order, side="right") - 1
                 mark = np.flatnonzero(hot_part[who] & first[who])
-                # one copy of each kind leads, if need be in place of a twin
+                # each kind once for the other parts; its place only if it stands alone in this one
                 kind = np.cumsum(lead) - 1
-                leads = np.zeros(len(mark), dtype=np.int64)
-                leads[np.unique(kind[mark], return_index=True)[1]] = 1
-                string = tk.digests(raw, order[mark], np.full(len(mark), length))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(own[who[mark]])), pa.array(order[mark] - off[who[mark]]), pa.array(leads), pa.array(string, pa.binary())], ["context", "s", "e", "string"])
+                once = mark[np.unique(kind[mark], return_index=True)[1]]
+                string = tk.digests(raw, order[once], np.full(len(once), length))
+                alone = pa.array(~repeated[once])
+                place = pa.array(order[once] - off[who[once]], mask=repeated[once])
+                context = pc.if_else(alone, ids.take(pa.array(own[who[once]])), None)
+                yield pa.RecordBatch.from_arrays([context, place, pa.nulls(len(once), pa.int64()), pa.array(string, pa.binary())], ["context", "s", "e", "string"])
 
     made = written(docs.select("text_key", "text").mapInArrow(contexts, "seed long, context binary, starts long, copies long, bytes binary, text_key long, at long"), "contexts")
     rows = dealt(made.where("seed IS NOT NULL").select("seed", "context", "starts", "copies", "bytes"), hot, "seed")
@@ -282,14 +285,14 @@ def repeated_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
     ranges = found.where("string IS NULL").select("context", "s", "e")
     if hot is not None:
         each = found.where("string IS NOT NULL")
-        twice = each.where("e = 1").groupBy("string").count().where("count > 1").select("string")
-        ranges = ranges.union(each.join(twice, "string").select("context", "s", F.col("s").alias("e")))
+        twice = each.groupBy("string").count().where("count > 1").select("string")
+        ranges = ranges.union(each.where("context IS NOT NULL").join(twice, "string").select("context", "s", F.col("s").alias("e")))
     # one array of runs for each context, so that a context with many places and many runs is no product
-    runs = ranges.groupBy("context").agg(merged_spans(F.collect_set(F.struct("s", "e"))).alias("runs"))
+    runs = written(ranges.groupBy("context").agg(F.collect_set(F.struct("s", "e")).alias("runs")), "runs")
     places = made.where("text_key IS NOT NULL").select("context", "text_key", "at").distinct()
     moved = F.transform("runs", lambda r: F.struct((F.col("at") + r.s).alias("s"), (F.col("at") + r.e).alias("e")))
-    out = written(places.join(runs, "context").groupBy("text_key").agg(merged_spans(F.array_distinct(F.flatten(F.collect_list(moved)))).alias("spans")), "byte-spans")
-    discard(made, found, *([hot] if hot is not None else []))
+    out = written(places.join(small_or_shuffled(runs), "context").groupBy("text_key").agg(F.array_distinct(F.flatten(F.collect_list(moved))).alias("spans")), "byte-spans")
+    discard(made, found, runs, *([hot] if hot is not None else []))
     return out
 
 

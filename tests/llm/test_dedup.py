@@ -333,8 +333,3 @@ def test_words_of_a_pattern_are_told_apart(spark, documents):
     n = Counter(b[p : p + 200] for _, b in test for p in range(len(b) - 199))
     want = {i: sum(any(n[b[p : p + 200]] > 1 for p in range(max(0, q - 199), min(q, len(b) - 200) + 1)) for q in range(len(b))) for i, b in test}
     assert {r.doc_id: r.n_removed for r in suffix.drop_repeated_bytes(documents(rows)).collect()} == want
-
-
-def test_spans_join(spark):
-    df = spark.createDataFrame([([(5, 9), (1, 3), (4, 4), (20, 21), (6, 7)],), ([],)], "x array<struct<s:bigint,e:bigint>>")
-    assert [[(y.s, y.e) for y in r.x] for r in df.select(shared.merged_spans(F.col("x")).alias("x")).collect()] == [[(1, 9), (20, 21)], []]
