@@ -29,15 +29,15 @@ from itemforge.llm import textkit as tk
 from itemforge.llm.shared import SeedFilter, components, dealt, discard, key_filter, matched, pick, seed_filter, written
 
 SHINGLE = 5
-GROUPS = 128
+GROUPS = 32
 MOST_GROUPS = 8192
-PER_GROUP = 3
+PER_GROUP = 5
 FULL = 60_000
 NODE = 32
 SMALL = 8
 #: A member's points are dealt to blocks beyond this many; texts that hold a common member; share of texts looked at.
 HOT_ROWS = 4000
-COMMON = 4000
+COMMON = 40
 SHARE = 16
 BLOCK = 1024
 BLOCK_MEMBERS = 300_000
@@ -335,12 +335,8 @@ def sets_of(docs: DataFrame, similarity: tuple[int, int]) -> tuple[DataFrame, Da
     return made.select("ord", "text_key", "set_key", "size"), one
 
 
-def dealt_points(one: DataFrame) -> DataFrame:
-    """(member, salt, set_key, size, point): a set's point for each tree that it goes to.
-
-    A hot member's points are dealt to blocks and each pair of blocks is a tree, so that no task holds
-    more than two blocks of them.
-    """
+def dealt_points(one: DataFrame) -> tuple[DataFrame, bool]:
+    """(member, parts, set_key, size, point): a set's point for each member that it goes to, and whether any member is hot (several parts)."""
 
     def members(batches):
         import pyarrow as pa
@@ -367,10 +363,7 @@ def dealt_points(one: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(flat[i:j].view(np.int64)), *[b.column(c).take(at) for c in ("set_key", "size", "point")]], ["member", "set_key", "size", "point"])
 
     rows = one.select("set_key", "size", "point", "members").mapInArrow(points, "member long, set_key long, size long, point binary")
-    own, parts = F.pmod(F.xxhash64("set_key"), F.col("parts")), F.col("parts")
-    pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.least(own, p) * parts + F.greatest(own, p))
-    salts = F.when(parts == 1, F.array(F.lit(-1).cast("long"))).otherwise(pairs)
-    return dealt(rows, hot, "member").select("member", F.explode(salts).alias("salt"), "set_key", "size", "point")
+    return dealt(rows, hot, "member"), hot is not None
 
 
 def _fresh(keys: np.ndarray, known: set[int]) -> np.ndarray:
@@ -385,8 +378,34 @@ def _fresh(keys: np.ndarray, known: set[int]) -> np.ndarray:
     return out
 
 
-def candidate_edges(points: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """(a, b): spanning forests of the pairs in each tree that the bound leaves."""
+def candidate_edges(points: DataFrame, hot: bool, similarity: tuple[int, int]) -> DataFrame:
+    """(a, b): spanning forests of the pairs that the bound leaves, enough to give their components.
+
+    A hot member's points are dealt to blocks, each a tree, and a few pivots go to all of them.  Near copies
+    are joined by the pivots; only what is not joined to most of a member's points goes to all its
+    blocks then, so no task holds more than a block and that.
+    """
+    if not hot:
+        return forests(points.select("member", F.lit(-1).cast("long").alias("salt"), "set_key", "size", "point"), similarity)
+    points = written(points, "points")
+    own, every = F.pmod(F.xxhash64("set_key"), F.col("parts")), F.expr("sequence(0L, parts - 1L)")
+    pivot = F.pmod(F.xxhash64("set_key", F.lit(1)), F.greatest(F.lit(1), (F.col("parts") * (HOT_ROWS // 2) / PIVOTS).cast("long"))) == 0
+    first = F.when(F.col("parts") == 1, F.array(F.lit(-1).cast("long"))).when(pivot, every).otherwise(F.array(own))
+    edges = written(forests(points.select("member", F.explode(first).alias("salt"), "set_key", "size", "point"), similarity), "forests")
+    root = components(edges, "pivots").withColumnRenamed("node", "set_key")
+    large = points.where("parts > 1")
+    joined = written(large.select("member", "set_key").join(root, "set_key", "left").select("member", "set_key", F.coalesce("root", "set_key").alias("root")), "hot-roots")
+    main = joined.groupBy("member", "root").count().groupBy("member").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
+    asked = written(joined.join(main, "member").where("root <> main").select("member", "set_key", F.lit(True).alias("asked")), "hot-asked")
+    if asked.isEmpty():
+        return edges
+    some = large.join(asked.select("member").distinct(), "member", "left_semi").join(asked, ["member", "set_key"], "left")
+    again = some.select("member", F.explode(F.when(F.col("asked"), every).otherwise(F.array(own))).alias("salt"), "set_key", "size", "point")
+    return edges.union(forests(again, similarity))
+
+
+def forests(points: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """(a, b): a spanning forest of the pairs in each tree, (member, salt), that the bound leaves."""
 
     def forest(batches):
         import pyarrow as pa
@@ -489,7 +508,7 @@ def grouped(docs: DataFrame, similarity: tuple[int, int], block: int, id_col: st
     """(ord, text_key, size, root, least): every row's group and the smallest (ord, text_key) in it; a written table."""
     src = keyed(pick(docs, id_col, text_col).toDF("id", "text"), "id", "text").select("ord", "text_key", F.col("text").cast("binary").alias("text"))
     members, one = sets_of(src, similarity)
-    near = components(candidate_edges(dealt_points(one), similarity), "near").select(F.col("node").alias("set_key"), F.col("root").alias("cluster"))
+    near = components(candidate_edges(*dealt_points(one), similarity), "near").select(F.col("node").alias("set_key"), F.col("root").alias("cluster"))
     clusters = written(near.join(one.select("set_key", "ord", "text_key", "size"), "set_key").select("set_key", "cluster", "ord", "text_key", "size"), "near-sets")
     discard(one)
     root = components(verified_edges(src, clusters, similarity, block), "links").withColumnRenamed("node", "set_key")
