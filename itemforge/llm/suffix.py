@@ -291,7 +291,7 @@ def repeated_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
     runs = written(ranges.groupBy("context").agg(F.collect_set(F.struct("s", "e")).alias("runs")), "runs")
     places = made.where("text_key IS NOT NULL").select("context", "text_key", "at").distinct()
     moved = F.transform("runs", lambda r: F.struct((F.col("at") + r.s).alias("s"), (F.col("at") + r.e).alias("e")))
-    out = written(places.join(small_or_shuffled(runs), "context").groupBy("text_key").agg(F.array_distinct(F.flatten(F.collect_list(moved))).alias("spans")), "byte-spans")
+    out = written(places.join(small_or_shuffled(runs), "context").groupBy("text_key").agg(F.flatten(F.collect_list(moved)).alias("spans")), "byte-spans")
     discard(made, found, runs, *([hot] if hot is not None else []))
     return out
 
