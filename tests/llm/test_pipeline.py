@@ -93,7 +93,7 @@ def test_passages(stages):
         text = bytes(np.frombuffer(b, np.uint8)[~gone[:-1]]).decode("utf-8", "replace")
         if text.strip(" \t\n\x0b\x0c\r"):
             want[(r.doc_id, text, r.lang, r.source, r.n_chars if text == r.text else len(text))] += 1
-    assert rows_of(after) == want and any(r.n_chars != len(r.text) or True for r in after.collect())
+    assert rows_of(after) == want and any(r.text not in {x.text for x, _ in raw} for r in after.collect())
 
 
 def test_packing_covers_every_token(stages):
