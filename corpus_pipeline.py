@@ -21,20 +21,32 @@ SURE = 0.5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that fail the base rules or the log ratio."""
+    """Drop the documents that fail the base rules or the log ratio.
+
+    Null and empty texts have too few words and go; every row is judged by itself, so equal rows and
+    null ids share a verdict; an empty table stays empty; columns beyond those of documents are left out.
+    """
     verdict = quality.quality(docs, table(spark, sf_dir, "labels"), keep=COLUMNS)
     return verdict.where("kept").select(*COLUMNS)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents without a language (no letters, or no language above ``SURE``)."""
+    """Drop the documents without a language (no letters, or no language above ``SURE``).
+
+    Null and empty texts and texts without a letter go; between equal languages the first by name counts;
+    without a labelled row every document goes; null ids and equal rows are judged each by itself.
+    """
     ship(spark)
     found = langid.identify(docs, keep=COLUMNS)
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= SURE)).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group: the one with the smallest id."""
+    """Keep one document of each group: the one with the smallest id.
+
+    Null ids count as larger than all others; of rows with one id the text with the smaller hash stays,
+    of rows equal in both one. Documents without a word are near nothing and stay, equal ones once.
+    """
     ship(spark)
     return jaccard.drop_near_duplicates(docs.select(*COLUMNS))
 
@@ -42,7 +54,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut every string of 200 bytes that also starts elsewhere; a text left without a word goes.
 
-    A cut may part a character; what is left of it becomes U+FFFD.
+    A cut may part a character; what is left of it becomes U+FFFD. Null, empty and blank texts go too; equal
+    rows are copies of each other and lose what is long enough; null ids do not matter.
     """
     ship(spark)
     cut = suffix.drop_repeated_bytes(docs, keep=COLUMNS)
@@ -53,7 +66,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack all that is left into sequences of power-of-two length."""
+    """Pack all that is left into sequences of power-of-two length.
+
+    Null and empty texts are the end id alone; equal rows and null ids are packed each on its own; no rows
+    give no sequences.
+    """
     ship(spark)
     out = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")

@@ -6,6 +6,7 @@ stand side by side; types are tested on the value, never by casting.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,8 +108,6 @@ def parse_json(text: Column, mode: str = "repair") -> Column:
 
 def lenient_json(text: Column) -> Column:
     """Standard JSON for texts that only Python's parser accepts (repeated keys, NaN); a pandas UDF for the rest that ``try_parse_json`` rejects."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def again(s: pd.Series) -> pd.Series:
         import json

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from itemforge.functions.text import row_label, token_estimate
 from itemforge.operators.claims import normal_record
-from itemforge.operators.ledger import capped
+from itemforge.operators.generate import shares
+from itemforge.operators.profiling import diversity
 
 # The instructions that the records carry.
 SYSTEM_PROMPT = (
@@ -147,34 +149,81 @@ def rejected_json(claims: DataFrame) -> DataFrame:
     return g.select("dataset_id", "model", F.concat(F.lit("["), F.array_join(F.transform("e", lambda v: v.j), ", "), F.lit("]")).alias("rejected"), F.size("e").alias("n_rejected"))
 
 
-def preference_pairs(prompts: DataFrame, rejects: DataFrame, max_tokens: int = PAIR_TOKENS, per_dataset: int = PAIRS_PER_DATASET) -> DataFrame:
-    """(prompt, chosen, rejected, metadata): ``prompts`` (dataset_id, text, min_support, chosen, n_itemsets).
+# Why a failed answer gives no pair.
+SKIPS = ("missing", "tokens", "limit")
+
+
+def judged_rejects(prompts: DataFrame, rejects: DataFrame, max_tokens: int = PAIR_TOKENS, per_dataset: int = PAIRS_PER_DATASET) -> DataFrame:
+    """Every reject with its prompt and ``skip``: missing (no prompt of its data set), tokens (over the budget), limit (the data set has its pairs), or null.
 
     The budget is the prompt plus the longer answer; the cap counts accepted pairs, by model name.
     """
-    x = prompts.join(rejects, "dataset_id").withColumn("user", user_message(F.col("text"), F.col("min_support")))
+    x = rejects.join(prompts, "dataset_id", "left").withColumn("user", user_message(F.col("text"), F.col("min_support")))
     tokens = token_estimate(F.concat(F.lit(SYSTEM_PROMPT), F.col("user"))) + F.greatest(token_estimate(F.col("chosen")), token_estimate(F.col("rejected")))
-    x = capped(x.withColumn("tokens", tokens).where(F.col("tokens") <= max_tokens), ["dataset_id"], ["model"], per_dataset)
+    x = x.withColumn("tokens", tokens)
+    x = x.withColumn("skip", F.when(F.col("chosen").isNull(), SKIPS[0]).when(F.col("tokens") > max_tokens, SKIPS[1]))
+    w = Window.partitionBy("dataset_id", F.col("skip").isNull()).orderBy("model")
+    return x.withColumn("skip", F.when(F.col("skip").isNull() & (F.row_number().over(w) > per_dataset), SKIPS[2]).otherwise(F.col("skip")))
+
+
+def skip_counts(judged: DataFrame) -> DataFrame:
+    """One row: pairs made, and rejects left out for each reason."""
+    return judged.agg(F.count_if(F.col("skip").isNull()).alias("pairs"), *[F.count_if(F.col("skip") == k).alias(f"skipped_{k}") for k in SKIPS])
+
+
+def preference_pairs(prompts: DataFrame, rejects: DataFrame, max_tokens: int = PAIR_TOKENS, per_dataset: int = PAIRS_PER_DATASET) -> DataFrame:
+    """(prompt, chosen, rejected, metadata): ``prompts`` (dataset_id, text, min_support, chosen, n_itemsets), ``rejects`` (dataset_id, model, rejected, n_rejected)."""
+    x = judged_rejects(prompts, rejects, max_tokens, per_dataset).where("skip IS NULL")
     meta = F.struct("dataset_id", F.col("model").alias("rejected_model"), F.lit("real_failure").alias("rejected_type"), F.col("n_itemsets").alias("n_itemsets_gt"), F.col("n_rejected").alias("n_itemsets_rejected"))
     return x.select(F.array(message("system", F.lit(SYSTEM_PROMPT)), message("user", F.col("user"))).alias("prompt"), F.array(message("assistant", F.col("chosen"))).alias("chosen"), F.array(message("assistant", F.col("rejected"))).alias("rejected"), meta.alias("metadata"))
 
 
+def _side(texts: DataFrame, name: str) -> DataFrame:
+    """Diversity of a column of texts, its columns named after the side."""
+    d = diversity(texts)
+    return d.select(*[F.col(c).alias(f"{name}_{c}") for c in d.columns])
+
+
+def _beside(parts: list[DataFrame]) -> DataFrame:
+    """One row of several one-row tables: laid over each other and taken together, so nothing is joined."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out.agg(*[F.max(c).alias(c) for c in out.columns])
+
+
 def export_statistics(records: DataFrame) -> DataFrame:
-    """One row on exported records: tokens and itemsets."""
+    """One row on exported records: examples, tokens, itemsets, and how much the answers differ."""
     m = F.col("metadata")
-    return records.agg(F.count("*").alias("records"), *[f(m[c]).alias(f"{n}_{c}") for c in ("tokens", "n_itemsets") for f, n in ((F.min, "min"), (F.max, "max"), (F.avg, "avg"))])
+    stats = [f(m[c]).alias(f"{n}_{c}") for c in ("tokens", "n_itemsets") for f, n in ((F.min, "min"), (F.max, "max"), (lambda x: F.round(F.avg(x), 1), "avg"))]
+    return _beside([records.agg(F.count("*").alias("examples"), *stats), _side(records.select(F.element_at("messages", -1).content.alias("text")), "assistant")])
+
+
+def pair_statistics(pairs: DataFrame) -> DataFrame:
+    """One row on exported pairs: pairs, data sets, pairs a data set, and how much either side differs."""
+    n, sets = F.count("*"), F.countDistinct("metadata.dataset_id")
+    base = pairs.agg(n.alias("pairs"), sets.alias("unique_datasets"), F.round(n / F.greatest(sets, F.lit(1)), 2).alias("avg_pairs_per_dataset"))
+    return _beside([base, *[_side(pairs.select(F.col(c)[0].content.alias("text")), c) for c in ("chosen", "rejected")]])
 
 
 def rejected_models(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy(F.col("metadata.rejected_model").alias("rejected_model")).agg(F.count("*").alias("pairs"))
+    """(rejected_model, pairs, share), the most first."""
+    out = shares(pairs.select(F.col("metadata.rejected_model").alias("rejected_model")), "rejected_model")
+    return out.withColumnRenamed("datasets", "pairs")
+
+
+def evaluation_records(texts: DataFrame, truths: DataFrame, settings: DataFrame) -> DataFrame:
+    """Evaluation sets as flat records: ``settings`` (dataset_id, filename, n_cols, source, min_support, max_size, size_category, hash)."""
+    x = settings.join(texts.select("dataset_id", F.col("text").alias("csv_text"), "n_rows"), "dataset_id").join(truths, "dataset_id", "left")
+    return x.select(
+        F.col("dataset_id").alias("id"), "filename", "csv_text", F.coalesce("ground_truth", F.lit("[]")).alias("ground_truth"), "n_rows", "n_cols", F.coalesce("n_itemsets", F.lit(0).cast("long")).alias("n_itemsets"), "source", "min_support", "max_size", "size_category", "hash",
+    )
 
 
 def within_tokens(records: DataFrame, text: Column, most: int, tokenizer=None) -> DataFrame:
     """Records of at most so many tokens, estimated or counted by ``tokenizer`` (texts -> counts) in a pandas UDF."""
     if tokenizer is None:
         return records.where(token_estimate(text) <= most)
-    import pandas as pd
-
     @F.pandas_udf("long")
     def count(s: pd.Series) -> pd.Series:
         return pd.Series(tokenizer(s.fillna("").tolist()))

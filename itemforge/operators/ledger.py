@@ -46,7 +46,11 @@ def append_runs(runs: DataFrame, path: str) -> None:
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SCHEMA).parquet(path)
+    """All runs with the columns of the ledger and whatever later runs added; a column that a file lacks is null."""
+    there = spark.read.option("mergeSchema", True).parquet(path)
+    have = {f.name: f.dataType for f in there.schema}
+    more = [T.StructField(n, t) for n, t in have.items() if n not in SCHEMA.fieldNames()]
+    return spark.read.schema(T.StructType([*SCHEMA.fields, *more])).parquet(path)
 
 
 def delete_run(spark: SparkSession, path: str, to: str, run_id: str) -> None:

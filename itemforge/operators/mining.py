@@ -1,13 +1,16 @@
 """Exact frequent itemsets over many data sets in one job.
 
-``baskets``: (dataset_id, row_no, item), canonical and distinct.  Infrequent items are dropped by a
-semi-join before anything is combined; that loses no frequent itemset.  Then either all combinations
-of a basket's items are exploded and counted in one aggregate, or, where baskets are too wide for
-that, levels are joined one by one.
+``baskets``: (dataset_id, row_no, item), canonical and distinct.  Infrequent items are dropped before
+anything is combined; that loses no frequent itemset.  If the frequent items are few enough to be
+sent to every task (``DICTIONARY`` of them, checked), they become numbers in text order, baskets are packed
+in one shuffle, and an itemset of up to three items is one 64-bit number; beyond that items stay texts and
+are pruned by a semi-join.  Then either all combinations of a basket's items are exploded and counted in one
+aggregate, or, where baskets are too wide for that, levels are joined one by one.
 """
 
 from __future__ import annotations
 
+import json
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +20,9 @@ from itemforge.config import MiningConfig
 from itemforge.functions.text import item_canon, row_label
 
 GROUP = ["dataset_id"]
+#: Frequent (data set, item) pairs, and characters of items, that are sent to every task; bits of an item's number.
+DICTIONARY, DICTIONARY_CHARS = 100_000, 4_000_000
+BITS = 20
 
 
 def to_baskets(transactions: DataFrame) -> DataFrame:
@@ -44,22 +50,14 @@ def pruned(baskets: DataFrame, min_support: int | DataFrame) -> DataFrame:
 
 def subsets(items: Column, max_size: int) -> Column:
     """All subsets of 1 to ``max_size`` of a sorted array."""
-    if max_size <= 3:
-        at = F.sequence(F.lit(0), F.size(items) - 1)
-        parts = [F.transform(items, lambda x: F.array(x))]
-        if max_size >= 2:
-            parts.append(F.flatten(F.transform(at, lambda i: F.transform(F.slice(items, i + 2, F.size(items)), lambda y: F.array(F.get(items, i), y)))))
-        if max_size == 3:
-            parts.append(F.flatten(F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(0), F.size(items) - 1), lambda j: F.when(j > i, F.transform(F.slice(items, j + 2, F.size(items)), lambda z: F.array(F.get(items, i), F.get(items, j), z))).otherwise(F.array().cast("array<array<string>>")))))))
-        return F.concat(*parts)
-    empty = F.array(F.array().cast("array<string>"))
-    grown = F.aggregate(items, empty, lambda acc, x: F.concat(acc, F.transform(F.filter(acc, lambda z: F.size(z) < max_size), lambda z: F.concat(z, F.array(x)))))
+    empty = F.filter(F.transform(items, lambda x: F.array(x)), lambda z: F.lit(False))
+    start = F.concat(empty, F.array(F.filter(items, lambda x: F.lit(False))))
+    grown = F.aggregate(items, start, lambda acc, x: F.concat(acc, F.transform(F.filter(acc, lambda z: F.size(z) < max_size), lambda z: F.concat(z, F.array(x)))))
     return F.filter(grown, lambda z: F.size(z) > 0)
 
 
-def by_explosion(baskets: DataFrame, max_size: int, evidence: bool) -> DataFrame:
-    """One aggregate over every combination of every basket."""
-    rows = baskets.groupBy(*GROUP, "row_no").agg(F.array_sort(F.collect_list("item")).alias("items"))
+def by_explosion(rows: DataFrame, max_size: int, evidence: bool) -> DataFrame:
+    """One aggregate over every combination of every packed row."""
     each = rows.select(*GROUP, "row_no", F.explode(subsets(F.col("items"), max_size)).alias("itemset"))
     return each.groupBy(*GROUP, "itemset").agg(F.count("*").alias("count"), *([F.array_sort(F.collect_list("row_no")).alias("rows")] if evidence else []))
 
@@ -72,24 +70,24 @@ def next_level(level: DataFrame, k: int) -> DataFrame:
     return both.select(*GROUP, "row_no", F.concat("head", F.array("x", "y")).alias("itemset"))
 
 
-def by_levels(baskets: DataFrame, min_support: int | DataFrame, max_size: int, evidence: bool) -> DataFrame:
-    """Level by level; only occurrences of frequent itemsets are joined further."""
-    level = baskets.select(*GROUP, "row_no", F.array("item").alias("itemset"))
-    out = None
+def by_levels(rows: DataFrame, min_support: int | DataFrame, max_size: int, evidence: bool) -> DataFrame:
+    """Level by level from packed rows of frequent items; only occurrences of frequent itemsets are joined further."""
+    items, out, level = F.col("items"), None, None
+    ones = F.transform(items, lambda x: F.array(x))
+    twos = F.flatten(F.transform(items, lambda x, i: F.transform(F.slice(items, i + 2, F.size(items)), lambda y: F.array(x, y))))
     for k in range(1, max_size + 1):
-        if k > 1:
-            level = next_level(level, k)
+        level = rows.select(*GROUP, "row_no", F.explode(ones if k == 1 else twos).alias("itemset")) if k < 3 else next_level(level, k)
         counted = level.groupBy(*GROUP, "itemset").agg(F.count("*").alias("count"), *([F.array_sort(F.collect_list("row_no")).alias("rows")] if evidence else []))
         kept = _threshold(counted, min_support)
         out = kept if out is None else out.unionByName(kept)
-        if k < max_size:
+        if 1 < k < max_size:
             level = level.join(kept.select(*GROUP, "itemset"), [*GROUP, "itemset"], "left_semi")
     return out
 
 
-def cost(baskets: DataFrame, max_size: int) -> tuple[float, int]:
-    """Combinations per basket row, and items of the widest basket: one small aggregate."""
-    n = baskets.groupBy(*GROUP, "row_no").agg(F.count("*").cast("double").alias("n"))
+def cost(rows: DataFrame, max_size: int) -> tuple[float, int]:
+    """Combinations per basket item, and items of the widest basket: one small aggregate over packed rows."""
+    n = rows.select(F.size("items").cast("double").alias("n"))
     total, term = F.col("n"), F.col("n")
     for k in range(2, max_size + 1):
         term = term * F.greatest(F.col("n") - (k - 1), F.lit(0.0)) / k
@@ -98,6 +96,48 @@ def cost(baskets: DataFrame, max_size: int) -> tuple[float, int]:
     return float(r.ratio or 0), int(r.widest or 0)
 
 
+def dictionary(baskets: DataFrame, min_support: int | DataFrame) -> tuple[DataFrame, Column] | None:
+    """(dataset_id, item, code) of the frequent items, codes in text order, and their texts as one array; None if they are too many or too long for that."""
+    frequent = _threshold(item_support(baskets), min_support).select(*GROUP, "item").limit(DICTIONARY + 1).collect()
+    names = sorted({r["item"] for r in frequent})
+    if len(frequent) > DICTIONARY or sum(map(len, names)) > DICTIONARY_CHARS:
+        return None
+    code = {x: i for i, x in enumerate(names)}
+    rows = [(r.dataset_id, r["item"], code[r["item"]]) for r in frequent]
+    table = baskets.sparkSession.createDataFrame(rows, f"dataset_id {baskets.schema['dataset_id'].dataType.simpleString()}, item string, code bigint")
+    return table, F.from_json(F.lit(json.dumps(names)), "array<string>")  # folded to one literal
+
+
+def packed(baskets: DataFrame, codes: DataFrame) -> DataFrame:
+    """(dataset_id, row_no, items): the codes of a row's frequent items, ascending; rows without any go."""
+    return baskets.join(F.broadcast(codes), [*GROUP, "item"]).groupBy(*GROUP, "row_no").agg(F.array_sort(F.collect_list("code")).alias("items"))
+
+
+def combined(items: Column, max_size: int) -> Column:
+    """All subsets of 1 to ``max_size`` (at most 3) of ascending codes, each as one number: the last code lowest, every code plus one."""
+    def after(i: Column) -> Column:
+        return F.slice(items, i + 2, F.size(items))
+
+    parts = [F.transform(items, lambda x: x + 1)]
+    if max_size >= 2:
+        pairs = F.flatten(F.transform(items, lambda x, i: F.transform(after(i), lambda y: F.shiftleft(x + 1, BITS).bitwiseOR(y + 1))))
+        parts.append(pairs)
+    if max_size == 3:
+        def triples(x: Column, i: Column) -> Column:
+            return F.flatten(F.transform(after(i), lambda y, j: F.transform(F.slice(items, i + j + 3, F.size(items)), lambda z: F.shiftleft(x + 1, 2 * BITS).bitwiseOR(F.shiftleft(y + 1, BITS)).bitwiseOR(z + 1))))
+
+        parts.append(F.flatten(F.transform(items, triples)))
+    return F.concat(*parts)
+
+
+def by_codes(rows: DataFrame, min_support: int | DataFrame, max_size: int, evidence: bool) -> DataFrame:
+    """One aggregate over every combination of packed rows; an itemset is one number until it is found frequent."""
+    each = rows.select(*GROUP, "row_no", F.explode(combined(F.col("items"), max_size)).alias("key"))
+    counted = _threshold(each.groupBy(*GROUP, "key").agg(F.count("*").alias("count"), *([F.array_sort(F.collect_list("row_no")).alias("rows")] if evidence else [])), min_support)
+    parts = [F.shiftright("key", BITS * k).bitwiseAND((1 << BITS) - 1) - 1 for k in (2, 1, 0)]
+    return counted.withColumn("itemset", F.filter(F.array(*parts), lambda c: c >= 0)).drop("key")
+
+
 def frequent_itemsets(baskets: DataFrame, config: MiningConfig = MiningConfig(), evidence: bool = False, strategy: str = "auto", thresholds: DataFrame | None = None) -> DataFrame:
     """(dataset_id, size, itemset, count[, rows]).
 
@@ -105,20 +145,29 @@ def frequent_itemsets(baskets: DataFrame, config: MiningConfig = MiningConfig(),
     min_support) replaces the one threshold of ``config``.
     """
     ms = thresholds if thresholds is not None else config.min_support
-    small = pruned(baskets, ms)
+    known = dictionary(baskets, ms)
+    if known is None:
+        rows = pruned(baskets, ms).groupBy(*GROUP, "row_no").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    else:
+        rows = packed(baskets, known[0])
     if strategy == "auto":
-        ratio, widest = cost(small, config.max_size)
+        ratio, widest = cost(rows, config.max_size)
         strategy = "levels" if ratio > config.explode_ratio or widest > config.explode_items else "explode"
     if strategy == "levels":
-        out = by_levels(small, ms, config.max_size, evidence)
+        out = by_levels(rows, ms, config.max_size, evidence)
+    elif known is not None and config.max_size <= 3:
+        out = by_codes(rows, ms, config.max_size, evidence)
     else:
-        out = _threshold(by_explosion(small, config.max_size, evidence), ms)
+        out = _threshold(by_explosion(rows, config.max_size, evidence), ms)
+    if known is not None:
+        out = out.withColumn("itemset", F.transform("itemset", lambda c: F.get(known[1], c.cast("int"))))
     return out.select(*GROUP, F.size("itemset").alias("size"), "itemset", "count", *(["rows"] if evidence else []))
 
 
 def brute_force(baskets: DataFrame, min_support: int, max_size: int) -> DataFrame:
     """The same itemsets without any pruning; a reference for tests."""
-    return _threshold(by_explosion(baskets, max_size, False), min_support).select(*GROUP, F.size("itemset").alias("size"), "itemset", "count")
+    rows = baskets.groupBy(*GROUP, "row_no").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    return _threshold(by_explosion(rows, max_size, False), min_support).select(*GROUP, F.size("itemset").alias("size"), "itemset", "count")
 
 
 def by_fpgrowth(baskets: DataFrame, min_support: int, max_size: int) -> DataFrame:

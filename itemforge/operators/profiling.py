@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from itemforge.functions.text import normal_text, prefix_signature, safe_ratio
+from itemforge.sources.readers import in_order
 
 
 def _signatures(texts: DataFrame, col: str, chars: int) -> DataFrame:
@@ -81,10 +82,24 @@ def window_width(n: int) -> int:
     return max(3, int(n**0.5))
 
 
+#: Rows of a range in which rolling means are taken at a time.
+ROLLING = 100_000
+
+
 def rolling_mean(df: DataFrame, value: str, order: list[str], width: int, group: list[str] | None = None, name: str = "smooth") -> DataFrame:
-    """Centred mean over ``width`` rows, fewer at the ends; an even width has one row more before than after."""
-    w = Window.partitionBy(*(group or [F.lit(0)])).orderBy(*order).rowsBetween(-(width // 2), (width - 1) // 2)
-    return df.withColumn(name, F.avg(value).over(w))
+    """Centred mean over ``width`` rows, fewer at the ends; an even width has one row more before than after.
+
+    Without groups rows are numbered and dealt to ranges of ``ROLLING`` rows, each with the few rows of its
+    neighbours that its windows reach, so no task holds all rows.
+    """
+    before, after = width // 2, (width - 1) // 2
+    if group:
+        return df.withColumn(name, F.avg(value).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(-before, after)))
+    n = in_order(df, [F.col(c) for c in order], "_n")
+    first, last = F.floor((F.col("_n") - after) / ROLLING), F.floor((F.col("_n") + before) / ROLLING)
+    each = n.withColumn("_range", F.explode(F.sequence(first, last)))
+    w = Window.partitionBy("_range").orderBy("_n").rowsBetween(-before, after)
+    return each.withColumn(name, F.avg(value).over(w)).where(F.floor(F.col("_n") / ROLLING) == F.col("_range")).drop("_n", "_range")
 
 
 def largest(df: DataFrame, by: str, n: int = 60, tie: str = "dataset_name") -> DataFrame:
@@ -101,6 +116,23 @@ def ordered(itemsets: DataFrame) -> DataFrame:
     return itemsets.orderBy("size", F.desc("count"), F.array_join("itemset", ","))
 
 
+def chart_inputs(runs: DataFrame, edges: list[float] | None = None, top: int = 60) -> dict[str, DataFrame]:
+    """What the charts of a ledger show, as tables: counts of the largest data sets, means by size bin, the trend over size.
+
+    ``runs``: dataset_name, dataset_area, apriori_itemset_count, llm_itemset_count, itemset_diff, percent_match.
+    """
+    binned = explicit_bins(runs, "dataset_area", edges) if edges else quantile_bins(runs, "dataset_area")
+    sized = runs.where("dataset_area IS NOT NULL AND percent_match IS NOT NULL")
+    trend = rolling_mean(sized.select("dataset_name", "dataset_area", "percent_match"), "percent_match", ["dataset_area", "dataset_name"], window_width(sized.count()))
+    return {
+        "grouped_counts": largest(runs.select("dataset_name", "dataset_area", "apriori_itemset_count", "llm_itemset_count"), "dataset_area", top),
+        "diff_bins": bin_means(binned, "itemset_diff"),
+        "percent_match_bins": bin_means(binned, "percent_match"),
+        "percent_match_trend": trend,
+        "summary": binned,
+    }
+
+
 # --- rankings -----------------------------------------------------------------------------------
 
 

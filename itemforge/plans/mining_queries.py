@@ -108,10 +108,12 @@ def candidate_pairs(s, d):
 
 
 def closure_check(s, d):
+    """Pairs both of whose items have at least the mean support of an item."""
     b = brands(s, d)
     pairs = mining.frequent_itemsets(b, MiningConfig(max_size=2), strategy="explode")
-    ones, twos = pairs.where("size = 1"), pairs.where("size = 2")
-    return mining.closed(twos.select("dataset_id", "itemset"), ones).select(itemset_key(F.col("itemset")).alias("itemset"))
+    mean = mining.item_support(b).agg(F.avg("count").alias("mean"))
+    ones = pairs.where("size = 1").join(F.broadcast(mean), F.col("count") >= F.col("mean"))
+    return mining.closed(pairs.where("size = 2").select("dataset_id", "itemset"), ones).select(itemset_key(F.col("itemset")).alias("itemset"))
 
 
 def containment_count(s, d):
@@ -125,7 +127,10 @@ def association_rules(s, d):
 
 
 def wide_items(s, d):
-    c = table(s, d, "customer")
+    """Cells of customers; the segment of every fifth is a word for a missing value, of every seventh blank, of every eleventh null."""
+    k = F.col("c_custkey")
+    segment = F.when(k % 5 == 0, " NaN ").when(k % 7 == 0, " ").when(k % 11 != 0, F.col("c_mktsegment"))
+    c = table(s, d, "customer").withColumn("c_mktsegment", segment)
     items = readers.cell_items(["c_name", "c_mktsegment", "c_nationkey"])
     return c.select("c_custkey", F.posexplode(items).alias("place", "item")).select("c_custkey", F.col("place").cast("long").alias("place"), "item")
 
@@ -221,12 +226,12 @@ SQL = {
         SELECT item AS itemset, string_agg('Row ' || row_no, ',' ORDER BY row_no) AS rows, string_agg('Row ' || row_no, ',' ORDER BY 'Row ' || row_no) AS unique_rows, count(*) AS unique_row_count FROM b GROUP BY item HAVING count(*) >= 3""",
     "support_fraction": f"SELECT item AS itemset, count(*) AS count, (SELECT count(*) FROM orders) AS total, count(*) / (SELECT count(*) FROM orders) AS support FROM ({BRANDS}) GROUP BY item HAVING count(*) >= 3",
     "candidate_pairs": f"WITH f AS (SELECT item FROM ({BRANDS}) GROUP BY item HAVING count(*) >= 60) SELECT a.item || '|' || b.item AS itemset FROM f a JOIN f b ON a.item < b.item",
-    "closure_check": _PAIRS + "SELECT itemset FROM i WHERE size = 2 AND split_part(itemset, '|', 1) IN (SELECT itemset FROM i WHERE size = 1) AND split_part(itemset, '|', 2) IN (SELECT itemset FROM i WHERE size = 1)",
+    "closure_check": _PAIRS + ", o AS (SELECT itemset FROM i WHERE size = 1 AND count >= (SELECT avg(count) FROM i WHERE size = 1)) SELECT itemset FROM i WHERE size = 2 AND split_part(itemset, '|', 1) IN (SELECT itemset FROM o) AND split_part(itemset, '|', 2) IN (SELECT itemset FROM o)",
     "containment_count": f"""WITH b AS ({BRANDS}), w(itemset) AS (VALUES ('brand#1|brand#2'), ('brand#3'), ('brand#4|brand#5|brand#6')), i AS (SELECT itemset, unnest(string_split(itemset, '|')) AS item FROM w),
         h AS (SELECT itemset, row_no, count(*) AS n FROM i JOIN b USING (item) GROUP BY ALL) SELECT itemset, count(*) AS count FROM h WHERE n = len(string_split(itemset, '|')) GROUP BY itemset""",
     "association_rules": _PAIRS + """, r AS (SELECT split_part(itemset, '|', 1) AS antecedent, split_part(itemset, '|', 2) AS consequent, count FROM i WHERE size = 2 UNION ALL SELECT split_part(itemset, '|', 2), split_part(itemset, '|', 1), count FROM i WHERE size = 2)
         SELECT antecedent, consequent, r.count, r.count / s.count AS confidence FROM r JOIN i s ON s.size = 1 AND s.itemset = antecedent""",
-    "wide_items": "SELECT c_custkey, CAST(0 AS BIGINT) AS place, c_name AS item FROM customer UNION ALL SELECT c_custkey, 1, c_mktsegment FROM customer UNION ALL SELECT c_custkey, 2, CAST(c_nationkey AS VARCHAR) FROM customer",
+    "wide_items": "WITH c AS (SELECT *, c_custkey % 5 = 0 OR c_custkey % 7 = 0 OR c_custkey % 11 = 0 AS gone FROM customer) SELECT c_custkey, CAST(0 AS BIGINT) AS place, c_name AS item FROM c UNION ALL SELECT c_custkey, 1, c_mktsegment FROM c WHERE NOT gone UNION ALL SELECT c_custkey, CASE WHEN gone THEN 1 ELSE 2 END, CAST(c_nationkey AS VARCHAR) FROM c",
     "colval_items": "SELECT c_custkey, lower('c_mktsegment:' || c_mktsegment) AS item FROM customer UNION ALL SELECT c_custkey, 'c_nationkey:' || c_nationkey FROM customer",
     "long_transactions": "SELECT row_number() OVER (ORDER BY user_id) AS row_no, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS items, count(*) AS n_items FROM events GROUP BY user_id",
     "single_column_items": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name || ',' || p_brand ELSE replace(p_name, ' ', ',') END AS items FROM part",

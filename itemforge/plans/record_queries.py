@@ -63,7 +63,7 @@ def holdout_exclusion(s, d):
 
 
 def training_exclusion(s, d):
-    used = ledger.training_files(_runs(s, d).where("validation_passed").select("dataset_id"))
+    used = ledger.training_files(_runs(s, d).where("validation_passed AND id % 7 = 0").select("dataset_id"))
     names = _runs(s, d).select(file_of_dataset(F.col("dataset_id")).alias("dataset_name")).distinct()
     return ledger.excluding(names, used, "dataset_name")
 
@@ -94,18 +94,35 @@ def over_limit(s, d):
     return export.over_limit(table(s, d, "conversations"), token_estimate(F.col("text")), 100)
 
 
-def preference_pairs(s, d):
-    """An assistant's turn preferred to the next one of its conversation, within a budget, at most two for each conversation."""
+def _pair_sides(s, d):
+    """Prompts are first turns with the answer to them; rejects are later answers of the conversation, or of one without such a prompt."""
     c = table(s, d, "conversations")
-    u = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("text"))
     a = c.where("role = 'assistant'")
-    first = a.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("chosen"))
-    other = a.select(F.col("conv_id").alias("dataset_id"), F.col("turn").cast("string").alias("model"), F.col("text").alias("rejected"), F.lit(1).alias("n_rejected"))
-    prompts = u.where("turn = 0").join(first, ["conv_id", "turn"]).select(F.col("conv_id").alias("dataset_id"), "text", F.lit(3).alias("min_support"), "chosen", F.lit(1).alias("n_itemsets"))
-    out = export.preference_pairs(prompts, other.where("model <> '1'"), 600, 2)
+    first = a.where("turn = 1").select("conv_id", F.col("text").alias("chosen"))
+    prompts = c.where("turn = 0 AND role = 'user'").join(first, "conv_id").select(F.col("conv_id").alias("dataset_id"), "text", F.lit(3).alias("min_support"), "chosen", F.lit(1).alias("n_itemsets"))
+    rejects = a.where("turn <> 1").select(F.col("conv_id").alias("dataset_id"), F.col("turn").cast("string").alias("model"), F.col("text").alias("rejected"), F.lit(1).alias("n_rejected"))
+    return prompts, rejects
+
+
+def preference_pairs(s, d):
+    """The answer to a first turn preferred to later ones of its conversation, within a budget, at most two for each conversation."""
+    out = export.preference_pairs(*_pair_sides(s, d), 600, 2)
     return out.select(F.col("metadata.dataset_id").alias("conv_id"), F.col("metadata.rejected_model").alias("turn"), F.char_length(F.col("chosen")[0].content).cast("long").alias("chosen_chars"))
 
 
+def skipped_pairs(s, d):
+    return export.skip_counts(export.judged_rejects(*_pair_sides(s, d), 600, 2))
+
+
+def pair_statistics(s, d):
+    out = export.pair_statistics(export.preference_pairs(*_pair_sides(s, d), 600, 2))
+    return out.select("pairs", "unique_datasets", "avg_pairs_per_dataset", "chosen_total_texts", "chosen_max_chars", "rejected_min_chars", "rejected_duplicate_full_text_count")
+
+
+def rejected_models(s, d):
+    return export.rejected_models(export.preference_pairs(*_pair_sides(s, d), 600, 2))
+
+
 def phase_budgets(s, d):
     p = table(s, d, "part")
     b = budgets.phase_budget(F.col("p_size"), F.when(F.col("p_partkey") % 3 == 0, 0).otherwise(F.col("p_partkey") % 90))
@@ -133,7 +150,7 @@ def think_split(s, d):
 def trace_repair(s, d):
     c = table(s, d, "conversations")
     text = F.concat(F.lit("FREQUENT\nSCAN "), F.regexp_replace("text", "\n", " "), F.lit("\nloose end"))
-    return c.select("conv_id", "turn", F.char_length(close_trace(text)).cast("long").alias("chars"))
+    return c.select("conv_id", "turn", F.char_length(close_trace(text)).cast("long").alias("chars"), F.sha2(close_trace(text).cast("binary"), 256).alias("sha"))
 
 
 def loop_detection(s, d):
@@ -328,7 +345,7 @@ def row_labels(s, d):
 
 QUERIES = {f.__name__: f for f in (
     ledger_stats, ledger_filter_day, ledger_filter_range, ledger_derived, latest_per_group, failed_runs, capped_rejects, batch_outcome, readiness, holdout_exclusion, training_exclusion, failed_with_truth,
-    model_families, message_records, token_budget, over_limit, preference_pairs, phase_budgets, single_budgets, gate_budgets, think_split, trace_repair, loop_detection, name_dimensions,
+    model_families, message_records, token_budget, over_limit, preference_pairs, skipped_pairs, pair_statistics, rejected_models, phase_budgets, single_budgets, gate_budgets, think_split, trace_repair, loop_detection, name_dimensions,
     diversity_report, top_prefixes, size_bins, bin_means, explicit_bins, rolling_match, rolling_match_odd, largest_datasets, rank_aggregation, row_subsample, col_subsample, shuffled_rows, noise_rows,
     variation_mix, holdout_split, wide_rows, csv_hash, generation_statistics, variation_counts, source_counts, dataset_names, generation_log, topped_up, generated_frequency, seeded_sample, dataset_text, ground_truth_json, reasoning_text, sft_records,
     ordered_itemsets, row_labels,
@@ -350,6 +367,8 @@ def _choice(u: str, options) -> str:
 
 _LOG = "SELECT o_custkey AS k, count(*) AS r, max(o_orderkey % 5) + 1 AS c, count(DISTINCT o_orderpriority) AS u FROM orders GROUP BY o_custkey"
 _ORDERS = "SELECT o_orderpriority AS dataset_id, o_orderkey AS row_no, 'status:' || o_orderstatus AS a, 'cust:' || o_custkey AS b FROM orders"
+_PROMPT_CHARS = len(export.SYSTEM_PROMPT) + len("Find all frequent itemsets with minimum support count = 3 in this dataset:") + 2
+_PAIRS = f"WITH p AS (SELECT q.conv_id, q.text, f.text AS chosen FROM conversations q JOIN conversations f ON f.conv_id = q.conv_id AND f.turn = 1 AND f.role = 'assistant' WHERE q.turn = 0 AND q.role = 'user'), j AS (SELECT o.conv_id, CAST(o.turn AS VARCHAR) AS model, o.text AS rejected, chosen, CASE WHEN chosen IS NULL THEN 'missing' WHEN ({_PROMPT_CHARS} + length(p.text)) // 4 + greatest(length(chosen) // 4, length(o.text) // 4) > 600 THEN 'tokens' END AS skip FROM conversations o LEFT JOIN p ON p.conv_id = o.conv_id WHERE o.role = 'assistant' AND o.turn <> 1), k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, skip IS NULL ORDER BY model) AS r FROM j) "
 _EST = "WITH e AS (SELECT p_partkey, CAST(CASE WHEN p_partkey % 3 = 0 OR p_partkey % 90 = 0 THEN p_size * 3 ELSE p_partkey % 90 END AS BIGINT) AS s FROM part), f AS (SELECT *, least(s * (s - 1) // 4, 50) AS p FROM e), g AS (SELECT *, least(p // 3, 20) AS t FROM f) "
 _SIZED = "SELECT p_partkey, CAST(p_size * (p_partkey % 17 + 1) AS DOUBLE) AS area, p_partkey % 10 AS diff FROM part"
 _BINS = f"WITH x AS ({_SIZED}), q AS (SELECT list_sort(list_distinct(quantile_cont(area, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS e FROM x), b AS (SELECT x.*, e[i] AS lo, e[i + 1] AS hi FROM x, q, range(1, 6) r(i) WHERE i < len(e) AND area <= e[i + 1] AND (area > e[i] OR (i = 1 AND area = e[1]))) "
@@ -368,18 +387,25 @@ SQL = {
     "batch_outcome": _RUNS + "SELECT count(*) FILTER (error_message IS NULL) AS succeeded, count(*) FILTER (error_message IS NOT NULL) AS failed FROM runs",
     "readiness": _RUNS + "SELECT count(*) FILTER (validation_passed) AS valid_runs, count(DISTINCT dataset_id) AS datasets, count(*) FILTER (validation_passed) >= 100 AND count(DISTINCT dataset_id) >= 100 AS ready FROM runs",
     "holdout_exclusion": "SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)",
-    "training_exclusion": _RUNS + "SELECT DISTINCT split_part(dataset_id, ':', 1) AS dataset_name FROM runs EXCEPT SELECT split_part(dataset_id, ':', 1) FROM runs WHERE validation_passed",
+    "training_exclusion": _RUNS + "SELECT DISTINCT split_part(dataset_id, ':', 1) AS dataset_name FROM runs EXCEPT SELECT split_part(dataset_id, ':', 1) FROM runs WHERE validation_passed AND id % 7 = 0",
     "failed_with_truth": _RUNS + ", f AS (SELECT * FROM runs WHERE NOT validation_passed AND llm_itemset_count > 0 AND llm_output_path IS NOT NULL), t AS (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) SELECT 'joined' AS side, count(*) AS n FROM f JOIN t ON dataset = c_custkey UNION ALL SELECT 'unmatched', count(*) FROM f WHERE dataset NOT IN (SELECT c_custkey FROM t)",
     "model_families": _RUNS + "SELECT llm_model, count(*) AS runs FROM runs WHERE llm_model LIKE '%click%' OR llm_model LIKE '%vie%' GROUP BY llm_model",
     "message_records": "SELECT conv_id, count(*) AS messages, string_agg(role, ',' ORDER BY turn) AS roles, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id",
     "token_budget": "SELECT conv_id, turn, length(text) // 4 AS tokens FROM conversations WHERE length(text) // 4 <= 100",
     "over_limit": "SELECT count(*) AS records, count(*) FILTER (length(text) // 4 > 100) AS over_limit, max(length(text) // 4) AS longest FROM conversations",
+    "preference_pairs": _PAIRS + "SELECT conv_id, model AS turn, length(chosen) AS chosen_chars FROM k WHERE skip IS NULL AND r <= 2",
+    "skipped_pairs": _PAIRS + "SELECT count(*) FILTER (skip IS NULL AND r <= 2) AS pairs, count(*) FILTER (skip = 'missing') AS skipped_missing, count(*) FILTER (skip = 'tokens') AS skipped_tokens, count(*) FILTER (skip IS NULL AND r > 2) AS skipped_limit FROM k",
+    "pair_statistics": _PAIRS + ", a AS (SELECT * FROM k WHERE skip IS NULL AND r <= 2), n AS (SELECT count(*) AS n FROM a WHERE trim(rejected) <> '' GROUP BY lower(trim(regexp_replace(rejected, '\\s+', ' ', 'g')))) SELECT count(*) AS pairs, count(DISTINCT conv_id) AS unique_datasets, round(count(*) / greatest(count(DISTINCT conv_id), 1), 2) AS avg_pairs_per_dataset, count(*) FILTER (trim(chosen) <> '') AS chosen_total_texts, max(length(chosen)) AS chosen_max_chars, min(length(rejected)) AS rejected_min_chars, (SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM n) AS rejected_duplicate_full_text_count FROM a",
+    "rejected_models": _PAIRS + ", a AS (SELECT * FROM k WHERE skip IS NULL AND r <= 2) SELECT model AS rejected_model, count(*) AS pairs, count(*) / (SELECT count(*) FROM a) AS share FROM a GROUP BY model",
+    "generated_frequency": f"""WITH s(dataset_id, n) AS (VALUES ('a', 30), ('b', 12)), r AS (SELECT dataset_id, unnest(range(1, n + 1)) AS row_no FROM s), e AS (SELECT *, unnest(range(0, 5)) AS i FROM r),
+        d AS (SELECT dataset_id, row_no, CASE WHEN {_u('dataset_id', 'row_no', 'i', chr(39) + 'r' + chr(39))} < 0.7 THEN [0, 0, 0, 1, 1, 1, 2, 2, 2, 3, 3, 3, 4, 5, 6, 7, 8, 9][floor({_u('dataset_id', 'row_no', 'i', chr(39) + 'a' + chr(39))} * 18)::INT + 1] ELSE floor({_u('dataset_id', 'row_no', 'i', chr(39) + 'b' + chr(39))} * 10)::INT END AS k FROM e)
+        SELECT dataset_id, 'item' || k AS item, count(DISTINCT row_no) AS count FROM d GROUP BY ALL HAVING count(DISTINCT row_no) >= 3""",
     "phase_budgets": _EST + "SELECT p_partkey, greatest(300, least(floor((s * 20 + p * 25 + t * 30 + 100) * 1.5)::BIGINT, 3000)) AS think_tokens, greatest(300, least(floor((s + p + t) * 60 * 1.5)::BIGINT, 3000)) AS json_tokens, greatest(512, least(floor((s * 20 + p * 25 + t * 30 + 100) * 1.5)::BIGINT + floor((s + p + t) * 60 * 1.5)::BIGINT, 6000)) AS total_tokens, s + p + t AS estimated_itemsets FROM g",
     "single_budgets": _EST + "SELECT p_partkey, greatest(512, least(floor((s * 15 + p * 20 + t * 25 + 80 + (s + p + t) * 60) * 1.5)::BIGINT, 6000)) AS budget FROM g",
     "gate_budgets": """WITH a AS (SELECT p_partkey, greatest(1024, 4096 - p_partkey % 4000 - 64) AS available, greatest(1792, floor(p_size * 40 * 2.3::DOUBLE)::BIGINT) AS requested FROM part), b AS (SELECT *, least(available, requested) AS total FROM a),
         c AS (SELECT *, CASE WHEN total >= 1536 THEN least(1800, total - least(greatest(768, floor(total * 0.52::DOUBLE)::BIGINT), total - 512)) ELSE total - greatest(512, total // 2) END AS think FROM b) SELECT p_partkey, available, requested, total, think, total - think AS json FROM c""",
     "think_split": f"SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '<think>' || text ELSE ' answer</think> end' END AS first, CASE WHEN turn % 3 = 0 THEN '<think>' || text ELSE ' end' END AS last, CASE WHEN turn % 3 <> 0 THEN text END AS think FROM conversations",
-    "trace_repair": "SELECT conv_id, turn, 9 + 5 + length(text) + 10 AS chars FROM conversations",
+    "trace_repair": "WITH t AS (SELECT conv_id, turn, 'FREQUENT' || chr(10) || 'SCAN ' || replace(text, chr(10), ' ') || chr(10) || '</think>' || chr(10) AS x FROM conversations) SELECT conv_id, turn, length(x) AS chars, sha256(x) AS sha FROM t",
     "loop_detection": r"WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(CASE WHEN doc_id % 4 = 0 THEN text || repeat(chr(10) || ' same line ', 5) ELSE text END, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents) SELECT doc_id, len(l) >= 6 AND len(list_distinct(l[-3:])) = 1 AS looping FROM l",
     "name_dimensions": "SELECT p_partkey, CAST(p_size AS BIGINT) AS parsed_rows, p_partkey % 7 + 1 AS parsed_cols, p_size * (p_partkey % 7 + 1) AS area, CASE WHEN p_partkey % 2 = 1 THEN CAST(p_size AS BIGINT) END AS strict_rows FROM part",
     "diversity_report": _SIG + ", w AS (SELECT count(*) AS n FROM s GROUP BY whole), p AS (SELECT count(*) AS n FROM s GROUP BY prefix), t AS (SELECT count(*) AS n, round(avg(chars), 1) AS a, CAST(min(chars) AS BIGINT) AS lo, CAST(max(chars) AS BIGINT) AS hi FROM s) SELECT n AS total_texts, a AS avg_chars, lo AS min_chars, hi AS max_chars, round((SELECT count(*) FROM w) / n, 4) AS unique_full_text_rate, round((SELECT count(*) FROM p) / n, 4) AS unique_prefix_rate, round((SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM p WHERE n > 1) / t.n, 4) AS template_collapse_rate, (SELECT max(n) FROM p) AS most_common_prefix_count, round((SELECT max(n) FROM p) / t.n, 4) AS most_common_prefix_rate, (SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM w) AS duplicate_full_text_count FROM t",

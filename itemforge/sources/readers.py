@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import io
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -49,12 +50,49 @@ def shape_of(columns: list[str]) -> str:
     return "single" if len(columns) == 1 else "wide"
 
 
+#: Rows looked at, and ranges made, to number rows in order.
+SAMPLE, RANGES = 16_384, 1024
+
+
+def in_file_order(df: DataFrame, name: str = "row_no") -> DataFrame:
+    """Adds numbers from 1 in the order of the files that ``df`` scans (no shuffle may stand between).
+
+    Rows count up within their partition; the partitions' sizes, one small row each, give what comes before.
+    """
+    ids = df.withColumn("_id", F.monotonically_increasing_id())
+    sizes = ids.groupBy(F.shiftright("_id", 33).alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    out = ids.withColumn("_part", F.shiftright("_id", 33)).join(F.broadcast(before), "_part")
+    return out.withColumn(name, F.col("_id").bitwiseAND((1 << 33) - 1) + F.col("_before") + 1).drop("_id", "_part", "_before")
+
+
+def in_order(df: DataFrame, order: list[Column], name: str = "row_no") -> DataFrame:
+    """Adds numbers from 1 in the order of some columns, without one task that sees all rows.
+
+    Rows are dealt to at most ``RANGES`` ranges by values from a bounded sample, numbered in each, and
+    moved on by the sizes of the ranges before; where the sample draws the limits changes no number.
+    """
+    key = F.struct(*[c.alias(f"_{i}") for i, c in enumerate(order)])
+    keyed = df.withColumn("_key", key)
+    seen = keyed.select("_key").orderBy(F.xxhash64("_key"), "_key").limit(SAMPLE).distinct().agg(F.array_sort(F.collect_list("_key")).alias("k"))
+    step = F.greatest(F.lit(1), F.ceil(F.size("k") / RANGES)).cast("int")
+    limits = F.broadcast(seen.select(F.filter("k", lambda x, i: (i > 0) & (i % step == 0)).alias("_limits"), F.lit(0).alias("_one")))
+    steps = F.array(*[F.lit(1 << k) for k in range(RANGES.bit_length() - 1, -1, -1)])
+    at = F.aggregate(steps, F.lit(0), lambda a, n: F.when((a + n <= F.size("_limits")) & (F.get("_limits", a + n - 1) <= F.col("_key")), a + n).otherwise(a))
+    dealt = keyed.withColumn("_one", F.lit(0)).join(limits, "_one").withColumn("_range", at).drop("_limits", "_one")
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_size"))
+    before = sizes.select("_range", (F.sum("_size").over(Window.orderBy("_range")) - F.col("_size")).alias("_before"))
+    within = dealt.withColumn("_place", F.row_number().over(Window.partitionBy("_range").orderBy("_key")))
+    return within.join(F.broadcast(before), "_range").withColumn(name, F.col("_place") + F.col("_before")).drop("_key", "_range", "_place", "_before")
+
+
 def numbered(df: DataFrame, order: str | None = None, group: list[str] | None = None) -> DataFrame:
-    """Row numbers from 1 in the order of a column; without one in file order (one pass over the partitions' sizes)."""
-    if order is not None:
-        return df.withColumn("row_no", F.row_number().over(Window.partitionBy(*(group or [F.lit(0)])).orderBy(order)))
-    rows = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
-    return df.sparkSession.createDataFrame(rows, df.schema.add("row_no", "long"))
+    """Row numbers from 1 in the order of a column (in each group), or in file order without one."""
+    if order is None:
+        return in_file_order(df)
+    if group:
+        return df.withColumn("row_no", F.row_number().over(Window.partitionBy(*group).orderBy(order)))
+    return in_order(df, [F.col(order)])
 
 
 def long_transactions(df: DataFrame, id_col: str, item_col: str, compat: bool = False) -> DataFrame:
@@ -65,8 +103,7 @@ def long_transactions(df: DataFrame, id_col: str, item_col: str, compat: bool =
     """
     item = F.coalesce(strip(F.col(item_col)), F.lit("nan")) if compat else strip(F.col(item_col))
     g = df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.filter(F.collect_list(item), lambda x: x != "").alias("items"))
-    w = Window.orderBy(F.col("_id").try_cast("double"), "_id")
-    return g.select(F.row_number().over(w).alias("row_no"), "items")
+    return in_order(g, [F.col("_id").try_cast("double"), F.col("_id")]).select("row_no", "items")
 
 
 def cell_items(columns: list[str]) -> Column:
@@ -78,8 +115,10 @@ def wide_transactions(df: DataFrame, columns: list[str] | None = None, drop_empt
     """(src_row, row_no, items): the cells of a row that hold something; rows left empty go unless told otherwise."""
     cols = columns or [c for c in df.columns if c != order]
     n = numbered(df.select(cell_items(cols).alias("items"), *([order] if order else [])), order).withColumnRenamed("row_no", "src_row")
-    n = n.where(F.size("items") > 0) if drop_empty else n
-    return n.withColumn("row_no", F.row_number().over(Window.orderBy("src_row"))).select("src_row", "row_no", "items") if drop_empty else n.select("src_row", F.col("src_row").alias("row_no"), "items")
+    if not drop_empty:
+        return n.select("src_row", F.col("src_row").alias("row_no"), "items")
+    n = n.select("src_row", "items").where(F.size("items") > 0)
+    return (in_order(n, [F.col("src_row")]) if order else in_file_order(n)).select("src_row", "row_no", "items")
 
 
 def single_items(c: Column) -> Column:
@@ -90,8 +129,8 @@ def single_items(c: Column) -> Column:
 
 def single_transactions(df: DataFrame, col: str, compat: bool = False, order: str | None = None) -> DataFrame:
     text = F.coalesce(F.col(col), F.lit("nan")) if compat else F.coalesce(F.col(col), F.lit(""))
-    n = numbered(df.select(single_items(text).alias("items"), *([order] if order else [])), order).where(F.size("items") > 0)
-    return n.select(F.row_number().over(Window.orderBy("row_no")).alias("row_no"), "items")
+    n = df.select(single_items(text).alias("items"), *([order] if order else [])).where(F.size("items") > 0)
+    return numbered(n, order).select("row_no", "items")
 
 
 def read_transactions(spark: SparkSession, path: str, dataset_id: str | None = None) -> tuple[DataFrame, dict]:
@@ -109,10 +148,67 @@ def read_transactions(spark: SparkSession, path: str, dataset_id: str | None = N
     return out.select(F.lit(name).alias("dataset_id"), "row_no", "items"), {"shape": shape, "read": how}
 
 
-def read_directory(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """(dataset_id, line, cells): every *.csv below a folder in one scan; the file name is the data set."""
-    raw = spark.read.option("pathGlobFilter", "*.csv").text(path).select(F.col("_metadata.file_name").alias("dataset_id"), F.col("value"))
-    return raw.where(strip(F.col("value")) != "").select("dataset_id", "value", F.split("value", "\\Q" + sep + "\\E").alias("cells"))
+def _parsed_file(raw: bytes) -> tuple[str, str, list[str], list[list[str | None]]]:
+    """(shape, read, header, lines) of one CSV file: as ``read_csv`` does, for a file in memory."""
+    text = raw.decode("utf-8-sig", "replace")
+    head = "\n".join([x for x in text.splitlines() if x.strip()][:40])
+    try:
+        sep = csv.Sniffer().sniff(head, DELIMITERS).delimiter
+    except csv.Error:
+        sep = ","
+    lines = [x for x in csv.reader(io.StringIO(text, newline=""), delimiter=sep) if x]
+    if not lines:
+        return "wide", "strict", [], []
+    names, body = lines[0], lines[1:]
+    good = [[None if c.strip() in MISSING else c for c in x] + [None] * (len(names) - len(x)) for x in body if len(x) <= len(names)]
+    return shape_of(names), "strict" if len(good) == len(body) else "skip", names, good
+
+
+def read_directory(spark: SparkSession, path: str, keep_empty: bool = False) -> DataFrame:
+    """(dataset_id, row_no, items, shape, read) of every *.csv file of a folder, in one job; the file's name is the data set.
+
+    Each file is parsed whole in one task, with its own delimiter, quoting and shape, so this is for
+    many files of ordinary size; ``read_transactions`` reads one that is too large for a task. Rows are
+    numbered in each data set: in file order (rows left empty go, unless ``keep_empty``), or for the long
+    shape in the order of ids. Lines with too many cells are left out and ``read`` is then skip.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[cC][sS][vV]").load(path).select(F.element_at(F.split("path", "/"), -1).alias("dataset_id"), "content")
+
+    def parse(batches):
+        import pyarrow as pa
+
+        kinds = pa.schema([("dataset_id", pa.string()), ("src_row", pa.int64()), ("id", pa.string()), ("cells", pa.list_(pa.string())), ("shape", pa.string()), ("read", pa.string())])
+        for b in batches:
+            for name, raw in zip(b.column("dataset_id").to_pylist(), b.column("content"), strict=True):
+                shape, how, names, lines = _parsed_file(raw.as_py())
+                rows = [(name, i, None, x, shape, how) for i, x in enumerate(lines, 1)]
+                if shape == "long":
+                    low = {c.strip().lower(): i for i, c in reversed(list(enumerate(names)))}
+                    key, item = next(low[c] for c in low if c in ID_NAMES), next(low[c] for c in low if c in ITEM_NAMES)
+                    rows = [(name, i, x[key], [x[item]], shape, how) for i, x in enumerate(lines, 1) if x[key] is not None]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kinds.field(i).type) for i, c in enumerate(zip(*rows, strict=True))], schema=kinds)
+
+    cells = files.mapInArrow(parse, "dataset_id string, src_row long, id string, cells array<string>, shape string, read string")
+    items = F.when(F.col("shape") == "single", single_items(F.coalesce(F.get("cells", 0), F.lit("")))).otherwise(F.transform(F.filter("cells", lambda x: ~is_missing(x)), strip))
+    flat = cells.where("shape <> 'long'").select("dataset_id", "src_row", items.alias("items"), "shape", "read")
+    flat = flat if keep_empty else flat.where(F.size("items") > 0)
+    flat = flat.withColumn("row_no", F.row_number().over(Window.partitionBy("dataset_id").orderBy("src_row")))
+    each = F.array_sort(F.collect_list(F.struct("src_row", F.get("cells", 0).alias("x"))))
+    long = cells.where("shape = 'long'").groupBy("dataset_id", "shape", "read", "id").agg(each.alias("v"))
+    long = long.withColumn("items", F.filter(F.transform("v", lambda v: strip(v.x)), lambda x: x != ""))
+    long = long.withColumn("row_no", F.row_number().over(Window.partitionBy("dataset_id").orderBy(F.col("id").try_cast("double"), "id")))
+    want = ("dataset_id", "row_no", "items", "shape", "read")
+    return flat.select(*want).unionByName(long.select(*want))
+
+
+def evaluation_sets(spark: SparkSession, path: str) -> DataFrame:
+    """(dataset_id, rows, text, n_rows, n_cols) of every *.csv file of a folder: empty rows stay, text has lines ``Row n: a, b``."""
+    t = read_directory(spark, path, keep_empty=True)
+    rows = F.array_sort(F.collect_list(F.struct("row_no", "items")))
+    lines = F.transform("rows", lambda r: F.concat(F.lit("Row "), r.row_no.cast("string"), F.lit(": "), F.array_join(r["items"], ", ")))
+    g = t.groupBy("dataset_id").agg(rows.alias("rows"), F.max(F.size("items")).alias("n_cols"))
+    return g.select("dataset_id", "rows", F.array_join(lines, "\n").alias("text"), F.size("rows").alias("n_rows"), "n_cols")
 
 
 def listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -121,6 +217,12 @@ def listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return f.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"))
 
 
+def with_row_counts(prints: DataFrame, transactions: DataFrame) -> DataFrame:
+    """Fingerprints with dataset_size_rows, the transactions of the data set of that name (0 without any)."""
+    n = transactions.groupBy(F.col("dataset_id").alias("dataset_name")).agg(F.count("*").alias("dataset_size_rows"))
+    return prints.join(n, "dataset_name", "left").withColumn("dataset_size_rows", F.coalesce("dataset_size_rows", F.lit(0).cast("long")))
+
+
 def fingerprints(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
     """(dataset_id, dataset_name, dataset_hash, dataset_size_bytes): id is name:first 12 digits of SHA-256."""
     f = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
