@@ -1,7 +1,7 @@
 """N-gram Jaccard join with count vectors in an R-tree.
 
 A document's set is its distinct five-word shingles.  Shingles are hashed into groups (``GROUPS``, and
-more for large sets, about one for three members, since coarse counts of large sets all look alike)
+more for large sets, one for five to ten members, since coarse counts of large sets all look alike)
 and a set's counts by group are a point.  Groups are ranges of a hash, so a fine point folds to a
 coarse one.  The overlap of two sets is at most the sum over coordinates of
 the smaller count; an R-tree node, whose box has an upper corner, bounds all its points alike.  Pairs
@@ -31,8 +31,8 @@ from itemforge.llm.shared import SeedFilter, components, dealt, discard, key_fil
 SHINGLE = 5
 GROUPS = 32
 MOST_GROUPS = 8192
-PER_GROUP = 5
-FULL = 60_000
+PER_GROUP = 10
+MOST = 15
 NODE = 32
 SMALL = 8
 #: A member's points are dealt to blocks beyond this many; texts that hold a common member; share of texts looked at.
@@ -82,19 +82,13 @@ class Sets:
             self.key[full] = tk.mix(total + self.size[full].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def points(self) -> tuple[np.ndarray, np.ndarray]:
-        """Counts by group of every set in 4 bits, one set after the other, and offsets in bytes.
-
-        A count that does not fit makes all of the set's 15; see ``unpacked``.
-        """
+        """Counts by group of every set in 4 bits, ``MOST`` at most, one set after the other, and offsets in bytes."""
         bits = group_bits(self.size)
         off = np.concatenate([[0], np.cumsum(1 << bits)])
         row = np.repeat(np.arange(len(self.size)), self.size)
         group = (tk.mix(self.hash) >> (64 - bits[row]).astype(np.uint64)).astype(np.int64)
         n = np.bincount(off[row] + group, minlength=off[-1])
-        over = np.flatnonzero(n > 15)
-        for r in np.unique(np.searchsorted(off, over, side="right") - 1):
-            n[off[r] : off[r + 1]] = 15
-        n = n.astype(np.uint8)
+        n = np.minimum(n, MOST).astype(np.uint8)
         return n[0::2] << 4 | n[1::2], off // 2
 
     def prefix(self, similarity: tuple[int, int], common: SeedFilter | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -119,14 +113,10 @@ def group_bits(size: np.ndarray) -> np.ndarray:
 
 
 def unpacked(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts from 4 bits each, and offsets; a set with only 15s gets counts that pass every bound."""
+    """Counts from 4 bits each, and offsets."""
     out = np.empty(2 * len(raw), dtype=np.uint16)
     out[0::2], out[1::2] = raw >> 4, raw & 15
-    off = 2 * off
-    if len(off) > 1:
-        for r in np.flatnonzero(np.minimum.reduceat(out, off[:-1]) == 15):
-            out[off[r] : off[r + 1]] = FULL
-    return out, off
+    return out, 2 * off
 
 
 def folded(points: np.ndarray, groups: int) -> np.ndarray:
@@ -141,29 +131,36 @@ def may_link(over: np.ndarray, total: np.ndarray, similarity: tuple[int, int]) -
 
 
 class Tree:
-    """A packed R-tree of points with sizes; a node's box is told by its upper corner."""
+    """A packed R-tree of points with sizes; a node's box is told by its upper corner.
+
+    What counts beyond ``MOST`` leave out, a set's size less its counts, may overlap with anything and is added
+    to every bound.
+    """
 
     def __init__(self, size: np.ndarray, corner: np.ndarray, similarity: tuple[int, int]):
         order = np.lexsort((corner[:, 0], corner[:, 1] // 4, size))
         self.order, self.similarity = order, similarity
         self.size, self.corner = size[order], corner[order]
+        self.extra = self.size - self.corner.sum(1, dtype=np.int64)
         at = np.arange(0, len(order), NODE)
         self.node_low = np.minimum.reduceat(self.size, at)
         self.node_high = np.maximum.reduceat(self.size, at)
         self.node_corner = np.maximum.reduceat(self.corner, at, axis=0)
+        self.node_extra = np.maximum.reduceat(self.extra, at)
 
     def search(self, size: int, q: np.ndarray, open_: np.ndarray) -> np.ndarray:
         """Places (in the input) of open points that may link with a point; ``open_`` is by place."""
         a, b = self.similarity
+        extra = size - int(q.sum(dtype=np.int64))
         nodes = np.flatnonzero((b * self.node_high >= a * size) & (a * self.node_low <= b * size))
-        nodes = nodes[may_link(np.minimum(self.node_corner[nodes], q).sum(1), self.node_low[nodes] + size, self.similarity)]
+        nodes = nodes[may_link(np.minimum(self.node_corner[nodes], q).sum(1, dtype=np.int64) + self.node_extra[nodes] + extra, self.node_low[nodes] + size, self.similarity)]
         if not len(nodes):
             return nodes
         at = (nodes[:, None] * NODE + np.arange(NODE)).ravel()
         at = at[at < len(self.order)]
         at = at[open_[self.order[at]]]
         at = at[(b * self.size[at] >= a * size) & (a * self.size[at] <= b * size)]
-        return self.order[at[may_link(np.minimum(self.corner[at], q).sum(1), self.size[at] + size, self.similarity)]]
+        return self.order[at[may_link(np.minimum(self.corner[at], q).sum(1, dtype=np.int64) + self.extra[at] + extra, self.size[at] + size, self.similarity)]]
 
 
 class Points:
@@ -172,6 +169,7 @@ class Points:
     def __init__(self, size: np.ndarray, raw: np.ndarray, off: np.ndarray, similarity: tuple[int, int]):
         self.size, self.similarity = size, similarity
         self.groups = np.diff(off)
+        self.extra = size - np.diff(np.concatenate([[0], np.cumsum(raw, dtype=np.int64)])[off])
         self.place = np.zeros(len(size), dtype=np.int64)
         self.by: dict[int, np.ndarray] = {}
         for g in np.unique(self.groups).tolist():
@@ -193,7 +191,7 @@ class Points:
             g = int(min(self.groups[i[own[0]]], self.groups[j[own[0]]]))
             for k in range(0, len(own), max(1, (1 << 21) // g)):
                 x = own[k : k + max(1, (1 << 21) // g)]
-                over = np.minimum(self.at(i[x], g), self.at(j[x], g)).sum(1)
+                over = np.minimum(self.at(i[x], g), self.at(j[x], g)).sum(1, dtype=np.int64) + self.extra[i[x]] + self.extra[j[x]]
                 out[x] = may_link(over, self.size[i[x]] + self.size[j[x]], self.similarity)
         return out
 
@@ -332,7 +330,9 @@ def sets_of(docs: DataFrame, similarity: tuple[int, int]) -> tuple[DataFrame, Da
     least = F.min(F.struct("ord", "text_key")).alias("m")
     each = made.where("set_key IS NOT NULL").groupBy("set_key").agg(least, F.first("size").alias("size"), F.first("point", True).alias("point"), F.first("members", True).alias("members"))
     one = written(each.select("set_key", "m.ord", "m.text_key", "size", "point", "members"), "one-of-each")
-    return made.select("ord", "text_key", "set_key", "size"), one
+    members = written(made.select("ord", "text_key", "set_key", "size"), "members")
+    discard(made)
+    return members, one
 
 
 def dealt_points(one: DataFrame) -> tuple[DataFrame, bool]:

@@ -72,13 +72,11 @@ def small_or_shuffled(df: DataFrame) -> DataFrame:
 def matched(texts: DataFrame, few: DataFrame, keys: list[str], inner: bool = False) -> DataFrame:
     """``texts`` joined on ``keys`` to a written table, left or inner, without shuffling texts that match nothing.
 
-    A small ``few`` is broadcast. Beyond that a bitmap of its keys' hashes (a table of at most
-    ``MAP_WORDS`` words, whatever the data) is: texts whose bit is unset pass by in the scan, and only the
-    others are shuffled to meet ``few``.
+    A bitmap of the keys' hashes in ``few`` (a table of at most ``MAP_WORDS`` words, whatever the data is) is
+    broadcast: texts whose bit is unset pass by in the scan, and only the others are shuffled to meet ``few``.
+    The plan is the same at every size.
     """
     how = "inner" if inner else "left"
-    if table_bytes(few) <= BROADCAST_BYTES:
-        return texts.join(F.broadcast(few), keys, how)
     words = 1 << int(np.clip(few.count() // 4, 1 << 10, MAP_WORDS) - 1).bit_length()
 
     def place(df: DataFrame) -> DataFrame:
@@ -216,12 +214,33 @@ def seed_filter(keys: DataFrame, name: str, hot_rows: int | None = None) -> tupl
 # --- connected components -----------------------------------------------------------------------
 
 
+#: Edges (16 bytes each) whose components one executor task finds at once instead of in rounds.
+EDGES_AT_ONCE = 1 << 20
+
+
+def joined_up(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node reachable) of the edges u - v."""
+    node, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(node))
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            return node, node[root]
+        least = np.minimum(x, y)
+        np.minimum.at(root, x, least)
+        np.minimum.at(root, y, least)
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(a long, b long) -> (node, root): root is the smallest node reachable. Nodes without edges are absent.
 
     Alternating large-star and small-star rounds until nothing changes; each round is a written table, so
     an executor can be lost at any time. Minimum by node is a map-side combined aggregate; the join back is
-    a plain equi-join that adaptive execution may split on a hub.
+    a plain equi-join that adaptive execution may split on a hub. At most ``EDGES_AT_ONCE`` edges, counted
+    first, fit one task, which gives the same without rounds.
     """
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
 
@@ -231,6 +250,19 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     last = state(e)
     if last[0] == 0:
         return e.selectExpr("u AS node", "v AS root")
+    if last[0] <= EDGES_AT_ONCE:
+        def at_once(batches):
+            import pyarrow as pa
+
+            t = pa.Table.from_batches(list(batches))
+            if t.num_rows:
+                node, root = joined_up(np.asarray(t.column("u")), np.asarray(t.column("v")))
+                for i in range(0, len(node), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[i : i + (1 << 16)]), pa.array(root[i : i + (1 << 16)])], ["node", "root"])
+
+        out = written(e.repartition(1).mapInArrow(at_once, "node long, root long"), f"{name}-roots")
+        discard(e)
+        return out
 
     def with_roots(stars: DataFrame) -> DataFrame:
         return stars.selectExpr("u AS node", "v AS root").union(stars.selectExpr("v AS node", "v AS root").distinct())

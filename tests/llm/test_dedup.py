@@ -202,7 +202,7 @@ def test_trees_find_what_a_scan_finds():
         x = jaccard.Sets.__new__(jaccard.Sets)
         x.hash, x.size = np.concatenate(rows), np.array([len(r) for r in rows])
         raw, off = jaccard.unpacked(*x.points())
-        assert (np.add.reduceat(raw.astype(int), off[:-1]) == x.size).all()
+        assert (np.add.reduceat(raw.astype(int), off[:-1]) <= x.size).all() and raw.max() <= jaccard.MOST
         p = jaccard.Points(x.size, raw, off, (4, 5))
         i, j = (k.ravel() for k in np.meshgrid(np.arange(n), np.arange(n)))
         fits = (i < j) & (5 * x.size[i] >= 4 * x.size[j]) & (5 * x.size[j] >= 4 * x.size[i])
@@ -223,8 +223,10 @@ def test_trees_find_what_a_scan_finds():
         assert len(a) < n and all(find(y) == find(z) for y, z in zip(i[left], j[left], strict=True))
 
 
+@pytest.mark.parametrize("at_once", [0, 1 << 20])
 @pytest.mark.parametrize("n, m", [(40, 30), (300, 250), (120, 119)])
-def test_components(spark, n, m):
+def test_components(spark, n, m, at_once, monkeypatch):
+    monkeypatch.setattr(shared, "EDGES_AT_ONCE", at_once)
     r = random.Random(n)
     edges = [(r.randrange(-n, n), r.randrange(-n, n)) for _ in range(m)] if m != 119 else [(i, i + 1) for i in range(119)]
     got = {x.node: x.root for x in shared.components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
@@ -290,10 +292,10 @@ def test_embeddings(spark, seed, block, monkeypatch):
     assert all(r.n_links == 0 for r in pq.near_duplicates(df.where("label IS NULL")).collect())
 
 
-@pytest.mark.parametrize("limit", [-1, 1 << 30])
+@pytest.mark.parametrize("words", [1, 1 << 20])
 @pytest.mark.parametrize("inner", [False, True])
-def test_matched_whatever_the_size(spark, tmp_path, limit, inner, monkeypatch):
-    monkeypatch.setattr(shared, "BROADCAST_BYTES", limit)
+def test_matched_texts(spark, tmp_path, words, inner, monkeypatch):
+    monkeypatch.setattr(shared, "MAP_WORDS", 1024 * words)
     texts = spark.createDataFrame([(i if i % 7 else None, str(i % 50), f"text {i}") for i in range(300)], "id long, key string, text string")
     few = shared.written(spark.createDataFrame([(i, str(i % 50), i) for i in range(0, 600, 4)], "id long, key string, x int"), "few")
     got = shared.matched(texts, few, ["id", "key"], inner)
@@ -310,7 +312,7 @@ def test_substrings_whatever_the_size(spark, documents, limit, monkeypatch):
     test_repeated_bytes(spark, documents, 1, 40, 12, 3, monkeypatch)
     test_near_duplicates(spark, documents, 1, 1024, 3, monkeypatch)
     plan = substrings.drop_repeated_words(documents(corpus(1)))._jdf.queryExecution().optimizedPlan().toString()
-    assert ("shiftleft" in plan) == (limit < 0)
+    assert "shiftleft" in plan
 
 
 def thue_morse(n):
