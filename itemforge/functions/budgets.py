@@ -6,6 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# The numbers of all three budgets below (tokens an item, a pair and a triple take, shares and limits).
+
+
 def _estimates(cols: Column, values: Column) -> tuple[Column, Column, Column]:
     """Expected singles, pairs and triples of a data set."""
     singles = F.when(values == 0, cols * 3).otherwise(values).cast("long")

@@ -136,12 +136,16 @@ def chart_inputs(runs: DataFrame, edges: list[float] | None = None, top: int = 6
 # --- rankings -----------------------------------------------------------------------------------
 
 
+# The heading of a vote, and how it names the answers.
+RANKING, NUMBERED, NAMED = "FINAL RANKING:", r"\d+\.\s*(Response [A-Z])", r"(Response [A-Z])"
+
+
 def parse_ranking(text: Column) -> Column:
     """Labels in order: numbered ones after ``FINAL RANKING:``, else any there, else any in the text."""
-    tail = F.when(F.contains(text, F.lit("FINAL RANKING:")), F.element_at(F.split(text, "FINAL RANKING:", 2), 2))
-    numbered = F.regexp_extract_all(tail, F.lit(r"\d+\.\s*(Response [A-Z])"), F.lit(1))
-    plain = F.regexp_extract_all(tail, F.lit(r"(Response [A-Z])"), F.lit(1))
-    return F.when(F.size(numbered) > 0, numbered).when(tail.isNotNull(), plain).otherwise(F.regexp_extract_all(text, F.lit(r"(Response [A-Z])"), F.lit(1)))
+    tail = F.when(F.contains(text, F.lit(RANKING)), F.element_at(F.split(text, RANKING, 2), 2))
+    numbered = F.regexp_extract_all(tail, F.lit(NUMBERED), F.lit(1))
+    plain = F.regexp_extract_all(tail, F.lit(NAMED), F.lit(1))
+    return F.when(F.size(numbered) > 0, numbered).when(tail.isNotNull(), plain).otherwise(F.regexp_extract_all(text, F.lit(NAMED), F.lit(1)))
 
 
 def label_models(models: DataFrame) -> DataFrame:

@@ -82,10 +82,14 @@ def size_averages(sized: DataFrame) -> DataFrame:
     return sized.groupBy("size").agg(F.count("*").alias("datasets"), F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("f1"))
 
 
+# Below this F1, or above this share of ungrounded claims, a data set is worth a look.
+LOW_F1, MOST_UNGROUNDED = 0.5, 0.1
+
+
 def triage(measured: DataFrame) -> DataFrame:
     """Data sets worth a look: low F1, unparsed, or ungrounded."""
     parse = F.col("parse_ok") if "parse_ok" in measured.columns else F.lit(True)
-    return measured.where((F.col("f1") < 0.5) | ~parse | (F.col("ungrounded_rate") > 0.1))
+    return measured.where((F.col("f1") < LOW_F1) | ~parse | (F.col("ungrounded_rate") > MOST_UNGROUNDED))
 
 
 # Acceptance targets.
@@ -107,6 +111,10 @@ def differences(expected: DataFrame, predicted: DataFrame, group: list[str] = GR
 
 # --- rewards of single completions --------------------------------------------------------------
 
+# Steps of the format reward, length and bonus of the reasoning reward, and its words.
+FULL_FORMAT, HALF_FORMAT, ANY_JSON = 1.0, 0.5, 0.2
+THINKING_CHARS, THINKING_BONUS, THINKING_MARKS = 300, 0.2, "→|count|singles|pairs|✓"
+
 
 def _records(v: Column) -> Column:
     return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
@@ -122,7 +130,7 @@ def format_reward(text: Column) -> Column:
     items = _records(v)
     full = F.forall(items, lambda x: is_object(x) & _has(x, "itemset") & _has(x, "count") & _has(x, "rows"))
     half = F.forall(items, lambda x: is_object(x) & _has(x, "itemset"))
-    return F.when(v.isNull(), 0.0).when(~is_list(v) | (F.size(items) == 0), 0.2).when(full, 1.0).when(half, 0.5).otherwise(0.2)
+    return F.when(v.isNull(), 0.0).when(~is_list(v) | (F.size(items) == 0), ANY_JSON).when(full, FULL_FORMAT).when(half, HALF_FORMAT).otherwise(ANY_JSON)
 
 
 def _sets(v: Column, canonical: bool) -> Column:
@@ -160,9 +168,9 @@ def thinking_reward(text: Column) -> Column:
     """Grows with the length of the reasoning to 1 at 300 characters, 0.2 more with a mark of structure."""
     both = F.contains(text, F.lit("<think>")) & F.contains(text, F.lit("</think>"))
     think = F.split_part(F.element_at(F.split(text, "<think>", 2), -1), F.lit("</think>"), F.lit(1))
-    score = F.least(F.lit(1.0), F.char_length(think) / 300)
-    more = F.least(F.lit(1.0), score + 0.2)
-    return F.when(both, F.when(F.lower(think).rlike("→|count|singles|pairs|✓"), more).otherwise(score)).otherwise(0.0)
+    score = F.least(F.lit(1.0), F.char_length(think) / THINKING_CHARS)
+    more = F.least(F.lit(1.0), score + THINKING_BONUS)
+    return F.when(both, F.when(F.lower(think).rlike(THINKING_MARKS), more).otherwise(score)).otherwise(0.0)
 
 
 def format_gate(samples: DataFrame, col: str = "generated") -> DataFrame:
