@@ -101,10 +101,10 @@ def dealt(rows: DataFrame, hot: DataFrame | None, key: str) -> DataFrame:
     return rows.join(small_or_shuffled(hot.withColumnRenamed("key", key)), key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
 
 
-#: Bytes of an Arrow batch, and rows that the Parquet reader decodes at a time: texts are long, and the
-#: JVM and Python hold a batch at once.
+#: Bytes of an Arrow batch, and rows that the Parquet reader decodes at a time: texts are long, the JVM and
+#: Python hold a batch at once, and arrays of half a megabyte would go straight to the JVM's old generation.
 BATCH_BYTES = 1 << 20
-READ_ROWS = 256
+READ_ROWS = 64
 
 
 def ship(spark: SparkSession) -> None:
