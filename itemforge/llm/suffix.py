@@ -28,7 +28,7 @@ from itemforge.llm.shared import carried, dealt, discard, matched, released, see
 LENGTH = 200
 GRAM = 50
 SEGMENT = 1 << 20
-SORT_BYTES = 1 << 20
+SORT_BYTES = 1 << 19
 AT_ONCE = 1 << 13
 #: Different contexts and texts that a task remembers to send each once.
 SEEN = 1 << 18
@@ -104,8 +104,9 @@ def two_stage_order(text: np.ndarray, ends: np.ndarray, begins: np.ndarray, star
     rows = np.lib.stride_tricks.sliding_window_view(padded, length)[direct]
     room = np.repeat(ends, ends - begins)[direct] - direct
     short = np.flatnonzero(room < length)
-    if len(short):
-        rows[short] *= np.arange(length)[None, :] < room[short, None]
+    for a in range(0, len(short), AT_ONCE):
+        s = short[a : a + AT_ONCE]
+        rows[s] *= np.arange(length)[None, :] < room[s, None]
     direct = direct[np.argsort(np.ascontiguousarray(rows).view(f"S{length}").ravel(), kind="stable")]
     by_byte = np.searchsorted(text[direct], np.arange(257))
 
