@@ -265,7 +265,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id_c
             yield block()
 
     coded = tokens.mapInArrow(encode, f"part int, tie long, id {kind}, n_tokens long, code binary, marks binary")
-    ordered = coded.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", "id", "tie", "n_tokens", "code")
+    ordered = coded.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "id", "tie", "n_tokens", "code")
     made = ordered.mapInArrow(blocks, f"part int, block int, first long, ids array<{kind}>, n_tokens array<long>, at array<long>, payload binary, marks binary")
     made.write.option("parquet.block.size", ROW_GROUP).parquet(f"{path}/blocks")
 
@@ -275,7 +275,7 @@ def id_bounds(tokens: DataFrame) -> np.ndarray:
     n = int(np.clip(table_bytes(tokens) // PART_BYTES, 1, MOST_PARTS))
     if n == 1:
         return np.empty(0, np.int64)
-    got = tokens.agg(F.percentile_approx(F.col("id").cast("long"), [k / n for k in range(1, n)], 100 * n).alias("q")).first().q
+    got = tokens.agg(F.percentile_approx(F.col("id").cast("long"), [k / n for k in range(1, n)], 10 * n).alias("q")).first().q
     return np.array(got or [], dtype=np.int64)
 
 
