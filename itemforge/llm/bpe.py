@@ -168,7 +168,11 @@ def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
 
 
 def bpe_decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """Decode ids, special tokens included: (id, ids, text). Null ids decode to an empty text."""
+    """Decode ids, special tokens included: (id, ids, text).
+
+    Null and empty ids decode to an empty text; a row in, a row out, whatever its id; further columns are
+    left out. Bytes that form no character become U+FFFD, as in the library.
+    """
     src = pick(encoded, id_col, ids_col).toDF("id", "ids")
     kind = encoded.schema[id_col].dataType.simpleString()
 

@@ -283,7 +283,9 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """Decode a folder of ``write_ids``: (id, start, n_tokens, ids binary of little-endian unsigned 32-bit ids).
 
     ``start`` counts the ids of all documents before. What reaches the driver is the code book and
-    one total for each part.
+    one total for each part. A null id comes back as null and first, repeated ids as rows of their own, a
+    document that was null or empty as its end id; an empty folder gives no rows. Documents of any length
+    are decoded from their checkpoints alike.
     """
     book = spark.read.schema("symbol int, bits int").parquet(f"{path}/codebook").collect()
     lengths = np.zeros(max([r.symbol for r in book], default=0) + 1, dtype=np.uint8)

@@ -67,5 +67,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, longest: int = SEQUENCE, en
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:
-    """Write packed pieces, one folder for each sequence length."""
+    """Write packed pieces, one folder for each sequence length, replacing what is there.
+
+    Equal pieces and pieces with a null id are written as they are; without pieces there is no folder.
+    """
     pieces.write.mode("overwrite").partitionBy("bucket").parquet(path)
