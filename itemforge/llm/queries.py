@@ -21,6 +21,11 @@ def op1_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op1 counts, and its base verdict, without the trained part: SQL can tell these."""
+    return op1_quality_llr(spark, sf_dir).drop("score", "kept")
+
+
 def op2_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/huffman-{uuid.uuid4().hex}"
     huffman.write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -64,11 +69,28 @@ def op10_pq_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pq.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_llr, op2_huffman_ids, op3_pack_binary, op4_hmm_score, op5_suffix_dedup, op6_jaccard_rtree, op7_bpe_forced, op8_crf_language, op9_seed_extend, op10_pq_near)}
+QUERIES = {f.__name__: f for f in (op1_quality_llr, op2_huffman_ids, op3_pack_binary, op4_hmm_score, op5_suffix_dedup, op6_jaccard_rtree, op7_bpe_forced, op8_crf_language, op9_seed_extend, op10_pq_near, quality_base)}
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 #: SQL where the result can be told without the trained model, the tokenizer or the byte strings.
 ORACLE_SQL = {
+    "quality_base": f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+        l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM t),
+        k AS (SELECT doc_id, p, array_to_string(w[p : p + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM t WHERE len(w) >= 5)),
+        d AS (SELECT DISTINCT doc_id, unnest(range(p, p + 5)) AS i FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, k) AS c FROM k) WHERE c > 1),
+        r AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(w) < 10 OR 100 * coalesce(n, 0) > 20 * len(w) AS base_failed FROM t JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)""",
+    "op5_suffix_dedup": """WITH t AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+    k AS (SELECT r, p, md5(b[p : p + 199]) AS k FROM (SELECT r, b, unnest(range(1, octet_length(b) - 198)) AS p FROM t WHERE octet_length(b) >= 200)),
+    d AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY k) AS c FROM k) WHERE c > 1),
+    g AS (SELECT r, p, CASE WHEN p <= lag(p) OVER w + 200 THEN 0 ELSE 1 END AS first FROM d WINDOW w AS (PARTITION BY r ORDER BY p)),
+    m AS (SELECT r, min(p) AS s, max(p) + 199 AS e FROM (SELECT r, p, sum(first) OVER (PARTITION BY r ORDER BY p) AS run FROM g) GROUP BY r, run),
+    x AS (SELECT r, 0 AS e FROM t UNION ALL SELECT r, e FROM m),
+    y AS (SELECT x.r, x.e + 1 AS a, coalesce((SELECT min(s) FROM m WHERE m.r = x.r AND m.s > x.e), octet_length(b) + 1) - 1 AS z, b FROM x JOIN t USING (r)),
+    h AS (SELECT r, string_agg(hex(b[a : z]), '' ORDER BY a) FILTER (z >= a) AS kept FROM y GROUP BY r),
+    c AS (SELECT r, CAST(sum(e - s + 1) AS BIGINT) AS n_removed, count(*) AS n_spans FROM m GROUP BY r)
+    SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM t JOIN h USING (r) LEFT JOIN c USING (r)""",
     "op6_jaccard_rtree": f"""WITH RECURSIVE t AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, array_to_string(w[p : p + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS p FROM t WHERE len(w) > 0)),
         n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
