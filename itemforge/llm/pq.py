@@ -8,8 +8,9 @@ its table distance is at most the threshold distance plus its own quantisation e
 nothing; survivors are ranked by exact cosine in double precision.
 
 Centroids and codebooks are fitted on a bounded sample (``SAMPLE`` vectors, those with the smallest
-hashes), for each vector length on its own; a length that the sample lacks has one list. Every vector
-is indexed.  Equal vectors of a label are one entry with a multiplicity, and a
+hashes), for each vector length on its own; a length that the sample lacks has one list. There are lists
+enough that the commonest label has about ``PER_LIST`` vectors in each, since a label searches only its own
+part of a list. Every vector is indexed.  Equal vectors of a label are one entry with a multiplicity, and a
 list of more than ``BLOCK`` entries is split into blocks, so no group grows with the data.  Links
 are not written out: each block yields counts and a spanning forest of what it found.
 """
@@ -156,7 +157,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     sampled: dict[int, list] = {}
     for v in sample:
         sampled.setdefault(len(v), []).append(v)
-    sizes = classes.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(SAMPLE).collect()
+    by_label = classes.groupBy(F.size("vec").alias("dim"), "label").count()
+    sizes = by_label.groupBy("dim").agg(F.max("count").alias("count")).orderBy(F.desc("count"), "dim").limit(SAMPLE).collect()
     lists = {n.dim: int(np.clip(n["count"] // PER_LIST, 8, 1024)) for n in sizes}
     indexes = spark.sparkContext.broadcast({dim: Index(units(np.array(x)), lists.get(dim, 8), threshold) for dim, x in sampled.items()})
 
