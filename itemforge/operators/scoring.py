@@ -62,12 +62,24 @@ def by_size(truth: DataFrame, claims: DataFrame, group: list[str] = GROUP) -> Da
     return n.select(*group, "size", "n_truth", "n_claims", "tp", p.alias("precision"), r.alias("recall"), safe_ratio(2 * F.col("tp"), F.col("n_claims") + F.col("n_truth")).alias("f1"))
 
 
+def compared(truth: DataFrame, claims: DataFrame, tolerance: int = 1, group: list[str] = GROUP) -> DataFrame:
+    """``confusion`` and ``count_accuracy`` by one join, so that either side is computed once."""
+    a = keyed(truth, group).groupBy(*group, "key").agg(F.max("count").alias("true_count"), F.lit(True).alias("in_truth"))
+    b = keyed(claims, group).groupBy(*group, "key").agg(F.collect_list(F.struct("count")).alias("said"))
+    both = a.join(b, [*group, "key"], "full_outer")
+    hit = F.col("in_truth").isNotNull() & F.col("said").isNotNull()
+    close = F.filter("said", lambda c: F.abs(c["count"] - F.col("true_count")) <= tolerance)
+    n = both.groupBy(*group).agg(
+        F.count_if(hit).alias("tp"), F.count_if(F.col("in_truth").isNull()).alias("fp"), F.count_if(F.col("said").isNull()).alias("fn"),
+        F.coalesce(F.sum(F.when(hit, F.size(close))), F.lit(0)).alias("correct_counts"), F.coalesce(F.sum(F.when(hit, F.size("said"))), F.lit(0)).alias("matched_claims"),
+    )
+    return n.withColumn("count_accuracy", safe_ratio(F.col("correct_counts"), F.col("matched_claims")))
+
+
 def metrics(truth: DataFrame, claims: DataFrame, vocabulary: DataFrame, tolerance: int = 1) -> DataFrame:
     """One row for each data set with truth or claims."""
-    out = with_rates(confusion(truth, claims))
-    for part in (count_accuracy(truth, claims, tolerance), ungrounded(claims, vocabulary)):
-        out = out.join(part, GROUP, "left")
-    return out.fillna(0, ["count_accuracy", "ungrounded_rate", "claims", "ungrounded", "correct_counts", "matched_claims"])
+    out = with_rates(compared(truth, claims, tolerance)).join(ungrounded(claims, vocabulary), GROUP, "left")
+    return out.fillna(0, ["ungrounded_rate", "claims", "ungrounded"])
 
 
 def summary(measured: DataFrame) -> DataFrame:

@@ -68,3 +68,14 @@ def test_every_error_of_a_claim(spark):
     valid = spark.createDataFrame([("d", "llm", 0, '{"itemset": ["a"], "count": 2, "rows": ["Row 1", "Row 2"]}'), ("d", "llm", 1, '{"itemset": ["b"], "count": 2, "rows": ["Row 1", "Row 2"]}')], "dataset_id string, source string, claim_idx int, r string").withColumn("rec", F.parse_json("r")).drop("r")
     r = validation.report(valid, validation.errors(valid, baskets, totals, 2)).first()
     assert (r.total_itemsets, r.validated_itemsets, r.errors, r.valid_ratio) == (2, 1, 1, 0.5)
+
+
+def test_one_join_gives_what_two_give(spark):
+    truth = itemsets(spark, ("d", ["a"], 3), ("d", ["b"], 4), ("d", ["c", "a"], 3), ("e", ["x"], 3), ("g", ["y"], 2))
+    said = itemsets(spark, ("d", ["a"], 4), ("d", ["A "], 9), ("d", ["a", "c"], 3), ("d", ["z"], 3), ("e", ["x"], 7), ("f", ["q"], 1), ("g", ["y"], None))
+    got = {r.dataset_id: r.asDict() for r in scoring.compared(truth, said).collect()}
+    for r in scoring.confusion(truth, said).collect():
+        assert all(got[r.dataset_id][k] == r[k] for k in ("tp", "fp", "fn"))
+    for r in scoring.count_accuracy(truth, said).collect():
+        assert all(got[r.dataset_id][k] == r[k] for k in ("correct_counts", "matched_claims", "count_accuracy"))
+    assert got["f"]["matched_claims"] == 0 and got["f"]["count_accuracy"] == 0 and got["d"]["correct_counts"] == 2
