@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemforge.llm import bpe, hmm, huffman, jaccard, langid, packing, pq, quality, substrings, suffix
+from itemforge.llm import bpe, hmm, huffman, jaccard, langid, packing, pq, quality, sortmeans, substrings, suffix
 from itemforge.llm.shared import shared_dir, ship
 
 
@@ -69,7 +69,28 @@ def op10_pq_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pq.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_llr, op2_huffman_ids, op3_pack_binary, op4_hmm_score, op5_suffix_dedup, op6_jaccard_rtree, op7_bpe_forced, op8_crf_language, op9_seed_extend, op10_pq_near, quality_base)}
+def op11_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sortmeans.clustering(table(spark, sf_dir, "embeddings"))
+
+
+def _sort_means_sql(clusters: int = 16, rounds: int = 3) -> str:
+    """Every round compares all vectors with all centroids; distance and number share one integer, so ties go to the smaller."""
+    square = "CAST(list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i]))) AS HUGEINT)"
+    parts = [
+        """v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+        WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))))""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS j, v AS c FROM (SELECT v, sha256('1:' || vec_id) AS h FROM v ORDER BY h LIMIT {clusters}))",
+    ]
+    for n in range(rounds + 1):
+        parts.append(f"a{n} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, min({square} * {clusters} + j) AS m FROM v, c{n} GROUP BY r)")
+        if n < rounds:
+            parts.append(f"""c{n + 1} AS MATERIALIZED (SELECT c.j, coalesce(x, c) AS c FROM c{n} c LEFT JOIN (SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x
+                FROM (SELECT m % {clusters} AS j, i, sum(v[i]) AS s, count(*) AS n FROM a{n}, range(1, 65) t(i) GROUP BY ALL) GROUP BY j) USING (j))""")
+    return "WITH " + ", ".join(parts) + f""" SELECT vec_id, CAST(j AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+        sha256(array_to_string(c, ',')) AS centroid_sha256 FROM (SELECT vec_id, m % {clusters} AS j, m // {clusters} AS d FROM a{rounds}) JOIN c{rounds} USING (j)"""
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_llr, op2_huffman_ids, op3_pack_binary, op4_hmm_score, op5_suffix_dedup, op6_jaccard_rtree, op7_bpe_forced, op8_crf_language, op9_seed_extend, op10_pq_near, op11_sort_means, quality_base)}
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 #: SQL where the result can be told without the trained model, the tokenizer or the byte strings.
@@ -105,6 +126,7 @@ ORACLE_SQL = {
         e AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM t),
         s AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) FILTER (gone IS NULL) AS kept, count(gone) AS n FROM e LEFT JOIN g USING (doc_id, i) GROUP BY doc_id)
         SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN s ON s.doc_id = t.doc_id""",
+    "op11_sort_means": _sort_means_sql(),
     "op10_pq_near": """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
         l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
         c(id, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, c.root FROM c JOIN l ON l.a = c.id),
