@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemforge.llm import bpe, hmm, huffman, jaccard, langid, packing, pq, quality, sortmeans, substrings, suffix
+from itemforge.llm import bpe, collocations, hmm, huffman, jaccard, langid, packing, pq, quality, sortmeans, substrings, suffix
 from itemforge.llm.shared import shared_dir, ship
 
 
@@ -73,6 +73,10 @@ def op11_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sortmeans.clustering(table(spark, sf_dir, "embeddings"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def _sort_means_sql(clusters: int = 16, rounds: int = 3) -> str:
     """Every round compares all vectors with all centroids; distance and number share one integer, so ties go to the smaller."""
     square = "CAST(list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i]))) AS HUGEINT)"
@@ -90,7 +94,7 @@ def _sort_means_sql(clusters: int = 16, rounds: int = 3) -> str:
         sha256(array_to_string(c, ',')) AS centroid_sha256 FROM (SELECT vec_id, m % {clusters} AS j, m // {clusters} AS d FROM a{rounds}) JOIN c{rounds} USING (j)"""
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_llr, op2_huffman_ids, op3_pack_binary, op4_hmm_score, op5_suffix_dedup, op6_jaccard_rtree, op7_bpe_forced, op8_crf_language, op9_seed_extend, op10_pq_near, op11_sort_means, quality_base)}
+QUERIES = {f.__name__: f for f in (op1_quality_llr, op2_huffman_ids, op3_pack_binary, op4_hmm_score, op5_suffix_dedup, op6_jaccard_rtree, op7_bpe_forced, op8_crf_language, op9_seed_extend, op10_pq_near, op11_sort_means, op12_collocations, quality_base)}
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 #: SQL where the result can be told without the trained model, the tokenizer or the byte strings.
@@ -126,6 +130,19 @@ ORACLE_SQL = {
         e AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM t),
         s AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) FILTER (gone IS NULL) AS kept, count(gone) AS n FROM e LEFT JOIN g USING (doc_id, i) GROUP BY doc_id)
         SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN s ON s.doc_id = t.doc_id""",
+    "op12_collocations": f"""WITH p AS (SELECT r, lang, unnest(s) AS s, unnest(range(len(s))) AS j FROM (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]') AS s FROM documents)),
+        e AS (SELECT r, lang, j, unnest(w) AS w, unnest(range(len(w))) AS i FROM (SELECT r, lang, j, regexp_extract_all(s, '[^\x20\x09]+') AS w FROM p)),
+        q AS (SELECT lang, w AS g1, w || ' ' || lead(w) OVER o AS g2, w || ' ' || lead(w) OVER o || ' ' || lead(w, 2) OVER o AS g3 FROM e WINDOW o AS (PARTITION BY r, j ORDER BY i)),
+        k AS MATERIALIZED (SELECT lang, 1 AS k, g1 AS g, count(*) AS c FROM q GROUP BY ALL UNION ALL SELECT lang, 2, g2, count(*) FROM q WHERE g2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10 UNION ALL SELECT lang, 3, g3, count(*) FROM q WHERE g3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+        n AS (SELECT lang, CAST(sum(c) AS BIGINT) AS n FROM k WHERE k = 1 GROUP BY lang),
+        f AS (SELECT lang, k, g, c, string_split(g, ' ') AS w FROM k WHERE k > 1),
+        u AS (SELECT f.*, x, array_to_string(w[1 : x], ' ') AS a1, array_to_string(w[x + 1 : k], ' ') AS a2 FROM f, range(1, 3) t(x) WHERE x < k),
+        v AS (SELECT u.*, l.c AS l, r.c AS r, CAST(1000000 * CAST(u.c AS HUGEINT) * u.c // (CAST(l.c AS HUGEINT) * r.c) AS BIGINT) AS score FROM u JOIN k l ON l.lang = u.lang AND l.k = x AND l.g = a1 JOIN k r ON r.lang = u.lang AND r.k = u.k - x AND r.g = a2),
+        b AS (SELECT lang, k, g, any_value(c) AS a, arg_min(l, score * 2 + x) AS l, arg_min(r, score * 2 + x) AS r, min(score) AS score FROM v GROUP BY ALL),
+        h AS (SELECT lang, c, w[1] || ' ' || w[2] AS g FROM f WHERE k = 3 UNION ALL SELECT lang, c, w[2] || ' ' || w[3] FROM f WHERE k = 3),
+        d AS (SELECT DISTINCT lang, b.g FROM b JOIN h USING (lang, g) WHERE k = 2 AND 100 * h.c >= 50 * b.a),
+        z AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(g)) AS rank, g AS phrase, a, l, r, score FROM b WHERE k = 3 OR (lang, g) NOT IN (SELECT (lang, g) FROM d))
+        SELECT z.lang, rank, phrase, a, l, r, n, score FROM z JOIN n ON n.lang = z.lang WHERE rank <= 2000""",
     "op11_sort_means": _sort_means_sql(),
     "op10_pq_near": """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
         l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.93),

@@ -123,9 +123,10 @@ def cut_rows(data: np.ndarray, offsets: np.ndarray, limit: int = CHUNK_BYTES) ->
 
 
 class Words:
-    """Words of a range of rows: start and end byte, 64-bit hash, and word offsets by row."""
+    """Words of a range of rows: start and end byte, 64-bit hash (another for each seed), and word offsets by row."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, seed: int = 0):
+        self.seed = seed
         self.data = LOWER[data] if lower else data
         n = len(data)
         solid = ~SPACE[self.data]
@@ -143,7 +144,7 @@ class Words:
     def _hashes(self) -> np.ndarray:
         """Words are taken eight bytes at a time, each mixed into what came before; long ones by BLAKE2."""
         size = self.end - self.start
-        out = mix(size.astype(np.uint64) * np.uint64(0x94D049BB133111EB))
+        out = mix(size.astype(np.uint64) * np.uint64(0x94D049BB133111EB) + np.uint64(self.seed))
         padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
         eight = np.ndarray(len(self.data) + 1, dtype="<u8", buffer=padded, strides=(1,))
         long = size > LONG_WORD
@@ -153,7 +154,7 @@ class Words:
             out[todo] = mix((out[todo] ^ (eight[self.start[todo] + at] & KEEP[np.minimum(left, 8)])) * np.uint64(_BASE))
             todo, at = todo[left > 8], at + 8
         for i in np.flatnonzero(long).tolist():
-            raw = hashlib.blake2b(self.data[self.start[i] : self.end[i]].tobytes(), digest_size=8).digest()
+            raw = hashlib.blake2b(self.data[self.start[i] : self.end[i]].tobytes(), digest_size=8, salt=self.seed.to_bytes(8, "little")).digest()
             out[i] = int.from_bytes(raw, "little")
         return out
 
