@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itemforge.llm import bpe, collocations, hmm, huffman, jaccard, langid, packing, pq, quality, sortmeans, substrings, suffix
+from itemforge.llm import bpe, collocations, hmm, huffman, jaccard, langid, media, packing, pq, quality, sortmeans, substrings, suffix
 from itemforge.llm.shared import shared_dir, ship
 
 
@@ -77,6 +77,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(table(spark, sf_dir, "documents"))
+
+
 def _sort_means_sql(clusters: int = 16, rounds: int = 3) -> str:
     """Every round compares all vectors with all centroids; distance and number share one integer, so ties go to the smaller."""
     square = "CAST(list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i]))) AS HUGEINT)"
@@ -94,7 +98,7 @@ def _sort_means_sql(clusters: int = 16, rounds: int = 3) -> str:
         sha256(array_to_string(c, ',')) AS centroid_sha256 FROM (SELECT vec_id, m % {clusters} AS j, m // {clusters} AS d FROM a{rounds}) JOIN c{rounds} USING (j)"""
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_llr, op2_huffman_ids, op3_pack_binary, op4_hmm_score, op5_suffix_dedup, op6_jaccard_rtree, op7_bpe_forced, op8_crf_language, op9_seed_extend, op10_pq_near, op11_sort_means, op12_collocations, quality_base)}
+QUERIES = {f.__name__: f for f in (op1_quality_llr, op2_huffman_ids, op3_pack_binary, op4_hmm_score, op5_suffix_dedup, op6_jaccard_rtree, op7_bpe_forced, op8_crf_language, op9_seed_extend, op10_pq_near, op11_sort_means, op12_collocations, op13_media_columns, quality_base)}
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 #: SQL where the result can be told without the trained model, the tokenizer or the byte strings.
