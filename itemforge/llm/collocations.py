@@ -35,6 +35,15 @@ PIECES[[*b".,;:!?", *range(0x0A, 0x0E)]] = 0x0A
 ITSELF, LEFT1, RIGHT1, LEFT2, RIGHT2 = range(5)
 
 
+def other_bytes(seed: int) -> np.ndarray:
+    """An order of the bytes that are no white space, another for each seed: words stay apart, their hashes change."""
+    out = np.arange(256, dtype=np.uint8)
+    if seed:
+        solid = out[~tk.SPACE]
+        out[~tk.SPACE] = np.random.default_rng(seed).permutation(solid)
+    return out
+
+
 def language_key(lang: str, seed: int) -> int:
     return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
 
@@ -54,12 +63,12 @@ class Phrases:
     """Words of some texts by language, which neighbours share a piece, and keys of one to three in a row."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lang: np.ndarray, seed: int):
-        self.offsets = offsets
-        self.words = tk.Words(PIECES[data], offsets, seed=seed)
+        self.data, self.offsets = PIECES[data], offsets
+        self.words = tk.Words(other_bytes(seed)[self.data], offsets)
         self.row = np.repeat(np.arange(len(offsets) - 1), np.diff(self.words.offsets))
         self.lang = lang[self.row]
         self.word = tk.mix(self.words.hash + self.lang)
-        ends = np.concatenate([[0], np.cumsum(self.words.data == 0x0A)])
+        ends = np.concatenate([[0], np.cumsum(self.data == 0x0A)])
         self.joined = (ends[self.words.start[1:]] == ends[self.words.end[:-1]]) & (self.row[1:] == self.row[:-1])
 
     def at(self, where: np.ndarray, size: int) -> list[np.ndarray]:
@@ -113,10 +122,10 @@ def word_counts(docs: DataFrame, seed: int) -> DataFrame:
 
         for x, langs, i in pieces(batches, seed):
             w = x.words
-            again = tk.Words(w.data, x.offsets, seed=seed + (1 << 32)).hash
+            again = tk.Words(other_bytes(seed + (1 << 32))[x.data], x.offsets).hash
             one, n = counted(x.word, again)
             size = w.end[one] - w.start[one]
-            text = tk.binary_array(w.data[tk.spread(w.start[one], size)], np.concatenate([[0], np.cumsum(size)]), string=True)
+            text = tk.binary_array(x.data[tk.spread(w.start[one], size)], np.concatenate([[0], np.cumsum(size)]), string=True)
             lang = langs.dictionary.take(langs.indices.take(pa.array(x.row[one] + i)))
             yield pa.RecordBatch.from_arrays([lang, text, signed(x.word[one]), signed(x.lang[one]), pa.array(n)], ["lang", "word", "w1", "lang_key", "n"])
 
