@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from itemforge.functions.text import safe_ratio, short_hash
+from itemforge.operators.quantiles import quantiles
+from itemforge.operators.ranking import first_in_order, place_in_order
 from itemforge.sources.readers import numbered
 
 # Shares of the kinds of variation and of the sizes, and size ranges of rows.
@@ -34,15 +36,16 @@ def choice(u: Column, options) -> Column:
     return out.otherwise(options[-1][0])
 
 
-def renumbered(df: DataFrame, *order) -> DataFrame:
-    w = Window.partitionBy("dataset_id").orderBy(*order)
-    return df.withColumn("row_no", F.row_number().over(w))
+def renumbered(df: DataFrame, *order: Column | str) -> DataFrame:
+    """``row_no`` from 1 in each data set, of any size, in the order of columns."""
+    by = [F.col(c) if isinstance(c, str) else c for c in order]
+    return place_in_order(df, by, ["dataset_id"], "_row_no").withColumn("row_no", F.col("_row_no")).drop("_row_no")
 
 
 def row_subsample(transactions: DataFrame, rows: int | Column, seed: int = 42) -> DataFrame:
     """So many rows of each data set, in their order, numbered anew."""
-    w = Window.partitionBy("dataset_id").orderBy(uniform(F.col("dataset_id"), F.col("row_no"), seed=seed), "row_no")
-    return renumbered(transactions.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= rows).drop("_n"), "row_no")
+    by = [uniform(F.col("dataset_id"), F.col("row_no"), seed=seed), F.col("row_no")]
+    return renumbered(first_in_order(transactions, by, ["dataset_id"], rows), "row_no")
 
 
 def prefixes(transactions: DataFrame) -> DataFrame:
@@ -59,8 +62,8 @@ def with_prefixes(transactions: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def col_subsample(transactions: DataFrame, cols: int, seed: int = 42) -> DataFrame:
     """Items of so many column prefixes."""
-    w = Window.partitionBy("dataset_id").orderBy(uniform(F.col("dataset_id"), F.col("prefix"), seed=seed), "prefix")
-    chosen = prefixes(transactions).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cols).drop("_n")
+    by = [uniform(F.col("dataset_id"), F.col("prefix"), seed=seed), F.col("prefix")]
+    chosen = first_in_order(prefixes(transactions), by, ["dataset_id"], cols)
     return with_prefixes(transactions, chosen)
 
 
@@ -90,8 +93,7 @@ def add_noise(transactions: DataFrame, ratio: float = 0.1, seed: int = 42) -> Da
         return F.concat(chosen, F.array(F.when(F.array_contains(chosen, place), last).otherwise(place)))
 
     places = F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), F.array().cast("array<bigint>"), draw)
-    w = Window.partitionBy("dataset_id").orderBy("item")
-    ranked = vocabulary.withColumn("_i", F.row_number().over(w) - F.lit(1).cast("long"))
+    ranked = place_in_order(vocabulary, [F.col("item")], ["dataset_id"], "_at").select("dataset_id", "item", (F.col("_at") - 1).cast("long").alias("_i"))
     drawn = more.withColumn("_i", F.explode(places)).join(ranked, ["dataset_id", "_i"])
     place = uniform(F.col("dataset_id"), F.col("k"), F.lit("p"), seed=seed) * F.col("rows")
     rows = drawn.groupBy("dataset_id", "k", "rows").agg(F.collect_list("item").alias("items")).select("dataset_id", place.alias("at"), "items")
@@ -103,8 +105,8 @@ def topped_up(transactions: DataFrame, least: int, seed: int = 42) -> DataFrame:
     n = transactions.groupBy("dataset_id").agg(F.count("*").alias("n"))
     need = n.where(F.col("n") < least).select("dataset_id", "n", F.explode(F.sequence(F.lit(1), F.lit(least) - F.col("n"))).alias("k"))
     need = need.withColumn("pick", (1 + F.floor(uniform(F.col("dataset_id"), F.col("k"), seed=seed) * F.col("n"))).cast("int"))
-    w = Window.partitionBy("dataset_id").orderBy("row_no")
-    ranked = transactions.withColumn("pick", F.row_number().over(w))
+    small = transactions.join(n.where(F.col("n") < least).select("dataset_id"), "dataset_id", "left_semi")
+    ranked = place_in_order(small, [F.col("row_no")], ["dataset_id"], "pick").withColumn("pick", F.col("pick").cast("int"))
     more = need.join(ranked, ["dataset_id", "pick"]).select("dataset_id", (F.col("n") + F.col("k")).alias("row_no"), "items")
     return transactions.select("dataset_id", F.col("row_no").cast("long").alias("row_no"), "items").unionByName(more)
 
@@ -179,9 +181,14 @@ SMALL_ROWS, MEDIUM_ROWS = 10, 18
 
 
 def generation_statistics(log: DataFrame) -> DataFrame:
-    """One row on generated data sets (num_transactions, actual_cols, unique_items): spread of sizes, and how many are small, medium and large."""
+    """One row on generated data sets (num_transactions, actual_cols, unique_items): spread of sizes, and how many are small, medium and large.
+
+    The medians are exact, found by histograms before the row is made; null without data sets.
+    """
     r = F.col("num_transactions")
-    spread = [f(c).alias(f"{n}_{name}") for name, c in (("rows", "num_transactions"), ("cols", "actual_cols"), ("items", "unique_items")) for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("median", F.median))]
+    sizes = (("rows", "num_transactions"), ("cols", "actual_cols"), ("items", "unique_items"))
+    middle = {name: (q or [None])[0] for name, q in quantiles(log, {name: F.col(c) for name, c in sizes}, [0.5]).items()}
+    spread = [x.alias(f"{n}_{name}") for name, c in sizes for n, x in (("min", F.min(c)), ("max", F.max(c)), ("mean", F.avg(c)), ("median", F.lit(middle[name]).cast("double")))]
     return log.agg(F.count("*").alias("datasets"), *spread, F.count_if(r <= SMALL_ROWS).alias("small"), F.count_if((r > SMALL_ROWS) & (r <= MEDIUM_ROWS)).alias("medium"), F.count_if(r > MEDIUM_ROWS).alias("large"))
 
 

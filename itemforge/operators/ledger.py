@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from itemforge.operators.ranking import first_in_order
 from itemforge.functions.text import null_ratio
 from itemforge.operators.validation import INVARIANTS
 
@@ -103,9 +104,8 @@ def one_per_dataset(runs: DataFrame, latest: bool = True) -> DataFrame:
 
 
 def capped(rows: DataFrame, per: list[str], order: list[str], most: int) -> DataFrame:
-    """At most so many rows of each group, in order; filter before, so that only accepted rows count."""
-    w = Window.partitionBy(*per).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
+    """At most so many rows of each group, however large, in order; filter before, so that only accepted rows count."""
+    return first_in_order(rows, [F.col(c) for c in order], per, most)
 
 
 def excluding(rows: DataFrame, used: DataFrame, key: str) -> DataFrame:

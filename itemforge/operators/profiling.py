@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from itemforge.functions.text import normal_text, prefix_signature, safe_ratio
-from itemforge.sources.readers import in_order
+from itemforge.operators.quantiles import quantiles
+from itemforge.operators.ranking import place_in_order
 
 
 def _signatures(texts: DataFrame, col: str, chars: int) -> DataFrame:
@@ -59,8 +60,7 @@ def explicit_bins(df: DataFrame, col: str, edges: list[float], name: str = "size
 
 def quantile_edges(df: DataFrame, col: str, q: int = 5) -> list[float]:
     """Distinct exact quantiles with linear interpolation; q + 1 numbers at most."""
-    got = df.agg(F.percentile(F.col(col), [i / q for i in range(q + 1)]).alias("e")).first().e
-    return sorted(set(got or []))
+    return sorted(set(quantiles(df, {"x": F.col(col)}, [i / q for i in range(q + 1)])["x"]))
 
 
 def quantile_bins(df: DataFrame, col: str, q: int = 5, name: str = "size_bin") -> DataFrame:
@@ -95,7 +95,7 @@ def rolling_mean(df: DataFrame, value: str, order: list[str], width: int, group:
     before, after = width // 2, (width - 1) // 2
     if group:
         return df.withColumn(name, F.avg(value).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(-before, after)))
-    n = in_order(df, [F.col(c) for c in order], "_n")
+    n = place_in_order(df, [F.col(c) for c in order], [], "_n")
     first, last = F.floor((F.col("_n") - after) / ROLLING), F.floor((F.col("_n") + before) / ROLLING)
     each = n.withColumn("_range", F.explode(F.sequence(first, last)))
     w = Window.partitionBy("_range").orderBy("_n").rowsBetween(-before, after)

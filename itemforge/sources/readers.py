@@ -2,62 +2,47 @@
 
 from __future__ import annotations
 
-import csv
-import io
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from itemforge.functions.text import is_missing, strip, tagged
-
-# What a header may call its parts, the delimiters tried, and words for a missing cell.
-ID_NAMES = ("transaction_id", "tid", "trans_id", "t_id")
-ITEM_NAMES = ("item", "product", "sku")
-DELIMITERS = ",;\t|"
-MISSING = ("", "NA", "N/A", "#N/A", "NULL", "null", "NaN", "nan", "None")
+from itemforge.operators.ranking import place_in_order
+from itemforge.sources.csvlines import CsvFiles, delimiter_of, read_files, shape_of
 
 
 def sniff_delimiter(spark: SparkSession, path: str, lines: int = 40) -> str:
     """Delimiter of a CSV file by its first lines that are not blank; a comma if they do not tell."""
-    head = [r.value for r in spark.read.text(path).limit(lines).collect() if r.value.strip()]
-    try:
-        return csv.Sniffer().sniff("\n".join(head), DELIMITERS).delimiter
-    except csv.Error:
-        return ","
-
+    return delimiter_of([r.value for r in spark.read.text(path).limit(lines).collect()])
 
-def read_csv(spark: SparkSession, path: str, sep: str | None = None) -> tuple[DataFrame, str]:
-    """All columns as strings, words for a missing cell as null, and how it was read: strict, or skip if lines of a wrong width were left out."""
-    sep = sep or sniff_delimiter(spark, path)
-    options = {"header": True, "sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "enforceSchema": False}
-    names = spark.read.options(header=True, sep=sep).csv(path).columns
-    schema = ", ".join(f"`{n}` STRING" for n in names) + ", _corrupt STRING"
-    raw = spark.read.options(**options).schema(schema).csv(path)
-    # all columns are asked for, as the parser must read whole lines to see a wrong width
-    every = F.hash(*[F.col(f"`{n}`") for n in names])
-    bad = raw.agg(F.count("_corrupt").alias("bad"), F.max(every)).first().bad > 0
-    good = spark.read.options(header=True, sep=sep, mode="DROPMALFORMED", enforceSchema=False).schema(", ".join(f"`{n}` STRING" for n in names)).csv(path) if bad else raw.drop("_corrupt")
-    cells = [F.when(~strip(F.col(f"`{n}`")).isin(*MISSING), F.col(f"`{n}`")).alias(n) for n in names]
-    return good.select(*cells), "skip" if bad else "strict"
 
+def _in_folder_order(files: CsvFiles) -> DataFrame:
+    """``rows`` counted on from file to file, by path."""
+    before = files.reads.select("path", (F.sum("rows").over(Window.orderBy("path")) - F.col("rows")).alias("_before"))  # a row a file
+    return files.rows.join(before, "path").withColumn("row", F.col("row") + F.col("_before")).drop("_before")
 
-def shape_of(columns: list[str]) -> str:
-    """long (an id and an item column), single (one column) or wide."""
-    low = [c.strip().lower() for c in columns]
-    if any(c in ID_NAMES for c in low) and any(c in ITEM_NAMES for c in low):
-        return "long"
-    return "single" if len(columns) == 1 else "wide"
 
+def read_csv(spark: SparkSession, path: str, sep: str | None = None, number: str | None = None) -> tuple[DataFrame, str]:
+    """All columns as strings, words for a missing cell as null, and how it was read: strict, or skip if lines with too many cells were left out.
 
-#: Rows looked at, and ranges made, to number rows in order.
-SAMPLE, RANGES = 16_384, 1024
+    Short lines are filled with nulls. ``number`` names a further column: rows from 1 in the order of the file, or of the
+    files of a folder by path, which should share the header of the first. Which rows there are does not
+    depend on the columns that are used.
+    """
+    files = read_files(spark, path, sep=sep)
+    known = files.reads.agg(F.min_by("names", "path").alias("names"), F.max(F.col("read") == "skip").alias("skip")).first()
+    names = known.names or []
+    columns = [F.get("cells", i).alias(n) for i, n in enumerate(names)]
+    rows = _in_folder_order(files).select(*columns, F.col("row").alias(number)) if number else files.rows.select(*columns)
+    return rows, "skip" if known.skip else "strict"
 
 
 def in_file_order(df: DataFrame, name: str = "row_no") -> DataFrame:
-    """Adds numbers from 1 in the order of the files that ``df`` scans (no shuffle may stand between).
+    """Adds numbers from 1 in the order in which ``df`` scans one file (no shuffle may stand between).
 
-    Rows count up within their partition; the partitions' sizes, one small row each, give what comes before.
+    Rows count up within their partition; the partitions' sizes, one small row each, give what comes before. Spark
+    scans several files in an order of its own: use ``read_csv`` with ``number`` there.
     """
     ids = df.withColumn("_id", F.monotonically_increasing_id())
     sizes = ids.groupBy(F.shiftright("_id", 33).alias("_part")).agg(F.count("*").alias("_n"))
@@ -67,32 +52,15 @@ def in_file_order(df: DataFrame, name: str = "row_no") -> DataFrame:
 
 
 def in_order(df: DataFrame, order: list[Column], name: str = "row_no") -> DataFrame:
-    """Adds numbers from 1 in the order of some columns, without one task that sees all rows.
-
-    Rows are dealt to at most ``RANGES`` ranges by values from a bounded sample, numbered in each, and
-    moved on by the sizes of the ranges before; where the sample draws the limits changes no number.
-    """
-    key = F.struct(*[c.alias(f"_{i}") for i, c in enumerate(order)])
-    keyed = df.withColumn("_key", key)
-    seen = keyed.select("_key").orderBy(F.xxhash64("_key"), "_key").limit(SAMPLE).distinct().agg(F.array_sort(F.collect_list("_key")).alias("k"))
-    step = F.greatest(F.lit(1), F.ceil(F.size("k") / RANGES)).cast("int")
-    limits = F.broadcast(seen.select(F.filter("k", lambda x, i: (i > 0) & (i % step == 0)).alias("_limits"), F.lit(0).alias("_one")))
-    steps = F.array(*[F.lit(1 << k) for k in range(RANGES.bit_length() - 1, -1, -1)])
-    at = F.aggregate(steps, F.lit(0), lambda a, n: F.when((a + n <= F.size("_limits")) & (F.get("_limits", a + n - 1) <= F.col("_key")), a + n).otherwise(a))
-    dealt = keyed.withColumn("_one", F.lit(0)).join(limits, "_one").withColumn("_range", at).drop("_limits", "_one")
-    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_size"))
-    before = sizes.select("_range", (F.sum("_size").over(Window.orderBy("_range")) - F.col("_size")).alias("_before"))
-    within = dealt.withColumn("_place", F.row_number().over(Window.partitionBy("_range").orderBy("_key")))
-    return within.join(F.broadcast(before), "_range").withColumn(name, F.col("_place") + F.col("_before")).drop("_key", "_range", "_place", "_before")
+    """Adds numbers from 1 in the order of some columns."""
+    return place_in_order(df, order, [], name)
 
 
 def numbered(df: DataFrame, order: str | None = None, group: list[str] | None = None) -> DataFrame:
     """Row numbers from 1 in the order of a column (in each group), or in file order without one."""
     if order is None:
         return in_file_order(df)
-    if group:
-        return df.withColumn("row_no", F.row_number().over(Window.partitionBy(*group).orderBy(order)))
-    return in_order(df, [F.col(order)])
+    return place_in_order(df, [F.col(order)], group or [], "row_no")
 
 
 def long_transactions(df: DataFrame, id_col: str, item_col: str, compat: bool = False) -> DataFrame:
@@ -103,7 +71,7 @@ def long_transactions(df: DataFrame, id_col: str, item_col: str, compat: bool =
     """
     item = F.coalesce(strip(F.col(item_col)), F.lit("nan")) if compat else strip(F.col(item_col))
     g = df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.filter(F.collect_list(item), lambda x: x != "").alias("items"))
-    return in_order(g, [F.col("_id").try_cast("double"), F.col("_id")]).select("row_no", "items")
+    return place_in_order(g, [F.col("_id").try_cast("double"), F.col("_id")], [], "row_no").select("row_no", "items")
 
 
 def cell_items(columns: list[str]) -> Column:
@@ -118,7 +86,7 @@ def wide_transactions(df: DataFrame, columns: list[str] | None = None, drop_empt
     if not drop_empty:
         return n.select("src_row", F.col("src_row").alias("row_no"), "items")
     n = n.select("src_row", "items").where(F.size("items") > 0)
-    return (in_order(n, [F.col("src_row")]) if order else in_file_order(n)).select("src_row", "row_no", "items")
+    return (place_in_order(n, [F.col("src_row")], [], "row_no") if order else in_file_order(n)).select("src_row", "row_no", "items")
 
 
 def single_items(c: Column) -> Column:
@@ -133,73 +101,43 @@ def single_transactions(df: DataFrame, col: str, compat: bool = False, order: st
     return numbered(n, order).select("row_no", "items")
 
 
+def _transactions(rows: DataFrame, keep_empty: bool) -> DataFrame:
+    """(dataset_id, row_no, items, shape) of rows of files of any shape: ``dataset_id`` in them says whose they are."""
+    plain, long = rows.where("shape <> 'long'"), rows.where("shape = 'long'")
+    flat = plain.withColumn("items", F.when(F.col("shape") == "single", single_items(F.coalesce(F.get("cells", 0), F.lit("")))).otherwise(F.transform(F.filter("cells", lambda x: ~is_missing(x)), strip)))
+    flat = flat.withColumn("row_no", F.col("row"))
+    if not keep_empty:  # a single cell may hold separators alone, which the rows were not counted without
+        bare = flat.where(F.size("items") == 0).groupBy("dataset_id").agg(F.sort_array(F.collect_list("row")).alias("bare"))
+        flat = flat.where(F.size("items") > 0).join(F.broadcast(bare), "dataset_id", "left")
+        flat = flat.withColumn("row_no", F.col("row") - F.coalesce(F.size(F.filter("bare", lambda x: x < F.col("row"))), F.lit(0)))
+    item = strip(F.expr("get(cells, item_at)"))
+    each = long.select("dataset_id", "shape", F.expr("get(cells, id_at)").alias("id"), F.struct(F.col("row"), item.alias("x")).alias("v")).where("id IS NOT NULL")
+    each = each.groupBy("dataset_id", "shape", "id").agg(F.array_sort(F.collect_list("v")).alias("v"))
+    each = each.withColumn("items", F.filter(F.transform("v", lambda v: v.x), lambda x: x != ""))
+    each = place_in_order(each.drop("v"), [F.col("id").try_cast("double"), F.col("id")], ["dataset_id"], "row_no")
+    want = ("dataset_id", "row_no", "items", "shape")
+    return flat.select(*want).unionByName(each.select(*want))
+
+
 def read_transactions(spark: SparkSession, path: str, dataset_id: str | None = None) -> tuple[DataFrame, dict]:
-    """(dataset_id, row_no, items) of a CSV file of any shape, and how it was read."""
-    df, how = read_csv(spark, path)
-    shape = shape_of(df.columns)
-    if shape == "long":
-        low = {c.strip().lower(): c for c in df.columns}
-        out = long_transactions(df, next(low[n] for n in low if n in ID_NAMES), next(low[n] for n in low if n in ITEM_NAMES))
-    elif shape == "single":
-        out = single_transactions(df, df.columns[0])
-    else:
-        out = wide_transactions(df)
-    name = dataset_id or path.rsplit("/", 1)[-1]
-    return out.select(F.lit(name).alias("dataset_id"), "row_no", "items"), {"shape": shape, "read": how}
-
-
-def _parsed_file(raw: bytes) -> tuple[str, str, list[str], list[list[str | None]]]:
-    """(shape, read, header, lines) of one CSV file: as ``read_csv`` does, for a file in memory."""
-    text = raw.decode("utf-8-sig", "replace")
-    head = "\n".join([x for x in text.splitlines() if x.strip()][:40])
-    try:
-        sep = csv.Sniffer().sniff(head, DELIMITERS).delimiter
-    except csv.Error:
-        sep = ","
-    lines = [x for x in csv.reader(io.StringIO(text, newline=""), delimiter=sep) if x]
-    if not lines:
-        return "wide", "strict", [], []
-    names, body = lines[0], lines[1:]
-    good = [[None if c.strip() in MISSING else c for c in x] + [None] * (len(names) - len(x)) for x in body if len(x) <= len(names)]
-    return shape_of(names), "strict" if len(good) == len(body) else "skip", names, good
+    """(dataset_id, row_no, items) of one CSV file of any shape and size, or of a folder of its parts, and how it was read."""
+    files = read_files(spark, path, keep_empty=False)
+    known = files.reads.agg(F.min_by("shape", "path").alias("shape"), F.max(F.col("read") == "skip").alias("skip")).first()
+    rows = _in_folder_order(files).withColumn("dataset_id", F.lit(dataset_id or path.rsplit("/", 1)[-1]))
+    return _transactions(rows, False).drop("shape"), {"shape": known.shape or "wide", "read": "skip" if known.skip else "strict"}
 
 
 def read_directory(spark: SparkSession, path: str, keep_empty: bool = False) -> DataFrame:
     """(dataset_id, row_no, items, shape, read) of every *.csv file of a folder, in one job; the file's name is the data set.
 
-    Each file is parsed whole in one task, with its own delimiter, quoting and shape, so this is for
-    many files of ordinary size; ``read_transactions`` reads one that is too large for a task. Rows are
+    Each file has its own delimiter, quoting, header and shape; a large one is read by many tasks. Rows are
     numbered in each data set: in file order (rows left empty go, unless ``keep_empty``), or for the long
     shape in the order of ids. Lines with too many cells are left out and ``read`` is then skip.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[cC][sS][vV]").load(path).select(F.element_at(F.split("path", "/"), -1).alias("dataset_id"), "content")
-
-    def parse(batches):
-        import pyarrow as pa
-
-        kinds = pa.schema([("dataset_id", pa.string()), ("src_row", pa.int64()), ("id", pa.string()), ("cells", pa.list_(pa.string())), ("shape", pa.string()), ("read", pa.string())])
-        for b in batches:
-            for name, raw in zip(b.column("dataset_id").to_pylist(), b.column("content"), strict=True):
-                shape, how, names, lines = _parsed_file(raw.as_py())
-                rows = [(name, i, None, x, shape, how) for i, x in enumerate(lines, 1)]
-                if shape == "long":
-                    low = {c.strip().lower(): i for i, c in reversed(list(enumerate(names)))}
-                    key, item = next(low[c] for c in low if c in ID_NAMES), next(low[c] for c in low if c in ITEM_NAMES)
-                    rows = [(name, i, x[key], [x[item]], shape, how) for i, x in enumerate(lines, 1) if x[key] is not None]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, kinds.field(i).type) for i, c in enumerate(zip(*rows, strict=True))], schema=kinds)
-
-    cells = files.mapInArrow(parse, "dataset_id string, src_row long, id string, cells array<string>, shape string, read string")
-    items = F.when(F.col("shape") == "single", single_items(F.coalesce(F.get("cells", 0), F.lit("")))).otherwise(F.transform(F.filter("cells", lambda x: ~is_missing(x)), strip))
-    flat = cells.where("shape <> 'long'").select("dataset_id", "src_row", items.alias("items"), "shape", "read")
-    flat = flat if keep_empty else flat.where(F.size("items") > 0)
-    flat = flat.withColumn("row_no", F.row_number().over(Window.partitionBy("dataset_id").orderBy("src_row")))
-    each = F.array_sort(F.collect_list(F.struct("src_row", F.get("cells", 0).alias("x"))))
-    long = cells.where("shape = 'long'").groupBy("dataset_id", "shape", "read", "id").agg(each.alias("v"))
-    long = long.withColumn("items", F.filter(F.transform("v", lambda v: strip(v.x)), lambda x: x != ""))
-    long = long.withColumn("row_no", F.row_number().over(Window.partitionBy("dataset_id").orderBy(F.col("id").try_cast("double"), "id")))
-    want = ("dataset_id", "row_no", "items", "shape", "read")
-    return flat.select(*want).unionByName(long.select(*want))
+    files = read_files(spark, path, "*.[cC][sS][vV]", keep_empty)
+    reads = files.reads.select(F.col("name").alias("dataset_id"), "read")
+    out = _transactions(files.rows.withColumn("dataset_id", F.col("name")), keep_empty)
+    return out.join(reads, "dataset_id").select("dataset_id", "row_no", "items", "shape", "read")
 
 
 def evaluation_sets(spark: SparkSession, path: str) -> DataFrame:

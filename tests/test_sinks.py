@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from itemforge.operators import claims, export, ledger, mining, profiling, scoring, validation
+from itemforge.operators import claims, export, ledger, mining, profiling, ranking, scoring, validation
 from itemforge.sources import readers, sinks
 from itemforge.streaming import support
 from tests.test_sources import put
@@ -36,9 +36,9 @@ def test_directory_of_all_shapes(spark, tmp_path):
     assert n == {"wide.csv": 2, "single.csv": 2, "bad.csv": 2}  # a file without a byte is no data set
 
 
-@pytest.mark.parametrize("ranges", [4, 1024])
-def test_numbers_without_one_window(spark, tmp_path, ranges, monkeypatch):
-    monkeypatch.setattr(readers, "RANGES", ranges)
+@pytest.mark.parametrize("rows_a_range", [3, 700])
+def test_numbers_without_one_window(spark, tmp_path, rows_a_range, monkeypatch):
+    monkeypatch.setattr(ranking, "RANGE_ROWS", rows_a_range)
     r = random.Random(2)
     rows = [(None if i % 50 == 0 else r.randrange(40), f"{i:05d}", r.random()) for i in range(3000)]
     df = spark.createDataFrame(rows, "k long, s string, v double").repartition(7)
