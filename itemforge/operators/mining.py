@@ -1,11 +1,12 @@
 """Exact frequent itemsets over many data sets in one job.
 
-``baskets``: (dataset_id, row_no, item), canonical and distinct.  Infrequent items are dropped before
-anything is combined; that loses no frequent itemset.  If the frequent items are few enough to be
-sent to every task (``DICTIONARY`` of them, checked), they become numbers in text order, baskets are packed
-in one shuffle, and an itemset of up to three items is one 64-bit number; beyond that items stay texts and
-are pruned by a semi-join.  Then either all combinations of a basket's items are exploded and counted in one
-aggregate, or, where baskets are too wide for that, levels are joined one by one.
+``baskets``: (dataset_id, row_no, item), canonical and distinct.  They are packed, a row of items each, in one
+shuffle, and kept (in memory, else on the executors' disks), so that the source runs once; supports of items, the
+cost and the result all read them.  Infrequent items are dropped before anything is combined; that loses no frequent
+itemset.  If the frequent items are few enough to be sent to every task (``DICTIONARY`` of them, checked),
+they become numbers in text order and an itemset of up to three items is one 64-bit number; beyond that
+items stay texts.  Then either all combinations of a basket's items are exploded and counted in one aggregate, or, where
+baskets are too wide for that, levels are joined one by one.  Evidence is kept as bitmaps (``evidence``).
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from itemforge.config import MiningConfig
 from itemforge.functions.text import item_canon, row_label
+from itemforge.operators import evidence as bitmaps
 
 GROUP = ["dataset_id"]
 #: Frequent (data set, item) pairs, and characters of items, that are sent to every task; bits of an item's number.
@@ -56,10 +58,10 @@ def subsets(items: Column, max_size: int) -> Column:
     return F.filter(grown, lambda z: F.size(z) > 0)
 
 
-def by_explosion(rows: DataFrame, max_size: int, evidence: bool) -> DataFrame:
+def by_explosion(rows: DataFrame, max_size: int) -> DataFrame:
     """One aggregate over every combination of every packed row."""
-    each = rows.select(*GROUP, "row_no", F.explode(subsets(F.col("items"), max_size)).alias("itemset"))
-    return each.groupBy(*GROUP, "itemset").agg(F.count("*").alias("count"), *([F.array_sort(F.collect_list("row_no")).alias("rows")] if evidence else []))
+    each = rows.select(*GROUP, F.explode(subsets(F.col("items"), max_size)).alias("itemset"))
+    return each.groupBy(*GROUP, "itemset").agg(F.count("*").alias("count"))
 
 
 def next_level(level: DataFrame, k: int) -> DataFrame:
@@ -70,14 +72,14 @@ def next_level(level: DataFrame, k: int) -> DataFrame:
     return both.select(*GROUP, "row_no", F.concat("head", F.array("x", "y")).alias("itemset"))
 
 
-def by_levels(rows: DataFrame, min_support: int | DataFrame, max_size: int, evidence: bool) -> DataFrame:
+def by_levels(rows: DataFrame, min_support: int | DataFrame, max_size: int) -> DataFrame:
     """Level by level from packed rows of frequent items; only occurrences of frequent itemsets are joined further."""
     items, out, level = F.col("items"), None, None
     ones = F.transform(items, lambda x: F.array(x))
     twos = F.flatten(F.transform(items, lambda x, i: F.transform(F.slice(items, i + 2, F.size(items)), lambda y: F.array(x, y))))
     for k in range(1, max_size + 1):
         level = rows.select(*GROUP, "row_no", F.explode(ones if k == 1 else twos).alias("itemset")) if k < 3 else next_level(level, k)
-        counted = level.groupBy(*GROUP, "itemset").agg(F.count("*").alias("count"), *([F.array_sort(F.collect_list("row_no")).alias("rows")] if evidence else []))
+        counted = level.groupBy(*GROUP, "itemset").agg(F.count("*").alias("count"))
         kept = _threshold(counted, min_support)
         out = kept if out is None else out.unionByName(kept)
         if 1 < k < max_size:
@@ -96,21 +98,35 @@ def cost(rows: DataFrame, max_size: int) -> tuple[float, int]:
     return float(r.ratio or 0), int(r.widest or 0)
 
 
-def dictionary(baskets: DataFrame, min_support: int | DataFrame) -> tuple[DataFrame, Column] | None:
-    """(dataset_id, item, code) of the frequent items, codes in text order, and their texts as one array; None if they are too many or too long for that."""
-    frequent = _threshold(item_support(baskets), min_support).select(*GROUP, "item").limit(DICTIONARY + 1).collect()
+def packed(baskets: DataFrame) -> DataFrame:
+    """(dataset_id, row_no, items): the items of each row in text order, kept for several readers."""
+    return baskets.groupBy(*GROUP, "row_no").agg(F.array_sort(F.collect_list("item")).alias("items")).persist()
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    return rows.select(*GROUP, "row_no", F.explode("items").alias("item"))
+
+
+def dictionary(rows: DataFrame, min_support: int | DataFrame) -> tuple[DataFrame, Column] | None:
+    """(dataset_id, codes) of the frequent items of packed rows, and their texts as one array: ``codes`` maps an item to its number in
+    text order. None if they are too many or too long to be sent to every task."""
+    frequent = _threshold(item_support(unpacked(rows)), min_support).select(*GROUP, "item").limit(DICTIONARY + 1).collect()
     names = sorted({r["item"] for r in frequent})
     if len(frequent) > DICTIONARY or sum(map(len, names)) > DICTIONARY_CHARS:
         return None
     code = {x: i for i, x in enumerate(names)}
-    rows = [(r.dataset_id, r["item"], code[r["item"]]) for r in frequent]
-    table = baskets.sparkSession.createDataFrame(rows, f"dataset_id {baskets.schema['dataset_id'].dataType.simpleString()}, item string, code bigint")
-    return table, F.from_json(F.lit(json.dumps(names)), "array<string>")  # folded to one literal
+    own: dict = {}
+    for r in frequent:
+        own.setdefault(r.dataset_id, []).append((r["item"], code[r["item"]]))
+    table = rows.sparkSession.createDataFrame(list(own.items()), f"dataset_id {rows.schema['dataset_id'].dataType.simpleString()}, codes array<struct<item: string, code: bigint>>")
+    return table.withColumn("codes", F.map_from_entries("codes")), F.from_json(F.lit(json.dumps(names)), "array<string>")  # folded to one literal
 
 
-def packed(baskets: DataFrame, codes: DataFrame) -> DataFrame:
-    """(dataset_id, row_no, items): the codes of a row's frequent items, ascending; rows without any go."""
-    return baskets.join(F.broadcast(codes), [*GROUP, "item"]).groupBy(*GROUP, "row_no").agg(F.array_sort(F.collect_list("code")).alias("items"))
+def coded(rows: DataFrame, codes: DataFrame) -> DataFrame:
+    """Packed rows with the numbers of their frequent items, ascending; rows without any go."""
+    numbers = F.filter(F.transform("items", lambda x: F.try_element_at("codes", x)), lambda c: c.isNotNull())
+    out = rows.join(F.broadcast(codes), "dataset_id").select(*GROUP, "row_no", numbers.alias("items"))
+    return out.where(F.size("items") > 0)
 
 
 def combined(items: Column, max_size: int) -> Column:
@@ -130,10 +146,10 @@ def combined(items: Column, max_size: int) -> Column:
     return F.concat(*parts)
 
 
-def by_codes(rows: DataFrame, min_support: int | DataFrame, max_size: int, evidence: bool) -> DataFrame:
+def by_codes(rows: DataFrame, min_support: int | DataFrame, max_size: int) -> DataFrame:
     """One aggregate over every combination of packed rows; an itemset is one number until it is found frequent."""
-    each = rows.select(*GROUP, "row_no", F.explode(combined(F.col("items"), max_size)).alias("key"))
-    counted = _threshold(each.groupBy(*GROUP, "key").agg(F.count("*").alias("count"), *([F.array_sort(F.collect_list("row_no")).alias("rows")] if evidence else [])), min_support)
+    each = rows.select(*GROUP, F.explode(combined(F.col("items"), max_size)).alias("key"))
+    counted = _threshold(each.groupBy(*GROUP, "key").agg(F.count("*").alias("count")), min_support)
     parts = [F.shiftright("key", BITS * k).bitwiseAND((1 << BITS) - 1) - 1 for k in (2, 1, 0)]
     return counted.withColumn("itemset", F.filter(F.array(*parts), lambda c: c >= 0)).drop("key")
 
@@ -142,39 +158,55 @@ def frequent_itemsets(baskets: DataFrame, config: MiningConfig = MiningConfig(),
     """(dataset_id, size, itemset, count[, rows]).
 
     ``strategy``: explode, levels, or auto (by the cost of exploding). ``thresholds`` (dataset_id,
-    min_support) replaces the one threshold of ``config``.
+    min_support) replaces the one threshold of ``config``. ``evidence`` adds all row numbers of an itemset as one array, which is
+    for reports on data sets that fit a cell; ``frequent_cells`` has them in bitmaps of bounded size.
     """
+    rows = packed(baskets)
+    out = _mined(rows, config, strategy, thresholds)
+    if not evidence:
+        return out
+    found = bitmaps.listed(bitmaps.cells(unpacked(rows), out.persist()))
+    return found.select(*GROUP, F.size("itemset").alias("size"), "itemset", "count", "rows")
+
+
+def frequent_cells(baskets: DataFrame, config: MiningConfig = MiningConfig(), strategy: str = "auto", thresholds: DataFrame | None = None) -> DataFrame:
+    """(dataset_id, itemset, bucket, bitmap, n): the rows of each frequent itemset, as cells of ``evidence``."""
+    rows = packed(baskets)
+    return bitmaps.cells(unpacked(rows), _mined(rows, config, strategy, thresholds))
+
+
+def _mined(rows: DataFrame, config: MiningConfig, strategy: str, thresholds: DataFrame | None) -> DataFrame:
     ms = thresholds if thresholds is not None else config.min_support
-    known = dictionary(baskets, ms)
+    known = dictionary(rows, ms)
     if known is None:
-        rows = pruned(baskets, ms).groupBy(*GROUP, "row_no").agg(F.array_sort(F.collect_list("item")).alias("items"))
+        rows = pruned(unpacked(rows), ms).groupBy(*GROUP, "row_no").agg(F.array_sort(F.collect_list("item")).alias("items"))
     else:
-        rows = packed(baskets, known[0])
+        rows = coded(rows, known[0])
     if strategy == "auto":
         ratio, widest = cost(rows, config.max_size)
         strategy = "levels" if ratio > config.explode_ratio or widest > config.explode_items else "explode"
     if strategy == "levels":
-        out = by_levels(rows, ms, config.max_size, evidence)
+        out = by_levels(rows, ms, config.max_size)
     elif known is not None and config.max_size <= 3:
-        out = by_codes(rows, ms, config.max_size, evidence)
+        out = by_codes(rows, ms, config.max_size)
     else:
-        out = _threshold(by_explosion(rows, config.max_size, evidence), ms)
+        out = _threshold(by_explosion(rows, config.max_size), ms)
     if known is not None:
         out = out.withColumn("itemset", F.transform("itemset", lambda c: F.get(known[1], c.cast("int"))))
-    return out.select(*GROUP, F.size("itemset").alias("size"), "itemset", "count", *(["rows"] if evidence else []))
+    return out.select(*GROUP, F.size("itemset").alias("size"), "itemset", "count")
 
 
 def brute_force(baskets: DataFrame, min_support: int, max_size: int) -> DataFrame:
     """The same itemsets without any pruning; a reference for tests."""
     rows = baskets.groupBy(*GROUP, "row_no").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    return _threshold(by_explosion(rows, max_size, False), min_support).select(*GROUP, F.size("itemset").alias("size"), "itemset", "count")
+    return _threshold(by_explosion(rows, max_size), min_support).select(*GROUP, F.size("itemset").alias("size"), "itemset", "count")
 
 
 def by_fpgrowth(baskets: DataFrame, min_support: int, max_size: int) -> DataFrame:
     """Support only, for one data set, by Spark ML's FPGrowth."""
     from pyspark.ml.fpm import FPGrowth
 
-    rows = baskets.groupBy("dataset_id", "row_no").agg(F.collect_set("item").alias("items"))
+    rows = baskets.groupBy("dataset_id", "row_no").agg(F.collect_set("item").alias("items")).persist()
     n = rows.count()
     found = FPGrowth(itemsCol="items", minSupport=max(0.0, (min_support - 0.5) / max(1, n))).fit(rows).freqItemsets
     return found.where(F.size("items") <= max_size).select(F.size("items").alias("size"), F.array_sort("items").alias("itemset"), F.col("freq").alias("count"))
@@ -196,11 +228,22 @@ def closed(wanted: DataFrame, level: DataFrame) -> DataFrame:
 
 
 def containment(wanted: DataFrame, baskets: DataFrame, evidence: bool = False) -> DataFrame:
-    """Count of each wanted itemset by equi-joins on its items: a row holds it when all its items are there."""
-    items = wanted.select(*GROUP, "itemset", F.explode("itemset").alias("item")).distinct()
-    hit = items.join(baskets, [*GROUP, "item"]).groupBy(*GROUP, "itemset", "row_no").agg(F.count("*").alias("n"))
-    rows = hit.where(F.col("n") == F.size(F.array_distinct("itemset")))
-    return rows.groupBy(*GROUP, "itemset").agg(F.count("*").alias("count"), *([F.array_sort(F.collect_list("row_no")).alias("rows")] if evidence else []))
+    """(dataset_id, itemset, count[, rows]) of the wanted itemsets that some row holds.
+
+    Each wanted itemset stands under its rarest item: a row meets only those whose rarest item it holds, once each, and all
+    items are compared there in the packed row. So an itemset costs as many rows as its rarest item has, not
+    as many as all of its items have together.
+    """
+    want = wanted.select(*GROUP, "itemset", F.array_distinct("itemset").alias("all")).distinct()
+    each = want.select(*GROUP, "itemset", F.explode("all").alias("item"))
+    useful = baskets.join(each.select(*GROUP, "item").distinct(), [*GROUP, "item"], "left_semi")
+    rows = packed(useful)
+    rare = each.join(item_support(unpacked(rows)), [*GROUP, "item"], "left").groupBy(*GROUP, "itemset").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "item")).alias("key"))
+    index = want.join(rare.where("key.n > 0"), [*GROUP, "itemset"]).select(*GROUP, "itemset", "all", F.col("key.item").alias("item"))
+    held = rows.select(*GROUP, "row_no", "items", F.explode("items").alias("item"))
+    hit = held.join(index, [*GROUP, "item"]).where(F.size(F.array_except("all", "items")) == 0)
+    counted = hit.groupBy(*GROUP, "itemset").agg(F.count("*").alias("count"))
+    return bitmaps.listed(bitmaps.cells(unpacked(rows), counted)) if evidence else counted
 
 
 def with_support(itemsets: DataFrame, transactions: DataFrame) -> DataFrame:

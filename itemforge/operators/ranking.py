@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from itemforge.sources.tables import written
+
 #: Rows of a range, about, and keys drawn for each range to find its limits.
 RANGE_ROWS, DRAWN = 1 << 20, 16
 #: Steps of the search among the limits: so many halvings find one of 2**24.
@@ -31,9 +33,10 @@ def place_in_order(df: DataFrame, order: list[Column], group: list[str], name: s
     """Adds ``name``: places from 1 in the order of some columns, in each group (over all rows without any).
 
     Equal keys stand in the order of a hash of the whole row, so that many of them span ranges too; rows that are
-    equal in everything take neighbouring places. Nulls come first. The plan evaluates ``df`` four times: to
-    count, to draw limits, to count ranges, and for the result; write it first where it is dear.
+    equal in everything take neighbouring places. Nulls come first. ``df`` is written once to the shared folder, as it is
+    read to count, to draw limits, to count ranges, and for the result, and rankings of rankings would grow fourfold each.
     """
+    df = written(df, "ranked")
     plain = [F.col(f"`{f.name}`") for f in df.schema if f.dataType.typeName() not in ("map", "variant")]
     key = F.struct(*[F.col(f"`{g}`").alias(f"g{i}") for i, g in enumerate(group)], *[c.alias(f"o{i}") for i, c in enumerate(order)], F.xxhash64(*plain).alias("tie"))
     keyed = df.withColumn("_key", key)
