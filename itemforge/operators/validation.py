@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from itemforge.operators.ranking import first_in_order
 from itemforge.functions.text import itemset_canon, row_index, row_label, safe_ratio
 from itemforge.operators.claims import as_text, field, is_integer, is_number, listed, number
 
@@ -109,6 +110,7 @@ def verdict(reported: DataFrame) -> DataFrame:
 
 
 def first_errors(found: DataFrame, n: int = 3) -> DataFrame:
-    """(dataset_id, source, errors): the first few errors, for a log."""
-    one = F.struct("claim_idx", "type", "row_label", "detail")
-    return found.groupBy("dataset_id", "source").agg(F.slice(F.array_sort(F.collect_list(one)), 1, n).alias("errors"))
+    """(dataset_id, source, errors): the first few errors, for a log; no more than these are ever gathered."""
+    names = ["claim_idx", "type", "row_label", "detail"]
+    few = first_in_order(found.select("dataset_id", "source", *names), [F.col(c) for c in names], ["dataset_id", "source"], n)
+    return few.groupBy("dataset_id", "source").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("errors"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from itemforge.config import MiningConfig
 from itemforge.functions.text import item_canon, itemset_key, prefix_signature, short_hash
 from itemforge.operators import mining
-from itemforge.sources import readers
+from itemforge.sources import readers, tables
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -197,8 +197,43 @@ def set_ops(s, d):
     return readers.union_all(out)
 
 
+def evidence_cells(s, d):
+    """Rows of itemsets of up to two brands, as bitmaps, by bucket of row numbers."""
+    out = mining.frequent_cells(brands(s, d), MiningConfig(max_size=2))
+    return out.select(itemset_key(F.col("itemset")).alias("itemset"), "bucket", "n")
+
+
+def containment_many(s, d):
+    """How many orders of its customer hold the first three brands of every fifth order."""
+    b = brands(s, d, "o_custkey")
+    wanted = b.where("row_no % 5 = 0").groupBy("dataset_id", "row_no").agg(F.slice(F.array_sort(F.collect_set("item")), 1, 3).alias("itemset"))
+    out = mining.containment(wanted.select("dataset_id", "itemset"), b)
+    return out.select("dataset_id", itemset_key(F.col("itemset")).alias("itemset"), "count")
+
+
+def _csv(s, lines, header: str) -> str:
+    """A folder of CSV parts with lines as they are, in the order of ``at``; each part has the header."""
+    path = tables.new_path(s, "csv")
+    plain = {"header": True, "sep": "\u0001", "quote": "\u0000", "escapeQuotes": False, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    lines.orderBy("at").select(F.col("line").alias(header)).write.options(**plain).csv(path)
+    return path
+
+
+def csv_tables(s, d):
+    """Tables written as CSV of three shapes and read again: ragged wide lines of orders, long ones of events, single cells of parts."""
+    o, k = table(s, d, "orders"), F.col("o_orderkey") % 6
+    cells = [F.col("o_orderkey").cast("string"), F.concat(F.lit('"'), "o_orderpriority", F.lit(',""x"""')), F.when(k == 5, "NA").otherwise(F.col("o_orderstatus"))]
+    line = F.when(k == 1, F.concat_ws(",", *cells[:2])).when(k == 2, F.concat_ws(",", *cells, F.lit("more"))).when(k == 3, F.lit(",,")).otherwise(F.concat_ws(",", *cells))
+    wide = _csv(s, o.select(F.col("o_orderkey").alias("at"), line.alias("line")), "key,priority,status")
+    e = table(s, d, "events")
+    long = _csv(s, e.select(F.struct("user_id", "event_id").alias("at"), F.concat_ws(";", F.col("event_id").cast("string"), F.concat(F.lit(" "), "event_type"), F.col("user_id").cast("string")).alias("line")), "n;Item;TID")
+    single = _csv(s, table(s, d, "part").select(F.col("p_partkey").alias("at"), F.when(F.col("p_partkey") % 4 == 0, " ").otherwise(F.col("p_name")).alias("line")), "basket")
+    out = [readers.read_transactions(s, path, name) for name, path in (("wide", wide), ("long", long), ("single", single))]
+    return readers.union_all([t.select("dataset_id", F.lit(how["shape"]).alias("shape"), F.lit(how["read"]).alias("read"), F.col("row_no").cast("long").alias("row_no"), F.array_join("items", "|").alias("items")) for t, how in out])
+
+
 QUERIES = {f.__name__: f for f in (
-    item_support, pair_support, triple_support, frequent_itemsets_upto3, frequent_itemsets_auto, frequent_itemsets_upto4, itemsets_by_dataset, itemsets_with_thresholds, itemsets_brute_force,
+    evidence_cells, containment_many, csv_tables, item_support, pair_support, triple_support, frequent_itemsets_upto3, frequent_itemsets_auto, frequent_itemsets_upto4, itemsets_by_dataset, itemsets_with_thresholds, itemsets_brute_force,
     fpgrowth_itemsets, itemset_evidence, rendered_rows, support_fraction, candidate_pairs, closure_check, containment_count, association_rules, wide_items, colval_items, long_transactions,
     single_column_items, row_text_parse, profile_columns, vocabulary_items, unique_item_counts, fingerprint, json_props, chunk_assignment, text_signature, set_ops,
 )}
@@ -208,6 +243,14 @@ _UPTO3 = f"SELECT size, itemset, count FROM ({itemset_sql(ALL)})"
 _PAIRS = f"WITH i AS ({itemset_sql(ALL, size=2)}) "
 
 SQL = {
+    "evidence_cells": f"""WITH b AS ({BRANDS}), e AS (SELECT item AS itemset, row_no FROM b UNION ALL SELECT x.item || '|' || y.item, x.row_no FROM b x JOIN b y ON x.row_no = y.row_no AND x.item < y.item),
+        f AS (SELECT itemset FROM e GROUP BY itemset HAVING count(*) >= 3) SELECT itemset, CASE WHEN row_no > 0 THEN 1 + (row_no - 1) // 32768 ELSE 0 END AS bucket, count(*) AS n FROM e JOIN f USING (itemset) GROUP BY ALL""",
+    "containment_many": f"""WITH b AS (SELECT o_custkey AS dataset_id, row_no, item FROM ({BRANDS}) JOIN orders ON o_orderkey = row_no), l AS (SELECT dataset_id, row_no, list(item ORDER BY item) AS i FROM b GROUP BY ALL),
+        w AS (SELECT DISTINCT dataset_id, i[1:3] AS w FROM l WHERE row_no % 5 = 0) SELECT dataset_id, array_to_string(w, '|') AS itemset, count(*) AS count FROM w JOIN l USING (dataset_id) WHERE list_has_all(i, w) GROUP BY ALL""",
+    "csv_tables": """WITH o AS (SELECT *, o_orderkey % 6 AS k FROM orders WHERE o_orderkey % 6 NOT IN (2, 3)), p AS (SELECT *, row_number() OVER (ORDER BY p_partkey) AS r FROM part WHERE p_partkey % 4 <> 0)
+        SELECT 'wide' AS dataset_id, 'wide' AS shape, 'skip' AS read, row_number() OVER (ORDER BY o_orderkey) AS row_no, o_orderkey || '|' || o_orderpriority || ',"x"' || CASE WHEN k IN (1, 5) THEN '' ELSE '|' || o_orderstatus END AS items FROM o
+        UNION ALL SELECT 'long', 'long', 'strict', row_number() OVER (ORDER BY user_id), string_agg(event_type, '|' ORDER BY event_id) FROM events GROUP BY user_id
+        UNION ALL SELECT 'single', 'single', 'strict', r, replace(p_name, ' ', '|') FROM p""",
     "item_support": f"SELECT item, count(*) AS count FROM ({BRANDS}) GROUP BY item HAVING count(*) >= 3",
     "pair_support": f"SELECT itemset, count FROM ({itemset_sql(ALL, size=2)}) WHERE size = 2",
     "triple_support": f"SELECT itemset, count FROM ({itemset_sql(ALL)}) WHERE size = 3",

@@ -8,8 +8,8 @@ from itemforge.config import MiningConfig
 from itemforge.functions import budgets
 from itemforge.functions.text import after_think, close_trace, dimensions, file_of_dataset, is_family, is_looping, itemset_key, ordinal_label, row_label, think_text, token_estimate
 from itemforge.operators import export, generate, ledger, mining, profiling
-from itemforge.plans.mining_queries import BRANDS, GROUPED, brands, table
-from itemforge.sources import readers
+from itemforge.plans.mining_queries import BRANDS, brands, table
+from itemforge.sources import readers, tables
 
 
 def _runs(s, d):
@@ -226,6 +226,23 @@ def _orders(s, d):
     return o.select(F.col("o_orderpriority").alias("dataset_id"), F.col("o_orderkey").alias("row_no"), F.array(F.concat(F.lit("status:"), "o_orderstatus"), F.concat(F.lit("cust:"), "o_custkey"), F.lit("kind:order")).alias("items"))
 
 
+def _customers(s, d):
+    """The orders of a customer as a data set: many small ones."""
+    o = table(s, d, "orders")
+    items = F.array(F.concat(F.lit("status:"), "o_orderstatus"), F.concat(F.lit("priority:"), "o_orderpriority"), F.lit("kind:order"))
+    return o.select(F.col("o_custkey").cast("string").alias("dataset_id"), F.col("o_orderkey").alias("row_no"), items.alias("items"))
+
+
+def ledger_table(s, d):
+    """Runs appended to a ledger in two schemas, and read by model and time."""
+    runs = _runs(s, d).select(F.col("id").cast("string").alias("id"), "timestamp", "llm_model", "dataset_id", "llm_itemset_count", "apriori_itemset_count", "validation_passed", "error_message")
+    path = tables.new_path(s, "ledger")
+    ledger.append_runs(runs.where("id % 2 = 0").drop("error_message"), path)
+    ledger.append_runs(runs.where("id % 2 <> 0").withColumn("note", F.concat(F.lit("run "), "id")), path)
+    out = ledger.read_runs(s, path).transform(ledger.run_filter(model="click", since="2024-01-02", until="2024-01-05"))
+    return out.select("id", "llm_itemset_count", "validation_passed", "error_message", "note")
+
+
 def row_subsample(s, d):
     out = generate.row_subsample(_orders(s, d), 25)
     return out.select("dataset_id", F.col("row_no").cast("long").alias("row_no"), F.get("items", 1).alias("item"))
@@ -259,8 +276,7 @@ def wide_rows(s, d):
 
 
 def csv_hash(s, d):
-    o = _orders(s, d).withColumn("items", F.slice("items", 1, 2))
-    return generate.csv_text(o).select("dataset_id", F.sha2("csv", 256).alias("sha"), "hash")
+    return generate.csv_text(_customers(s, d)).select("dataset_id", F.sha2("csv", 256).alias("sha"), "hash")
 
 
 def generation_statistics(s, d):
@@ -292,11 +308,13 @@ def generation_log(s, d):
 
 
 def topped_up(s, d):
-    return generate.topped_up(_orders(s, d), 12).groupBy("dataset_id").agg(F.count("*").alias("rows"))
+    out = generate.topped_up(_customers(s, d), 12)
+    return out.select("dataset_id", F.col("row_no").cast("long").alias("row_no"), F.array_join("items", "|").alias("items"))
 
 
 def generated_frequency(s, d):
-    sets = s.createDataFrame([("a", 30), ("b", 12)], "dataset_id string, n_rows int")
+    """Baskets drawn for each nation, a row for each of its customers."""
+    sets = table(s, d, "customer").groupBy(F.col("c_nationkey").cast("string").alias("dataset_id")).agg(F.count("*").cast("int").alias("n_rows"))
     b = mining.to_baskets(generate.weighted_baskets(sets, [f"item{i}" for i in range(10)], 5))
     return mining.item_support(b).where("count >= 3").select("dataset_id", "item", "count")
 
@@ -306,19 +324,19 @@ def seeded_sample(s, d):
 
 
 def dataset_text(s, d):
-    out = export.dataset_text(_orders(s, d).withColumn("items", F.slice("items", 1, 2)))
+    out = export.dataset_text(_customers(s, d))
     return out.select("dataset_id", "n_rows", F.sha2("text", 256).alias("sha"))
 
 
 def ground_truth_json(s, d):
-    b = brands(s, d, "o_orderpriority")
+    b = brands(s, d, "o_custkey")
     out = export.truth_json(mining.frequent_itemsets(b, MiningConfig(max_size=1), evidence=True, strategy="explode"))
     return out.select("dataset_id", "n_itemsets", F.regexp_replace("ground_truth", " ", "").alias("truth"))
 
 
 def _records(s, d):
-    t = _orders(s, d).withColumn("items", F.slice("items", 1, 1))
-    shapes = t.groupBy("dataset_id").agg(F.count("*").cast("int").alias("n_rows"), F.lit(1).alias("n_cols"), F.lit(3).alias("min_support"))
+    t = _customers(s, d)
+    shapes = t.groupBy("dataset_id").agg(F.count("*").cast("int").alias("n_rows"), F.lit(3).alias("n_cols"), F.lit(3).alias("min_support"))
     mined = mining.frequent_itemsets(mining.to_baskets(t), evidence=True, strategy="explode")
     return t, shapes, mined
 
@@ -344,7 +362,7 @@ def row_labels(s, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    ledger_stats, ledger_filter_day, ledger_filter_range, ledger_derived, latest_per_group, failed_runs, capped_rejects, batch_outcome, readiness, holdout_exclusion, training_exclusion, failed_with_truth,
+    ledger_table, ledger_stats, ledger_filter_day, ledger_filter_range, ledger_derived, latest_per_group, failed_runs, capped_rejects, batch_outcome, readiness, holdout_exclusion, training_exclusion, failed_with_truth,
     model_families, message_records, token_budget, over_limit, preference_pairs, skipped_pairs, pair_statistics, rejected_models, phase_budgets, single_budgets, gate_budgets, think_split, trace_repair, loop_detection, name_dimensions,
     diversity_report, top_prefixes, size_bins, bin_means, explicit_bins, rolling_match, rolling_match_odd, largest_datasets, rank_aggregation, row_subsample, col_subsample, shuffled_rows, noise_rows,
     variation_mix, holdout_split, wide_rows, csv_hash, generation_statistics, variation_counts, source_counts, dataset_names, generation_log, topped_up, generated_frequency, seeded_sample, dataset_text, ground_truth_json, reasoning_text, sft_records,
@@ -367,6 +385,7 @@ def _choice(u: str, options) -> str:
 
 _LOG = "SELECT o_custkey AS k, count(*) AS r, max(o_orderkey % 5) + 1 AS c, count(DISTINCT o_orderpriority) AS u FROM orders GROUP BY o_custkey"
 _ORDERS = "SELECT o_orderpriority AS dataset_id, o_orderkey AS row_no, 'status:' || o_orderstatus AS a, 'cust:' || o_custkey AS b FROM orders"
+_CUSTOMERS = "SELECT CAST(o_custkey AS VARCHAR) AS dataset_id, o_orderkey AS row_no, 'status:' || o_orderstatus AS a, 'priority:' || o_orderpriority AS b FROM orders"
 _PROMPT_CHARS = len(export.SYSTEM_PROMPT) + len("Find all frequent itemsets with minimum support count = 3 in this dataset:") + 2
 _PAIRS = f"WITH p AS (SELECT q.conv_id, q.text, f.text AS chosen FROM conversations q JOIN conversations f ON f.conv_id = q.conv_id AND f.turn = 1 AND f.role = 'assistant' WHERE q.turn = 0 AND q.role = 'user'), j AS (SELECT o.conv_id, CAST(o.turn AS VARCHAR) AS model, o.text AS rejected, chosen, CASE WHEN chosen IS NULL THEN 'missing' WHEN ({_PROMPT_CHARS} + length(p.text)) // 4 + greatest(length(chosen) // 4, length(o.text) // 4) > 600 THEN 'tokens' END AS skip FROM conversations o LEFT JOIN p ON p.conv_id = o.conv_id WHERE o.role = 'assistant' AND o.turn <> 1), k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, skip IS NULL ORDER BY model) AS r FROM j) "
 _EST = "WITH e AS (SELECT p_partkey, CAST(CASE WHEN p_partkey % 3 = 0 OR p_partkey % 90 = 0 THEN p_size * 3 ELSE p_partkey % 90 END AS BIGINT) AS s FROM part), f AS (SELECT *, least(s * (s - 1) // 4, 50) AS p FROM e), g AS (SELECT *, least(p // 3, 20) AS t FROM f) "
@@ -397,7 +416,7 @@ SQL = {
     "skipped_pairs": _PAIRS + "SELECT count(*) FILTER (skip IS NULL AND r <= 2) AS pairs, count(*) FILTER (skip = 'missing') AS skipped_missing, count(*) FILTER (skip = 'tokens') AS skipped_tokens, count(*) FILTER (skip IS NULL AND r > 2) AS skipped_limit FROM k",
     "pair_statistics": _PAIRS + ", a AS (SELECT * FROM k WHERE skip IS NULL AND r <= 2), n AS (SELECT count(*) AS n FROM a WHERE trim(rejected) <> '' GROUP BY lower(trim(regexp_replace(rejected, '\\s+', ' ', 'g')))) SELECT count(*) AS pairs, count(DISTINCT conv_id) AS unique_datasets, round(count(*) / greatest(count(DISTINCT conv_id), 1), 2) AS avg_pairs_per_dataset, count(*) FILTER (trim(chosen) <> '') AS chosen_total_texts, max(length(chosen)) AS chosen_max_chars, min(length(rejected)) AS rejected_min_chars, (SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM n) AS rejected_duplicate_full_text_count FROM a",
     "rejected_models": _PAIRS + ", a AS (SELECT * FROM k WHERE skip IS NULL AND r <= 2) SELECT model AS rejected_model, count(*) AS pairs, count(*) / (SELECT count(*) FROM a) AS share FROM a GROUP BY model",
-    "generated_frequency": f"""WITH s(dataset_id, n) AS (VALUES ('a', 30), ('b', 12)), r AS (SELECT dataset_id, unnest(range(1, n + 1)) AS row_no FROM s), e AS (SELECT *, unnest(range(0, 5)) AS i FROM r),
+    "generated_frequency": f"""WITH s AS (SELECT CAST(c_nationkey AS VARCHAR) AS dataset_id, count(*) AS n FROM customer GROUP BY c_nationkey), r AS (SELECT dataset_id, unnest(range(1, n + 1)) AS row_no FROM s), e AS (SELECT *, unnest(range(0, 5)) AS i FROM r),
         d AS (SELECT dataset_id, row_no, CASE WHEN {_u('dataset_id', 'row_no', 'i', chr(39) + 'r' + chr(39))} < 0.7 THEN [0, 0, 0, 1, 1, 1, 2, 2, 2, 3, 3, 3, 4, 5, 6, 7, 8, 9][floor({_u('dataset_id', 'row_no', 'i', chr(39) + 'a' + chr(39))} * 18)::INT + 1] ELSE floor({_u('dataset_id', 'row_no', 'i', chr(39) + 'b' + chr(39))} * 10)::INT END AS k FROM e)
         SELECT dataset_id, 'item' || k AS item, count(DISTINCT row_no) AS count FROM d GROUP BY ALL HAVING count(DISTINCT row_no) >= 3""",
     "phase_budgets": _EST + "SELECT p_partkey, greatest(300, least(floor((s * 20 + p * 25 + t * 30 + 100) * 1.5)::BIGINT, 3000)) AS think_tokens, greatest(300, least(floor((s + p + t) * 60 * 1.5)::BIGINT, 3000)) AS json_tokens, greatest(512, least(floor((s * 20 + p * 25 + t * 30 + 100) * 1.5)::BIGINT + floor((s + p + t) * 60 * 1.5)::BIGINT, 6000)) AS total_tokens, s + p + t AS estimated_itemsets FROM g",
@@ -424,16 +443,19 @@ SQL = {
     "variation_mix": f"SELECT o_orderkey, {_choice(_u('o_orderkey', chr(39) + 'v' + chr(39)), generate.VARIATIONS)} AS variation, {_choice(_u('o_orderkey', chr(39) + 's' + chr(39)), generate.SIZES)} AS size_class FROM orders",
     "holdout_split": f"SELECT o_orderkey, CASE WHEN {_u('o_orderkey')} < 0.1 THEN 'validation' ELSE 'train' END AS split FROM orders",
     "wide_rows": f"WITH b AS ({BRANDS}), l AS (SELECT row_no, list(item ORDER BY item) AS i FROM b GROUP BY row_no) SELECT row_no, i[1] AS item_1, coalesce(i[2], '') AS item_2, coalesce(i[3], '') AS item_3, coalesce(i[4], '') AS item_4 FROM l",
-    "csv_hash": f"WITH o AS ({_ORDERS}), c AS (SELECT dataset_id, 'item_1,item_2' || chr(10) || string_agg(a || ',' || b, chr(10) ORDER BY row_no) AS csv FROM o GROUP BY dataset_id) SELECT dataset_id, sha256(csv) AS sha, left(sha256(csv), 8) AS hash FROM c",
+    "csv_hash": f"WITH o AS ({_CUSTOMERS}), c AS (SELECT dataset_id, 'item_1,item_2,item_3' || chr(10) || string_agg(a || ',' || b || ',kind:order', chr(10) ORDER BY row_no) AS csv FROM o GROUP BY dataset_id) SELECT dataset_id, sha256(csv) AS sha, left(sha256(csv), 8) AS hash FROM c",
     "generation_statistics": f"WITH l AS ({_LOG}) SELECT count(*) AS datasets, min(r) AS min_rows, max(r) AS max_rows, avg(r) AS mean_rows, median(r) AS median_rows, min(c) AS min_cols, max(c) AS max_cols, avg(c) AS mean_cols, median(c) AS median_cols, min(u) AS min_items, max(u) AS max_items, avg(u) AS mean_items, median(u) AS median_items, count(*) FILTER (r <= 10) AS small, count(*) FILTER (r > 10 AND r <= 18) AS medium, count(*) FILTER (r > 18) AS large FROM l",
     "variation_counts": f"WITH v AS (SELECT {_choice(_u('o_orderkey', chr(39) + 'v' + chr(39)), generate.VARIATIONS)} AS variation FROM orders) SELECT variation, count(*) AS datasets, count(*) / (SELECT count(*) FROM v) AS share FROM v GROUP BY variation",
     "source_counts": "SELECT o_orderstatus, count(*) AS datasets, count(*) / (SELECT count(*) FROM orders) AS share FROM orders GROUP BY o_orderstatus",
     "dataset_names": f"WITH l AS (SELECT *, row_number() OVER (ORDER BY k) + 7 AS i FROM ({_LOG})) SELECT k AS o_custkey, i AS dataset_idx, 'ds_' || CASE WHEN i < 10000 THEN lpad(CAST(i AS VARCHAR), 4, '0') ELSE CAST(i AS VARCHAR) END || '_' || r || 'x' || c || '_' || left(sha256(CAST(k AS VARCHAR)), 8) || '.csv' AS filename FROM l",
     "generation_log": f"WITH o AS ({_ORDERS}) SELECT dataset_id, count(*) AS num_transactions, CAST(3 AS INT) AS actual_cols, 3 * count(*) AS total_items, count(DISTINCT a) + count(DISTINCT b) + 1 AS unique_items FROM o GROUP BY dataset_id",
-    "topped_up": f"WITH o AS ({_ORDERS}) SELECT dataset_id, greatest(12, count(*)) AS rows FROM o GROUP BY dataset_id",
-    "dataset_text": f"WITH o AS ({_ORDERS}) SELECT dataset_id, count(*) AS n_rows, sha256(string_agg('Row ' || row_no || ': ' || a || ', ' || b, chr(10) ORDER BY row_no)) AS sha FROM o GROUP BY dataset_id",
-    "ground_truth_json": f"""WITH t AS (SELECT dataset_id, item, count(*) AS n, string_agg('"Row' || row_no || '"', ',' ORDER BY 'Row ' || row_no) AS r FROM ({GROUPED}) GROUP BY ALL HAVING count(*) >= 3)
+    "topped_up": f"""WITH o AS (SELECT dataset_id, row_no, a || '|' || b || '|kind:order' AS items, row_number() OVER (PARTITION BY dataset_id ORDER BY row_no) AS r, count(*) OVER (PARTITION BY dataset_id) AS n FROM ({_CUSTOMERS})),
+        k AS (SELECT dataset_id, n, unnest(range(1, 13 - n)) AS k FROM (SELECT DISTINCT dataset_id, n FROM o WHERE n < 12)), p AS (SELECT *, 1 + floor({_u('dataset_id', 'k')} * n)::BIGINT AS r FROM k)
+        SELECT dataset_id, CAST(row_no AS BIGINT) AS row_no, items FROM o UNION ALL SELECT p.dataset_id, p.n + p.k, items FROM p JOIN o ON o.dataset_id = p.dataset_id AND o.r = p.r""",
+    "dataset_text": f"WITH o AS ({_CUSTOMERS}) SELECT dataset_id, count(*) AS n_rows, sha256(string_agg('Row ' || row_no || ': ' || a || ', ' || b || ', kind:order', chr(10) ORDER BY row_no)) AS sha FROM o GROUP BY dataset_id",
+    "ground_truth_json": f"""WITH t AS (SELECT o_custkey AS dataset_id, item, count(*) AS n, string_agg('"Row' || row_no || '"', ',' ORDER BY 'Row ' || row_no) AS r FROM ({BRANDS}) JOIN orders ON o_orderkey = row_no GROUP BY ALL HAVING count(*) >= 3)
         SELECT dataset_id, count(*) AS n_itemsets, '[' || string_agg('{{"itemset":["' || item || '"],"count":' || n || ',"rows":[' || r || ']}}', ',' ORDER BY item) || ']' AS truth FROM t GROUP BY dataset_id""",
+    "ledger_table": _RUNS + "SELECT CAST(id AS VARCHAR) AS id, llm_itemset_count, validation_passed, CASE WHEN id % 2 <> 0 THEN error_message END AS error_message, CASE WHEN id % 2 <> 0 THEN 'run ' || id END AS note FROM runs WHERE llm_model = 'click' AND timestamp >= TIMESTAMP '2024-01-02' AND timestamp <= TIMESTAMP '2024-01-05'",
     "ordered_itemsets": f"WITH b AS ({BRANDS}), i AS (SELECT CAST(1 AS BIGINT) AS size, item AS itemset, count(*) AS count FROM b GROUP BY item HAVING count(*) >= 3 UNION ALL SELECT 2, x.item || '|' || y.item, count(*) FROM b x JOIN b y ON x.row_no = y.row_no AND x.item < y.item GROUP BY ALL HAVING count(*) >= 3) SELECT * FROM i ORDER BY size, count DESC, replace(itemset, '|', ',')",
     "seeded_sample": "SELECT o_orderkey FROM orders ORDER BY sha256(o_orderkey || ':42'), o_orderkey LIMIT 30",
     "row_labels": "SELECT o_orderkey, 'Row ' || (o_orderkey + 1) AS label FROM orders",

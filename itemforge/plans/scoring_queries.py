@@ -147,8 +147,36 @@ def format_gate(s, d):
     return scoring.format_gate(c.select(text.alias("generated")))
 
 
+def _faulty(s, d):
+    """Claims that miss every fifth itemset by count, count every seventh wrong, and add items that no row holds."""
+    t = _truth(s, d).select("dataset_id", "itemset", "count").where("count % 5 <> 0")
+    wrong = t.withColumn("count", F.when(F.col("count") % 7 == 0, F.col("count") + 2).otherwise(F.col("count")))
+    unknown = t.where("count % 3 = 0 AND size(itemset) = 1").withColumn("itemset", F.concat("itemset", F.array(F.lit("unicorn"))))
+    out = wrong.unionByName(unknown)
+    return out.withColumn("size", F.size("itemset"))
+
+
+_F = f"""SELECT dataset_id, size, itemset, CASE WHEN count % 7 = 0 THEN count + 2 ELSE count END AS count FROM ({_T}) WHERE count % 5 <> 0
+    UNION ALL SELECT dataset_id, CAST(2 AS BIGINT), itemset || '|unicorn', count FROM ({_T}) WHERE count % 5 <> 0 AND count % 3 = 0 AND size = 1"""
+_FM = f"WITH t AS ({_T}), c AS ({_F}), m AS (SELECT coalesce(t.dataset_id, c.dataset_id) AS dataset_id, t.itemset IS NOT NULL AS a, c.itemset IS NOT NULL AS b, t.count AS n, c.count AS k FROM t FULL JOIN c ON t.dataset_id = c.dataset_id AND t.itemset = c.itemset) "
+
+
+def faulty_metrics(s, d):
+    """Claims with faults of every kind: hits, misses, inventions, wrong counts, unknown items, by data set."""
+    truth, claims_ = _truth(s, d), _faulty(s, d)
+    vocabulary = brands(s, d, DATASETS).select("dataset_id", "item").distinct()
+    n = scoring.confusion(truth, claims_).join(scoring.count_accuracy(truth, claims_), "dataset_id")
+    return n.join(scoring.ungrounded(claims_, vocabulary), "dataset_id").select("dataset_id", "tp", "fp", "fn", "correct_counts", "matched_claims", "ungrounded")
+
+
+def faulty_triage(s, d):
+    """The data sets whose claims are worth a look."""
+    vocabulary = brands(s, d, DATASETS).select("dataset_id", "item").distinct()
+    return scoring.triage(scoring.metrics(_truth(s, d), _faulty(s, d).where("size = 1 OR array_contains(itemset, 'unicorn')"), vocabulary)).select("dataset_id", "claims", "ungrounded")
+
+
 QUERIES = {f.__name__: f for f in (
-    tp_fp_fn, prf_by_dataset, by_size, count_accuracy, ungrounded_claims, metrics_summary, size_averages, failure_triage, itemset_differences, label_scoring,
+    faulty_metrics, faulty_triage, tp_fp_fn, prf_by_dataset, by_size, count_accuracy, ungrounded_claims, metrics_summary, size_averages, failure_triage, itemset_differences, label_scoring,
     claim_validation, validation_report, chunk_merge, json_extraction, reward_scores, format_gate,
 )}
 
@@ -161,6 +189,8 @@ _CLAIMS = f"""WITH b AS (SELECT row_no + 1 AS row_no, item FROM ({BRANDS})), c A
           UNION ALL SELECT item, 'item_missing_in_row' FROM c WHERE item NOT IN (SELECT item FROM b WHERE row_no = 1)) """
 
 SQL = {
+    "faulty_metrics": _FM + ", u AS (SELECT dataset_id, count(*) FILTER (itemset LIKE '%unicorn') AS ungrounded FROM c GROUP BY dataset_id), n AS (SELECT dataset_id, count(*) FILTER (a AND b) AS tp, count(*) FILTER (NOT a) AS fp, count(*) FILTER (NOT b) AS fn, count(*) FILTER (a AND b AND abs(n - k) <= 1) AS correct_counts, count(*) FILTER (a AND b) AS matched_claims FROM m GROUP BY dataset_id) SELECT n.*, ungrounded FROM n JOIN u USING (dataset_id)",
+    "faulty_triage": f"WITH t AS ({_T}), c AS (SELECT * FROM ({_F}) WHERE size = 1 OR itemset LIKE '%unicorn'), n AS (SELECT c.dataset_id, count(*) AS claims, count(*) FILTER (c.itemset LIKE '%unicorn') AS ungrounded, count(t.itemset) AS tp FROM c LEFT JOIN t ON t.dataset_id = c.dataset_id AND t.itemset = c.itemset GROUP BY c.dataset_id), k AS (SELECT dataset_id, count(*) AS all_ FROM t GROUP BY dataset_id) SELECT dataset_id, claims, ungrounded FROM n JOIN k USING (dataset_id) WHERE 2 * tp / (claims + all_) < 0.5 OR ungrounded / claims > 0.1",
     "tp_fp_fn": _N + "SELECT * FROM n",
     "prf_by_dataset": _N + f"SELECT *, {_RATES} FROM n",
     "by_size": _SIZES + "SELECT *, CASE WHEN n_claims = 0 THEN 0.0 ELSE tp / n_claims END AS precision, CASE WHEN n_truth = 0 THEN 0.0 ELSE tp / n_truth END AS recall FROM z",
