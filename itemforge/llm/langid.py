@@ -8,8 +8,8 @@ from scaled forward-backward; a document's language is the one with the largest
 its words, and that mean is the score.
 
 The model is fitted on a bounded sample of different labelled texts: of each language those with the
-smallest hashes, at most ``PER_LABEL`` of them and no more once ``LABEL_BYTES`` are reached (the bound on
-languages is ``LABELS``, the commonest).  Their whole texts are used; one executor task fits the model, and
+smallest hashes, at most ``PER_LABEL`` of them and no more once ``LABEL_BYTES`` are reached. No language is left
+out: where there are more than ``LABELS`` of them each gives fewer texts, one at least.  Their whole texts are used; one executor task fits the model, and
 only the weights that occur reach the driver.  A chain is a whole text, in training and in
 prediction. Prediction is one pass without a shuffle.
 """
@@ -177,16 +177,17 @@ def fit(texts: list[bytes], truth: list[int], labels: list[str]) -> Crf:
 def train(docs: DataFrame) -> Crf | None:
     """``docs``: text binary, lang. None if there is no labelled text with a word."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").withColumn("hash", F.xxhash64("text"))
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n")).orderBy(F.desc("n"), "lang").limit(LABELS).collect()}
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n")).collect()}
     if not sizes:
         return None
     labels = sorted(sizes)
+    portions = -(-len(labels) // LABELS)
     scale = 1 << 40  # twice the share of different texts that gives PER_LABEL, and all of a few
     share = F.create_map(*[F.lit(x) for v in labels for x in (v, int(min(scale, -(-scale * 2 * (PER_LABEL + 50) // max(1, sizes[v])))))])
     some = known.where(F.pmod("hash", F.lit(scale)) < share[F.col("lang")]).groupBy("lang", "hash").agg(F.first("text").alias("text"))
     by = Window.partitionBy("lang").orderBy(F.pmod("hash", F.lit(scale)), "hash")
     before = F.coalesce(F.sum(F.length("text")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    chosen = some.select("lang", "text", F.row_number().over(by).alias("n"), before.alias("before")).where((F.col("n") <= PER_LABEL) & (F.col("before") < LABEL_BYTES))
+    chosen = some.select("lang", "text", F.row_number().over(by).alias("n"), before.alias("before")).where((F.col("n") <= max(1, PER_LABEL // portions)) & (F.col("before") < max(1, LABEL_BYTES // portions)))
 
     def run(batches):
         import pyarrow as pa

@@ -158,6 +158,16 @@ def language_rows(n, seed=1):
     return [(k, " ".join("".join(rng.choices(make[lang], k=rng.randint(1, 3))) for _ in range(rng.randint(5, 60))), lang) for k in range(n) for lang in [rng.choice(list(make))]]
 
 
+def test_no_language_is_left_out(spark, documents, monkeypatch):
+    """More languages than LABELS: each gives fewer texts, and all are learned."""
+    monkeypatch.setattr(langid, "LABELS", 2)
+    rows = language_rows(600)
+    out = langid.identify(documents(rows)).collect()
+    truth = {i: lang for i, _, lang in rows}
+    held = [r for r in out if r.held_out]
+    assert {r.lang_pred for r in held} == {"en", "de", "fr"} and sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.97 * len(held)
+
+
 def test_language(spark, documents):
     rows = [*language_rows(400), (1000, None, "en"), (1001, "", None), (1002, "123 !?", "de"), (None, "the thing and the other", None)]
     out = langid.identify(documents(rows)).collect()
