@@ -130,6 +130,13 @@ def parse_claims(raw: DataFrame, mode: str = "repair", keep: tuple[str, ...] = (
     return v.select(*keep, F.col("v").isNotNull().alias("parse_ok"), F.posexplode_outer(items).alias("claim_idx", "rec"))
 
 
+def across_chunks(parsed_claims: DataFrame, keys: list[str]) -> DataFrame:
+    """(..., claim_idx long, rec) of claims (..., chunk_no, claim_idx, rec): claims with the same itemset as written are parts of one, under the number of the first."""
+    c = parsed_claims.withColumn("_at", F.shiftleft(F.col("chunk_no").cast("long"), 32) + F.col("claim_idx")).withColumn("_as", F.to_json(F.try_variant_get("rec", "$.itemset", "variant")))
+    first = c.where("_as IS NOT NULL").groupBy(*keys, "_as").agg(F.min("_at").alias("_first"))
+    return c.join(first, [*keys, "_as"], "left").select(*keys, F.coalesce("_first", "_at").alias("claim_idx"), "rec")
+
+
 def row_labels(rows: Column) -> Column:
     """``Row n`` for labels and numbers; anything else as it is printed."""
 

@@ -39,47 +39,57 @@ def prepared(claims: DataFrame, totals: DataFrame) -> DataFrame:
 def errors(claims: DataFrame, baskets: DataFrame, totals: DataFrame, min_support: int) -> DataFrame:
     """(dataset_id, source, claim_idx, raw_itemset, type, row_label, detail).
 
-    One pass over the claims gives the errors that a claim shows by itself, one anti-join against the
-    rows the items that a row lacks. ``totals``: (dataset_id, total_rows). An empty itemset or missing rows end the checks of a claim.
+    ``claims``: rows of the same key and itemset are parts of one claim (a long list of rows comes in several texts): their rows
+    are taken together, each once for every part that lists it, and their counts are added. ``totals``: (dataset_id, total_rows).
+    One aggregate gives the errors that a claim shows by itself, one anti-join against the rows the items that a
+    row lacks; rows stand singly, so no task holds all of a claim. An empty itemset or missing rows end the checks of a claim.
     """
     c = prepared(claims, totals)
     base = [*KEYS, "raw_itemset"]
-    ok = F.col("items").isNotNull() & F.col("listed").isNotNull()
-    n, distinct = number(F.col("count")), F.size("unique")
-    null_count = F.col("count").isNull() | F.is_variant_null("count")
-    exact = ok & (F.col("source") == "apriori") & F.col("has_support") & is_integer(F.col("count"))
+    complete = F.col("items").isNotNull() & F.col("listed").isNotNull()
+    count, support = F.col("count"), F.col("support")
+    parts = c.groupBy(*base).agg(
+        F.bool_or(F.col("items").isNotNull()).alias("named"), F.bool_or(complete).alias("ok"), F.sum(F.when(complete, F.size("labels")).otherwise(0)).alias("n_labels"),
+        F.bool_or(count.isNull() | F.is_variant_null("count")).alias("null_count"), F.bool_and(is_number(count)).alias("counted"), F.bool_and(is_integer(count)).alias("whole"), F.sum(number(count)).alias("n"),
+        F.bool_or("has_support").alias("has_support"), F.bool_and(is_number(support)).alias("supported"), F.max(number(support)).alias("support"), F.max("total_rows").alias("total_rows"),
+    )
+    each = c.where(complete).select(*base, "total_rows", "canon", F.explode("index").alias("row_no"))
+    rows = each.groupBy(*base, "row_no").agg(F.first("total_rows").alias("total_rows"), F.first("canon").alias("canon"))
+    sizes = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in base]).agg(F.count("*").alias("distinct"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in base]
+    whole = parts.join(sizes, same, "left").withColumn("distinct", F.coalesce("distinct", F.lit(0)).cast("int"))
+
+    ok, n, distinct = F.col("ok"), F.col("n"), F.col("distinct")
+    wrong = ~(F.col("counted") & n.eqNullSafe(distinct.cast("double")))
+    exact = ok & (F.col("source") == "apriori") & F.col("has_support") & F.col("whole")
     expected = safe_ratio(distinct, F.col("total_rows"))
     none = F.lit(None)
 
     def error(kind: str, row=none, detail=none):
         return F.struct(F.lit(kind).alias("type"), row.cast("string").alias("row_label"), detail.cast("string").alias("detail"))
 
-    def outside(i):
-        return (i < 1) | (i > F.col("total_rows"))
-
     single = [
-        (F.col("items").isNull(), error("empty_itemset")),
-        (F.col("items").isNotNull() & F.col("listed").isNull(), error("missing_rows")),
-        (ok & null_count, error("missing_count")),
-        (ok & ~null_count & ~n.eqNullSafe(distinct.cast("double")), error("count_mismatch", detail=distinct)),
-        (ok & is_number(F.col("count")) & (n < min_support), error("below_min_support", detail=n)),
-        (ok & (F.size("labels") != distinct), error("duplicate_rows_listed", detail=distinct)),
-        (exact & ~is_number(F.col("support")), error("invalid_support_type")),
-        (exact & is_number(F.col("support")) & (F.abs(number(F.col("support")) - expected) > 1e-6), error("support_mismatch", detail=expected)),
+        (~F.col("named"), error("empty_itemset")),
+        (F.col("named") & ~ok, error("missing_rows")),
+        (ok & F.col("null_count"), error("missing_count")),
+        (ok & ~F.col("null_count") & wrong, error("count_mismatch", detail=distinct)),
+        (ok & F.col("counted") & (n < min_support), error("below_min_support", detail=n)),
+        (ok & (F.col("n_labels") != distinct), error("duplicate_rows_listed", detail=distinct)),
+        (exact & ~F.col("supported"), error("invalid_support_type")),
+        (exact & F.col("supported") & (F.abs(F.col("support") - expected) > 1e-6), error("support_mismatch", detail=expected)),
     ]
     once = F.filter(F.array(*[F.when(cond, e) for cond, e in single]), lambda e: e.isNotNull())
+    of_claims = whole.select(*base, F.explode(once).alias("e")).select(*base, "e.*")
     malformed = F.transform(F.filter("labels", lambda r: row_index(r).isNull()), lambda r: error("malformed_row_label", r))
-    beyond = F.transform(F.filter("unique", outside), lambda i: error("row_out_of_range", row_label(i), F.col("total_rows")))
-    nothing = F.filter(F.array(error("")), lambda e: F.lit(False))
-    each = F.concat(once, F.when(ok, F.concat(malformed, beyond)).otherwise(nothing))
-    of_claims = c.select(*base, F.explode(each).alias("e")).select(*base, "e.*")
+    of_labels = c.where(complete).select(*base, F.explode(malformed).alias("e")).select(*base, "e.*")
+    outside = (F.col("row_no") < 1) | (F.col("row_no") > F.col("total_rows"))
+    beyond = rows.where(outside).select(*base, error("row_out_of_range", row_label(F.col("row_no")), F.col("total_rows")).alias("e")).select(*base, "e.*")
 
-    inside = F.filter("unique", lambda i: ~outside(i))
-    asked = c.where(ok).select(*base, "canon", F.explode(inside).alias("row_no")).select(*base, "row_no", F.explode("canon").alias("item"))
+    asked = rows.where(~outside).select(*base, "row_no", F.explode("canon").alias("item"))
     missing = asked.join(baskets.select("dataset_id", "row_no", "item"), ["dataset_id", "row_no", "item"], "left_anti")
     missing = missing.groupBy(*base, "row_no").agg(F.array_sort(F.collect_list("item")).alias("items"))
     of_rows = missing.select(*base, F.lit("item_missing_in_row").alias("type"), row_label(F.col("row_no")).alias("row_label"), F.to_json("items").alias("detail"))
-    return of_claims.unionByName(of_rows).unionByName(empty_output(claims))
+    return of_claims.unionByName(of_labels).unionByName(beyond).unionByName(of_rows).unionByName(empty_output(claims))
 
 
 def empty_output(claims: DataFrame) -> DataFrame:
@@ -95,7 +105,7 @@ def report(claims: DataFrame, found: DataFrame) -> DataFrame:
 
     A claim is valid if no claim with the same itemset as written has an error.
     """
-    keyed = claims.withColumn("raw_itemset", F.to_json(F.coalesce(F.try_variant_get("rec", "$.itemset", "variant"), F.parse_json(F.lit("null")))))
+    keyed = claims.withColumn("raw_itemset", F.to_json(F.coalesce(F.try_variant_get("rec", "$.itemset", "variant"), F.parse_json(F.lit("null"))))).select(*KEYS, "raw_itemset").distinct()
     bad = found.where("raw_itemset IS NOT NULL").select("dataset_id", "source", "raw_itemset").distinct().withColumn("bad", F.lit(True))
     n = keyed.join(bad, ["dataset_id", "source", "raw_itemset"], "left").groupBy("dataset_id", "source").agg(F.count("*").alias("total_itemsets"), F.count_if(F.col("bad").isNull()).alias("validated_itemsets"))
     e = found.groupBy("dataset_id", "source").agg(F.count("*").alias("errors"))
