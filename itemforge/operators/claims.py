@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from itemforge.functions.text import after_think, item_canon, row_index, strip
 
 KEYS = ["dataset_id", "model"]
+#: Characters at the start of a row's label by which long lists are sorted piece by piece: ``Row`` and three digits.
+PIECE_CHARS = 7
 
 
 def parsed(text: Column) -> Column:
@@ -159,11 +161,12 @@ def rebased(rows: Column, start: Column, end: Column) -> Column:
     one = ~F.array_contains(index, 0) & F.forall(index, lambda i: (i >= 1) & (i <= length)) & F.exists(index, lambda i: i < first) & (first > length)
     shift = F.when(F.size(index) == 0, 0).when(zero, first).when(one, start).otherwise(0)
 
-    def move(r: Column) -> Column:
+    def move(r: Column, shift: Column) -> Column:
         i = F.get(F.split(r, r"\s+"), 1).try_cast("int")
         return F.when(r.startswith("Row ") & i.isNotNull(), F.concat(F.lit("Row "), (i + shift).cast("string"))).otherwise(r)
 
-    return F.transform(rows, move)
+    # bound once for a list: inside the inner function alone it would be found anew for every row
+    return F.flatten(F.transform(F.array(shift), lambda k: F.transform(rows, lambda r: move(r, k))))
 
 
 def chunk_claims(raw: DataFrame) -> DataFrame:
@@ -175,11 +178,24 @@ def chunk_claims(raw: DataFrame) -> DataFrame:
     return c.select(*KEYS, "chunk_no", itemset.alias("itemset"), rebased(rows, F.col("start"), F.col("end")).alias("rows"))
 
 
+def merged_pieces(claims: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """(..., itemset, piece, n, rows): evidence of all chunks together, each row once; the rows of an itemset in pieces, by their first
+    ``PIECE_CHARS`` characters. Pieces in order, and the rows of each, are in text order."""
+    each = claims.select(*keys, "itemset", F.explode("rows").alias("row")).withColumn("piece", F.substring("row", 1, PIECE_CHARS))
+    return each.groupBy(*keys, "itemset", "piece").agg(F.sort_array(F.collect_set("row")).alias("rows")).withColumn("n", F.size("rows").cast("long"))
+
+
 def merge_chunks(claims: DataFrame, min_support: int, keys: list[str] = KEYS) -> DataFrame:
     """(..., itemset, count, rows): evidence of all chunks together, each row once, in text order, with enough support."""
-    each = claims.select(*keys, "itemset", F.explode("rows").alias("row")).distinct()
-    merged = each.groupBy(*keys, "itemset").agg(F.count("*").alias("count"), F.array_sort(F.collect_list("row")).alias("rows"))
-    return merged.where(F.col("count") >= min_support)
+    merged = merged_pieces(claims, keys).groupBy(*keys, "itemset").agg(F.sum("n").alias("count"), F.sort_array(F.collect_list(F.struct("piece", "rows"))).alias("pieces"))
+    return merged.where(F.col("count") >= min_support).select(*keys, "itemset", "count", F.flatten("pieces.rows").alias("rows"))
+
+
+def merge_chunk_texts(claims: DataFrame, min_support: int, keys: list[str] = KEYS) -> DataFrame:
+    """(..., itemset, count, rows): as ``merge_chunks``, with the rows as one text, joined by commas piece by piece before they meet."""
+    texts = merged_pieces(claims, keys).select(*keys, "itemset", "n", F.struct("piece", F.array_join("rows", ",").alias("text")).alias("part"))
+    merged = texts.groupBy(*keys, "itemset").agg(F.sum("n").alias("count"), F.sort_array(F.collect_list("part")).alias("parts"))
+    return merged.where(F.col("count") >= min_support).select(*keys, "itemset", "count", F.array_join("parts.text", ",").alias("rows"))
 
 
 def scored_labels(rows: Column) -> Column:
