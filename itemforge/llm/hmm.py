@@ -8,8 +8,9 @@ c comes from a count table of every training word.
 Every text is written once as symbols.  Latent states are trained by Baum-Welch over all of these: in each of
 ``ROUNDS`` rounds every task adds up expected counts over its training documents (each a whole chain), the
 sums are added by block of symbols, and the re-estimated model starts the next round.  The start of the
-first round comes from a small sample of different texts (``SAMPLE`` at most, ``SAMPLE_TOKENS`` in all), which
-only tells the states apart; counts and model are those of the whole corpus.  In scoring the scaled
+first round comes from all training documents too: their neighbouring symbols are counted in one pass, as ``GROUPS``
+groups (the commonest words, the classes of all others and the end), and the hidden Markov model of these counts of pairs,
+whose size is fixed, is fitted by expectation maximization, from the likeliest of ``STARTS`` random guesses.  No count or parameter comes from a sample.  In scoring the scaled
 forward recursion runs over the whole text and its likelihood is exact.
 
 The model's size is bounded by its parameters, not by the corpus: counts of rare words are never
@@ -32,6 +33,9 @@ STATES = 8
 FREQUENT = 1 << 16
 CLASSES = 256
 ROUNDS = 2
+GROUPS = 1 << 10
+STARTS, START_ROUNDS, PAIR_ROUNDS = 6, 15, 50
+#: Bounds of ``sampled``, a look at a corpus that training does not take.
 SAMPLE = 1500
 SAMPLE_TOKENS = 1 << 18
 SAMPLE_ROUNDS = 15
@@ -194,6 +198,24 @@ def flat_symbols(column) -> tuple[np.ndarray, np.ndarray]:
     return raw.view("<i4"), off // 4
 
 
+def added(texts: DataFrame, run, kind: str) -> dict[int, np.ndarray]:
+    """Sums by part of what ``run`` makes of the symbols in each task: rows (part, numbers of ``kind``). One task adds each part."""
+
+    def add(batches):
+        import pyarrow as pa
+
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, sums in zip(b.column("part").to_pylist(), b.column("sums").to_pylist(), strict=True):
+                x = np.frombuffer(sums, kind).astype(np.float64)
+                total[part] = total[part] + x if part in total else x
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["part", "sums"])
+
+    summed = texts.select("symbols").mapInArrow(run, "part int, sums binary").repartition("part").mapInArrow(add, "part int, sums binary")
+    return {r.part: np.frombuffer(r.sums, np.float64) for r in summed.collect()}
+
+
 def expected_counts(texts: DataFrame, model: Model) -> Expected:
     """One round of Baum-Welch counts over ``texts`` (symbols); what reaches the driver is one model's size."""
     spark = texts.sparkSession
@@ -212,32 +234,71 @@ def expected_counts(texts: DataFrame, model: Model) -> Expected:
         parts = [small.astype("<f4").tobytes()] + [total.emit[a : a + BLOCK].astype("<f4").tobytes() for a in range(0, symbols, BLOCK)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["part", "sums"])
 
-    def add(batches):
-        import pyarrow as pa
-
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for part, sums in zip(b.column("part").to_pylist(), b.column("sums").to_pylist(), strict=True):
-                x = np.frombuffer(sums, "<f4").astype(np.float64)
-                total[part] = total[part] + x if part in total else x
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["part", "sums"])
-
     out = Expected(symbols, states)
-    summed = texts.select("symbols").mapInArrow(run, "part int, sums binary").repartition("part").mapInArrow(add, "part int, sums binary")
-    for r in summed.collect():
-        x = np.frombuffer(r.sums, np.float64)
-        if r.part == 0:
+    for part, x in added(texts, run, "<f4").items():
+        if part == 0:
             out.start, out.move = x[:states].copy(), x[states:].reshape(states, states).copy()
         else:
-            a = (r.part - 1) * BLOCK
+            a = (part - 1) * BLOCK
             out.emit[a : a + BLOCK] = x.reshape(-1, states)
     shared.unpersist()
     return out
 
 
+def grouped(words: np.ndarray, classes: np.ndarray, unigram: np.ndarray) -> np.ndarray:
+    """The group of each symbol: the commonest words have their own, all others that of their class, the end the last."""
+    own = np.argsort(-unigram[: len(words)], kind="stable")[: GROUPS - CLASSES - 1]
+    out = np.concatenate([classes, np.arange(CLASSES), [GROUPS - 1]]).astype(np.int64)
+    out[own] = CLASSES + np.arange(len(own))
+    return out
+
+
+def pair_counts(texts: DataFrame, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often a text of ``texts`` (symbols) begins with each group, and how often each follows each, over all texts."""
+    shared = texts.sparkSession.sparkContext.broadcast(group.astype(np.int32))
+
+    def run(batches):
+        import pyarrow as pa
+
+        of, first, pairs = shared.value, np.zeros(GROUPS, np.int64), np.zeros(GROUPS * GROUPS, np.int64)
+        for b in batches:
+            flat, off = flat_symbols(b.column("symbols"))
+            for i, j in tk.chunks(off, AT_ONCE):
+                g, at = of[flat[off[i] : off[j]]], np.unique(off[i : j + 1] - off[i])
+                first += np.bincount(g[at[:-1]], minlength=GROUPS)
+                inner = np.ones(len(g), dtype=bool)
+                inner[at[:-1]] = False
+                here = np.flatnonzero(inner)
+                pairs += np.bincount(g[here - 1].astype(np.int64) * GROUPS + g[here], minlength=GROUPS * GROUPS)
+        blocks = pairs.reshape(-1, 16 * GROUPS)
+        parts = {0: first} | {k + 1: x for k, x in enumerate(blocks) if x.any()}
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in parts.values()], pa.binary())], ["part", "sums"])
+
+    got = added(texts, run, "<i8")
+    pairs = np.zeros((GROUPS // 16, 16 * GROUPS))
+    for part, x in got.items():
+        if part:
+            pairs[part - 1] = x
+    shared.unpersist()
+    return got.get(0, np.zeros(GROUPS)), pairs.reshape(GROUPS, GROUPS)
+
+
+def fitted_pairs(pairs: np.ndarray, emit: np.ndarray, joint: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """(emissions, weight of a state before another, log-likelihood) that expectation maximization reaches for counts of pairs from a first guess.
+
+    A pair (a, b) has the probability of ``emit @ joint @ emit.T`` at (a, b).
+    """
+    for _ in range(rounds):
+        ratio = pairs / np.maximum(emit @ joint @ emit.T, 1e-300)
+        left, right = ratio @ emit, ratio.T @ emit
+        both = emit * (left @ joint.T + right @ joint)
+        joint = joint * (emit.T @ left)
+        emit, joint = both / both.sum(0), joint / joint.sum()
+    return emit, joint, float((pairs * np.log(np.maximum(emit @ joint @ emit.T, 1e-300))).sum())
+
+
 def sampled(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and offsets of a bounded number of different texts, those with the smallest hashes."""
+    """Symbols and offsets of a bounded number of different texts, those with the smallest hashes; for a look, not for training."""
     hashed = texts.select("symbols", F.xxhash64("symbols").alias("hash"))
     rows = hashed.select("hash", (F.length("symbols") / 4).alias("n")).distinct().orderBy("hash", "n").limit(SAMPLE).collect()
     keep, tokens = [], 0
@@ -252,23 +313,33 @@ def sampled(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
 
 
-def train(texts: DataFrame, words: np.ndarray, unigram: np.ndarray, states: int = STATES, seed: int = 5) -> Model:
-    """``texts``: a table of symbols (little-endian 32-bit) of every training document; see the module's description."""
+def first_guess(texts: DataFrame, words: np.ndarray, classes: np.ndarray, unigram: np.ndarray, states: int, seed: int) -> tuple[Model, bool]:
+    """The model that the first round starts from, its states told apart by which groups follow which in all of ``texts``; whether there is a text."""
     rng = np.random.default_rng(seed)
+    group = grouped(words, classes, unigram)
+    weight = np.bincount(group, weights=unigram, minlength=GROUPS)
+    joint = (np.eye(states) * 0.9 + 0.1 / states) / states
+    first, pairs = pair_counts(texts, group)
+    starts = []
+    for _ in range(STARTS if pairs.any() else 1):
+        emit = weight[:, None] * (0.5 + rng.random((GROUPS, states)))
+        starts.append(fitted_pairs(pairs, emit / emit.sum(0), joint, START_ROUNDS if pairs.any() else 0))
+    emit, joint, _ = max(starts, key=lambda x: x[2])
+    if pairs.any():
+        emit, joint, _ = fitted_pairs(pairs, emit, joint, PAIR_ROUNDS)
     guess = Expected(len(unigram), states)
-    guess.start += 1
-    guess.move += np.eye(states) * 0.9 + 0.1 / states
-    guess.emit += unigram[:, None] * (0.5 + rng.random((len(unigram), states)))
-    model = guess.model(words, unigram)
-    flat, off = sampled(texts)
-    if not len(flat):
-        return model
-    for _ in range(SAMPLE_ROUNDS):
-        total = Expected(len(unigram), states)
-        for i, j in tk.chunks(off, AT_ONCE):
-            total.add(flat[off[i] : off[j]], off[i : j + 1] - off[i], model)
-        model = total.model(words, unigram)
-    for _ in range(ROUNDS):
+    mass = joint.sum(0)
+    likely = emit * mass + 1e-12
+    guess.start = first @ (likely / likely.sum(1, keepdims=True))
+    guess.move = joint.copy()
+    guess.emit = (emit / np.maximum(weight, 1e-300)[:, None])[group] * unigram[:, None] * mass
+    return guess.model(words, unigram), bool(first.any())
+
+
+def train(texts: DataFrame, words: np.ndarray, unigram: np.ndarray, states: int = STATES, seed: int = 5, classes: np.ndarray | None = None) -> Model:
+    """``texts``: a table of symbols (little-endian 32-bit) of every training document; ``classes``: those of ``words``; see the module's description."""
+    model, some = first_guess(texts, words, np.zeros(len(words), np.int64) if classes is None else classes, unigram, states, seed)
+    for _ in range(ROUNDS if some else 0):
         model = expected_counts(texts, model).model(words, unigram)
     return model
 
@@ -334,7 +405,7 @@ def score_documents(docs: DataFrame, states: int = STATES, id_col: str = "doc_id
                 row += j - i
 
     table = written(src.mapInArrow(encode, f"id {kind}, number long, row long, n_tokens long, base double, lost double, symbols binary, rare array<long>, times array<int>"), "symbols")
-    model = train(table.where("number % 10 <> 0").select("symbols"), words, unigram, states)
+    model = train(table.where("number % 10 <> 0").select("symbols"), words, unigram, states, classes=np.array([c for _, _, c in top], dtype=np.int64))
     shared = src.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):

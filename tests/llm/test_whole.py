@@ -109,3 +109,33 @@ def test_short_texts_are_cut_too():
     b = bpe.byte_bpe(BYTE)
     text = "a text of three hundred bytes or so, which is not long at all but cut all the same. " * 4
     assert len(b.fragments(text.encode())) == 3 and "".join(b.fragments(text.encode())) == text
+
+
+def test_first_states_come_from_pairs_of_all_documents(spark, monkeypatch):
+    df, words, unigram = training(spark)
+    group = hmm.grouped(words, np.zeros(0, np.int64), unigram)
+    assert len(set(group.tolist())) == len(unigram)
+    first, pairs = hmm.pair_counts(df.repartition(5), group)
+    want, begins = np.zeros_like(pairs), np.zeros_like(first)
+    for r in df.collect():
+        g = group[np.frombuffer(bytes(r.symbols), "<i4")]
+        begins[g[0]] += 1
+        np.add.at(want, (g[:-1], g[1:]), 1)
+    assert (pairs == want).all() and (first == begins).all() and pairs.sum() == 3 * 390
+    # no round and no start looks at a part of the documents
+    monkeypatch.setattr(hmm, "sampled", lambda texts: pytest.fail("a sample"))
+    model = hmm.train(df, words, unigram)
+    none = hmm.train(df.limit(0), words, unigram)
+    for m in (model, none):
+        assert np.allclose(m.emit.sum(0), 1) and np.allclose(m.move.sum(1), 1) and np.isclose(m.start.sum(), 1)
+
+
+def test_pairs_tell_states_apart():
+    rng = np.random.default_rng(4)
+    emit = np.repeat(np.eye(2), 4, axis=0) / 4
+    pairs = np.round(1e5 * emit @ np.array([[0.45, 0.05], [0.05, 0.45]]) @ emit.T)
+    guess = rng.random((8, 2))
+    before = hmm.fitted_pairs(pairs, guess / guess.sum(0), np.array([[0.4, 0.1], [0.1, 0.4]]), 0)[2]
+    got, joint, after = hmm.fitted_pairs(pairs, guess / guess.sum(0), np.array([[0.4, 0.1], [0.1, 0.4]]), 300)
+    halves = got.reshape(2, 4, 2).sum(1)
+    assert after > before and min(halves.max(0)) > 0.8 and halves.argmax(0).tolist() in ([0, 1], [1, 0])
