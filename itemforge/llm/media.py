@@ -20,8 +20,6 @@ ALIGN = 64
 PAGE, NARROW, WIDE, MOST_ROWS = 1 << 20, 16, 64, 1 << 14
 #: Bits of the colour cache of stored payloads, and pixels that a colour stands for on average where a palette is worth it.
 CACHE, PALETTE_USE = 6, 4
-#: Pixels up to which the preset codes are taken: codes of its own would take a short text more room than they save.
-PRESET = 1 << 11
 #: First pixels that tell whether counting the colours is worth it.
 HEAD = 64
 
@@ -36,7 +34,7 @@ def page_image(part: np.ndarray) -> bytes:
     image = np.pad(part, (0, -len(part) % width)).reshape(-1, width)
     if len(part) > HEAD and len(set(part[:HEAD].tolist())) * PALETTE_USE <= HEAD and len(np.unique(part)) <= min(256, len(part) // PALETTE_USE):
         return webp.encode(image, ((webp.PALETTE,),))
-    return webp.encode(image, cache=CACHE, text="preset" if len(part) <= PRESET else "alike")
+    return webp.encode(image, cache=CACHE, text=True)
 
 
 def stored(payload: bytes) -> bytes:

@@ -9,7 +9,6 @@ red, green and blue. The formats' numbers are those of its public specification
 from __future__ import annotations
 
 from array import array
-from functools import lru_cache
 
 import numpy as np
 
@@ -27,9 +26,9 @@ NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), ke
 SEGMENT = 1 << 15
 #: Copies are made of at least so many pixels, and at most of so many.
 SHORTEST_COPY, LONGEST_COPY = 3, 4096
-#: Bits that the lengths of a code mostly take, and extra bits and least number of a length's symbols: 16 to 18 repeat.
-LENGTH_BITS = 1024
-REPEAT_BITS, REPEAT_LEAST = np.array([0] * 16 + [2, 3, 7]), np.array([1] * 16 + [3, 3, 11])
+#: Bytes of a code's lengths that are looked at as one number, and extra bits and least number of the lengths' symbols 16 to 18, which repeat.
+LENGTH_BYTES = 24
+REPEATS = ((2, 3), (3, 3), (7, 11))
 _REVERSED: dict[int, np.ndarray] = {}
 
 
@@ -114,37 +113,35 @@ def read_code(bits: Bits, alphabet: int) -> np.ndarray:
     for k, i in enumerate(LENGTH_ORDER[:n]):
         own[i] = each >> 3 * k & 7
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    table = code_table(own)
-    base, start = bits.at >> 3, bits.at & 7
-    for size in (LENGTH_BITS, 14 * alphabet):  # as many bits as lengths mostly take, else as many as they may take
-        # every bit's token if one began there, then a walk from token to token
-        window = bits.offsets(base, size // 8 + 4)
-        entry = table[window & np.uint32(len(table) - 1)]
-        symbol, end = entry >> 4, start + min(size, bits.size - bits.at)
-        step = (entry & 15) + REPEAT_BITS[symbol]
-        jump, count = memoryview((np.arange(len(step)) + step).astype(np.int32)), memoryview(REPEAT_LEAST[symbol].astype(np.int32))
-        found, p, least = [], start, 0
-        while least < alphabet and len(found) < left and p < end:
-            found.append(p)
-            least += count[p]
-            p = jump[p]
-        if p < end or size > LENGTH_BITS:
-            break
-    if not found:
-        raise NotLossless("the stream ends early")
-    at = np.array(found, np.int64)
-    kind = symbol[at]
-    n = REPEAT_LEAST[kind] + (window[np.minimum(at + (entry[at] & 15), len(window) - 1)] & (1 << REPEAT_BITS[kind]) - 1)
-    stop = int(np.searchsorted(np.cumsum(n), alphabet)) + 1  # repeats say more than their least number: the walk went on too far
-    kind, n, p = kind[:stop], n[:stop], int(jump[int(at[:stop][-1])])
-    value = np.where(kind < 16, kind, 0)
-    set_by = np.maximum.accumulate(np.where((kind > 0) & (kind < 16), np.arange(len(kind)), -1))
-    value = np.where(kind == 16, np.where(set_by < 0, 8, kind[set_by]), value)
-    total = int(n.sum())
-    bits.at = 8 * base + p
-    if total > alphabet or bits.at > bits.size:
+    table = code_table(own).tolist()
+    mask, at, last = len(table) - 1, bits.at, 8
+    rest = int.from_bytes(bits.raw[at >> 3 : (at >> 3) + LENGTH_BYTES], "little") >> (at & 7)
+    ready = 8 * LENGTH_BYTES - 8  # bits of ``rest`` that are there for sure
+    found: list[int] = []
+    while len(found) < alphabet and left:
+        if ready < 14:
+            rest = int.from_bytes(bits.raw[at >> 3 : (at >> 3) + LENGTH_BYTES], "little") >> (at & 7)
+            ready = 8 * LENGTH_BYTES - 8
+        entry = table[rest & mask]
+        n, kind = entry & 15, entry >> 4
+        if kind < 16:
+            found.append(kind)
+            if kind:
+                last = kind
+        else:
+            extra, least = REPEATS[kind - 16]
+            found += [last if kind == 16 else 0] * (least + (rest >> n & (1 << extra) - 1))
+            n += extra
+        rest >>= n
+        at += n
+        ready -= n
+        left -= 1
+        if at > bits.size:
+            raise NotLossless("the stream ends early")
+    bits.at = at
+    if len(found) > alphabet:
         raise NotLossless("code lengths beyond the alphabet")
-    lengths[:total] = np.repeat(value, n)
+    lengths[: len(found)] = found
     return code_table(lengths[:alphabet])
 
 
@@ -216,11 +213,11 @@ def read_tokens(bits: Bits, total: int, width: int, group: Group, cache: int) ->
         if at >= bits.size:
             raise NotLossless("the stream ends early")
         size = min(TOKEN_BITS // 8, (bits.size - at >> 3) + 2)
-        window = bits.offsets(at >> 3, size + 16)
-        index = [window & np.uint32(len(tables[0]) - 1)]
+        window = bits.offsets(at >> 3, size + 16).astype(np.int64)
+        index = [window & len(tables[0]) - 1]
         for k in (1, 2, 3):
-            index.append(index[-1] if k > 1 and len(tables[k]) == len(tables[k - 1]) else window & np.uint32(len(tables[k]) - 1))
-        place, head = np.arange(8 * size, dtype=np.int32), index[0][: 8 * size]
+            index.append(index[-1] if k > 1 and len(tables[k]) == len(tables[k - 1]) else window & len(tables[k]) - 1)
+        place, head = np.arange(8 * size), index[0][: 8 * size]
         after, long = [place + short[0][head]], None
         for k in (1, 2, 3):
             long = long if k > 1 and tables[k] is tables[k - 1] else short[k][index[k]]
@@ -230,7 +227,7 @@ def read_tokens(bits: Bits, total: int, width: int, group: Group, cache: int) ->
             green = tables[0][head] >> 4
             copy = np.flatnonzero((green >= LITERALS) & (green < LITERALS + LENGTHS))
             far = after[0][copy] + EXTRA[green[copy] - LITERALS]
-            entry = tables[4][window[far] & np.uint32(len(tables[4]) - 1)]
+            entry = tables[4][window[far] & len(tables[4]) - 1]
             jump[copy] = far + (entry & 15) + EXTRA[entry >> 4]
         walk, found, p = memoryview(jump), [], at & 7
         end = min(8 * size, bits.size - (at & ~7))
@@ -248,7 +245,7 @@ def read_tokens(bits: Bits, total: int, width: int, group: Group, cache: int) ->
             s, q = symbol[c] - LITERALS, first[c]
             n[c] = FIRST[s] + (window[q] & (1 << EXTRA[s]) - 1)
             q = q + EXTRA[s]
-            entry = tables[4][window[q] & np.uint32(len(tables[4]) - 1)]
+            entry = tables[4][window[q] & len(tables[4]) - 1]
             d = entry >> 4
             back[c] = FIRST[d] + (window[q + (entry & 15)] & (1 << EXTRA[d]) - 1)
         parts.append((symbol, value, n, back, (at & ~7) + jump[t].astype(np.int64)))
@@ -635,45 +632,34 @@ def coded(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         used = used or [0]
         fields = [(1, 1), (len(used) - 1, 1), (1, 1), *[(u, 8) for u in used]]
         return np.array([v for v, _ in fields], np.uint64), np.array([n for _, n in fields], np.int64)
+    symbols: list[int] = []
+    more: list[tuple[int, int]] = []
     a, z = runs(lengths)
-    v, n = lengths[a], z - a
-    once = (v > 0).astype(np.int64)  # a length stands once before it is repeated
-    n = n - once
-    most = np.where(v > 0, 6, 138)
-    full, rest = n // most, n % most
-    # for each run: the length, whole repeats, one repeat of what is left, or that written out
-    kind = np.where(v > 0, 16, np.where(rest > 10, 18, 17))
-    part, plain = rest >= 3, np.where(rest < 3, rest, 0)
-    table = np.stack([v, np.where(v > 0, 16, 18), kind, v], axis=1).ravel()
-    times = np.stack([once, full, part, plain], axis=1).ravel()
-    least = np.where(v > 0, 3, np.where(rest > 10, 11, 3))
-    left = np.stack([0 * v, np.where(v > 0, 3, 127), np.where(part, rest - least, 0), 0 * v], axis=1).ravel()
-    symbol, more = np.repeat(table, times), np.repeat(left, times)
-    extra = REPEAT_BITS[symbol]
-    own = code_lengths(np.bincount(symbol, minlength=19), 7)
+    for v, n in zip(lengths[a].tolist(), (z - a).tolist(), strict=True):
+        if v:  # a length stands once before it is repeated
+            symbols.append(v)
+            more.append((0, 0))
+            n -= 1
+        most = 6 if v else 138
+        while n >= 3:
+            now = min(n, most)
+            kind = 16 if v else 18 if now > 10 else 17
+            bits, least = REPEATS[kind - 16]
+            symbols.append(kind)
+            more.append((now - least, bits))
+            n -= now
+        symbols += [v] * n
+        more += [(0, 0)] * n
+    own = code_lengths(np.bincount(symbols, minlength=19), 7)
     order = own[list(LENGTH_ORDER)].tolist()
     while len(order) > 4 and not order[-1]:
         order.pop()
-    value, size = codes(own)
-    value = np.concatenate([np.array([0, len(order) - 4, *order, 0], np.uint64), np.stack([value[symbol], more.astype(np.uint64)], axis=1).ravel()])
-    return value, np.concatenate([np.array([1, 4, *[3] * len(order), 1], np.int64), np.stack([size[symbol], extra], axis=1).ravel()])
-
-
-#: What bytes of text weigh in the preset codes: blank and small letters; capitals and common marks; what continues a character; the rest.
-_COMMON, _CAPITAL, _WITHIN, _RARE = 60, 8, 3, 1
-
-
-@lru_cache
-def preset(cache: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Codes for short texts, by a rule, as fields and as bits of each symbol: they take little room in the file and no counting."""
-    byte = np.full(LITERALS, _RARE)
-    byte[0x20] = byte[ord("a") : ord("z") + 1] = _COMMON
-    byte[0x0A] = byte[ord("A") : ord("Z") + 1] = byte[0xC3] = byte[[*b",.'-0"]] = _CAPITAL
-    byte[0x80:0xC0] = _WITHIN
-    green = np.concatenate([byte, np.full(LENGTHS, _RARE), np.full(1 << cache if cache else 0, _CAPITAL)])
-    lengths = [code_lengths(x) for x in (green, byte, byte, byte, np.ones(DISTANCES, np.int64))]
-    fields = [coded(n) for n in lengths]
-    return np.concatenate([v for v, _ in fields]), np.concatenate([n for _, n in fields]), [codes(n) for n in lengths]
+    value, size = (x.tolist() for x in codes(own))
+    values, sizes = [0, len(order) - 4, *order, 0], [1, 4, *[3] * len(order), 1]
+    for symbol, (extra, bits) in zip(symbols, more, strict=True):
+        values.append(value[symbol] | extra << size[symbol])
+        sizes.append(size[symbol] + bits)
+    return np.array(values, np.uint64), np.array(sizes, np.int64)
 
 
 def prefixed(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -712,10 +698,10 @@ def copies(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.array(c, np.int64) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
 
 
-def put_image(out: Stream, pixels: np.ndarray, cache: int = 0, main: bool = False, groups: tuple | None = None, width: int = 0, text: str = "") -> None:
+def put_image(out: Stream, pixels: np.ndarray, cache: int = 0, main: bool = False, groups: tuple | None = None, width: int = 0, text: bool = False) -> None:
     """Pixels as literals, copies and cache hits. ``groups`` (bits, image of group numbers) has a set of codes for each number.
 
-    ``text`` is for samples that are bytes of a text: ``preset`` takes the preset codes, ``alike`` gives red, blue and alpha one code.
+    ``text`` is for samples that are bytes of a text: red, blue and alpha have one code then.
     """
     n = len(pixels)
     start, size, back = copies(pixels)
@@ -743,12 +729,7 @@ def put_image(out: Stream, pixels: np.ndarray, cache: int = 0, main: bool = Fals
     which = [(np.concatenate([literal, hit, start]), np.concatenate([s[literal, 1], LITERALS + LENGTHS + slot[hit], LITERALS + ls]), LITERALS + LENGTHS + (1 << cache if cache else 0))]
     which += [(literal, s[literal, c], LITERALS) for c in (2, 0, 3)] + [(start, ds, DISTANCES)]
     value, bits = np.zeros((n, 6), np.uint64), np.zeros((n, 6), np.int64)
-    if text == "preset":
-        fields, many, each = preset(cache)
-        out.many(fields, many)
-        for field, ((at, symbol, _), (v, k)) in enumerate(zip(which, each, strict=True)):
-            value[at, field], bits[at, field] = v[symbol], k[symbol]
-    for g in range(0 if text == "preset" else int(of.max()) + 1 if n else 1):
+    for g in range(int(of.max()) + 1 if n else 1):
         for field, (at, symbol, alphabet) in enumerate(which):
             mine = of[at] == g if groups is not None else slice(None)
             if not (text and field in (2, 3)):
@@ -764,7 +745,7 @@ def put_image(out: Stream, pixels: np.ndarray, cache: int = 0, main: bool = Fals
     out.many(value.ravel()[fields], bits.ravel()[fields])
 
 
-def encode(pixels: np.ndarray, transforms: tuple = (), cache: int = 0, groups: tuple | None = None, text: str = "") -> bytes:
+def encode(pixels: np.ndarray, transforms: tuple = (), cache: int = 0, groups: tuple | None = None, text: bool = False) -> bytes:
     """A file of height by width pixels.
 
     ``transforms`` in the order in which they are applied: (PREDICT, bits, modes), (CROSS, bits, elements), (GREEN,)

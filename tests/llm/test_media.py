@@ -195,3 +195,28 @@ def test_read_images(spark):
     assert bytes(out[1].samples) == webp.samples(p).tobytes() and (out[1].widths, out[1].heights, out[1].id, out[1].text, out[1].error) == ([6], [5], [1, 2], None, None)
     assert all(out[i].samples is None and out[i].error for i in (2, 3, 4, 6))
     assert out[5].feature == "1:1x1:0,0,0,0:0" and out[7].widths == [1, 6]
+
+
+def test_short_texts_have_codes_of_their_own(monkeypatch):
+    """Every text's samples are counted and coded, however short."""
+    seen, real = [], webp.code_lengths
+    monkeypatch.setattr(media, "PALETTE_USE", 1 << 20)
+    monkeypatch.setattr(webp, "code_lengths", lambda counts, *a: seen.append(counts) or real(counts, *a))
+    texts = [(b"The cat sat on the mat. " * 3 + bytes(range(33, 121)))[:128], bytes(range(64)) * 2, b"0123456789abcdef" * 12]
+    for text in texts:
+        seen.clear()
+        raw = media.stored(text)
+        assert media.samples_of(raw)[2][: len(text)] == text
+        assert [int(c.sum()) for c in seen if len(c) == webp.LITERALS] and all(c.sum() <= 3 * len(text) for c in seen)
+
+
+def test_lengths_of_codes_are_read_as_written():
+    rng = np.random.default_rng(9)
+    for alphabet in (webp.DISTANCES, webp.LITERALS, webp.LITERALS + webp.LENGTHS + 64):
+        for used in (1, 2, 3, 30, alphabet):
+            counts = np.zeros(alphabet, np.int64)
+            counts[rng.choice(alphabet, min(used, alphabet), replace=False)] = rng.integers(1, 10**6, min(used, alphabet))
+            lengths, out = webp.code_lengths(counts), webp.Stream()
+            out.many(*webp.coded(lengths))
+            bits = webp.Bits(out.to_bytes() + b"\xff")
+            assert (webp.read_code(bits, alphabet) == webp.code_table(lengths)).all()
