@@ -6,6 +6,9 @@ images, one file after the other, so that memory is bounded by the image and not
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +23,8 @@ ALIGN = 64
 PAGE, NARROW, WIDE, MOST_ROWS = 1 << 20, 16, 64, 1 << 14
 #: Bits of the colour cache of stored payloads, and pixels that a colour stands for on average where a palette is worth it.
 CACHE, PALETTE_USE = 6, 4
+#: Bytes of payloads that are written together.
+TOGETHER = 1 << 18
 #: First pixels that tell whether counting the colours is worth it.
 HEAD = 64
 
@@ -28,19 +33,36 @@ def payload_size(n_bytes: Column) -> Column:
     return (F.greatest(F.lit(1), F.ceil(n_bytes / ALIGN)) * ALIGN).cast("long")
 
 
-def page_image(part: np.ndarray) -> bytes:
-    """One image of these pixels; the last row is filled up with zeros."""
-    width = NARROW if len(part) <= NARROW * MOST_ROWS else WIDE
-    image = np.pad(part, (0, -len(part) % width)).reshape(-1, width)
-    if len(part) > HEAD and len(set(part[:HEAD].tolist())) * PALETTE_USE <= HEAD and len(np.unique(part)) <= min(256, len(part) // PALETTE_USE):
-        return webp.encode(image, ((webp.PALETTE,),))
-    return webp.encode(image, cache=CACHE, text=True)
+def page_images(parts: list[np.ndarray]) -> list[bytes]:
+    """An image of each of these rows of pixels; an image's last row is filled up with zeros."""
+    images = []
+    for part in parts:
+        width = NARROW if len(part) <= NARROW * MOST_ROWS else WIDE
+        images.append(np.pad(part, (0, -len(part) % width)).reshape(-1, width) if len(part) % width else part.reshape(-1, width))
+    few = [len(p) > HEAD and len(set(p[:HEAD].tolist())) * PALETTE_USE <= HEAD and len(np.unique(p)) <= min(256, len(p) // PALETTE_USE) for p in parts]
+    texts = iter(webp.encode_texts([i for i, f in zip(images, few, strict=True) if not f], CACHE))
+    return [webp.encode(i, ((webp.PALETTE,),)) if f else next(texts) for i, f in zip(images, few, strict=True)]
 
 
 def stored(payload: bytes) -> bytes:
     """A payload, whose length is a multiple of four, as images one after the other."""
     pixels = np.frombuffer(payload, "<u4")
-    return b"".join(page_image(pixels[i : i + PAGE]) for i in range(0, len(pixels), PAGE))
+    return b"".join(page_images([pixels[i : i + PAGE]])[0] for i in range(0, len(pixels), PAGE))
+
+
+def stored_each(payloads: Iterable[bytes]) -> Iterator[bytes]:
+    """``stored`` of each, short ones together."""
+    waiting, load = [], 0
+    for payload in payloads:
+        if load + len(payload) > TOGETHER:
+            yield from page_images(waiting)
+            waiting, load = [], 0
+        if len(payload) > TOGETHER:
+            yield stored(payload)
+        else:
+            waiting.append(np.frombuffer(payload, "<u4"))
+            load += len(payload)
+    yield from page_images(waiting)
 
 
 def files(raw: bytes) -> list[bytes]:
@@ -56,7 +78,37 @@ def files(raw: bytes) -> list[bytes]:
 
 def samples_of(raw: bytes) -> tuple[list[int], list[int], bytes]:
     """(widths, heights, samples) of the images."""
-    images = [webp.decode(f) for f in files(raw)]
+    return shaped([webp.decode(f) for f in files(raw)])
+
+
+def samples_each(raws: Iterable[bytes | None]) -> Iterator[tuple[list[int], list[int], bytes] | webp.NotLossless | None]:
+    """``samples_of`` each, or why there are none; None where there are no bytes."""
+    counts: deque[int] = deque()
+
+    def each():
+        for raw in raws:
+            parts = files(raw) if raw else []
+            counts.append(len(parts))
+            yield from parts
+        counts.append(0)
+
+    images, pages = [], webp.decode_each(each())
+    for page in pages:
+        while not counts[0]:
+            counts.popleft()
+            yield None
+        images.append(page)
+        if len(images) == counts[0]:
+            counts.popleft()
+            broken = [i for i in images if isinstance(i, webp.NotLossless)]
+            yield broken[0] if broken else shaped(images)
+            images = []
+    while len(counts) > 1:
+        counts.popleft()
+        yield None
+
+
+def shaped(images: list[np.ndarray]) -> tuple[list[int], list[int], bytes]:
     return [i.shape[1] for i in images], [i.shape[0] for i in images], b"".join(i.astype("<u4", copy=False).tobytes() for i in images)
 
 
@@ -96,9 +148,10 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
         def work(b):
             data, off = column_bytes(b.column("text"))
-            for i, at, end in zip(b.column("id").to_pylist(), off[:-1].tolist(), off[1:].tolist(), strict=True):
-                media = stored(data[at:end].tobytes() + bytes(-(end - at) % ALIGN if end > at else ALIGN))
-                yield {"id": i, "n_bytes": end - at, "media": media}, len(media)
+            spans = list(zip(off[:-1].tolist(), off[1:].tolist(), strict=True))
+            media = stored_each(data[at:end].tobytes() + bytes(-(end - at) % ALIGN if end > at else ALIGN) for at, end in spans)
+            for i, (at, end), raw in zip(b.column("id").to_pylist(), spans, media, strict=True):
+                yield {"id": i, "n_bytes": end - at, "media": raw}, len(raw)
 
         yield from each_row(batches, pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())]), work)
 
@@ -118,15 +171,14 @@ def read_images(df: DataFrame, media_col: str = "media") -> DataFrame:
 
         def work(b):
             rest = b.drop_columns([media_col]).to_pylist() if b.num_columns > 1 else [{}] * b.num_rows
-            for row, raw in zip(rest, b.column(media_col), strict=True):
-                raw = raw.as_py()
+            raws = b.column(media_col).to_pylist()
+            for row, raw, found in zip(rest, raws, samples_each(raws), strict=True):
                 out = {**row, media_col: raw, "widths": None, "heights": None, "samples": None, "feature": None, "error": "no bytes"}
-                if raw:
-                    try:
-                        widths, heights, four = samples_of(raw)
-                        out |= {"widths": widths, "heights": heights, "samples": four, "feature": feature(widths, heights, four), "error": None}
-                    except webp.NotLossless as e:
-                        out["error"] = str(e)
+                if isinstance(found, webp.NotLossless):
+                    out["error"] = str(found)
+                elif found:
+                    widths, heights, four = found
+                    out |= {"widths": widths, "heights": heights, "samples": four, "feature": feature(widths, heights, four), "error": None}
                 yield out, len(raw or b"") + len(out["samples"] or b"")
 
         for b in batches:

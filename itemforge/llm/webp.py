@@ -9,6 +9,7 @@ red, green and blue. The formats' numbers are those of its public specification
 from __future__ import annotations
 
 from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -158,10 +159,12 @@ class Group:
         return self._lists
 
     def short(self) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Whether green is a literal, and each code's lengths, by the next bits."""
+        """What green begins (0 a literal, 1 a copy, 2 a hit) and the first four codes' lengths, by the next bits."""
         if self._short is None:
-            green = self.tables[0] >> 4
-            self._short = green < LITERALS, [(t & 15).astype(np.uint8) for t in self.tables]
+            green, lengths = self.tables[0] >> 4, []
+            for k, t in enumerate(self.tables[:4]):
+                lengths.append(lengths[-1] if k > 1 and t is self.tables[k - 1] else (t & 15).astype(np.uint8))
+            self._short = (green >= LITERALS).view(np.uint8) + (green >= LITERALS + LENGTHS), lengths
         return self._short
 
 
@@ -206,27 +209,24 @@ def read_tokens(bits: Bits, total: int, width: int, group: Group, cache: int) ->
     tables = group.tables
     if len(tables[0]) == 1:
         return None
-    literal, short = group.short()
-    copying = bool(((tables[0] >> 4 >= LITERALS) & (tables[0] >> 4 < LITERALS + LENGTHS)).any())
+    begins, short = group.short()
+    copying = bool((begins == 1).any())
     parts, at, pixels = [], bits.at, 0
     while pixels < total:
         if at >= bits.size:
             raise NotLossless("the stream ends early")
         size = min(TOKEN_BITS // 8, (bits.size - at >> 3) + 2)
         window = bits.offsets(at >> 3, size + 16).astype(np.int64)
-        index = [window & len(tables[0]) - 1]
-        for k in (1, 2, 3):
-            index.append(index[-1] if k > 1 and len(tables[k]) == len(tables[k - 1]) else window & len(tables[k]) - 1)
-        place, head = np.arange(8 * size), index[0][: 8 * size]
-        after, long = [place + short[0][head]], None
-        for k in (1, 2, 3):
-            long = long if k > 1 and tables[k] is tables[k - 1] else short[k][index[k]]
-            after.append(after[-1] + long[after[-1]])
-        jump = np.where(literal[head], after[3], after[0])
+        place = np.arange(len(window))
+        head = window[: 8 * size] & len(tables[0]) - 1
+        first, over = place[: 8 * size] + short[0][head], [None] * 4
+        for k in (1, 2, 3):  # where the next code begins, by where one does
+            over[k] = over[k - 1] if k > 1 and tables[k] is tables[k - 1] else place + short[k][window & len(tables[k]) - 1]
+        begin = begins[head]
+        jump = np.where(begin == 0, over[3][over[2][over[1][first]]], first)
         if copying:
-            green = tables[0][head] >> 4
-            copy = np.flatnonzero((green >= LITERALS) & (green < LITERALS + LENGTHS))
-            far = after[0][copy] + EXTRA[green[copy] - LITERALS]
+            copy = np.flatnonzero(begin == 1)
+            far = first[copy] + EXTRA[(tables[0][head[copy]] >> 4) - LITERALS]
             entry = tables[4][window[far] & len(tables[4]) - 1]
             jump[copy] = far + (entry & 15) + EXTRA[entry >> 4]
         walk, found, p = memoryview(jump), [], at & 7
@@ -236,9 +236,11 @@ def read_tokens(bits: Bits, total: int, width: int, group: Group, cache: int) ->
             add(p)
             p = walk[p]
         t = np.array(found, np.int64)
-        symbol, first = tables[0][head[t]] >> 4, after[0][t]
-        red, blue, alpha = (tables[k][index[k][after[k - 1][t]]] >> 4 for k in (1, 2, 3))
-        value = symbol << 8 | red << 16 | blue | alpha << 24
+        symbol, first = tables[0][head[t]] >> 4, first[t]
+        value, q = symbol << 8, first
+        for k, shift in ((1, 16), (2, 0), (3, 24)):
+            value |= tables[k][window[q] & len(tables[k]) - 1] >> 4 << shift
+            q = over[k][q]
         n, back = np.ones(len(t), np.int64), np.zeros(len(t), np.int64)
         c = np.flatnonzero((symbol >= LITERALS) & (symbol < LITERALS + LENGTHS))
         if len(c):
@@ -292,8 +294,125 @@ def roots(source: np.ndarray) -> np.ndarray:
         source = further
 
 
+#: Images that are read together at most, their pixels and entries of their codes, pixels of one of them, and images for which it goes on.
+LANES, LANE_PIXELS, LANE_ENTRIES, LANE, FEWEST = 1 << 10, 1 << 19, 1 << 22, 1 << 15, 80
+#: Tokens that are read of each image before those that ended are taken out, and bytes that these take at most.
+STRIDE, OVERRUN = 32, 1 << 9
+
+
+def read_together(todo: list[tuple[Bits, int, int, Group, int]]) -> list[np.ndarray | None]:
+    """The pixels of many images with one group of codes each (stream, pixels, width, codes, cache): the next token of all of them at a time.
+
+    None for the longest, which are not enough to go on, and for those that are broken or hit an empty place: one by one these
+    give what they give.
+    """
+    many = len(todo)
+    out: list[np.ndarray | None] = [None] * many
+    if many < FEWEST:
+        return out
+    raw = b"".join(t[0].raw for t in todo) + bytes(OVERRUN)
+    words = np.ndarray(len(raw) - 7, "<i8", raw, 0, (1,))
+    begin = 8 * (np.cumsum([len(t[0].raw) for t in todo]) - [len(t[0].raw) for t in todo])
+    tables, offset, mask, filled = [], np.zeros((5, many), np.int64), np.zeros((5, many), np.int64), 0
+    for i, (_, _, _, group, _) in enumerate(todo):
+        for k, t in enumerate(group.tables):
+            if k and t is group.tables[k - 1]:
+                offset[k, i] = offset[k - 1, i]
+            else:
+                offset[k, i] = filled
+                tables.append(t)
+                filled += len(t)
+            mask[k, i] = len(t) - 1
+    table = np.concatenate(tables).astype(np.int32)
+
+    def bits_at(p):
+        return words[p >> 3] >> (p & 7)
+
+    lane, p, left = np.arange(many), begin + [t[0].at for t in todo], np.array([t[1] for t in todo])
+    stop, total = begin + [t[0].size for t in todo], left.copy()
+    tokens, taken = [], []
+    while len(lane) >= FEWEST:
+        for _ in range(STRIDE):
+            w = bits_at(p)
+            green = table[offset[0] + (w & mask[0])]
+            n = green & 15
+            w >>= n
+            red = table[offset[1] + (w & mask[1])]
+            w >>= red & 15
+            blue = table[offset[2] + (w & mask[2])]
+            size = n + (red & 15) + (blue & 15)
+            alpha = table[offset[3] + (bits_at(p + size) & mask[3])]
+            size += alpha & 15
+            token, now = [lane, left, green >> 4, red, blue, alpha], np.ones(len(lane), np.int64)
+            c = np.flatnonzero(green >= LITERALS << 4)
+            if len(c):
+                size[c] = n[c]
+                c = c[green[c] < LITERALS + LENGTHS << 4]
+                q, s = p[c] + n[c], (green[c] >> 4) - LITERALS
+                now[c] = FIRST[s] + (bits_at(q) & (1 << EXTRA[s]) - 1)
+                q += EXTRA[s]
+                d = table[offset[4, c] + (bits_at(q) & mask[4, c])]
+                q += d & 15
+                d >>= 4
+                taken.append((lane[c], left[c], now[c], FIRST[d] + (bits_at(q) & (1 << EXTRA[d]) - 1)))
+                size[c] = q + EXTRA[d] - p[c]
+            p, left = p + size, left - now
+            tokens.append((*token, p))
+        on = np.flatnonzero((left > 0) & (p <= stop[lane]))
+        if len(on) < len(lane):
+            lane, p, left, offset, mask = lane[on], p[on], left[on], offset[:, on], mask[:, on]
+    # tokens by image, those after its end left out; a token's place is told by the pixels that were left
+    of, still, symbol, red, blue, alpha, end = (np.concatenate(x) for x in zip(*tokens, strict=True))
+    order = np.flatnonzero(still > 0)
+    order = order[np.argsort(of[order].astype(np.uint16), kind="stable")]
+    of, still, symbol, red, blue, alpha, end = (x[order] for x in (of, still, symbol, red, blue, alpha, end))
+    first = np.cumsum(total) - total
+    start = first[of] + total[of] - still
+    none = (np.empty(0, np.int64),) * 4
+    c_of, c_left, size, back = (np.concatenate(x) for x in zip(none, *taken, strict=True))
+    c_place = total[c_of] - c_left
+    x, y = np.array(NEAR)[np.minimum(back, len(NEAR)) - 1].T
+    back = np.where(back <= len(NEAR), np.maximum(1, x + y * np.array([t[2] for t in todo])[c_of]), back - len(NEAR))
+    bad = np.zeros(many, bool)
+    bad[lane] = True  # those that go on
+    bad[of[end > stop[of]]] = True
+    bad[c_of[(c_left > 0) & ((back > c_place) | (size > c_left))]] = True
+    reached = np.zeros(many, np.int64)
+    np.maximum.at(reached, of, total[of] - still + 1)
+    np.maximum.at(reached, c_of[c_left > 0], (c_place + size)[c_left > 0])
+    bad |= reached != total
+    keep = ~bad[of]
+    start, symbol, of = start[keep], symbol[keep], of[keep]
+    value = symbol << 8 | (red[keep] >> 4) << 16 | blue[keep] >> 4 | (alpha[keep].astype(np.int64) >> 4) << 24
+    literal, hit = symbol < LITERALS, symbol >= LITERALS + LENGTHS
+    pixel, source = np.zeros(int(total.sum()), np.uint32), np.arange(int(total.sum()))
+    pixel[start[literal]] = value[literal]
+    c = np.flatnonzero((c_left > 0) & ~bad[c_of])
+    places = spread((first[c_of] + c_place)[c], size[c])
+    source[places] = places - np.repeat(back[c], size[c])
+    source = roots(source)
+    if hit.any():
+        cache = np.array([t[4] for t in todo])
+        slot, image = np.zeros(len(pixel), np.int64), np.repeat(np.arange(many), total)
+        slot[start[literal]] = (pixel[start[literal]] * np.uint32(HASH) >> (32 - cache[of[literal]]).astype(np.uint32)).astype(np.int64)
+        slot[start[hit]] = symbol[hit] - LITERALS - LENGTHS
+        before = earlier(slot[source] + (image << 11), image)[start[hit]]
+        bad[of[hit][before < 0]] = True
+        source[start[hit]] = np.where(before < 0, start[hit], before)
+        source = roots(source)
+    pixel = pixel[source]
+    for i in np.flatnonzero(~bad).tolist():
+        out[i] = pixel[first[i] : first[i] + total[i]]
+    return out
+
+
 def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     """The pixels of an image, or of one that a transform needs, row by row."""
+    return read_pixels(bits, width, height, main, *read_head(bits, width, height, main))
+
+
+def read_head(bits: Bits, width: int, height: int, main: bool) -> tuple[int, list[int] | None, int, int, list[Group]]:
+    """What stands before an image's pixels: bits of the cache, group of each tile, bits of a tile, tiles in a row, groups."""
     cache = bits.read(4) if bits.read(1) else 0
     if cache > 11:
         raise NotLossless("a colour cache of more than 11 bits")
@@ -302,7 +421,10 @@ def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         tile = bits.read(3) + 2
         across = -(-width >> tile)
         which = (read_image(bits, across, -(-height >> tile), False) >> 8 & 0xFFFF).tolist()
-    groups = [read_group(bits, cache) for _ in range(max(which) + 1 if which else 1)]
+    return cache, which, tile, across, [read_group(bits, cache) for _ in range(max(which) + 1 if which else 1)]
+
+
+def read_pixels(bits: Bits, width: int, height: int, main: bool, cache: int, which: list[int] | None, tile: int, across: int, groups: list[Group]) -> np.ndarray:
     if main and not which and (found := read_tokens(bits, width * height, width, groups[0], cache)) is not None:
         return found
     total, pos, edge = width * height, 0, 0
@@ -512,6 +634,49 @@ def chunk(raw: bytes) -> bytes:
 
 def decode(raw: bytes) -> np.ndarray:
     """A file's pixels, height by width."""
+    bits, height, now, head, todo = opened(raw)
+    return restored(read_pixels(bits, now, height, True, *head).reshape(height, now), todo)
+
+
+def decode_each(raws: Iterable[bytes]) -> Iterator[np.ndarray | NotLossless]:
+    """``decode`` of each file, or why it can't be; short ones are read together."""
+    waiting, load, entries = [], 0, 0
+    for raw in raws:
+        try:
+            file = opened(raw)
+        except NotLossless as e:
+            waiting.append(e)
+            continue
+        waiting.append(file)
+        load += file[1] * file[2]
+        entries += sum(len(t) for g in file[3][-1] for t in g.tables)
+        if len(waiting) >= LANES or load > LANE_PIXELS or entries > LANE_ENTRIES:
+            yield from decoded(waiting)
+            waiting, load, entries = [], 0, 0
+    yield from decoded(waiting)
+
+
+def decoded(files: list) -> Iterator[np.ndarray | NotLossless]:
+    """The pixels of opened files; errors stay."""
+    plain = [f for f in files if not isinstance(f, NotLossless) and not f[3][1] and f[1] * f[2] <= LANE]
+    ready = iter(read_together([(bits, height * now, now, head[-1][0], head[0]) for bits, height, now, head, _ in plain]))
+    plain = {id(f) for f in plain}
+    for f in files:
+        if isinstance(f, NotLossless):
+            yield f
+            continue
+        bits, height, now, head, todo = f
+        pixels = next(ready) if id(f) in plain else None
+        try:
+            if pixels is None:
+                pixels = read_pixels(bits, now, height, True, *head)
+            yield restored(pixels.reshape(height, now), todo)
+        except NotLossless as e:
+            yield e
+
+
+def opened(raw: bytes) -> tuple[Bits, int, int, tuple, list]:
+    """A file read up to its pixels: stream, height, width as stored, what ``read_head`` gives, transforms to undo."""
     bits = Bits(chunk(raw))
     if bits.read(8) != 0x2F:
         raise NotLossless("no signature")
@@ -536,7 +701,11 @@ def decode(raw: bytes) -> np.ndarray:
         todo.append((kind, size, table, now))
         if kind == PALETTE:
             now = -(-now >> bundle(len(table)))
-    out = read_image(bits, now, height, True).reshape(height, now)
+    return bits, height, now, read_head(bits, now, height, True), todo
+
+
+def restored(out: np.ndarray, todo: list) -> np.ndarray:
+    """Pixels without the transforms."""
     for kind, size, table, before in reversed(todo):
         if kind == PREDICT:
             out = unpredicted(out, table, size)
@@ -562,21 +731,26 @@ def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
     used = used[np.argsort(counts[used], kind="stable")]
     weight = counts[used].tolist()
     n = len(used)
+    never = sum(weight) * 2 + n
     while True:
         # leaves in order and nodes in order of making: the two smallest are always at one of the fronts
-        nodes, parent, i, j = [], [0] * (2 * n - 1), 0, 0
-        for k in range(n - 1):
-            total = 0
-            for _ in range(2):
-                if i < n and (j >= k or weight[i] <= nodes[j]):
-                    total += weight[i]
-                    parent[i] = n + k
-                    i += 1
-                else:
-                    total += nodes[j]
-                    parent[n + j] = n + k
-                    j += 1
-            nodes.append(total)
+        leaves, nodes, parent, i, j = [*weight, never], [never] * n, [0] * (2 * n - 1), 0, 0
+        for k in range(n, 2 * n - 1):
+            if (one := leaves[i]) <= nodes[j]:
+                parent[i] = k
+                i += 1
+            else:
+                one = nodes[j]
+                parent[n + j] = k
+                j += 1
+            if (two := leaves[i]) <= nodes[j]:
+                parent[i] = k
+                i += 1
+            else:
+                two = nodes[j]
+                parent[n + j] = k
+                j += 1
+            nodes[k - n] = one + two
         depth = [0] * (2 * n - 1)
         for k in range(2 * n - 3, -1, -1):
             depth[k] = depth[parent[k]] + 1
@@ -587,17 +761,15 @@ def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
 
 
 def codes(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bits as written, how many) of each symbol; one symbol alone takes none."""
-    used = np.flatnonzero(lengths)
-    value, size = np.zeros(len(lengths), np.uint64), np.zeros(len(lengths), np.int64)
-    if len(used) < 2:
-        return value, size
-    most = int(lengths.max())
-    used = used[np.argsort(lengths[used], kind="stable")]
-    n = lengths[used]
-    first = np.cumsum(1 << most - n) - (1 << most - n)
-    value[used], size[used] = reversed_bits(most)[first], n
-    return value, size
+    """(bits as written, how many) of each symbol, by row where there are rows; one symbol alone takes none."""
+    order = np.argsort(np.where(lengths > 0, lengths, LONGEST + 1).astype(np.uint8), axis=-1, kind="stable")
+    n = np.take_along_axis(lengths, order, axis=-1)
+    room = np.where(n > 0, 1 << LONGEST - n, 0)
+    first = np.cumsum(room, axis=-1) - room
+    value = np.zeros(lengths.shape, np.int64)
+    np.put_along_axis(value, order, reversed_bits(LONGEST)[first & (1 << LONGEST) - 1], axis=-1)
+    size = np.where((lengths > 0).sum(axis=-1, keepdims=True) > 1, lengths, 0)
+    return np.where(size > 0, value, 0), size
 
 
 class Stream:
@@ -606,60 +778,78 @@ class Stream:
     def __init__(self):
         self.values: list = []
         self.sizes: list = []
+        self.ends: list[int] = []
 
     def put(self, *fields: tuple[int, int]) -> None:
-        self.many(np.array([v for v, _ in fields], np.uint64), np.array([n for _, n in fields], np.int64))
+        self.many(np.array([v for v, _ in fields], np.int64), np.array([n for _, n in fields], np.int64))
 
     def many(self, values: np.ndarray, sizes: np.ndarray) -> None:
         self.values.append(values)
         self.sizes.append(sizes)
 
+    def end(self) -> None:
+        """The next field begins another body."""
+        self.ends.append(len(self.values))
+
     def to_bytes(self) -> bytes:
+        self.end()
+        return self.bodies()[0]
+
+    def bodies(self) -> list[bytes]:
         values, sizes = np.concatenate(self.values), np.concatenate(self.sizes)
+        last = np.cumsum([len(n) for n in self.sizes])[np.array(self.ends) - 1]
         ends = np.cumsum(sizes)
-        at = ends - sizes
-        shifted = values << (at & 31).astype(np.uint64)
-        words = int(ends[-1] >> 5) + 2
-        low = np.bincount(at >> 5, weights=(shifted & np.uint64(0xFFFFFFFF)).astype(float), minlength=words)
-        high = np.bincount((at >> 5) + 1, weights=(shifted >> np.uint64(32)).astype(float), minlength=words)
-        return (low + high).astype("<u4").tobytes()[: -(-int(ends[-1]) // 8)]
+        bits = np.diff(ends[last - 1], prepend=0)  # of each body, which begins at a word
+        words = (bits + 31) >> 5
+        first = np.cumsum(words) - words
+        at = ends - sizes + np.repeat(32 * first - np.cumsum(bits) + bits, np.diff(last, prepend=0))
+        shifted, total = values << (at & 31), int(words.sum()) + 2
+        low = np.bincount(at >> 5, weights=(shifted & 0xFFFFFFFF).astype(float), minlength=total)
+        high = np.bincount((at >> 5) + 1, weights=(shifted >> 32).astype(float), minlength=total)
+        raw = (low + high).astype("<u4").tobytes()
+        return [raw[4 * a : 4 * a + -(-n // 8)] for a, n in zip(first.tolist(), bits.tolist(), strict=True)]
 
 
 def coded(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A prefix code's own fields: its symbols where they are one or two bytes, else its lengths, coded themselves."""
-    used = np.flatnonzero(lengths).tolist()
-    if len(used) <= 2 and all(u < LITERALS for u in used):
-        used = used or [0]
-        fields = [(1, 1), (len(used) - 1, 1), (1, 1), *[(u, 8) for u in used]]
-        return np.array([v for v, _ in fields], np.uint64), np.array([n for _, n in fields], np.int64)
-    symbols: list[int] = []
-    more: list[tuple[int, int]] = []
-    a, z = runs(lengths)
-    for v, n in zip(lengths[a].tolist(), (z - a).tolist(), strict=True):
-        if v:  # a length stands once before it is repeated
-            symbols.append(v)
-            more.append((0, 0))
-            n -= 1
-        most = 6 if v else 138
-        while n >= 3:
-            now = min(n, most)
-            kind = 16 if v else 18 if now > 10 else 17
-            bits, least = REPEATS[kind - 16]
-            symbols.append(kind)
-            more.append((now - least, bits))
-            n -= now
-        symbols += [v] * n
-        more += [(0, 0)] * n
-    own = code_lengths(np.bincount(symbols, minlength=19), 7)
-    order = own[list(LENGTH_ORDER)].tolist()
-    while len(order) > 4 and not order[-1]:
-        order.pop()
-    value, size = (x.tolist() for x in codes(own))
-    values, sizes = [0, len(order) - 4, *order, 0], [1, 4, *[3] * len(order), 1]
-    for symbol, (extra, bits) in zip(symbols, more, strict=True):
-        values.append(value[symbol] | extra << size[symbol])
-        sizes.append(size[symbol] + bits)
-    return np.array(values, np.uint64), np.array(sizes, np.int64)
+    return coded_each(lengths[None])[0]
+
+
+def coded_each(lengths: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each row's own fields as a prefix code: its symbols where they are one or two bytes, else its lengths, coded themselves."""
+    rows, alphabet = lengths.shape
+    flat = lengths.ravel()
+    cut = np.flatnonzero(np.concatenate([[True], (flat[1:] != flat[:-1]) | (np.arange(1, len(flat)) % alphabet == 0)]))
+    v, n = flat[cut], np.diff(cut, append=len(flat))
+    once = (v > 0).astype(np.int64)  # a length stands once before it is repeated
+    n = n - once
+    most = np.where(v > 0, 6, 138)
+    full, rest = n // most, n % most
+    part, plain = rest >= 3, np.where(rest < 3, rest, 0)
+    # for each run: the length, whole repeats, one repeat of what is left, or that written out
+    symbol = np.stack([v, np.where(v > 0, 16, 18), np.where(v > 0, 16, np.where(rest > 10, 18, 17)), v], axis=1).ravel()
+    more = np.stack([0 * v, np.where(v > 0, 3, 127), np.where(part, rest - np.where((v == 0) & (rest > 10), 11, 3), 0), 0 * v], axis=1).ravel()
+    times = np.stack([once, full, part, plain], axis=1).ravel()
+    symbol, more, of = np.repeat(symbol, times), np.repeat(more, times), np.repeat(np.repeat(cut // alphabet, 4), times)
+    counts = np.bincount(of * 19 + symbol, minlength=rows * 19).reshape(rows, 19)
+    own = np.stack([code_lengths(c, 7) for c in counts])
+    value, size = codes(own)
+    # the kind, how many lengths of lengths, these in their order, all of the alphabet; then the lengths
+    listed = own[:, LENGTH_ORDER]
+    many = np.maximum(19 - np.argmax(listed[:, ::-1] > 0, axis=1), 4)[:, None]
+    zero, one = np.zeros_like(many), np.ones_like(many)
+    head, wide = np.concatenate([zero, many - 4, listed, zero], axis=1), np.concatenate([one, 4 * one, 3 * (np.arange(19) < many), one], axis=1)
+    extra = np.array([0] * 16 + [bits for bits, _ in REPEATS])[symbol]
+    values, sizes = value[of, symbol] | more << size[of, symbol], size[of, symbol] + extra
+    ends = np.cumsum(np.bincount(of, minlength=rows)).tolist()
+    out, at = [], 0
+    for row, end in enumerate(ends):
+        out.append((np.concatenate([head[row], values[at:end]]), np.concatenate([wide[row], sizes[at:end]])))
+        at = end
+    used = lengths > 0
+    for row in np.flatnonzero((used.sum(axis=1) <= 2) & ~used[:, LITERALS:].any(axis=1)).tolist():
+        own = np.flatnonzero(used[row]) if used[row].any() else np.zeros(1, np.int64)
+        out[row] = np.concatenate([[1, len(own) - 1, 1], own]), np.concatenate([[1, 1, 1], np.full(len(own), 8)])
+    return out
 
 
 def prefixed(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -669,22 +859,29 @@ def prefixed(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(n < 4, n, 2 * k + 2 + (n >> k & 1)), np.where(n < 4, 0, n & (1 << k) - 1), np.where(n < 4, 0, k)
 
 
-def earlier(keys: np.ndarray) -> np.ndarray:
-    """For each place the last one before it with the same key, or -1."""
+def earlier(keys: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
+    """For each place the last one before it with the same key, or -1; with ``of``, which ascends, only within the same image."""
     order = np.argsort(keys, kind="stable")
     out = np.full(len(keys), -1, np.int64)
-    same = keys[order[1:]] == keys[order[:-1]]
-    out[order[1:][same]] = order[:-1][same]
+    key, a, z = keys[order], order[:-1], order[1:]
+    same = key[1:] == key[:-1]
+    a, z = a[same], z[same]
+    if of is not None:
+        same = of[a] == of[z]
+        a, z = a[same], z[same]
+    out[z] = a
     return out
 
 
-def copies(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, size, distance) of runs of pixels that repeat the last ones that began alike."""
+def copies(pixels: np.ndarray, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, size, distance) of runs of pixels that repeat the last ones that began alike, within the same image if ``of`` tells them apart."""
     if len(pixels) < 2:
         return (np.empty(0, np.int64),) * 3
     pair = pixels[:-1].astype(np.uint64) << np.uint64(32) | pixels[1:]
-    before = earlier(pair)
+    before = earlier(pair, of)
     back = np.where(before >= 0, np.arange(len(before)) - before, 0)
+    if of is not None:
+        back[of[:-1] != of[1:]] = 0
     a, z = runs(back)
     keep = (back[a] > 0) & (z - a + 1 >= SHORTEST_COPY)
     found, cursor = [], 0
@@ -698,11 +895,8 @@ def copies(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.array(c, np.int64) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
 
 
-def put_image(out: Stream, pixels: np.ndarray, cache: int = 0, main: bool = False, groups: tuple | None = None, width: int = 0, text: bool = False) -> None:
-    """Pixels as literals, copies and cache hits. ``groups`` (bits, image of group numbers) has a set of codes for each number.
-
-    ``text`` is for samples that are bytes of a text: red, blue and alpha have one code then.
-    """
+def put_image(out: Stream, pixels: np.ndarray, cache: int = 0, main: bool = False, groups: tuple | None = None, width: int = 0) -> None:
+    """Pixels as literals, copies and cache hits. ``groups`` (bits, image of group numbers) has a set of codes for each number."""
     n = len(pixels)
     start, size, back = copies(pixels)
     kind = np.zeros(n, np.int8)  # literal, hit, first of a copy, rest of one
@@ -728,19 +922,17 @@ def put_image(out: Stream, pixels: np.ndarray, cache: int = 0, main: bool = Fals
     ds, dx, dn = prefixed(back + len(NEAR))
     which = [(np.concatenate([literal, hit, start]), np.concatenate([s[literal, 1], LITERALS + LENGTHS + slot[hit], LITERALS + ls]), LITERALS + LENGTHS + (1 << cache if cache else 0))]
     which += [(literal, s[literal, c], LITERALS) for c in (2, 0, 3)] + [(start, ds, DISTANCES)]
-    value, bits = np.zeros((n, 6), np.uint64), np.zeros((n, 6), np.int64)
+    value, bits = np.zeros((n, 6), np.int64), np.zeros((n, 6), np.int64)
     for g in range(int(of.max()) + 1 if n else 1):
         for field, (at, symbol, alphabet) in enumerate(which):
             mine = of[at] == g if groups is not None else slice(None)
-            if not (text and field in (2, 3)):
-                seen = s[literal[mine]][:, [0, 2, 3]].ravel() if text and field == 1 else symbol[mine]
-                lengths = code_lengths(np.bincount(seen, minlength=alphabet))
-                fields, (v, k) = coded(lengths), codes(lengths)
-            out.many(*fields)
+            lengths = code_lengths(np.bincount(symbol[mine], minlength=alphabet))
+            v, k = codes(lengths)
+            out.many(*coded(lengths))
             value[at[mine], field], bits[at[mine], field] = v[symbol[mine]], k[symbol[mine]]
     # a copy's fields: length, its extra bits, distance, its extra bits
-    value[start, 1], bits[start, 1] = lx.astype(np.uint64), ln
-    value[start, 5], bits[start, 5] = dx.astype(np.uint64), dn
+    value[start, 1], bits[start, 1] = lx, ln
+    value[start, 5], bits[start, 5] = dx, dn
     fields = np.flatnonzero(bits.ravel())
     out.many(value.ravel()[fields], bits.ravel()[fields])
 
@@ -749,8 +941,10 @@ def encode(pixels: np.ndarray, transforms: tuple = (), cache: int = 0, groups: t
     """A file of height by width pixels.
 
     ``transforms`` in the order in which they are applied: (PREDICT, bits, modes), (CROSS, bits, elements), (GREEN,)
-    and (PALETTE,), which takes images of at most 256 colours.
+    and (PALETTE,), which takes images of at most 256 colours. ``text`` (without transforms and groups) is as in ``encode_texts``.
     """
+    if text and not transforms and groups is None:
+        return encode_texts([pixels], cache)[0]
     height, width = pixels.shape
     out = Stream()
     out.put((0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3))
@@ -789,7 +983,65 @@ def encode(pixels: np.ndarray, transforms: tuple = (), cache: int = 0, groups: t
             number = np.pad(number.reshape(pixels.shape), ((0, 0), (0, -width % (1 << k)))).reshape(height, -1, 1 << k)
             pixels = ((number << np.arange(1 << k) * (8 >> k)).sum(axis=2) << 8).astype(np.uint32)
     out.put((0, 1))
-    put_image(out, np.ascontiguousarray(pixels).ravel(), cache, True, groups, pixels.shape[1], text)
-    body = out.to_bytes()
+    put_image(out, np.ascontiguousarray(pixels).ravel(), cache, True, groups, pixels.shape[1])
+    return wrapped(out.to_bytes())
+
+
+def wrapped(body: bytes) -> bytes:
+    """A file of one lossless image."""
     data = b"VP8L" + len(body).to_bytes(4, "little") + body + b"\0" * (len(body) & 1)
     return b"RIFF" + (4 + len(data)).to_bytes(4, "little") + b"WEBP" + data
+
+
+def encode_texts(images: list[np.ndarray], cache: int = 0) -> list[bytes]:
+    """A file of each image, whose samples are bytes of a text: red, blue and alpha have one code.
+
+    Every image has codes of its own and is written as if it were alone; what numpy does is done for all images at once.
+    """
+    if not images:
+        return []
+    many, sizes = len(images), np.array([i.size for i in images])
+    pixels, of = np.concatenate([np.ascontiguousarray(i).ravel() for i in images]), np.repeat(np.arange(len(images)), sizes)
+    start, size, back = copies(pixels, of)
+    literal, hit = np.ones(len(pixels), bool), np.zeros(len(pixels), bool)
+    literal[spread(start, size)] = False
+    if cache:
+        slot = (pixels * np.uint32(HASH) >> np.uint32(32 - cache)).astype(np.int64)
+        key = of << cache | slot
+        last = earlier(key.astype(np.uint16) if many << cache <= 1 << 16 else key)
+        hit = literal & (last >= 0) & (pixels[last] == pixels)
+        literal &= ~hit
+    literal, hit = np.flatnonzero(literal), np.flatnonzero(hit)
+    blue, green, red, alpha = samples(pixels[literal]).T.astype(np.int64)
+    (ls, lx, ln), (ds, dx, dn) = prefixed(size), prefixed(back + len(NEAR))
+    whole = LITERALS + LENGTHS + (1 << cache if cache else 0)
+    at = [of[x] for x in (literal, hit, start)]
+    hits = LITERALS + LENGTHS + slot[hit] if cache else hit
+    codings = []
+    for keys, symbols, alphabet in ((at, (green, hits, LITERALS + ls), whole), (at[:1] * 3, (blue, red, alpha), LITERALS), (at[2:], (ds,), DISTANCES)):
+        counts = np.bincount(np.concatenate([k * alphabet + s for k, s in zip(keys, symbols, strict=True)]), minlength=many * alphabet)
+        lengths = np.stack([code_lengths(c) for c in counts.reshape(many, alphabet)])
+        codings.append((coded_each(lengths), *codes(lengths)))
+    (_, gv, gn), (_, ov, on), (_, dv, dk) = codings
+    # a literal's fields: green and red, blue and alpha; a copy's: length and its extra bits, distance, its extra bits
+    value, bits = np.zeros((len(pixels), 3), np.int64), np.zeros((len(pixels), 3), np.int64)
+    a = at[0]
+    for field, (v, n), (v2, n2) in ((0, (gv[a, green], gn[a, green]), (ov[a, red], on[a, red])), (1, (ov[a, blue], on[a, blue]), (ov[a, alpha], on[a, alpha]))):
+        value[literal, field], bits[literal, field] = v | v2 << n, n + n2
+    value[hit, 0], bits[hit, 0] = gv[at[1], hits], gn[at[1], hits]
+    a, ls = at[2], LITERALS + ls
+    value[start, 0], bits[start, 0] = gv[a, ls] | lx << gn[a, ls], gn[a, ls] + ln
+    value[start, 1], bits[start, 1], value[start, 2], bits[start, 2] = dv[a, ds], dk[a, ds], dx, dn
+    fields = np.flatnonzero(bits)
+    value, bits = value.ravel()[fields], bits.ravel()[fields]
+    ends, out, first = np.searchsorted(fields, 3 * np.cumsum(sizes)).tolist(), Stream(), 0
+    for i, (image, end) in enumerate(zip(images, ends, strict=True)):
+        height, width = image.shape
+        head = (0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3), (0, 1), *(((1, 1), (cache, 4)) if cache else ((0, 1),)), (0, 1)
+        g, o, d = (c[0][i] for c in codings)
+        parts = [tuple(zip(*head, strict=True)), g, o, o, o, d, (value[first:end], bits[first:end])]
+        for v, n in parts:
+            out.many(v, n)
+        out.end()
+        first = end
+    return [wrapped(body) for body in out.bodies()]

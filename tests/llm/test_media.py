@@ -220,3 +220,32 @@ def test_lengths_of_codes_are_read_as_written():
             out.many(*webp.coded(lengths))
             bits = webp.Bits(out.to_bytes() + b"\xff")
             assert (webp.read_code(bits, alphabet) == webp.code_table(lengths)).all()
+
+
+def test_short_texts_are_written_and_read_together(monkeypatch):
+    """What numpy does for short texts is done for many of them at once, and gives each what it gets alone."""
+    rng = np.random.default_rng(11)
+    words = [bytes(rng.integers(97, 123, n, dtype=np.uint8)) for n in rng.integers(1, 9, 60)]
+    texts = [b" ".join(words[i] for i in rng.integers(0, rng.integers(2, 60), n)) for n in rng.integers(0, 400, 300)]
+    payloads = [t + bytes(-len(t) % 64 if t else 64) for t in [*texts, b"z" * 5000, bytes(rng.integers(0, 256, 1 << 19, dtype=np.uint8))]]
+    alone = [media.stored(p) for p in payloads]
+    calls, write, read = [], webp.encode_texts, webp.read_tokens
+    monkeypatch.setattr(webp, "encode_texts", lambda images, *a: calls.append(len(images)) or write(images, *a))
+    assert list(media.stored_each(payloads)) == alone and len(calls) <= 6 and max(calls) > 100
+    # whole, missing and broken ones among each other
+    raws = []
+    for i, raw in enumerate(alone):
+        broken = bytearray(raw)
+        broken[rng.integers(21, len(raw))] ^= 1 << rng.integers(8)
+        raws += [raw, None if i % 3 else b"", bytes(broken), raw[: rng.integers(1, len(raw))], raw + alone[i - 1]]
+    want = []
+    for raw in raws:
+        try:
+            want.append(media.samples_of(raw) if raw else None)
+        except webp.NotLossless as e:
+            want.append(str(e))
+    one_by_one = []
+    monkeypatch.setattr(webp, "read_tokens", lambda *a: one_by_one.append(a) or read(*a))
+    assert [str(x) if isinstance(x, webp.NotLossless) else x for x in media.samples_each(raws)] == want
+    one_by_one.clear()
+    assert [x[2][: len(p)] for x, p in zip(media.samples_each(alone), payloads, strict=True)] == payloads and len(one_by_one) <= webp.FEWEST
