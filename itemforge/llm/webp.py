@@ -29,6 +29,8 @@ SEGMENT = 1 << 15
 SHORTEST_COPY, LONGEST_COPY = 3, 4096
 #: Bytes of a code's lengths that are looked at as one number, and extra bits and least number of the lengths' symbols 16 to 18, which repeat.
 LENGTH_BYTES = 24
+#: Lengths that these hold for sure: one takes at most 14 bits.
+LENGTH_STEPS = (8 * LENGTH_BYTES - 7) // 14
 REPEATS = ((2, 3), (3, 3), (7, 11))
 _REVERSED: dict[int, np.ndarray] = {}
 
@@ -115,30 +117,32 @@ def read_code(bits: Bits, alphabet: int) -> np.ndarray:
         own[i] = each >> 3 * k & 7
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
     table = code_table(own).tolist()
-    mask, at, last = len(table) - 1, bits.at, 8
-    rest = int.from_bytes(bits.raw[at >> 3 : (at >> 3) + LENGTH_BYTES], "little") >> (at & 7)
-    ready = 8 * LENGTH_BYTES - 8  # bits of ``rest`` that are there for sure
+    mask, at, last, room = len(table) - 1, bits.at, 8, alphabet
     found: list[int] = []
-    while len(found) < alphabet and left:
-        if ready < 14:
-            rest = int.from_bytes(bits.raw[at >> 3 : (at >> 3) + LENGTH_BYTES], "little") >> (at & 7)
-            ready = 8 * LENGTH_BYTES - 8
-        entry = table[rest & mask]
-        n, kind = entry & 15, entry >> 4
-        if kind < 16:
-            found.append(kind)
-            if kind:
-                last = kind
-        else:
-            extra, least = REPEATS[kind - 16]
-            found += [last if kind == 16 else 0] * (least + (rest >> n & (1 << extra) - 1))
-            n += extra
-        rest >>= n
-        at += n
-        ready -= n
-        left -= 1
-        if at > bits.size:
-            raise NotLossless("the stream ends early")
+    add = found.append
+    while room > 0 and left:
+        rest = int.from_bytes(bits.raw[at >> 3 : (at >> 3) + LENGTH_BYTES], "little") >> (at & 7)
+        for _ in range(min(left, LENGTH_STEPS)):
+            entry = table[rest & mask]
+            n, kind = entry & 15, entry >> 4
+            left -= 1
+            if kind < 16:
+                add(kind)
+                room -= 1
+                if kind:
+                    last = kind
+            else:
+                extra, least = REPEATS[kind - 16]
+                least += rest >> n & (1 << extra) - 1
+                found += [last if kind == 16 else 0] * least
+                room -= least
+                n += extra
+            at += n
+            if room <= 0:
+                break
+            rest >>= n
+    if at > bits.size:
+        raise NotLossless("the stream ends early")
     bits.at = at
     if len(found) > alphabet:
         raise NotLossless("code lengths beyond the alphabet")
@@ -811,11 +815,16 @@ class Stream:
 
 
 def coded(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return coded_each(lengths[None])[0]
+    """A prefix code's own fields: its symbols where they are one or two bytes, else its lengths, coded themselves."""
+    used = np.flatnonzero(lengths)
+    if len(used) > 2 or (used >= LITERALS).any():
+        return coded_each(lengths[None])[0]
+    used = used if len(used) else np.zeros(1, np.int64)
+    return np.concatenate([[1, len(used) - 1, 1], used]), np.concatenate([[1, 1, 1], np.full(len(used), 8)])
 
 
 def coded_each(lengths: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Each row's own fields as a prefix code: its symbols where they are one or two bytes, else its lengths, coded themselves."""
+    """``coded`` of each row; the runs of all rows are found at once."""
     rows, alphabet = lengths.shape
     flat = lengths.ravel()
     cut = np.flatnonzero(np.concatenate([[True], (flat[1:] != flat[:-1]) | (np.arange(1, len(flat)) % alphabet == 0)]))
@@ -847,8 +856,7 @@ def coded_each(lengths: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         at = end
     used = lengths > 0
     for row in np.flatnonzero((used.sum(axis=1) <= 2) & ~used[:, LITERALS:].any(axis=1)).tolist():
-        own = np.flatnonzero(used[row]) if used[row].any() else np.zeros(1, np.int64)
-        out[row] = np.concatenate([[1, len(own) - 1, 1], own]), np.concatenate([[1, 1, 1], np.full(len(own), 8)])
+        out[row] = coded(lengths[row])
     return out
 
 
