@@ -109,6 +109,7 @@ def samples_each(raws: Iterable[bytes | None]) -> Iterator[tuple[list[int], list
 
 
 def shaped(images: list[np.ndarray]) -> tuple[list[int], list[int], bytes]:
+    """(widths, heights, samples) of images."""
     return [i.shape[1] for i in images], [i.shape[0] for i in images], b"".join(i.astype("<u4", copy=False).tobytes() for i in images)
 
 

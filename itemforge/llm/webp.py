@@ -429,6 +429,7 @@ def read_head(bits: Bits, width: int, height: int, main: bool) -> tuple[int, lis
 
 
 def read_pixels(bits: Bits, width: int, height: int, main: bool, cache: int, which: list[int] | None, tile: int, across: int, groups: list[Group]) -> np.ndarray:
+    """The pixels after what ``read_head`` gave."""
     if main and not which and (found := read_tokens(bits, width * height, width, groups[0], cache)) is not None:
         return found
     total, pos, edge = width * height, 0, 0
