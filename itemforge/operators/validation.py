@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itemforge.functions.text import itemset_canon, row_index, row_label, safe_ratio
 from itemforge.operators.claims import as_text, field, is_integer, is_number, listed, number
 from itemforge.operators.ranking import first_in_order
+from itemforge.sources.tables import written
 
 # Names of the errors.
 TYPES = (
@@ -24,39 +25,59 @@ INVARIANTS = (
 KEYS = ["dataset_id", "source", "claim_idx"]
 
 
-def prepared(claims: DataFrame, totals: DataFrame) -> DataFrame:
-    """Claims (dataset_id, source, claim_idx, rec variant) with their parts taken out."""
+def listed_rows(claims: DataFrame, totals: DataFrame) -> DataFrame:
+    """What the checks read of claims (dataset_id, source, claim_idx, rec variant): a row for each label that a claim lists, one for a claim that lists
+    none; ``head`` marks one row of each claim. ``row_no`` is null and ``malformed`` the label where that holds no number. ``totals``: (dataset_id, total_rows).
+
+    Written once to the shared folder: claims are parsed in one pass, one at a time, and what is read again are short rows, not lists.
+    """
+    rec, items, count, support = F.col("rec"), F.col("items"), F.col("count"), F.col("support")
     c = claims.join(totals, "dataset_id", "left").withColumn("total_rows", F.coalesce("total_rows", F.lit(0)))
-    c = c.withColumn("items", field(F.col("rec"), "itemset")).withColumn("listed", listed(F.col("rec"), "rows", "evidence_rows"))
-    c = c.withColumn("count", F.try_variant_get("rec", "$.count", "variant")).withColumn("support", F.try_variant_get("rec", "$.support", "variant"))
-    c = c.withColumn("has_support", F.coalesce(F.schema_of_variant("rec").contains("support:"), F.lit(False)))
-    labels = F.transform("listed", as_text)
-    c = c.withColumn("raw_itemset", F.to_json(F.coalesce(F.try_variant_get("rec", "$.itemset", "variant"), F.parse_json(F.lit("null")))))
-    c = c.withColumn("labels", labels).withColumn("index", F.filter(F.transform("labels", row_index), lambda i: i.isNotNull()))
-    return c.withColumn("unique", F.array_distinct("index")).withColumn("canon", itemset_canon(F.transform("items", as_text)))
+    c = c.select(
+        *KEYS, "total_rows", field(rec, "itemset").alias("items"), listed(rec, "rows", "evidence_rows").alias("listed"),
+        F.try_variant_get("rec", "$.count", "variant").alias("count"), F.try_variant_get("rec", "$.support", "variant").alias("support"),
+        F.coalesce(F.schema_of_variant("rec").contains("support:"), F.lit(False)).alias("has_support"), raw_itemset(rec).alias("raw_itemset"),
+    )
+    c = c.withColumn("complete", items.isNotNull() & F.col("listed").isNotNull())
+    c = c.select(
+        *KEYS, "raw_itemset", itemset_canon(F.transform("items", as_text)).alias("canon"), "total_rows", items.isNotNull().alias("named"), "complete", F.when(F.col("complete"), F.size("listed")).otherwise(0).alias("n_labels"),
+        (count.isNull() | F.is_variant_null("count")).alias("null_count"), is_number(count).alias("counted"), is_integer(count).alias("whole"), number(count).alias("n"),
+        "has_support", is_number(support).alias("supported"), number(support).alias("support"), F.when(F.col("complete"), F.col("listed")).alias("listed"),
+    )
+    each = c.select(*[x for x in c.columns if x != "listed"], F.posexplode_outer("listed").alias("at", "label"))
+    each = each.withColumn("head", F.coalesce("at", F.lit(0)) == 0).withColumn("label", F.when(F.col("at").isNotNull(), as_text(F.col("label"))))
+    each = each.withColumn("row_no", row_index(F.col("label")).cast("long")).withColumn("malformed", F.when(F.col("row_no").isNull(), F.col("label")))
+    return written(each.drop("at", "label"), "claim-rows")
+
+
+def raw_itemset(rec: Column) -> Column:
+    """An itemset as written."""
+    return F.to_json(F.coalesce(F.try_variant_get(rec, "$.itemset", "variant"), F.parse_json(F.lit("null"))))
 
 
 def errors(claims: DataFrame, baskets: DataFrame, totals: DataFrame, min_support: int) -> DataFrame:
-    """(dataset_id, source, claim_idx, raw_itemset, type, row_label, detail).
+    """(dataset_id, source, claim_idx, raw_itemset, type, row_label, detail) of claims (dataset_id, source, claim_idx, rec variant)."""
+    return errors_of_rows(listed_rows(claims, totals), baskets, min_support)
+
+
+def errors_of_rows(checked: DataFrame, baskets: DataFrame, min_support: int) -> DataFrame:
+    """``errors`` of what ``listed_rows`` gives.
 
-    ``claims``: rows of the same key and itemset are parts of one claim (a long list of rows comes in several texts): their rows
-    are taken together, each once for every part that lists it, and their counts are added. ``totals``: (dataset_id, total_rows).
+    Claims of the same key, itemset as written and items are parts of one claim (a long list of rows comes in several texts): their rows
+    are taken together, each once for every part that lists it, and their counts are added.
     One aggregate gives the errors that a claim shows by itself, one anti-join against the rows the items that a
     row lacks; rows stand singly, so no task holds all of a claim. An empty itemset or missing rows end the checks of a claim.
     """
-    c = prepared(claims, totals)
-    base = [*KEYS, "raw_itemset"]
-    complete = F.col("items").isNotNull() & F.col("listed").isNotNull()
-    count, support = F.col("count"), F.col("support")
-    parts = c.groupBy(*base).agg(
-        F.bool_or(F.col("items").isNotNull()).alias("named"), F.bool_or(complete).alias("ok"), F.sum(F.when(complete, F.size("labels")).otherwise(0)).alias("n_labels"),
-        F.bool_or(count.isNull() | F.is_variant_null("count")).alias("null_count"), F.bool_and(is_number(count)).alias("counted"), F.bool_and(is_integer(count)).alias("whole"), F.sum(number(count)).alias("n"),
-        F.bool_or("has_support").alias("has_support"), F.bool_and(is_number(support)).alias("supported"), F.max(number(support)).alias("support"), F.max("total_rows").alias("total_rows"),
+    base, key = [*KEYS, "raw_itemset"], [*KEYS, "raw_itemset", "canon"]
+    heads = checked.where("head")
+    parts = heads.groupBy(*key).agg(
+        F.bool_or("named").alias("named"), F.bool_or("complete").alias("ok"), F.sum("n_labels").alias("n_labels"), F.bool_or("null_count").alias("null_count"), F.bool_and("counted").alias("counted"),
+        F.bool_and("whole").alias("whole"), F.sum("n").alias("n"), F.bool_or("has_support").alias("has_support"), F.bool_and("supported").alias("supported"), F.max("support").alias("support"), F.max("total_rows").alias("total_rows"),
     )
-    each = c.where(complete).select(*base, "total_rows", "canon", F.explode("index").alias("row_no"))
-    rows = each.groupBy(*base, "row_no").agg(F.first("total_rows").alias("total_rows"), F.first("canon").alias("canon"))
-    sizes = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in base]).agg(F.count("*").alias("distinct"))
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in base]
+    rows, outside = checked.select(*key, "total_rows", "row_no").distinct(), (F.col("row_no") < 1) | (F.col("row_no") > F.col("total_rows"))
+    within, out = rows.where(~outside), rows.where(outside)
+    sizes = within.unionByName(out).groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.count("*").alias("distinct"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
     whole = parts.join(sizes, same, "left").withColumn("distinct", F.coalesce("distinct", F.lit(0)).cast("int"))
 
     ok, n, distinct = F.col("ok"), F.col("n"), F.col("distinct")
@@ -80,16 +101,14 @@ def errors(claims: DataFrame, baskets: DataFrame, totals: DataFrame, min_support
     ]
     once = F.filter(F.array(*[F.when(cond, e) for cond, e in single]), lambda e: e.isNotNull())
     of_claims = whole.select(*base, F.explode(once).alias("e")).select(*base, "e.*")
-    malformed = F.transform(F.filter("labels", lambda r: row_index(r).isNull()), lambda r: error("malformed_row_label", r))
-    of_labels = c.where(complete).select(*base, F.explode(malformed).alias("e")).select(*base, "e.*")
-    outside = (F.col("row_no") < 1) | (F.col("row_no") > F.col("total_rows"))
-    beyond = rows.where(outside).select(*base, error("row_out_of_range", row_label(F.col("row_no")), F.col("total_rows")).alias("e")).select(*base, "e.*")
+    of_labels = checked.where("malformed IS NOT NULL").select(*base, error("malformed_row_label", F.col("malformed")).alias("e")).select(*base, "e.*")
+    beyond = out.select(*base, error("row_out_of_range", row_label(F.col("row_no")), F.col("total_rows")).alias("e")).select(*base, "e.*")
 
-    asked = rows.where(~outside).select(*base, "row_no", F.explode("canon").alias("item"))
+    asked = within.select(*key, "row_no", F.explode_outer("canon").alias("item")).where("item IS NOT NULL")
     missing = asked.join(baskets.select("dataset_id", "row_no", "item"), ["dataset_id", "row_no", "item"], "left_anti")
-    missing = missing.groupBy(*base, "row_no").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    missing = missing.groupBy(*key, "row_no").agg(F.array_sort(F.collect_list("item")).alias("items"))
     of_rows = missing.select(*base, F.lit("item_missing_in_row").alias("type"), row_label(F.col("row_no")).alias("row_label"), F.to_json("items").alias("detail"))
-    return of_claims.unionByName(of_labels).unionByName(beyond).unionByName(of_rows).unionByName(empty_output(claims))
+    return of_claims.unionByName(of_labels).unionByName(beyond).unionByName(of_rows).unionByName(empty_output(heads))
 
 
 def empty_output(claims: DataFrame) -> DataFrame:
@@ -103,13 +122,13 @@ def empty_output(claims: DataFrame) -> DataFrame:
 def report(claims: DataFrame, found: DataFrame) -> DataFrame:
     """(dataset_id, source, total_itemsets, validated_itemsets, errors, valid_ratio).
 
-    A claim is valid if no claim with the same itemset as written has an error.
+    ``claims``: with ``rec``, or what ``listed_rows`` gives. A claim is valid if no claim with the same itemset as written has an error.
     """
-    keyed = claims.withColumn("raw_itemset", F.to_json(F.coalesce(F.try_variant_get("rec", "$.itemset", "variant"), F.parse_json(F.lit("null"))))).select(*KEYS, "raw_itemset").distinct()
-    bad = found.where("raw_itemset IS NOT NULL").select("dataset_id", "source", "raw_itemset").distinct().withColumn("bad", F.lit(True))
-    n = keyed.join(bad, ["dataset_id", "source", "raw_itemset"], "left").groupBy("dataset_id", "source").agg(F.count("*").alias("total_itemsets"), F.count_if(F.col("bad").isNull()).alias("validated_itemsets"))
-    e = found.groupBy("dataset_id", "source").agg(F.count("*").alias("errors"))
-    out = n.join(e, ["dataset_id", "source"], "full_outer")
+    named = claims.where("head") if "head" in claims.columns else claims.withColumn("raw_itemset", raw_itemset(F.col("rec")))
+    by = ["dataset_id", "source", "raw_itemset"]
+    claimed = named.select(*KEYS, "raw_itemset").distinct().groupBy(*by).agg(F.count("*").alias("claimed"))
+    both = claimed.join(found.groupBy(*by).agg(F.count("*").alias("n")), by, "full_outer")
+    out = both.groupBy("dataset_id", "source").agg(F.sum("claimed").alias("total_itemsets"), F.sum(F.when(F.col("n").isNull(), F.col("claimed"))).alias("validated_itemsets"), F.sum("n").alias("errors"))
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("total_itemsets", "validated_itemsets", "errors")]
     return out.select("dataset_id", "source", *zero, safe_ratio(F.col("validated_itemsets"), F.col("total_itemsets"), 6).alias("valid_ratio"))
 
