@@ -29,7 +29,7 @@ def listed_rows(claims: DataFrame, totals: DataFrame) -> DataFrame:
     """What the checks read of claims (dataset_id, source, claim_idx, rec variant): a row for each label that a claim lists, one for a claim that lists
     none; ``head`` marks one row of each claim. ``row_no`` is null and ``malformed`` the label where that holds no number. ``totals``: (dataset_id, total_rows).
 
-    Written once to the shared folder: claims are parsed in one pass, one at a time, and what is read again are short rows, not lists.
+    Written once to the shared folder: lists are taken apart in one pass, claim by claim, and what is read again are short rows.
     """
     rec, items, count, support = F.col("rec"), F.col("items"), F.col("count"), F.col("support")
     c = claims.join(totals, "dataset_id", "left").withColumn("total_rows", F.coalesce("total_rows", F.lit(0)))

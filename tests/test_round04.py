@@ -10,7 +10,7 @@ def plan(df):
 
 
 def test_checks_read_short_rows_and_not_texts(spark, monkeypatch):
-    """Claims hold long lists, so they are parsed in one pass; what is shuffled and read again are rows of one label each."""
+    """Claims hold long lists, so these are taken apart in one pass; what is shuffled and read again are rows of one label each."""
     from itemforge.plans import scoring_queries
 
     monkeypatch.setattr(scoring_queries, "CLAIM_ROWS", 200)
